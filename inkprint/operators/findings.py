@@ -34,14 +34,12 @@ def to_common(raw: DataFrame, source: str, config: ScanConfig, keep: Sequence[st
 
 def _matches(code: Column, rules: Mapping[str, str], guard: str = "") -> Column:
     """Array of (rule, match) for every match of every rule: the rules live in the plan."""
-    found = [
-        F.transform(
-            tx.every(code, guard + pattern),
-            lambda m, rule=rule: F.struct(F.lit(rule).alias("rule"), m.alias("match")),
-        )
-        for rule, pattern in rules.items()
-    ]
-    return F.concat(*found)
+
+    def tagged(rule: str, pattern: str) -> Column:
+        named = lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("match"))
+        return F.transform(tx.every(code, guard + pattern), named)
+
+    return F.concat(*[tagged(rule, pattern) for rule, pattern in rules.items()])
 
 
 def invalid_calls(code: Column) -> Column:

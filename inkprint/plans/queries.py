@@ -85,7 +85,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 W = fixed.SIGNAL_WEIGHTS
-DAY = F.date_trunc("day", F.col("ts"))
+DAY = lambda: F.date_trunc("day", F.col("ts"))
 
 # --- signals ---------------------------------------------------------------------------
 
@@ -768,7 +768,7 @@ def scan_trend(spark, sf_dir):
         F.col("user_id").alias("target"), "ts", F.col("event_id").alias("seq"),
         sx.half_up(F.col("value")).alias("score"),
     )
-    return hs.score_trend(history, DAY).drop("ts")
+    return hs.score_trend(history, DAY()).drop("ts")
 
 
 @query
