@@ -63,8 +63,11 @@ RESERVED_WORDS = (
 )
 
 # --- patterns -----------------------------------------------------------------------
-# White space as the scanned language defines it (body of a character class).
-WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+# White space as the scanned language defines it (body of a character class). The rare part
+# stands behind one range test, which ordinary text fails at once.
+WS_PLAIN = r"\t\n\x0B\f\r \x{A0}"
+WS_RARE = r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS = rf"{WS_PLAIN}[\x{{1680}}-\x{{FEFF}}&&[{WS_RARE}]]"
 # The same class without the line feed, for patterns that must stay on one line.
 WS_INLINE = WS.replace(r"\n", "")
 WORD_START = r"(?<![A-Za-z0-9_])"

@@ -15,16 +15,13 @@ from inkprint import fixed
 from inkprint.functions.scalars import steady
 
 WORD = "[a-z0-9_]+"
-IDENTIFIER = (
-    r"(?<![A-Za-z0-9_$])(?!(?:" + "|".join(fixed.RESERVED_WORDS) + r")(?![A-Za-z0-9_$]))"
-    r"[A-Za-z_$][A-Za-z0-9_$]*"
-)
+NAME_LIKE = r"[A-Za-z0-9_$]+"
 # Comments and literals. Possessive groups keep the matcher from recursing on long ones.
 COMMENT_OR_LITERAL = (
-    r"//[^\n]*|(?s:/\*.*?(?:\*/|\z))"
+    r"(?=[/\"'`])(?://[^\n]*|(?s:/\*.*?(?:\*/|\z))"
     r"|\"(?:[^\"\\\n]++|\\.)*+\"?"
     r"|'(?:[^'\\\n]++|\\.)*+'?"
-    r"|`(?:[^`\\]++|(?s:\\.))*+`?"
+    r"|`(?:[^`\\]++|(?s:\\.))*+`?)"
 )
 # The same, or a stretch of anything else: covers a source text without a gap.
 MASK_PARTS = COMMENT_OR_LITERAL + r"|[^/\"'`]++|/"
@@ -44,12 +41,12 @@ def tokens(text: Column) -> Column:
 
 def characters(text: Column) -> Column:
     """Code points of a text as an array."""
-    return every(text, "(?s).")
+    return F.split(text, "")
 
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units, as the scanned language counts it."""
-    return F.length(text) + hits(text, r"[\x{10000}-\x{10FFFF}]")
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
 
 
 def run_statistics(items: Column, total: Column | None = None) -> Column:
@@ -86,6 +83,37 @@ def run_statistics(items: Column, total: Column | None = None) -> Column:
     return F.aggregate(F.sort_array(items), start, step, finish)
 
 
+FEW_CHARACTERS = 256
+
+
+def short_text_entropy(text: Column) -> Column:
+    """Shannon entropy of the code points of a text, over its UTF-16 length."""
+    return run_statistics(characters(text), total=utf16_length(text))["entropy"]
+
+
+def character_entropy(text: Column, alphabet: Column, size: Column) -> Column:
+    """The same for long texts.
+
+    ``alphabet`` holds the distinct characters of ``text``, ``size`` its UTF-16 length.
+    A text has few distinct characters, and taking one out shows how often it occurs: one
+    native pass per distinct character, no sorting. Texts with a large alphabet are sorted.
+    All arguments should be columns of their own, as they are read many times.
+    """
+    length = F.length(text)
+
+    def add(acc: Column, ch: Column) -> Column:
+        n = (length - F.length(F.replace(text, ch, F.lit("")))).cast("double")
+        return acc + n * F.log2(n)
+
+    spread = length * F.log2(size.cast("double")) - F.aggregate(alphabet, F.lit(0.0), add)
+    by_removal = steady(spread / size)
+    return (
+        F.when(text == "", F.lit(0.0))
+        .when(F.size(alphabet) <= FEW_CHARACTERS, by_removal)
+        .otherwise(short_text_entropy(text))
+    )
+
+
 def masked(source: Column) -> Column:
     """The source with comments and literals blanked out, all offsets and lines kept."""
     parts = F.regexp_extract_all(source, F.lit(f"(?:{MASK_PARTS})"), F.lit(0))
@@ -102,7 +130,9 @@ def without_literals(source: Column) -> Column:
 
 def identifiers(code: Column) -> Column:
     """Identifier tokens in order, with repeats; an approximation without a syntax tree."""
-    return every(without_literals(code), IDENTIFIER)
+    names = every(without_literals(code), NAME_LIKE)
+    # names start with no digit ("0" to "9" sort right before ":")
+    return F.filter(names, lambda n: ((n < "0") | (n >= ":")) & ~n.isin(*fixed.RESERVED_WORDS))
 
 
 def lines(text: Column) -> Column:

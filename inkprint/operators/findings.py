@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkprint import fixed
 from inkprint.config import DEFAULT_CONFIG, ScanConfig
 from inkprint.functions import text as tx
+from inkprint.functions.rows import explode_once
 from inkprint.functions.scalars import contains_any, digest, first_matching, lookup
 from inkprint.operators.score import explained, no_explanation
 
@@ -54,7 +55,7 @@ def literals(code: Column) -> Column:
 
 
 def literal_entropy(literal: Column) -> Column:
-    return tx.run_statistics(tx.characters(literal), total=tx.utf16_length(literal))["entropy"]
+    return tx.short_text_entropy(literal)
 
 
 def is_harmless(literal: Column) -> Column:
@@ -122,9 +123,9 @@ def local_findings(scored: DataFrame, config: ScanConfig = DEFAULT_CONFIG, keep:
 
     ``match_no`` numbers the matches of one unit: the id alone repeats when a call does.
     """
-    found = scored.select(
-        *keep, "path", "start_line", "score", explained().alias("explained"),
-        F.posexplode(local_matches(config)).alias("match_no", "found"),
+    found = explode_once(
+        scored, *keep, "path", "start_line", "score", explained().alias("explained"),
+        items=local_matches(config), name="found", position="match_no",
     )
     is_secret = F.col("found.detector") == "secret-detector"
     return found.select(
@@ -160,7 +161,7 @@ _IMPORT = r"import\s+(?:[A-Za-z_$][A-Za-z0-9_$]*\s*,\s*)?(?:\{[^}]*\}|\*\s+as\s+
 
 def imports(units: DataFrame) -> DataFrame:
     """One row per imported name: ``module`` and ``export`` (null for the whole module)."""
-    statement = units.select("path", F.explode(tx.every(F.col("code"), _IMPORT)).alias("statement"))
+    statement = explode_once(units, "path", items=tx.every(F.col("code"), _IMPORT), name="statement")
     module = F.regexp_extract("statement", r"[\"']([^\"'\n]+)[\"']", 1)
     names = F.filter(
         F.transform(
@@ -204,7 +205,7 @@ def unknown_imports(units: DataFrame, catalogue: DataFrame) -> DataFrame:
 def unknown_members(units: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Calls ``module.member(`` on a catalogued module that has no such member."""
     call = rf"{fixed.WORD_START}[A-Za-z_$][A-Za-z0-9_$]*\.[A-Za-z_$][A-Za-z0-9_$]*\s*(?=\()"
-    calls = units.select("path", F.explode(tx.every(F.col("code"), call)).alias("call")).select(
+    calls = explode_once(units, "path", items=tx.every(F.col("code"), call), name="call").select(
         "path",
         F.substring_index("call", ".", 1).alias("module"),
         F.rtrim(F.substring_index("call", ".", -1)).alias("export"),

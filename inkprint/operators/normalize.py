@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint import fixed
+from inkprint.functions.rows import explode_entries, explode_once
 from inkprint.functions.scalars import (
     default_if_blank, default_if_null, default_if_zero, digest, first_matching, lookup, slug, spaced, trim_ws,
 )
@@ -44,7 +45,7 @@ def resolve_path(root: str, path: Column) -> Column:
 def _rows(raw: DataFrame, schema: str, items: str, keep: Sequence[str]) -> DataFrame:
     parsed = F.from_json(F.col("raw"), schema, {"mode": "PERMISSIVE"})
     listed = parsed if not items else parsed[items]
-    return raw.select(*keep, F.explode(listed).alias("r"))
+    return explode_once(raw, *keep, items=listed, name="r")
 
 
 def _emit(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
@@ -115,9 +116,9 @@ def eslint_category(rule: Column) -> Column:
 
 def eslint(raw: DataFrame, root: str = "", keep: Sequence[str] = (), rules: Sequence[str] | None = None) -> DataFrame:
     files = _rows(raw, schemas.ESLINT, "", keep)
-    rows = files.select(*keep, F.col("r.filePath").alias("file"), F.explode("r.messages").alias("m")).filter(
-        F.col("m.ruleId").isNotNull()
-    )
+    rows = explode_once(
+        files, *keep, F.col("r.filePath").alias("file"), items=F.col("r.messages"), name="m"
+    ).filter(F.col("m.ruleId").isNotNull())
     rows = rows.withColumn("rule", default_if_blank(F.col("m.ruleId"), "eslint.unknown-rule"))
     if rules is not None:
         rows = rows.filter(F.col("rule").isin(*eslint_rules(rules)))
@@ -165,7 +166,7 @@ def _npm_finding(rows: DataFrame, root: str, keep: Sequence[str]) -> DataFrame:
 def npm_audit(raw: DataFrame, root: str, keep: Sequence[str] = (), threshold: str | None = "HIGH") -> DataFrame:
     """Both report layouts in one pass: each package gives an array of findings, exploded once."""
     parsed = F.from_json(F.col("raw"), schemas.NPM_AUDIT, {"mode": "PERMISSIVE"})
-    packages = raw.select(*keep, F.explode(parsed["vulnerabilities"]).alias("pkg", "v"))
+    packages = explode_entries(raw, *keep, entries=parsed["vulnerabilities"], key="pkg", value="v")
     pkg, v = F.col("pkg"), F.col("v")
     shape = lambda key, affected, message, level: F.struct(
         key.alias("key"), affected.alias("affected"), message.alias("message"), level.alias("level")
@@ -201,7 +202,8 @@ def npm_audit(raw: DataFrame, root: str, keep: Sequence[str] = (), threshold: st
     fallback = F.array(shape(default_if_blank(trim_ws(v["name"]), pkg), affected, plain_title, v["severity"]))
     modern = F.when(F.size(objects) > 0, F.transform(objects, via_finding)).otherwise(fallback)
 
-    rows = packages.select(*keep, F.inline(F.when(v["findings"].isNotNull(), legacy).otherwise(modern)))
+    either = F.when(v["findings"].isNotNull(), legacy).otherwise(modern)
+    rows = explode_once(packages, *keep, items=either, name="f").select(*keep, "f.*")
     found = _npm_finding(rows, root, keep)
     return found if threshold is None else found.filter(F.col("severity").isin(*npm_kept_severities(threshold)))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkprint import fixed
 from inkprint.config import DEFAULT_CONFIG, ScanConfig
+from inkprint.functions.rows import keep_rows
 from inkprint.functions.scalars import half_up, steady
 from inkprint.operators.signals import SIGNALS, figures, signal_scores
 
@@ -116,7 +117,7 @@ def scored_unit_table(scored: DataFrame, config: ScanConfig = DEFAULT_CONFIG) ->
 
 def listed_units(scored: DataFrame, verbose: bool = False) -> DataFrame:
     """Flagged units, or all of them."""
-    return scored if verbose else scored.filter("flagged")
+    return scored if verbose else keep_rows(scored, F.col("flagged"))
 
 
 # --- repository baseline (A19, A24, G22) ---------------------------------------------

@@ -27,34 +27,31 @@ _BOILERPLATE = (
     (r"(?i)useState\([^)]*\)", r"(?i)useEffect"),
 )
 _HELPER_CALLS = tuple(rf"(?i){verb}{_WORDS}*\([^)]*\)" for verb in ("validate", "format", "process"))
-_NOT_GENERIC = "(?:" + "|".join(fixed.GENERIC_NAMES) + ")"
 
 
 def _generic_count(names: Column) -> Column:
-    generic = F.array(*[F.lit(n) for n in fixed.GENERIC_NAMES])
-    return F.size(F.filter(names, lambda n: F.array_contains(generic, F.lower(n))))
+    return F.size(F.filter(names, lambda n: F.lower(n).isin(*fixed.GENERIC_NAMES)))
 
 
-# name of the figures column -> the columns it needs to exist beforehand are `code`,
-# `prefix`, `identifiers`, `loc`, `comment_lines`
-def _identifier_figures() -> dict[str, Column]:
-    joined = F.array_join(F.col("identifiers"), "")
-    chars = tx.run_statistics(tx.characters(joined), total=tx.utf16_length(joined))
-    return {
+def identifier_figures(units: DataFrame) -> DataFrame:
+    staged = units.withColumn("_joined", F.array_join("identifiers", ""))
+    staged = staged.withColumns({
+        "_alphabet": F.array_distinct(tx.characters(F.col("_joined"))), "_size": tx.utf16_length(F.col("_joined")),
+    })
+    return staged.withColumns({
         "ident_count": F.size("identifiers"),
         "ident_generic": _generic_count(F.col("identifiers")),
-        "ident_entropy": chars["entropy"],
-    }
+        "ident_entropy": tx.character_entropy(F.col("_joined"), F.col("_alphabet"), F.col("_size")),
+    }).drop("_joined", "_alphabet", "_size")
 
 
-def _line_figures() -> dict[str, Column]:
-    spaces = tx.indents(F.col("code"))
-    return {
+def line_figures(units: DataFrame) -> DataFrame:
+    return units.withColumn("_indents", tx.indents(F.col("code"))).withColumns({
         "comment_ratio": un.comment_ratio(F.col("comment_lines"), F.col("loc")),
-        "indent_lines": F.size(spaces),
-        "indent_levels": F.size(F.array_distinct(spaces)),
+        "indent_lines": F.size("_indents"),
+        "indent_levels": F.size(F.array_distinct("_indents")),
         "has_doc": un.has_doc_comment(F.col("prefix")),
-    }
+    }).drop("_indents")
 
 
 def _pattern_figures() -> dict[str, Column]:
@@ -126,7 +123,8 @@ def figures(units: DataFrame) -> DataFrame:
         "comment_lines": tx.comment_lines(code),
     }
     staged = units.withColumns({k: v for k, v in derived.items() if k not in units.columns})
-    staged = staged.withColumns({**_identifier_figures(), **_line_figures(), **_pattern_figures()})
+    staged = identifier_figures(staged)
+    staged = line_figures(staged).withColumns(_pattern_figures())
     return burstiness_figures(perplexity_figures(staged))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkprint import fixed
 from inkprint.functions import text as tx
+from inkprint.functions.rows import explode_once
 from inkprint.functions.scalars import digest
 
 MIN_LOC = 3
@@ -133,7 +134,9 @@ def split_files(files: DataFrame) -> DataFrame:
     A file that cannot be read (null content) or holds no declaration yields no unit; its row
     stays in the files table.
     """
-    spans = files.select("path", "content", F.posexplode(unit_spans(F.col("content"))).alias("ordinal", "span"))
+    spans = explode_once(
+        files, "path", "content", items=unit_spans(F.col("content")), name="span", position="ordinal"
+    )
     units = spans.select(
         "path",
         F.col("span.name").alias("name"),

@@ -12,6 +12,7 @@ from inkprint import fixed, merge_config
 from inkprint.functions import scalars as sx
 from inkprint.functions import text as tx
 from inkprint.functions import urls
+from inkprint.functions.rows import explode_once
 from inkprint.operators import attribute as at
 from inkprint.operators import calibrate as cal
 from inkprint.operators import delta as dl
@@ -162,7 +163,7 @@ def score_documents(spark, sf_dir):
 
 @query
 def top_signals(spark, sf_dir):
-    tops = scored(spark, sf_dir).select("unit_key", F.posexplode(sc.top_signals()).alias("place", "top"))
+    tops = explode_once(scored(spark, sf_dir), "unit_key", items=sc.top_signals(), name="top", position="place")
     return tops.select("unit_key", (F.col("place") + 1).alias("place"), "top.signal", "top.contribution", "top.score")
 
 
@@ -246,15 +247,16 @@ def secret_findings(spark, sf_dir):
 
 @query
 def document_secrets(spark, sf_dir):
-    found = documents(spark, sf_dir).select("doc_id", F.explode(fd.secrets(F.col("code"))).alias("s"))
+    found = explode_once(documents(spark, sf_dir), "doc_id", items=fd.secrets(F.col("code")), name="s")
     return found.groupBy("doc_id", F.col("s.rule").alias("rule")).agg(F.count("*").alias("hits"))
 
 
 @query
 def entropy_literals(spark, sf_dir):
-    every = documents(spark, sf_dir).select("doc_id", F.explode(fd.literals(F.col("code"))).alias("literal")).unionByName(
-        units(spark, sf_dir).select(F.col("unit_key").alias("doc_id"), F.explode(fd.literals(F.col("code"))).alias("literal"))
+    texts = documents(spark, sf_dir).select("doc_id", "code").unionByName(
+        units(spark, sf_dir).select(F.col("unit_key").alias("doc_id"), "code")
     )
+    every = explode_once(texts, "doc_id", items=fd.literals(F.col("code")), name="literal")
     return every.filter(fd.is_random(F.col("literal"))).select(
         "doc_id", "literal", fd.literal_entropy(F.col("literal")).alias("entropy")
     )
@@ -262,7 +264,7 @@ def entropy_literals(spark, sf_dir):
 
 @query
 def rule_matches(spark, sf_dir):
-    found = units(spark, sf_dir).select("unit_key", F.explode(fd.invalid_calls(F.col("code"))).alias("m"))
+    found = explode_once(units(spark, sf_dir), "unit_key", items=fd.invalid_calls(F.col("code")), name="m")
     return found.groupBy("unit_key", F.col("m.rule").alias("rule")).agg(F.count("*").alias("hits"))
 
 
@@ -488,7 +490,7 @@ def _samples(spark, sf_dir) -> DataFrame:
     )
     parts = (
         spread(tb.read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
-        .select("doc_id", "label", F.explode(F.split("text", "\n")).alias("code"), F.lit("").alias("prefix"))
+        .select("doc_id", "label", F.explode_outer(F.split("text", "\n")).alias("code"), F.lit("").alias("prefix"))
         .filter(F.col("code").rlike(rf"[^{fixed.WS}]"))
     )
     return cal.sample_scores(sc.score_units(parts), ("doc_id", "label"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from inkprint import fixed
 from inkprint.plans import rawjson, tables
 
-WS = fixed.WS
+WS = fixed.WS_PLAIN + fixed.WS_RARE
+RE2 = lambda pattern: pattern.replace(fixed.WS, WS)
 TYPES = {"b": "BIGINT", "s": "VARCHAR", "o": "BOOLEAN"}
 
 
@@ -124,9 +125,9 @@ fig AS (
     len(indents) AS indent_lines, len(list_distinct(indents)) AS indent_levels,
     regexp_matches(prefix, {q(rf'(?s)/[*][*].*?[*]/[{WS}]*$')}) AS has_doc,
     {has(rf'(?i)//[{WS}]*({verbs})' + chr(92) + 'b')} AS obvious_comment,
-    {has('(?s)' + fixed.EMPTY_CATCH)} AS empty_catch,
-    {count(fixed.NULL_CHECKS)} AS null_checks, {boiler} AS boilerplate_hits,
-    {count(fixed.HELPER_DEFINITIONS)} AS helper_definitions,
+    {has('(?s)' + RE2(fixed.EMPTY_CATCH))} AS empty_catch,
+    {count(RE2(fixed.NULL_CHECKS))} AS null_checks, {boiler} AS boilerplate_hits,
+    {count(RE2(fixed.HELPER_DEFINITIONS))} AS helper_definitions,
     {has(r'(?is)validate\w*\([^)]*\).*format\w*\([^)]*\).*process\w*\([^)]*\)')} AS helper_sequence,
     {has(fixed.EMOJI)} AS emoji,
     coalesce(words.n, 0) AS token_count, coalesce(words.h, 0) AS token_entropy, coalesce(words.d, 0) AS token_distinct,

@@ -6,7 +6,7 @@ from inkprint import fixed
 from inkprint.plans import queries as qs
 from inkprint.plans import rawjson, tables
 from oracles.base import (
-    BARE, COMMENT_LINES, CODE_LINES, DOC_FIGURES, DOC_SCORES, DOCS, FINDINGS, FOLDER, INDENTS, LINES, LOCATED,
+    BARE, RE2, COMMENT_LINES, CODE_LINES, DOC_FIGURES, DOC_SCORES, DOCS, FINDINGS, FOLDER, INDENTS, LINES, LOCATED,
     RISK, SENTENCES, SHORT, TRIM, UNIT_FIGURES, UNIT_SCORES, UNITS, WS, entropy_cte, figures, finish, identifiers,
     q, raw, rnd, scores,
 )
@@ -108,8 +108,8 @@ len(list_distinct(list_transform({SENTENCES}, lambda s: regexp_extract(s, '[a-z0
 # --- detectors -----------------------------------------------------------------------------------
 
 _CALLS = " UNION ALL ".join(
-    f"SELECT unit_key, path, start_line, score, flagged, {i} AS r, '{api}' AS rule, unnest(regexp_extract_all(code, {q(B + 'b' + pat)})) AS m, "
-    f"generate_subscripts(regexp_extract_all(code, {q(B + 'b' + pat)}), 1) AS pos FROM located"
+    f"SELECT unit_key, path, start_line, score, flagged, {i} AS r, '{api}' AS rule, unnest(regexp_extract_all(code, {q(B + 'b' + RE2(pat))})) AS m, "
+    f"generate_subscripts(regexp_extract_all(code, {q(B + 'b' + RE2(pat))}), 1) AS pos FROM located"
     for i, (api, pat) in enumerate(fixed.INVALID_CALLS.items())
 )
 oracle("invalid_api_findings",
@@ -151,7 +151,7 @@ oracle("entropy_literals", "doc_id b, literal s, entropy d", f"""WITH {UNITS},
 every_text AS (SELECT doc_id AS k0, text AS code FROM documents UNION ALL SELECT unit_key, code FROM units), {_random_ctes('every_text', 'k0')}
 --FINAL SELECT k AS doc_id, literal, h AS entropy FROM random_lits""")
 oracle("rule_matches", "unit_key b, rule s, hits b", "WITH " + UNITS + ", m AS (" + " UNION ALL ".join(
-    f"SELECT unit_key, '{api}' AS rule, len(regexp_extract_all(code, {q(B + 'b' + pat)})) AS hits FROM units"
+    f"SELECT unit_key, '{api}' AS rule, len(regexp_extract_all(code, {q(B + 'b' + RE2(pat))})) AS hits FROM units"
     for api, pat in fixed.INVALID_CALLS.items()) + ") --FINAL SELECT * FROM m WHERE hits > 0")
 oracle("severity_matrix", "unit_key b, kind s, score b, severity s, category s", f"""WITH {UNIT_SCORES}, r AS (SELECT k AS unit_key, score * 2 AS score,
 CASE k % 4 WHEN 0 THEN 'secret' WHEN 1 THEN 'known-vulnerability' WHEN 2 THEN 'insecure-pattern' ELSE 'code-quality' END AS kind,
