@@ -13,6 +13,7 @@ from inkprint.functions import scalars as sx
 from inkprint.functions import text as tx
 from inkprint.functions import urls
 from inkprint.functions.rows import explode_once
+from inkprint.operators import accounts as ac
 from inkprint.operators import attribute as at
 from inkprint.operators import calibrate as cal
 from inkprint.operators import delta as dl
@@ -26,6 +27,8 @@ from inkprint.operators import signals as sg
 from inkprint.operators import units as un
 from inkprint.plans import rawjson
 from inkprint.plans import tables as tb
+from inkprint.streaming import jobs, sinks
+from inkprint.streaming.lockout import lock_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -824,3 +827,117 @@ def scanner_notes(spark, sf_dir):
                "when 2 then '[scan-core] docker: error during connect: x' else substring(text, 1, 12) end").alias("text"),
     )
     return hs.unique_notes(notes.withColumn("text", hs.clean_note(F.col("text"))))
+
+
+# --- accounts ------------------------------------------------------------------------------------------
+
+
+@query
+def session_validity(spark, sf_dir):
+    sessions = events(spark, sf_dir).select(
+        "event_id", "user_id",
+        F.when(F.col("event_type") == "error", F.col("ts")).alias("revoked_at"),
+        (F.col("ts") + F.expr("interval 7 days")).alias("expires_at"),
+    )
+    users = tb.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"))
+    at = F.to_timestamp(F.lit("2024-01-20 00:00:00"))
+    return ac.valid_sessions(sessions, users, at).select("event_id", "user_id", "email")
+
+
+def _attempts(df: DataFrame) -> DataFrame:
+    """Errors are failed logins, signups good ones."""
+    return df.filter("event_type IN ('error', 'signup')").select(
+        F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("event_type") == "signup").alias("ok"), F.col("event_id").alias("seq"),
+    )
+
+
+@query
+def lockout_replay(spark, sf_dir):
+    return ac.lockouts(_attempts(tb.read(spark, sf_dir, "events")))
+
+
+@query
+def lockout_replay_shared(spark, sf_dir):
+    """Few accounts with many attempts each: long chains, and attempts that fall into locks."""
+    attempts = _attempts(tb.read(spark, sf_dir, "events"))
+    return ac.lockouts(attempts.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id") % 5)))
+
+
+@query
+def activity_sessions(spark, sf_dir):
+    history = events(spark, sf_dir).select(F.col("user_id").alias("target"), "ts")
+    made = ac.activity_sessions(history, "12 hours")
+    return made.select("target", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "scans")
+
+
+# --- streams -------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    return sinks.source(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def progress_fold(spark, sf_dir):
+    stream = _event_stream(spark, sf_dir).select(
+        F.col("user_id").alias("scan_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 1000).alias("index"),
+        (F.lit(1000) + F.col("event_id") % 3).alias("total"),
+        F.expr("case event_type when 'click' then 'scanned' when 'purchase' then 'skipped' "
+               "when 'error' then 'missing' when 'signup' then 'scanned' else 'scanning' end").alias("status"),
+        (F.col("event_id") % 4).alias("findings"),
+    )
+    return sinks.final_state(jobs.progress_fold(stream), "progress", ["scan_id"])
+
+
+@query
+def stream_score(spark, sf_dir):
+    stream = sinks.source(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("code"), F.lit("").alias("prefix"))
+    return sinks.append_all(
+        jobs.scored_stream(stream).select("doc_id", "points", "score", "flagged", "band"), "stream-score"
+    )
+
+
+def _finding_stream(spark, sf_dir) -> DataFrame:
+    return _event_stream(spark, sf_dir).select(
+        "ts",
+        sx.digest(10, F.col("event_type"), F.get_json_object("props", "$.k")).alias("id"),
+        (F.col("event_id") % 3).alias("match_no"),
+        F.expr("case event_type when 'error' then 'CRITICAL' when 'purchase' then 'HIGH' "
+               "when 'signup' then 'MEDIUM' else 'LOW' end").alias("severity"),
+    )
+
+
+@query
+def stream_finding_rate(spark, sf_dir):
+    rate = jobs.finding_rate(_finding_stream(spark, sf_dir), "1 hour", "6 hours", "3 hours")
+    last = sinks.final_state(rate, "rate", ["start", "end", "severity"])
+    return last.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "severity", "findings")
+
+
+@query
+def stream_dedupe(spark, sf_dir):
+    once = jobs.unique_findings(_finding_stream(spark, sf_dir), "60 days")
+    return sinks.append_all(once, "dedupe").select("id", "match_no")
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    history = _event_stream(spark, sf_dir).select(F.col("user_id").alias("target"), "ts")
+    made = sinks.final_state(jobs.target_sessions(history, "1 hour", "12 hours"), "sessions", ["target", "start"], "complete")
+    return made.select("target", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "scans")
+
+
+@query
+def stream_delta(spark, sf_dir):
+    found = sinks.source(spark, sf_dir, "lineitem").select(
+        *[F.expr(sql).alias(name) for name, sql in tb.finding_columns("spark").items()]
+    )
+    rows = jobs.delta_on_arrival(found.filter("current"), _delta_sides(spark, sf_dir)[1], "delta")
+    return rows.drop("batch")
+
+
+@query
+def stream_lockouts(spark, sf_dir):
+    attempts = _attempts(_event_stream(spark, sf_dir)).select("user_id", F.unix_micros("ts").alias("us"), "seq", "ok")
+    return sinks.append_all(lock_events(attempts), "lockouts")

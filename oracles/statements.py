@@ -559,3 +559,44 @@ oracle("registry_run", "source s, severity s, ai_score b, findings b", "WITH " +
 ) + """, every AS (SELECT 'semgrep' AS source, severity FROM a1 UNION ALL SELECT 'eslint', severity FROM a2
  UNION ALL SELECT 'npm-audit', severity FROM a3 WHERE severity IN ('HIGH', 'CRITICAL') UNION ALL SELECT 'bearer', severity FROM a5)
 --FINAL SELECT source, severity, 9 AS ai_score, count(*) AS findings FROM every GROUP BY source, severity""")
+
+# --- accounts and streams ------------------------------------------------------------------------------------------------
+
+oracle("session_validity", "event_id b, user_id b, email s", """SELECT event_id, user_id, c_name AS email FROM events JOIN customer ON c_custkey = user_id
+WHERE event_type <> 'error' AND ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-20 00:00:00'""")
+
+
+def _replay(user: str) -> str:
+    """The account's state row by row: a recursive statement, independent of the chained form."""
+    return f"""WITH RECURSIVE a AS (SELECT {user} AS user_id, epoch_us(ts) AS us, event_type = 'signup' AS ok,
+ row_number() OVER (PARTITION BY {user} ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('error', 'signup')),
+step AS (SELECT user_id, 0 AS rn, 0 AS failed, cast(0 AS bigint) AS until_us, false AS locked, cast(0 AS bigint) AS us FROM (SELECT DISTINCT user_id FROM a)
+ UNION ALL SELECT a.user_id, a.rn,
+  CASE WHEN s.until_us > a.us THEN s.failed WHEN a.ok OR s.failed + 1 >= 5 THEN 0 ELSE s.failed + 1 END,
+  CASE WHEN s.until_us <= a.us AND NOT a.ok AND s.failed + 1 >= 5 THEN a.us + 900000000 ELSE s.until_us END,
+  s.until_us <= a.us AND NOT a.ok AND s.failed + 1 >= 5, a.us
+ FROM step s JOIN a ON a.user_id = s.user_id AND a.rn = s.rn + 1)
+--FINAL SELECT user_id, us AS locked_at_us FROM step WHERE locked"""
+
+
+oracle("lockout_replay", "user_id b, locked_at_us b", _replay("user_id"))
+oracle("stream_lockouts", "user_id b, locked_at_us b", _replay("user_id"))
+oracle("lockout_replay_shared", "user_id b, locked_at_us b", _replay("(CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 5 END)"))
+_SESSIONS = """WITH g AS (SELECT user_id AS target, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR us - before >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY us) AS no FROM g)
+--FINAL SELECT target, min(us) AS start_us, max(us) + 43200000000 AS end_us, count(*) AS scans FROM n GROUP BY target, no"""
+_SESSION_SPEC = "target b, start_us b, end_us b, scans b"
+oracle("activity_sessions", _SESSION_SPEC, _SESSIONS)
+oracle("stream_sessions", _SESSION_SPEC, _SESSIONS)
+oracle("progress_fold", "scan_id b, processed b, total b, findings b", """SELECT user_id AS scan_id,
+ arg_max(event_id % 1000, event_id) FILTER (event_type <> 'view') AS processed, arg_max(1000 + event_id % 3, event_id) AS total,
+ coalesce(sum(event_id % 4) FILTER (event_type IN ('click', 'signup')), 0) AS findings FROM events GROUP BY user_id""")
+oracle("stream_score", "doc_id b, points b, score b, flagged o, band s",
+       f"WITH {DOC_SCORES} --FINAL SELECT k AS doc_id, points, score, flagged, band FROM scored")
+oracle("stream_finding_rate", "start_us b, end_us b, severity s, findings b", """WITH e AS (SELECT epoch_us(ts) AS us,
+ CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'HIGH' WHEN 'signup' THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM events),
+w AS (SELECT severity, unnest([us // 10800000000 * 10800000000, (us // 10800000000 - 1) * 10800000000]) AS start_us FROM e)
+--FINAL SELECT start_us, start_us + 21600000000 AS end_us, severity, count(*) AS findings FROM w GROUP BY start_us, severity""")
+oracle("stream_dedupe", "id s, match_no b", """SELECT DISTINCT substring(sha1(event_type || ':' || json_extract_string(props, '$.k')), 1, 10) AS id,
+ event_id % 3 AS match_no FROM events""")
+ORACLES["stream_delta"] = ORACLES["delta_summary"]
