@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,12 @@ def report_summary(
     external: DataFrame | None = None,
     files: DataFrame | None = None,
 ) -> DataFrame:
-    """The summary row of a scan.
+    """The summary row of a scan straight from scored units.
 
     Units and the findings inside them are measured in one pass over the scored units: the
-    matches are exploded with their position, and the first row of a unit carries its own
-    measures. All measures are summed per path before the shuffle; the number of paths is the
-    number of files, those known only from an ``external`` finding included. ``files`` may
-    bring paths without units and a ``status``.
+    matches are exploded with their position, and the first row of a unit carries the unit's
+    own measures. ``external`` findings may name files no unit is in; ``files`` may bring
+    paths without units and a ``status``.
     """
     matched = scored.select(
         "path", "loc", "score", "flagged", "band", F.posexplode_outer(local_matches(config)).alias("no", "found")
@@ -56,35 +57,50 @@ def report_summary(
     severity = F.when(
         F.col("found").isNotNull(), local_severity(F.col("found.detector"), F.col("score"))
     )
-    parts = matched.select(
-        "path",
-        *_measures(
-            units=first, flagged=first * F.col("flagged").cast("int"), score_sum=first * F.col("score"),
-            loc=first * F.col("loc"),
-            **{f"band_{b.lower()}": first * (F.col("band") == b).cast("int") for b in fixed.BANDS},
-            **_by_severity(severity),
-        ),
-    )
-    skipped = None
+    parts = [matched.select("path", *_measures(**_of_unit(first), **_by_severity(severity)))]
     if external is not None:
-        parts = parts.unionByName(
-            external.select(F.col("file").alias("path"), *_measures(**_by_severity(F.col("severity"))))
-        )
+        parts.append(_finding_measures(external))
+    return _totalled(parts, files, config)
+
+
+def summarize(
+    scored: DataFrame, findings: DataFrame, files: DataFrame | None = None, config: ScanConfig = DEFAULT_CONFIG
+) -> DataFrame:
+    """The summary row from stored units and findings."""
+    parts = [scored.select("path", *_measures(**_of_unit(F.lit(1)))), _finding_measures(findings)]
+    return _totalled(parts, files, config)
+
+
+def _of_unit(weight: Column) -> dict[str, Column]:
+    return {
+        "units": weight,
+        "flagged": weight * F.col("flagged").cast("int"),
+        "score_sum": weight * F.col("score"),
+        "loc": weight * F.col("loc"),
+        **{f"band_{b.lower()}": weight * (F.col("band") == b).cast("int") for b in fixed.BANDS},
+    }
+
+
+def _finding_measures(findings: DataFrame) -> DataFrame:
+    return findings.select(F.col("file").alias("path"), *_measures(**_by_severity(F.col("severity"))))
+
+
+def _totalled(parts: list[DataFrame], files: DataFrame | None, config: ScanConfig) -> DataFrame:
+    """Measures summed per path before the shuffle; the number of paths is the number of files,
+    those known only from a finding included."""
+    skipped = None
     if files is not None:
         if "status" in files.columns:
-            skipped = files.agg(F.count_if(F.col("status") == "skipped").alias("skipped_files"))
+            skipped = files.agg(F.count_if(F.col("status") == "skipped").alias("skipped_files")).scalar()
             files = files.filter("status = 'scanned'")
-        parts = parts.unionByName(files.select("path", *_measures()))
-    per_file = parts.groupBy("path").agg(*[F.sum(m).alias(m) for m in _MEASURES])
+        parts = [*parts, files.select("path", *_measures())]
+    per_file = reduce(DataFrame.unionByName, parts).groupBy("path").agg(*[F.sum(m).alias(m) for m in _MEASURES])
     totals = per_file.agg(
         F.count("*").alias("files_scanned"),
         *[F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(m) for m in _MEASURES],
     )
-    totals = (
-        totals.withColumn("skipped_files", skipped.scalar())
-        if skipped is not None else totals.withColumn("skipped_files", F.lit(0).cast("bigint"))
-    )
-    return _finished(totals, config)
+    none = F.lit(0).cast("bigint")
+    return _finished(totals.withColumn("skipped_files", none if skipped is None else skipped), config)
 
 
 def _finished(totals: DataFrame, config: ScanConfig) -> DataFrame:

@@ -42,9 +42,11 @@ _METHOD = (
     rf"(?:(?:public|private|protected|static|readonly|override|async)\s+)*{_NOT_A_METHOD}{_NAME}"
     rf"{_TYPE_ARGS}{_S}{_ARGS}{_RETURN_TYPE}{_S}\{{"
 )
+_HEADS = f"(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_ARROW}|{_METHOD})"
+# Heads, single braces, and stretches of anything between them.
+_WORD, _MAY_OPEN = "[A-Za-z0-9_$#]", "=(,:?&|!+"
 _PARTS = (
-    f"(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_ARROW}|{_METHOD}"
-    rf"|[{{}}\n]|[A-Za-z0-9_$#]++|[{fixed.WS_INLINE}]++|(?s:.))"
+    rf"(?:{_HEADS}|[{{}}]|(?:(?!{_HEADS})(?:{_WORD}++|[{_MAY_OPEN}])|[^A-Za-z0-9_$#{{}}{_MAY_OPEN}]++)++)"
 )
 
 _FRAME = "struct<kind:string,name:string,start:int,line:int>"
