@@ -17,6 +17,7 @@ from inkprint.functions.rows import explode_once
 from inkprint.functions.scalars import digest
 
 MIN_LOC = 3
+CHUNK = 256
 
 # Declaration heads, matched on masked text; each ends at the brace that opens its body.
 _S = rf"[{fixed.WS}]*+"
@@ -49,15 +50,20 @@ _PARTS = (
     rf"(?:{_HEADS}|[{{}}]|(?:(?!{_HEADS})(?:{_WORD}++|[{_MAY_OPEN}])|[^A-Za-z0-9_$#{{}}{_MAY_OPEN}]++)++)"
 )
 
-_FRAME = "struct<kind:string,name:string,start:int,line:int>"
-_SPAN = "struct<start:int,stop:int,kind:string,name:string,start_line:int,end_line:int>"
+_FRAME = "struct<kind:string,name:string,line:int,col:int>"
+_SPAN = "struct<line:int,col:int,end_line:int,end_col:int,kind:string,name:string>"
 
 
 def _newlines(part: Column) -> Column:
     return F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
 
 
-def _frame(part: Column, pos: Column, line: Column) -> Column:
+def _column_after(part: Column, col: Column) -> Column:
+    """Characters on the current line once ``part`` has been read."""
+    return F.when(F.instr(part, "\n") > 0, F.length(F.substring_index(part, "\n", -1))).otherwise(col + F.length(part))
+
+
+def _frame(part: Column, line: Column, col: Column) -> Column:
     """What the brace at the end of ``part`` opens."""
     word = lambda w: part.rlike(rf"^{_MODIFIED}(?:async\s+|abstract\s+)?{w}(?![A-Za-z0-9_$])")
     kind = (
@@ -82,76 +88,94 @@ def _frame(part: Column, pos: Column, line: Column) -> Column:
     return F.struct(
         kind.alias("kind"),
         name.alias("name"),
-        (pos + F.length(lead)).cast("int").alias("start"),
         (line + _newlines(lead)).cast("int").alias("line"),
+        _column_after(lead, col).cast("int").alias("col"),
     ).cast(_FRAME)
 
 
-def unit_spans(source: Column) -> Column:
-    """Array of unit spans of one source text, in order of their start.
+def source_parts(source: Column) -> Column:
+    """The masked text cut into heads, braces and what lies between."""
+    return F.regexp_extract_all(tx.masked(source), F.lit(_PARTS), F.lit(0))
+
+
+def unit_spans(parts: Column) -> Column:
+    """Array of unit spans of one file, in order of their start (lines from 1, columns from 0).
 
-    One fold over the parts of the masked text with a stack of open braces. State and result
-    are bounded by the file, which the size gate bounds.
+    A fold over ``parts`` (a column of its own) with a stack of open braces. Growing an array
+    inside a fold copies it each time, so the fold runs in chunks: each chunk collects its own
+    spans and hands on line, column and stack.
     """
-    parts = F.regexp_extract_all(tx.masked(source), F.lit(_PARTS), F.lit(0))
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(1).alias("line"),
-        F.array().cast(f"array<{_FRAME}>").alias("open"),
-        F.array().cast(f"array<{_SPAN}>").alias("done"),
+    last_chunk = F.floor((F.size(parts) - 1) / CHUNK).cast("int")
+    chunks = F.transform(
+        F.when(F.size(parts) > 0, F.sequence(F.lit(0), last_chunk)),
+        lambda i: F.slice(parts, i * CHUNK + 1, F.lit(CHUNK)),
+    )
+    state = lambda line, col, opened, done: F.struct(
+        line.alias("line"), col.alias("col"), opened.alias("open"), done.alias("done")
+    )
+    no_spans = F.array().cast(f"array<{_SPAN}>")
+    start = state(
+        F.lit(1), F.lit(0), F.array().cast(f"array<{_FRAME}>"), F.array().cast(f"array<array<{_SPAN}>>")
     )
 
     def step(s: Column, part: Column) -> Column:
         top = F.try_element_at(s["open"], F.lit(-1))
         closes = part == "}"
         unit = F.struct(
-            top["start"].alias("start"),
-            (s["pos"] + 1).alias("stop"),
-            top["kind"].alias("kind"),
-            top["name"].alias("name"),
-            top["line"].alias("start_line"),
-            s["line"].alias("end_line"),
+            top["line"].alias("line"), top["col"].alias("col"),
+            s["line"].alias("end_line"), (s["col"] + 1).alias("end_col"),
+            top["kind"].alias("kind"), top["name"].alias("name"),
         ).cast(_SPAN)
         opened = (
-            F.when(part.endswith("{"), F.concat(s["open"], F.array(_frame(part, s["pos"], s["line"]))))
+            F.when(part.endswith("{"), F.concat(s["open"], F.array(_frame(part, s["line"], s["col"]))))
             .when(closes & (F.size(s["open"]) > 0), F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1))
             .otherwise(s["open"])
         )
         done = F.when(
             closes & F.coalesce(top["kind"] != "block", F.lit(False)), F.concat(s["done"], F.array(unit))
         ).otherwise(s["done"])
-        return F.struct(
-            (s["pos"] + F.length(part)).alias("pos"),
-            (s["line"] + _newlines(part)).alias("line"),
-            opened.alias("open"),
-            done.alias("done"),
+        return state(s["line"] + _newlines(part), _column_after(part, s["col"]), opened, done)
+
+    def run_chunk(before: Column, chunk: Column) -> Column:
+        return F.aggregate(
+            chunk,
+            state(before["line"], before["col"], before["open"], no_spans),
+            step,
+            lambda s: state(s["line"], s["col"], s["open"], F.concat(before["done"], F.array(s["done"]))),
         )
 
-    return F.aggregate(parts, start, step, lambda s: F.sort_array(s["done"]))
+    return F.aggregate(chunks, start, run_chunk, lambda s: F.sort_array(F.flatten(s["done"])))
 
 
 def split_files(files: DataFrame) -> DataFrame:
     """Units of a table of files (``path``, ``content``); nothing is shuffled.
 
     A file that cannot be read (null content) or holds no declaration yields no unit; its row
-    stays in the files table.
+    stays in the files table. Unit texts are cut from the lines of the file before the units
+    become rows: cutting from the whole text, or carrying it along, would cost the square of
+    the file size.
     """
-    spans = explode_once(
-        files, "path", "content", items=unit_spans(F.col("content")), name="span", position="ordinal"
-    )
-    units = spans.select(
-        "path",
-        F.col("span.name").alias("name"),
-        F.col("span.kind").alias("kind"),
-        F.col("span.start_line").alias("start_line"),
-        F.col("span.end_line").alias("end_line"),
-        "ordinal",
-        doc_prefix(F.col("content"), F.col("span.start")).alias("prefix"),
-        F.substr(
-            F.col("content"), F.col("span.start") + 1, F.col("span.stop") - F.col("span.start")
-        ).alias("code"),
-    )
-    return large_enough(units)
+    content = F.col("content")
+    staged = files.select("path", F.split(content, "\n").alias("_lines"), source_parts(content).alias("_parts"))
+    staged = staged.select("path", "_lines", unit_spans(F.col("_parts")).alias("_spans"))
+
+    def cut(span: Column) -> Column:
+        text = F.array_join(F.slice("_lines", span["line"], span["end_line"] - span["line"] + 1), "\n")
+        beyond = F.length(F.element_at("_lines", span["end_line"])) - span["end_col"]
+        first = F.greatest(F.lit(1), span["line"] - fixed.DOC_COMMENT_LOOKBACK)
+        before = F.array_join(F.slice("_lines", first, span["line"] - first + 1), "\n")
+        rest = F.length(F.element_at("_lines", span["line"])) - span["col"]
+        ahead = F.substr(before, F.lit(1), F.length(before) - rest)
+        return F.struct(
+            span["name"].alias("name"), span["kind"].alias("kind"),
+            span["line"].alias("start_line"), span["end_line"].alias("end_line"),
+            F.right(ahead, F.lit(fixed.DOC_COMMENT_LOOKBACK)).alias("prefix"),
+            F.substr(text, span["col"] + 1, F.length(text) - span["col"] - beyond).alias("code"),
+        )
+
+    staged = staged.select("path", F.transform("_spans", cut).alias("_units"))
+    units = explode_once(staged, "path", items=F.col("_units"), name="u", position="ordinal")
+    return large_enough(units.select("path", "ordinal", "u.*"))
 
 
 def large_enough(units: DataFrame) -> DataFrame:
@@ -159,12 +183,6 @@ def large_enough(units: DataFrame) -> DataFrame:
     return units.filter(tx.code_lines(F.col("code")) >= MIN_LOC)
 
 
-def doc_prefix(source: Column, start: Column) -> Column:
-    """The text right before offset ``start``, as far as a doc comment is looked for."""
-    reach = F.least(start, F.lit(fixed.DOC_COMMENT_LOOKBACK))
-    return F.substr(source, start - reach + 1, reach)
-
-
 def unit_id(path: Column, start_line: Column, end_line: Column, name: Column) -> Column:
     return digest(12, path, start_line, end_line, name)
 
