@@ -20,8 +20,10 @@ def relative_to(path: Column, root: str) -> Column:
     base = root.rstrip("/")
     if not base:
         return F.regexp_replace(path, "^(?:\\./)+", "")
-    return F.when(path.startswith(base + "/"), F.substr(path, F.lit(len(base) + 2))).otherwise(
-        F.regexp_replace(path, "^(?:\\./)+", "")
+    return (
+        F.when(path == base, "")
+        .when(path.startswith(base + "/"), F.substr(path, F.lit(len(base) + 2)))
+        .otherwise(F.regexp_replace(path, "^(?:\\./)+", ""))
     )
 
 

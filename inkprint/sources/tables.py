@@ -33,8 +33,8 @@ def report_document(summary: DataFrame, units: DataFrame, findings: DataFrame) -
     size = units.limit(DOCUMENT_ROWS + 1).count() + findings.limit(DOCUMENT_ROWS + 1).count()
     if size > DOCUMENT_ROWS:
         raise ValueError(f"more than {DOCUMENT_ROWS} report rows: use write_report_tables")
-    per_unit = units.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.struct("*")))).alias("u"))
-    per_unit = per_unit.select("path", F.transform("u", lambda x: x[1]).alias("units"))
+    per_unit = units.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.struct("*").alias("unit")))).alias("u"))
+    per_unit = per_unit.select("path", F.col("u.unit").alias("units"))
     per_finding = findings.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("*")).alias("findings"))
     files = per_unit.join(per_finding, "path", "full_outer").agg(
         F.sort_array(F.collect_list(F.struct("path", "units", "findings"))).alias("files")
