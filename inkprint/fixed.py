@@ -70,6 +70,11 @@ WS_RARE = r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{
 WS = rf"{WS_PLAIN}[\x{{1680}}-\x{{FEFF}}&&[{WS_RARE}]]"
 # The same class without the line feed, for patterns that must stay on one line.
 WS_INLINE = WS.replace(r"\n", "")
+# The same set as plain characters, for trimming.
+WS_CHARACTERS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
 EMPTY_CATCH = (

@@ -44,11 +44,7 @@ def token_hash(raw: Column) -> Column:
 
 
 def trim_ws(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^[{fixed.WS}]+|[{fixed.WS}]+$", "")
-
-
-def trim_end_ws(x: Column) -> Column:
-    return F.regexp_replace(x, rf"[{fixed.WS}]+$", "")
+    return F.btrim(x, F.lit(fixed.WS_CHARACTERS))
 
 
 def default_if_null(x: Column, default: Column | str | int) -> Column:

@@ -123,9 +123,9 @@ def listed_units(scored: DataFrame, verbose: bool = False) -> DataFrame:
 # --- repository baseline (A19, A24, G22) ---------------------------------------------
 
 CASE_SHAPES = {
-    "camel": r"^[a-z][a-z0-9]*(?:[A-Z][A-Za-z0-9]*)+$",
+    "camel": r"^[a-z][a-z0-9]*[A-Z][A-Za-z0-9]*$",
     "snake": r"^[a-z][a-z0-9]*(?:_[a-z0-9]+)+$",
-    "pascal": r"^[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)*$",
+    "pascal": r"^[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)?$",
 }
 
 
@@ -137,6 +137,15 @@ def case_mix(names: Column) -> dict[str, Column]:
     }
 
 
+def style_moments() -> list[Column]:
+    return [
+        F.avg("ident_entropy").alias("entropy_mean"),
+        F.stddev_pop("ident_entropy").alias("entropy_stddev"),
+        F.avg("comment_ratio").alias("comment_mean"),
+        F.stddev_pop("comment_ratio").alias("comment_stddev"),
+    ]
+
+
 def repo_fingerprint(with_figures: DataFrame, repo: str) -> DataFrame:
     """One row per repository: means and deviations of its style."""
     staged = with_figures.select(
@@ -146,10 +155,7 @@ def repo_fingerprint(with_figures: DataFrame, repo: str) -> DataFrame:
     )
     return staged.groupBy(repo).agg(
         F.count("*").alias("units"),
-        F.avg("ident_entropy").alias("entropy_mean"),
-        F.stddev_pop("ident_entropy").alias("entropy_stddev"),
-        F.avg("comment_ratio").alias("comment_mean"),
-        F.stddev_pop("comment_ratio").alias("comment_stddev"),
+        *style_moments(),
         *[F.sum(f"{case}_names").alias(f"{case}_names") for case in CASE_SHAPES],
         F.avg("complexity").alias("mean_complexity"),
         F.avg("loc").alias("mean_loc"),

@@ -27,6 +27,7 @@ from inkprint.operators import signals as sg
 from inkprint.operators import units as un
 from inkprint.plans import rawjson
 from inkprint.plans import tables as tb
+from inkprint.session import cut_lineage
 from inkprint.streaming import jobs, sinks
 from inkprint.streaming.lockout import lock_events
 
@@ -56,10 +57,10 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Splits a table that arrives in fewer parts than there are cores.
+    """Splits a scan that arrives in fewer parts than there are cores.
 
     A large table comes in many splits and stays as it is; a small file would otherwise be
-    scored by a single task.
+    scored by a single task. For plain scans only: asking a shuffled plan for its parts runs it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -355,7 +356,10 @@ def critical_per_file(spark, sf_dir):
 
 @query
 def report_rows(spark, sf_dir):
-    table = scored(spark, sf_dir)
+    # three reports read the scored units, so they are stored once
+    table = cut_lineage(scored(spark, sf_dir).select(
+        "path", "code", "loc", "points", "score", "flagged", "band", *sg.SIGNAL_COLUMNS
+    ))
     now, old = _delta_sides(spark, sf_dir)
     return rp.report_rows(
         rp.report_summary(table), rp.weighted_contributions(table), dl.delta_summary(now, old)
@@ -492,7 +496,7 @@ def _samples(spark, sf_dir) -> DataFrame:
         "doc_id", F.when(F.col("quality") == 0, "ai").otherwise("human").alias("label")
     )
     parts = (
-        spread(tb.read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+        spread(tb.read(spark, sf_dir, "documents").select("doc_id", "text")).join(labels, "doc_id")
         .select("doc_id", "label", F.explode_outer(F.split("text", "\n")).alias("code"), F.lit("").alias("prefix"))
         .filter(F.col("code").rlike(rf"[^{fixed.WS}]"))
     )
@@ -809,10 +813,12 @@ def repo_fingerprint(spark, sf_dir):
 
 @query
 def baseline_deviation(spark, sf_dir):
-    figured = sg.figures(documents(spark, sf_dir)).select(
-        "doc_id", "source", "ident_entropy", "comment_ratio", "loc", "identifiers", F.lit(1).alias("complexity")
+    # read twice, so the few numbers both sides need are stored once
+    numbers = cut_lineage(
+        sg.figures(documents(spark, sf_dir)).select("doc_id", "source", "ident_entropy", "comment_ratio")
     )
-    return sc.baseline_deviation(figured, sc.repo_fingerprint(figured, "source"), "source").select(
+    baseline = numbers.groupBy("source").agg(*sc.style_moments())
+    return sc.baseline_deviation(numbers, baseline, "source").select(
         "doc_id", "source", "entropy_deviation", "comment_deviation"
     )
 
