@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint import fixed
 from inkprint.functions.scalars import trim_ws
 
 _HOST_SCHEMES = ("http", "https", "ftp", "ws", "wss")
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
+_NUMERIC_HOST = r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$"
 _PRIVATE_IPV4 = (
     r"^(?:10|127|0)\.[0-9]+\.[0-9]+\.[0-9]+$|^169\.254\.[0-9]+\.[0-9]+$"
     r"|^172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]+\.[0-9]+$|^192\.168\.[0-9]+\.[0-9]+$"
@@ -16,55 +18,85 @@ _PRIVATE_IPV4 = (
 _PRIVATE_IPV6 = r"^::1$|^fe80:|^f[cd]"
 
 
-def scheme_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-
-
-def authority_of(url: Column) -> Column:
-    """Between the slashes after the scheme and the next slash, question mark or hash."""
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*:/*([^/?#\\]*)", 1)
+def _number(label: Column) -> Column:
+    """Value of an IPv4 part written in decimal, octal (leading 0) or hexadecimal (0x); else null."""
+    return (
+        F.when(label == "0x", F.lit(0).cast("bigint"))
+        .when(label.rlike("^0x0*[0-9a-f]{1,8}$"), F.conv(F.substr(label, F.lit(3)), 16, 10).try_cast("bigint"))
+        .when(label.rlike("^0[0-7]{1,16}$"), F.conv(label, 8, 10).try_cast("bigint"))
+        .when(label.rlike("^(?:0|[1-9][0-9]{0,17})$"), label.try_cast("bigint"))
+    )
 
 
-def host_of(url: Column) -> Column:
-    """Lower-case host without user, port or brackets."""
-    bare = F.regexp_replace(F.regexp_replace(authority_of(url), r"^.*@", ""), r":[0-9]*$", "")
-    return F.lower(F.regexp_replace(bare, r"^\[|\]$", ""))
+def _ipv4_value(numbers: Column) -> Column:
+    """The address as one number: each part but the last fills a byte, the last one the rest."""
+    n = F.size(numbers)
+    heads = F.slice(numbers, F.lit(1), n - 1)
+    last = F.element_at(numbers, -1)
+    sound = (
+        (n <= 4) & ~F.exists(numbers, lambda x: x.isNull()) & ~F.exists(heads, lambda x: x > 255)
+        & (last < F.pow(F.lit(256.0), 5 - n))
+    )
+    placed = F.transform(heads, lambda x, i: x * F.pow(F.lit(256.0), 3 - i).cast("bigint"))
+    return F.when(sound, F.aggregate(placed, last, lambda total, x: total + x))
 
 
 def is_private_host(host: Column) -> Column:
     """Local names, private IPv4 ranges and private IPv6 prefixes."""
     named = (host == "localhost") | host.endswith(".localhost") | host.endswith(".local")
-    six = host.contains(":") & host.rlike(_PRIVATE_IPV6)
-    return named | host.rlike(_PRIVATE_IPV4) | six
-
-
-def _is_url(url: Column) -> Column:
-    scheme = scheme_of(url)
-    needs_host = scheme.isin(*_HOST_SCHEMES)
-    clean_host = (host_of(url) != "") & ~authority_of(url).rlike(rf"[{fixed.WS}<>^|%]")
-    return (scheme != "") & (~needs_host | clean_host)
-
-
-def url_error(raw: Column) -> Column:
-    """Why a repository URL is refused; null if it is accepted."""
-    url = trim_ws(F.coalesce(raw, F.lit("")))
-    return (
-        F.when(url == "", fixed.URL_MISSING)
-        .when(~_is_url(url), fixed.URL_INVALID)
-        .when(scheme_of(url) != "https", fixed.URL_NOT_HTTPS)
-        .when(is_private_host(host_of(url)), fixed.URL_PRIVATE)
+    return named | host.rlike(_PRIVATE_IPV4) | (host.contains(":") & host.rlike(_PRIVATE_IPV6))
+
+
+def audit_urls(df: DataFrame, url: str = "url") -> DataFrame:
+    """adds ``host``, ``error`` (null if the URL is accepted) and ``canonical``.
+
+    The host is in lower case without user, port or brackets, IPv4 in dotted form (``127.1`` is
+    ``127.0.0.1``). An accepted URL loses its fragment and default port and gets a path. Each
+    step is a column of its own, so that nothing is evaluated twice.
+    """
+    text = F.col("_text")
+    staged = df.withColumn("_text", trim_ws(F.coalesce(F.col(url), F.lit(""))))
+    staged = staged.withColumns({
+        "_scheme": F.lower(F.regexp_extract(text, _SCHEME, 1)),
+        # between the slashes after the scheme and the next slash, question mark or hash
+        "_place": F.regexp_extract(text, _SCHEME + r"/*([^/?#\\]*)", 2),
+        "_rest": F.regexp_replace(F.regexp_replace(text, r"(?s)#.*$", ""), _SCHEME + r"/*[^/?#\\]*", ""),
+    })
+    staged = staged.withColumns({
+        "_user": F.regexp_extract("_place", r"^(.*@)", 1),
+        "_port": F.regexp_extract("_place", r"(:[0-9]*)$", 1),
+        "_written": F.lower(F.regexp_replace("_place", r"^.*@|:[0-9]*$", "")),
+    })
+    staged = staged.withColumn("_name", F.regexp_replace("_written", r"^\[|\]$", ""))
+    name = F.col("_name")
+    numeric = name.rlike(_NUMERIC_HOST) & ~name.contains(":")
+    labels = F.split(F.regexp_replace(name, r"\.$", ""), r"\.")
+    staged = staged.withColumn("_numbers", F.when(numeric, F.transform(labels, _number)))
+    staged = staged.withColumn("_ip", F.when(F.col("_numbers").isNotNull(), _ipv4_value(F.col("_numbers"))))
+    byte = lambda i: (F.floor(F.col("_ip") / 256 ** (3 - i)) % 256).cast("string")
+    staged = staged.withColumn(
+        "host",
+        F.when(F.col("_numbers").isNull(), name)
+        .when(F.col("_ip").isNull(), F.lit(""))
+        .otherwise(F.concat_ws(".", *[byte(i) for i in range(4)])),
     )
-
-
-def canonical_url(raw: Column) -> Column:
-    """The accepted URL: no fragment, host in lower case, default port gone, a path at least."""
-    url = F.regexp_replace(trim_ws(raw), r"(?s)#.*$", "")
-    authority = authority_of(url)
-    user = F.regexp_extract(authority, r"^(.*@)", 1)
-    place = F.regexp_replace(F.lower(F.regexp_replace(authority, r"^.*@", "")), r":(?:443)?$", "")
-    rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*:/*[^/?#\\]*", "")
-    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(url_error(raw).isNull(), F.concat(F.lit("https://"), user, place, rest))
+    host, scheme = F.col("host"), F.col("_scheme")
+    broken = (scheme == "") | (
+        scheme.isin(*_HOST_SCHEMES) & ((host == "") | F.col("_place").rlike(rf"[{fixed.WS}<>^|%]"))
+    )
+    staged = staged.withColumn(
+        "error",
+        F.when(text == "", fixed.URL_MISSING)
+        .when(broken, fixed.URL_INVALID)
+        .when(scheme != "https", fixed.URL_NOT_HTTPS)
+        .when(is_private_host(host), fixed.URL_PRIVATE),
+    )
+    shown = F.when(F.col("_written").startswith("["), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+    port = F.when(F.col("_port").isin(":", ":443"), "").otherwise(F.col("_port"))
+    slash = F.when(F.col("_rest").startswith("/"), "").otherwise("/")
+    whole = F.concat(F.lit("https://"), F.col("_user"), shown, port, slash, F.col("_rest"))
+    staged = staged.withColumn("canonical", F.when(F.col("error").isNull(), whole))
+    return staged.drop("_text", "_scheme", "_place", "_rest", "_user", "_port", "_written", "_name", "_numbers", "_ip")
 
 
 def repo_name(url: Column) -> Column:

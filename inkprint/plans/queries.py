@@ -62,8 +62,11 @@ def spread(df: DataFrame) -> DataFrame:
     A large table comes in many splits and stays as it is; a small file would otherwise be
     scored by a single task. For plain scans only: asking a shuffled plan for its parts runs it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if arrives_small(df) else df
+
+
+def arrives_small(scan: DataFrame) -> bool:
+    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +218,11 @@ def lexical_complexity(spark, sf_dir):
 
 @query
 def lexical_units(spark, sf_dir):
-    return un.split_files(tb.derived_files(spark, sf_dir)).select(
+    files = tb.derived_files(spark, sf_dir)
+    if arrives_small(tb.read(spark, sf_dir, "orders")):
+        # a small shuffle is merged into one task, and the splitting would run in it
+        files = files.repartition(spark.sparkContext.defaultParallelism)
+    return un.split_files(files).select(
         "path", "name", "kind", "start_line", "end_line",
         un.unit_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("name")).alias("id"),
         F.sha1("code").alias("code_sha"),
@@ -642,11 +649,8 @@ def file_status_counts(spark, sf_dir):
 
 @query
 def url_audit(spark, sf_dir):
-    url = F.col("url")
-    return tb.read(spark, sf_dir, "pages").select(
-        "page_id", urls.url_error(url).alias("error"), urls.canonical_url(url).alias("canonical"),
-        urls.host_of(url).alias("host"),
-    )
+    pages = tb.read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.audit_urls(pages).select("page_id", "error", "canonical", "host")
 
 
 @query

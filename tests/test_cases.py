@@ -92,33 +92,41 @@ def test_status(spark):
     assert [r["status"] for r in pt.with_status(df).collect()] == ["missing", "scanned", "skipped"]
 
 
-@pytest.mark.parametrize(
-    ("url", "error"),
-    [
-        ("https://github.com/org/repo", None), ("  ", fixed.URL_MISSING), (None, fixed.URL_MISSING),
-        ("not-a-url", fixed.URL_INVALID), ("https://", fixed.URL_INVALID), ("http://github.com/org/repo", fixed.URL_NOT_HTTPS),
-        ("mailto:a@b", fixed.URL_NOT_HTTPS), ("https://localhost/repo", fixed.URL_PRIVATE), ("https://192.168.1.10/x", fixed.URL_PRIVATE),
-        ("https://10.0.0.1", fixed.URL_PRIVATE), ("https://172.16.0.1/", fixed.URL_PRIVATE), ("https://172.32.0.1/", None),
-        ("https://169.254.1.1/", fixed.URL_PRIVATE), ("https://a.localhost:8443/x", fixed.URL_PRIVATE), ("https://db.LOCAL/x", fixed.URL_PRIVATE),
-        ("https://[::1]/x", fixed.URL_PRIVATE), ("https://[fe80::1]/x", fixed.URL_PRIVATE), ("https://[fd00::1]:8443/x", fixed.URL_PRIVATE),
-        ("https://[2001:db8::1]/x", None), ("https://user:pw@127.0.0.1/x", fixed.URL_PRIVATE), ("https://fdic.gov/x", None),
-        ("https://bad host/x", fixed.URL_INVALID),
-    ],
-)
-def test_url_audit(spark, url, error):
-    assert value(spark, urls.url_error(F.lit(url).cast("string"))) == error
+URL_ERRORS = [
+    ("https://github.com/org/repo", None), ("  ", fixed.URL_MISSING), (None, fixed.URL_MISSING),
+    ("not-a-url", fixed.URL_INVALID), ("https://", fixed.URL_INVALID), ("http://github.com/org/repo", fixed.URL_NOT_HTTPS),
+    ("mailto:a@b", fixed.URL_NOT_HTTPS), ("https://localhost/repo", fixed.URL_PRIVATE), ("https://192.168.1.10/x", fixed.URL_PRIVATE),
+    ("https://10.0.0.1", fixed.URL_PRIVATE), ("https://172.16.0.1/", fixed.URL_PRIVATE), ("https://172.32.0.1/", None),
+    ("https://169.254.1.1/", fixed.URL_PRIVATE), ("https://a.localhost:8443/x", fixed.URL_PRIVATE), ("https://db.LOCAL/x", fixed.URL_PRIVATE),
+    ("https://[::1]/x", fixed.URL_PRIVATE), ("https://[fe80::1]/x", fixed.URL_PRIVATE), ("https://[fd00::1]:8443/x", fixed.URL_PRIVATE),
+    ("https://[2001:db8::1]/x", None), ("https://user:pw@127.0.0.1/x", fixed.URL_PRIVATE), ("https://fdic.gov/x", None),
+    ("https://bad host/x", fixed.URL_INVALID),
+    # IPv4 in short, whole-number, hexadecimal and octal form
+    ("https://127.1/x", fixed.URL_PRIVATE), ("https://2130706433/", fixed.URL_PRIVATE), ("https://0x7f.1/", fixed.URL_PRIVATE),
+    ("https://0300.0250.1.1/", fixed.URL_PRIVATE), ("https://256.1.1.1/", fixed.URL_INVALID), ("https://1.2.3.4.5/", fixed.URL_INVALID),
+    ("https://09.1.1.1/", fixed.URL_INVALID), ("https://8.8.8.8/", None), ("https://4294967296/", fixed.URL_INVALID),
+    ("https://repo.a1/", None),
+]
 
 
-@pytest.mark.parametrize(
-    ("url", "want"),
-    [
-        (" https://GitHub.com ", "https://github.com/"), ("https://a.com/x?y=1#frag", "https://a.com/x?y=1"),
-        ("HTTPS://a.com:443/B", "https://a.com/B"), ("https://a.com:8443", "https://a.com:8443/"), ("https://a.com?q=1", "https://a.com/?q=1"),
-        ("http://a.com", None),
-    ],
-)
-def test_canonical_url(spark, url, want):
-    assert value(spark, urls.canonical_url(F.lit(url))) == want
+def audited(spark, cases, column):
+    df = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(cases)], "no int, url string")
+    return [r[column] for r in urls.audit_urls(df).orderBy("no").collect()]
+
+
+def test_url_audit(spark):
+    assert audited(spark, URL_ERRORS, "error") == [want for _, want in URL_ERRORS]
+
+
+CANONICAL = [
+    (" https://GitHub.com ", "https://github.com/"), ("https://a.com/x?y=1#frag", "https://a.com/x?y=1"),
+    ("HTTPS://a.com:443/B", "https://a.com/B"), ("https://a.com:8443", "https://a.com:8443/"), ("https://a.com?q=1", "https://a.com/?q=1"),
+    ("http://a.com", None), ("https://134744072:8443/x", "https://8.8.8.8:8443/x"), ("https://[2001:DB8::1]:443/x", "https://[2001:db8::1]/x"),
+]
+
+
+def test_canonical_url(spark):
+    assert audited(spark, CANONICAL, "canonical") == [want for _, want in CANONICAL]
 
 
 @pytest.mark.parametrize(("url", "want"), [("https://a.com/o/My.Repo.git/", "My.Repo"), ("x", "repository"), ("https://a.com/o/.git", "repository")])
