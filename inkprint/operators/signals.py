@@ -33,27 +33,6 @@ def _generic_count(names: Column) -> Column:
     return F.size(F.filter(names, lambda n: F.lower(n).isin(*fixed.GENERIC_NAMES)))
 
 
-def identifier_figures(units: DataFrame) -> DataFrame:
-    staged = units.withColumn("_joined", F.array_join("identifiers", ""))
-    staged = staged.withColumns({
-        "_alphabet": F.array_distinct(tx.characters(F.col("_joined"))), "_size": tx.utf16_length(F.col("_joined")),
-    })
-    return staged.withColumns({
-        "ident_count": F.size("identifiers"),
-        "ident_generic": _generic_count(F.col("identifiers")),
-        "ident_entropy": tx.character_entropy(F.col("_joined"), F.col("_alphabet"), F.col("_size")),
-    }).drop("_joined", "_alphabet", "_size")
-
-
-def line_figures(units: DataFrame) -> DataFrame:
-    return units.withColumn("_indents", tx.indents(F.col("code"))).withColumns({
-        "comment_ratio": un.comment_ratio(F.col("comment_lines"), F.col("loc")),
-        "indent_lines": F.size("_indents"),
-        "indent_levels": F.size(F.array_distinct("_indents")),
-        "has_doc": un.has_doc_comment(F.col("prefix")),
-    }).drop("_indents")
-
-
 def _pattern_figures() -> dict[str, Column]:
     code = F.col("code")
     boilerplate = F.lit(0)
@@ -99,33 +78,57 @@ def sentence_figures(sentences: Column, worded: Column) -> dict[str, Column]:
     }
 
 
+def _worded() -> Column:
+    return F.filter("_sentences", lambda s: s["words"] > 0)
+
+
 def perplexity_figures(units: DataFrame) -> DataFrame:
     staged = units.withColumn("_stats", tx.run_statistics(tx.tokens(F.col("code"))))
     return staged.withColumns(token_figures(F.col("_stats"))).drop("_stats")
 
 
 def burstiness_figures(units: DataFrame) -> DataFrame:
-    staged = units.withColumn("_sentences", tx.sentence_statistics(F.col("code")))
-    staged = staged.withColumn("_worded", F.filter("_sentences", lambda s: s["words"] > 0))
-    return staged.withColumns(sentence_figures(F.col("_sentences"), F.col("_worded"))).drop("_sentences", "_worded")
+    staged = units.withColumn("_sentences", tx.sentence_statistics(F.col("code"))).withColumn("_words", _worded())
+    return staged.withColumns(sentence_figures(F.col("_sentences"), F.col("_words"))).drop("_sentences", "_words")
 
 
 def figures(units: DataFrame) -> DataFrame:
     """Unit table plus every number the signals are computed from.
 
     Columns ``identifiers``, ``loc`` and ``comment_lines`` are used where the table brings
-    them (from a real parser) and derived from the code where it does not.
+    them (from a real parser) and derived from the code where it does not. Each stage reads
+    columns of the stage before, so that no search or array is made twice.
     """
     code = F.col("code")
-    derived = {
-        "identifiers": tx.identifiers(code),
-        "loc": tx.code_lines(code),
-        "comment_lines": tx.comment_lines(code),
+    given = {"identifiers": tx.identifiers(code), "loc": tx.code_lines(code), "comment_lines": tx.comment_lines(code)}
+    read_from_code = {
+        **{name: column for name, column in given.items() if name not in units.columns},
+        "_indents": tx.indents(code),
+        "_stats": tx.run_statistics(tx.tokens(code)),
+        "_sentences": tx.sentence_statistics(code),
+        **_pattern_figures(),
+    }
+    counted = {
+        "_joined": F.array_join("identifiers", ""),
+        "_words": _worded(),
+        "ident_count": F.size("identifiers"),
+        "ident_generic": _generic_count(F.col("identifiers")),
+        "comment_ratio": un.comment_ratio(F.col("comment_lines"), F.col("loc")),
+        "indent_lines": F.size("_indents"),
+        "indent_levels": F.size(F.array_distinct("_indents")),
+        "has_doc": un.has_doc_comment(F.col("prefix")),
+        **token_figures(F.col("_stats")),
+    }
+    prepared = {
+        "_alphabet": F.array_distinct(tx.characters(F.col("_joined"))),
+        "_size": tx.utf16_length(F.col("_joined")),
+        **sentence_figures(F.col("_sentences"), F.col("_words")),
     }
-    staged = units.withColumns({k: v for k, v in derived.items() if k not in units.columns})
-    staged = identifier_figures(staged)
-    staged = line_figures(staged).withColumns(_pattern_figures())
-    return burstiness_figures(perplexity_figures(staged))
+    entropy = {"ident_entropy": tx.character_entropy(F.col("_joined"), F.col("_alphabet"), F.col("_size"))}
+    staged = units
+    for stage in (read_from_code, counted, prepared, entropy):
+        staged = staged.withColumns(stage)
+    return staged.drop("_indents", "_stats", "_sentences", "_joined", "_words", "_alphabet", "_size")
 
 
 @dataclass(frozen=True)

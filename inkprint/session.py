@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # no call-site capture for every Column made
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
