@@ -26,12 +26,32 @@ def user_of_token(sessions: DataFrame, users: DataFrame, token: str, at: Column)
     return valid_sessions(mine, users, at).limit(1)
 
 
-def activity_sessions(history: DataFrame, gap: str) -> DataFrame:
-    """Runs of activity of a target with no pause of ``gap`` or more (batch and stream)."""
+def activity_sessions(history: DataFrame, gap_seconds: int, slice_seconds: int = 86_400) -> DataFrame:
+    """Runs of activity of a target with no pause of ``gap_seconds`` or more.
+
+    A busy target has very many rows but few sessions. Runs are first found within slices of
+    time, then the runs of neighbouring slices are joined: the second step sees one row per
+    run, not one per event.
+    """
+    gap = gap_seconds * 1_000_000
+    staged = history.select("target", F.unix_micros("ts").alias("us")).withColumn(
+        "slice", F.floor(F.col("us") / (slice_seconds * 1_000_000))
+    )
+    inside = Window.partitionBy("target", "slice").orderBy("us")
+    apart = lambda now, before: (before.isNull() | (now - before >= gap)).cast("int")
+    runs = (
+        staged.withColumn("opens", apart(F.col("us"), F.lag("us").over(inside)))
+        .withColumn("run", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("target", "slice", "run")
+        .agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("scans"))
+    )
+    along = Window.partitionBy("target").orderBy("first")
     return (
-        history.groupBy("target", F.session_window("ts", gap).alias("w"))
-        .agg(F.count("*").alias("scans"))
-        .select("target", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "scans")
+        runs.withColumn("opens", apart(F.col("first"), F.lag("last").over(along)))
+        .withColumn("session", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("target", "session")
+        .agg(F.min("first").alias("start_us"), (F.max("last") + gap).alias("end_us"), F.sum("scans").alias("scans"))
+        .drop("session")
     )
 
 

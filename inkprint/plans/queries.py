@@ -877,8 +877,7 @@ def lockout_replay_shared(spark, sf_dir):
 @query
 def activity_sessions(spark, sf_dir):
     history = events(spark, sf_dir).select(F.col("user_id").alias("target"), "ts")
-    made = ac.activity_sessions(history, "12 hours")
-    return made.select("target", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "scans")
+    return ac.activity_sessions(history, 12 * 3600)
 
 
 # --- streams -------------------------------------------------------------------------------------------

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from inkprint.config import DEFAULT_CONFIG, ScanConfig
 from inkprint.operators import delta as dl
-from inkprint.operators.accounts import activity_sessions
 from inkprint.operators.score import score_units
 from inkprint.streaming.sinks import each_batch
 
@@ -60,7 +59,12 @@ def unique_findings(findings: DataFrame, lateness: str) -> DataFrame:
 
 def target_sessions(history: DataFrame, lateness: str, gap: str) -> DataFrame:
     """ST7: runs of activity per target; append mode emits a session once it is over."""
-    return activity_sessions(history.withWatermark("ts", lateness), gap)
+    return (
+        history.withWatermark("ts", lateness)
+        .groupBy("target", F.session_window("ts", gap).alias("w"))
+        .agg(F.count("*").alias("scans"))
+        .select("target", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "scans")
+    )
 
 
 def phase_profile(progress: dict) -> dict[str, int]:

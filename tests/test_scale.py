@@ -103,6 +103,23 @@ def test_lockouts(spark, good):
     assert got == replay(attempts) and len(got) > 5
 
 
+def test_sessions_across_slices(spark):
+    rows = [(k, t) for k, t, _, _ in timeline(300, 60_000)]
+    df = spark.createDataFrame(rows, "target string, t bigint").withColumn("ts", F.timestamp_seconds("t"))
+    got = sorted((r["target"], r["start_us"] // 10**6, r["end_us"] // 10**6, r["scans"]) for r in ac.activity_sessions(df, 600, 1000).collect())
+    want = []
+    for key in {k for k, _ in rows}:
+        times = sorted(t for k, t in rows if k == key)
+        start = before = times[0]
+        n = 0
+        for t in [*times, None]:
+            if t is None or t - before >= 600:
+                want.append((key, start, before + 600, n))
+                start, n = t, 0
+            n, before = n + 1, t
+    assert got == sorted(want)
+
+
 def test_no_attempts_no_locks(spark):
     df = spark.createDataFrame([], "user_id bigint, ts timestamp, seq bigint, ok boolean")
     assert ac.lockouts(df).count() == 0
