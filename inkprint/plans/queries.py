@@ -37,7 +37,12 @@ ROOT = "/work/repo"
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: tidy(fn(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # the tables hold times without a zone; results are compared as UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return tidy(fn(spark, sf_dir))
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -174,6 +179,16 @@ def top_signals(spark, sf_dir):
     return tops.select("unit_key", (F.col("place") + 1).alias("place"), "top.signal", "top.contribution", "top.score")
 
 
+EVIDENCE = ("genericNames", "obviousComments", "emptyCatch", "nullChecks", "formattingUniformity", "universalJsdoc",
+            "boilerplatePatterns", "helperOrdering", "emojiComments")
+
+
+@query
+def signal_evidence(spark, sf_dir):
+    """Evidence texts without decimal fractions, which engines round differently."""
+    return scored(spark, sf_dir).select("unit_key", *[sg.BY_NAME[n].evidence().alias(n.lower()) for n in EVIDENCE])
+
+
 @query
 def weight_override(spark, sf_dir):
     config = merge_config(threshold=42, weights={"genericNames": 99, "commentRatio": 3})
