@@ -1,0 +1,170 @@
+"""Main text of web pages: text-to-tag ratio per line, smoothed, clustered, then the region it points to.
+
+A streaming parser turns the page into lines, one per block element. Every line has the ratio of
+its characters to the tags inside it; the ratios are smoothed by a Gaussian and split in two
+clusters. The container that holds the text of the high cluster is the content region, and all
+its blocks outside menus, forms, adverts and the like are the main text, short ones too.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BLOCKS = frozenset(
+    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure"
+    " footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody"
+    " td tfoot th thead tr ul".split()
+)
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ALWAYS_OUT = frozenset(
+    "head title script style noscript template svg math canvas iframe object nav footer aside form button select"
+    " textarea menu dialog".split()
+)
+CONTAINERS = frozenset("body main article section div td".split())
+# an element's class, id or role with one of these words is not part of the article
+OUT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie"
+    " cookies disqus footer menu modal nav navbar navigation newsletter notice notices popup promo promotion related"
+    " replies reply search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget"
+    " complementary contentinfo alert".split()
+)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+SIGMA = 2.0  # lines
+
+
+class _Lines(HTMLParser):
+    """Collects (text, tags, containers) per block; what boilerplate elements hold is left out."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, bool, int]] = []  # tag, out, container
+        self.open: dict[str, int] = {}
+        self.parents, self.kinds = [-1], ["page"]
+        self.parts: list[str] = []
+        self.tags = 0
+        self.lines: list[tuple[str, int, int]] = []
+
+    def _top(self) -> tuple[str, bool, int]:
+        return self.stack[-1] if self.stack else ("", False, 0)
+
+    def _end_line(self) -> None:
+        text = " ".join("".join(self.parts).split())
+        if text:
+            self.lines.append((text, self.tags, self._top()[2]))
+        self.parts, self.tags = [], 0
+
+    def _pop(self, tag: str) -> None:
+        while self.stack:
+            last = self.stack.pop()[0]
+            self.open[last] -= 1
+            if last == tag:
+                return
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in BLOCKS:
+            self._end_line()
+            if self.open.get("head"):
+                self._pop("head")
+        self.tags += 1
+        if tag in VOID:
+            return
+        if self._top()[0] == tag and tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
+            self._pop(tag)
+        _, out, container = self._top()
+        words = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in _PARTS.findall(v)}
+        header = tag == "header" and not self.open.get("article") and not self.open.get("main")
+        out = out or tag in ALWAYS_OUT or header or (tag not in ("html", "body", "article", "main") and bool(words & OUT_WORDS))
+        if tag == "article" and (words & OUT_WORDS or self.open.get("article")):
+            out = out or bool(words & OUT_WORDS)
+        if tag in CONTAINERS:
+            self.parents.append(container)
+            self.kinds.append(tag)
+            container = len(self.parents) - 1
+        self.stack.append((tag, out, container))
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in BLOCKS:
+            self._end_line()
+        self.tags += 1
+        if self.open.get(tag):
+            self._pop(tag)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_data(self, data: str) -> None:
+        if not self._top()[1]:
+            self.parts.append(data)
+
+
+def content_lines(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Which lines belong to the upper cluster of the smoothed ratios; all of them if they do not differ."""
+    reach = int(np.ceil(3 * sigma))
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    smooth = np.convolve(ratios, kernel, "same")[: len(ratios)] if len(ratios) > len(kernel) else np.convolve(ratios, kernel)[reach : reach + len(ratios)]
+    smooth = smooth / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
+    low, high = smooth.min(), smooth.max()
+    for _ in range(50):
+        border = (low + high) / 2
+        upper = smooth >= border
+        if upper.all() or not upper.any():
+            return np.ones(len(ratios), bool)
+        nearer = smooth[~upper].mean(), smooth[upper].mean()
+        if nearer == (low, high):
+            break
+        low, high = nearer
+    return upper
+
+
+def main_text(page: str) -> str:
+    """The main text of one page; empty where there is none. Broken markup is read as far as it goes."""
+    parser = _Lines()
+    parser.feed(page)
+    parser.close()
+    parser._end_line()
+    if not parser.lines:
+        return ""
+    sizes = np.array([len(text) for text, _, _ in parser.lines], float)
+    chosen = content_lines(sizes / np.array([max(1, tags) for _, tags, _ in parser.lines], float))
+    held = np.zeros(len(parser.parents))
+    for size, is_content, (_, _, container) in zip(sizes, chosen, parser.lines):
+        if is_content:
+            held[container] += size
+    for container in range(len(held) - 1, 0, -1):  # parents come before their children
+        held[parser.parents[container]] += held[container]
+    # the named element with most of the content, else the deepest one that holds four fifths of it
+    named = [i for i, kind in enumerate(parser.kinds) if kind in ("article", "main") and held[i] > 0]
+    if named:
+        region = max(named, key=lambda i: (held[i], i))
+    else:
+        region = max((i for i in range(len(held)) if held[i] >= 0.8 * held[0]), default=0)
+    inside = np.zeros(len(held), bool)
+    inside[region] = True
+    for container in range(region + 1, len(held)):
+        inside[container] = inside[parser.parents[container]]
+    return " ".join(text for text, _, container in parser.lines if inside[container])
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """One row per page: page_id, url, text, n_chars.
+
+    Null or empty html and pages without main text give an empty text. Ids and addresses pass through
+    as they are, repeated rows give a row each, further columns are left out. No shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(value.as_py() or "") for value in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+
+    narrow = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
+    return narrow.mapInArrow(run, "page_id long, url string, text string, n_chars long")
