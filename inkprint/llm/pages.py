@@ -51,6 +51,9 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.lines: list[tuple[str, int, int]] = []
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for line numbers
+
     def _top(self) -> tuple[str, bool, int]:
         return self.stack[-1] if self.stack else ("", False, 0)
 
@@ -80,9 +83,7 @@ class _Lines(HTMLParser):
         _, out, container = self._top()
         words = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in _PARTS.findall(v)}
         header = tag == "header" and not self.open.get("article") and not self.open.get("main")
-        out = out or tag in ALWAYS_OUT or header or (tag not in ("html", "body", "article", "main") and bool(words & OUT_WORDS))
-        if tag == "article" and (words & OUT_WORDS or self.open.get("article")):
-            out = out or bool(words & OUT_WORDS)
+        out = out or tag in ALWAYS_OUT or header or (tag not in ("html", "body", "main") and bool(words & OUT_WORDS))
         if tag in CONTAINERS:
             self.parents.append(container)
             self.kinds.append(tag)
