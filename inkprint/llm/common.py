@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Catalyst copies an expression to every place where a later step names its column; the variable
+    of a lambda function cannot be copied.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; other letters stay, so every engine agrees."""
     return F.translate(text, _UPPER, _LOWER)
