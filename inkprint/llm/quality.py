@@ -10,7 +10,6 @@ over strata and rules the error is divided (Bonferroni).
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import WORD, stored
+from inkprint.llm.common import stored
 
 SYMBOLS = "#*$%&|<>"
 BASE_WORDS, BASE_REPEAT = 20, 30
@@ -28,7 +27,6 @@ RISK = 0.02  # share of good documents all rules together may reject, per stratu
 ERROR = 0.05  # probability that any of the guarantees does not hold
 STEPS = 200  # cutoffs per rule
 MAX_STRATA = 1000  # the table of cutoffs goes to every task, so its size is checked
-_WORD = re.compile(WORD)
 _SPACE = " \t\n\v\f\r"
 
 # rule: what it counts, and out of what; the share, at most 1, is its value, higher is worse
@@ -46,7 +44,7 @@ def step_of(rule: str) -> Column:
     return F.least(F.lit(STEPS), F.floor(STEPS * F.col(count) / F.greatest(F.lit(1), F.col(whole)))).cast("int")
 
 
-def repeated_words(words: list[str], window: int = WINDOW) -> int:
+def repeated_words(words: list, window: int = WINDOW) -> int:
     """Words inside windows of ``window`` words that occur twice or more in the text.
 
     Word numbers are doubled into numbers of longer runs by sorting, so equality is exact and the
@@ -55,7 +53,7 @@ def repeated_words(words: list[str], window: int = WINDOW) -> int:
     n = len(words)
     if n <= window:
         return 0
-    first: dict[str, int] = {}
+    first: dict = {}
     ids = np.array([first.setdefault(w, len(first)) for w in words], np.int64)
     if len(first) == n:
         return 0
@@ -87,7 +85,7 @@ def capitals(text: str) -> int:
 
 
 def figures_of(text: str) -> tuple[int, ...]:
-    words = _WORD.findall(text)
+    words = text.encode().split()  # at ASCII white space
     seen: set[str] = set()
     dup = lines = 0
     for line in text.split("\n"):
