@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import bpe, toxicity
+from inkprint.llm import bpe, decontaminate, jaccard, lines, toxicity
+from inkprint.llm.common import stored
 from inkprint.session import work_folder
 
 ORACLE_SQL = None
@@ -23,23 +24,53 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go; ids with several rows go if one of them is rejected."""
     scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.filter("predicted = 1").select("doc_id").distinct()
+    rejected = stored(scored.filter("predicted = 1").select("doc_id").distinct(), "rejected")
     return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go; a document of which nothing is left goes too, n_chars follows the text."""
+    kept = lines.dedup(docs, keep=("lang", "source", "n_chars"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return kept.filter("n_removed = 0 OR n_removed < n_lines").select("doc_id", "text", "lang", "source", n_chars)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 80 per cent) the document with the smallest id stays.
+
+    Texts without words are near nothing and stay; so do rows without an id.
+    """
+    joined = jaccard.join(docs, size=5, percent=80)
+    copies = stored(joined.filter("component_id != doc_id").select("doc_id").distinct(), "copies")
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = stored(found.select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of the ids and of the text decoded from them."""
     return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("encode", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmarks),
+    ("byte-level BPE", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for name, stage in STAGES:
-        path = work_folder(spark, f"pipeline-{name}")
+    for _, stage in STAGES:
+        path = work_folder(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
