@@ -96,9 +96,9 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     split = lambda f: F.explode(F.array(*(F.struct(F.lit(b).alias("block"), part(f, b).alias("value")) for b in range(BLOCKS)))).alias("at")
     masks = F.filter(F.sequence(F.lit(0), F.lit(0xFFFF)), lambda m: F.bit_count(m) <= BLOCK_RADIUS)
     item_prints = stored(fingerprints(known, "item"), "item-prints")
-    index = (
+    index = stored(  # its size is known only when it is written; the planner must not guess it small
         item_prints.select("item", F.col("print").alias("item_print"), split("print")).withColumn("mask", F.explode(masks))
-        .select("item", "item_print", "at.block", F.col("at.value").bitwiseXOR(F.col("mask")).alias("value"))
+        .select("item", "item_print", "at.block", F.col("at.value").bitwiseXOR(F.col("mask")).alias("value")), "index",
     )
     probes = marked.select("print").distinct().select("print", split("print")).select("print", "at.block", "at.value")
     pairs = stored(
