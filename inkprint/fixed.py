@@ -17,6 +17,8 @@ SIGNAL_WEIGHTS = {
     "burstiness": 12,
 }
 DEFAULT_THRESHOLD = 9
+NO_VALUE = "undefined"  # what a missing number reads as inside an identifier
+BASELINE_NOTE = "baseline captured; future scans will show new and resolved findings"
 MAX_FILE_SIZE = 1_048_576
 HIGH_RISK_SCORE = 65
 BAND_CUTS = (40, 70)

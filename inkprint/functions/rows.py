@@ -8,10 +8,20 @@ outer generator is exempt from both, and a filter on its output stays above it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    The variable of a lambda function cannot be copied to the places that name it, as a column can.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def explode_once(
     df: DataFrame, *keep: str | Column, items: Column, name: str = "item", position: str = "_pos"
 ) -> DataFrame:

@@ -125,7 +125,11 @@ def folder_of(path: Column, root: Column | str = "") -> Column:
     root_column = F.lit(root) if isinstance(root, str) else root
     slashed = F.translate(path, "\\", "/")
     base = F.concat(F.rtrim(root_column, F.lit("/")), F.lit("/"))
-    relative = F.when(slashed.startswith(base), F.substr(slashed, F.length(base) + 1)).otherwise(slashed)
+    relative = (
+        F.when(slashed.startswith(base), F.substr(slashed, F.length(base) + 1))
+        .when(slashed.startswith("/") & (root_column != ""), F.lit("../"))  # outside the root
+        .otherwise(slashed)
+    )
     relative = F.regexp_replace(relative, r"^(?:\./)+", "")
     return F.when(F.instr(relative, "/") > 0, F.substring_index(relative, "/", 1)).otherwise(F.lit("<root>"))
 

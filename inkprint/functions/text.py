@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkprint import fixed
+from inkprint.functions.rows import bind
 from inkprint.functions.scalars import steady
 
 WORD = "[a-z0-9_]+"
@@ -52,38 +53,25 @@ def utf16_length(text: Column) -> Column:
 def run_statistics(items: Column, total: Column | None = None) -> Column:
     """Struct of ``n``, ``distinct`` and Shannon ``entropy`` (bits) of an array of texts.
 
-    ``total`` replaces the array size as the denominator of the probabilities.
+    ``total`` replaces the array size as the denominator of the probabilities. The sorted array is
+    searched once for the places where a run begins; all arithmetic is per distinct item.
     """
-    log2 = lambda x: F.log2(x.cast("double"))
-    closed = lambda s: F.when(s["run"] > 0, s["acc"] + s["run"] * log2(s["run"])).otherwise(s["acc"])
-    start = F.struct(
-        F.lit(None).cast("string").alias("last"),
-        F.lit(0).cast("bigint").alias("run"),
-        F.lit(0).cast("bigint").alias("n"),
-        F.lit(0).cast("bigint").alias("distinct"),
-        F.lit(0.0).alias("acc"),
-    )
+    count = lambda x: x.cast("bigint")
 
-    def step(s: Column, item: Column) -> Column:
-        same = item.eqNullSafe(s["last"])
-        return F.struct(
-            item.alias("last"),
-            F.when(same, s["run"] + 1).otherwise(F.lit(1).cast("bigint")).alias("run"),
-            (s["n"] + 1).alias("n"),
-            F.when(same, s["distinct"]).otherwise(s["distinct"] + 1).alias("distinct"),
-            F.when(same, s["acc"]).otherwise(closed(s)).alias("acc"),
-        )
-
-    def finish(s: Column) -> Column:
-        size = (s["n"] if total is None else total).cast("double")
+    def finish(ordered: Column, begins: Column) -> Column:
+        n = F.size(ordered)
+        runs = F.transform(begins, lambda at, k: (F.coalesce(F.get(begins, k + 1), n) - at).cast("double"))
+        weighed = F.aggregate(runs, F.lit(0.0), lambda acc, run: acc + run * F.log2(run))
+        size = (n if total is None else total).cast("double")
         # sum of -(c/L) log2(c/L) over the distinct items, L being the denominator
-        entropy = F.when(size > 0, (s["n"] * log2(size) - closed(s)) / size).otherwise(F.lit(0.0))
-        return F.struct(s["n"].alias("n"), s["distinct"].alias("distinct"), steady(entropy).alias("entropy"))
-
-    return F.aggregate(F.sort_array(items), start, step, finish)
+        entropy = F.when(size > 0, (n * F.log2(size) - weighed) / size).otherwise(F.lit(0.0))
+        return F.struct(count(n).alias("n"), count(F.size(begins)).alias("distinct"), steady(entropy).alias("entropy"))
 
+    def starts(ordered: Column) -> Column:
+        places = F.transform(ordered, lambda _, i: i)
+        return F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
 
-FEW_CHARACTERS = 256
+    return bind(F.sort_array(items), lambda ordered: bind(starts(ordered), lambda begins: finish(ordered, begins)))
 
 
 def short_text_entropy(text: Column) -> Column:
@@ -95,8 +83,8 @@ def character_entropy(text: Column, alphabet: Column, size: Column) -> Column:
     """The same for long texts.
 
     ``alphabet`` holds the distinct characters of ``text``, ``size`` its UTF-16 length.
-    A text has few distinct characters, and taking one out shows how often it occurs: one
-    native pass per distinct character, no sorting. Texts with a large alphabet are sorted.
+    Taking a character out of a text shows how often it occurs: one native pass per distinct
+    character, no sorting.
     All arguments should be columns of their own, as they are read many times.
     """
     length = F.length(text)
@@ -106,12 +94,7 @@ def character_entropy(text: Column, alphabet: Column, size: Column) -> Column:
         return acc + n * F.log2(n)
 
     spread = length * F.log2(size.cast("double")) - F.aggregate(alphabet, F.lit(0.0), add)
-    by_removal = steady(spread / size)
-    return (
-        F.when(text == "", F.lit(0.0))
-        .when(F.size(alphabet) <= FEW_CHARACTERS, by_removal)
-        .otherwise(short_text_entropy(text))
-    )
+    return F.when(text == "", F.lit(0.0)).otherwise(steady(spread / size))
 
 
 def masked(source: Column) -> Column:

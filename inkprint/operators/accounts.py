@@ -20,30 +20,27 @@ def valid_sessions(sessions: DataFrame, users: DataFrame, at: Column) -> DataFra
     return live.join(users, "user_id")
 
 
-def user_of_token(sessions: DataFrame, users: DataFrame, token: str, at: Column) -> DataFrame:
-    """The user an access token belongs to, at most one row."""
-    mine = sessions.filter(F.col("token_hash") == F.sha2(F.lit(token), 256))
-    return valid_sessions(mine, users, at).limit(1)
-
-
 def activity_sessions(history: DataFrame, gap_seconds: int, slice_seconds: int = 86_400) -> DataFrame:
     """Runs of activity of a target with no pause of ``gap_seconds`` or more.
 
-    A busy target has very many rows but few sessions. Runs are first found within slices of
-    time, then the runs of neighbouring slices are joined: the second step sees one row per
-    run, not one per event.
+    Events less than a gap apart are one run, so those of one interval of that length are counted
+    first, before the shuffle: a target has a row per interval at most, however busy it is. Runs
+    are then found within slices of time, and the runs of neighbouring slices are joined.
     """
     gap = gap_seconds * 1_000_000
-    staged = history.select("target", F.unix_micros("ts").alias("us")).withColumn(
-        "slice", F.floor(F.col("us") / (slice_seconds * 1_000_000))
+    us = F.unix_micros("ts")
+    staged = (
+        history.groupBy("target", F.floor(us / gap).alias("interval"))
+        .agg(F.min(us).alias("from"), F.max(us).alias("to"), F.count("*").alias("rows"))
+        .withColumn("slice", F.floor(F.col("from") / (slice_seconds * 1_000_000)))
     )
-    inside = Window.partitionBy("target", "slice").orderBy("us")
+    inside = Window.partitionBy("target", "slice").orderBy("from")
     apart = lambda now, before: (before.isNull() | (now - before >= gap)).cast("int")
     runs = (
-        staged.withColumn("opens", apart(F.col("us"), F.lag("us").over(inside)))
+        staged.withColumn("opens", apart(F.col("from"), F.lag("to").over(inside)))
         .withColumn("run", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("target", "slice", "run")
-        .agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("scans"))
+        .agg(F.min("from").alias("first"), F.max("to").alias("last"), F.sum("rows").alias("scans"))
     )
     along = Window.partitionBy("target").orderBy("first")
     return (

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.config import DEFAULT_CONFIG, ScanConfig
+from inkprint.operators.ordering import join_spread
 from inkprint.operators.score import no_explanation
 
 BLOCK_LINES = 128
@@ -56,11 +57,11 @@ def attribute(
 
     Outside every unit the score is the threshold and the explanation is empty. Repeated
     places (a manifest that takes every dependency finding) are reduced to one before the
-    range join; the join back is a plain equi join, which adaptive execution can split.
+    range join; the join back deals a hot place out over salts.
     """
     places = findings.select("file", "line").distinct()
     owners = unit_of_line(places, scored, list(payload))
-    joined = findings.drop("ai_score", "explained").join(owners, ["file", "line"], "left")
+    joined = join_spread(findings.drop("ai_score", "explained"), owners, ["file", "line"])
     outside = {"score": F.lit(config.threshold), "explained": no_explanation()}
     names = {"score": "ai_score"}
     return joined.select(

@@ -180,11 +180,13 @@ def unknown_imports(units: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     Unknown modules, and unknown names of known modules.
     """
-    used = imports(units)
-    modules = catalogue.select("module").distinct()
+    used = imports(units).distinct()
+    # the right sides of semi and anti joins stay as they are: a distinct on the join key would keep
+    # adaptive execution from splitting a module that most units import
+    modules = catalogue.select("module")
     missing = used.select("path", "module").join(modules, "module", "left_anti").distinct()
     named = used.filter(F.col("export").isNotNull()).join(modules, "module", "left_semi")
-    bad = named.join(catalogue.select("module", "export").distinct(), ["module", "export"], "left_anti").distinct()
+    bad = named.join(catalogue.select("module", "export"), ["module", "export"], "left_anti").distinct()
     finding = lambda df, key, export, message, rule: df.select(
         digest(10, "import", F.col("path"), key).alias("id"),
         F.col("path").alias("file"), "module", export.alias("export"), message.alias("message"),
@@ -209,11 +211,9 @@ def unknown_members(units: DataFrame, catalogue: DataFrame) -> DataFrame:
         "path",
         F.substring_index("call", ".", 1).alias("module"),
         F.rtrim(F.substring_index("call", ".", -1)).alias("export"),
-    )
-    known = calls.join(catalogue.select("module").distinct(), "module", "left_semi")
-    return known.join(
-        catalogue.select("module", "export").distinct(), ["module", "export"], "left_anti"
-    ).distinct()
+    ).distinct()  # a module that every unit calls comes once per unit and member
+    known = calls.join(catalogue.select("module"), "module", "left_semi")
+    return known.join(catalogue.select("module", "export"), ["module", "export"], "left_anti").distinct()
 
 
 # --- D10 ---------------------------------------------------------------------------------
@@ -221,15 +221,5 @@ def unknown_members(units: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def without_suppressed(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Drops findings whose id is suppressed."""
-    ids = suppressions.select(F.col("finding_id").alias("id")).distinct()
+    ids = suppressions.select(F.col("finding_id").alias("id"))
     return findings.join(ids, "id", "left_anti")
-
-
-def kind_of_source(source: Column, category: Column) -> Column:
-    """The kind of finding the severity matrix knows."""
-    return (
-        F.when(source == "secret-detector", "secret")
-        .when(contains_any(category, ("injection", "xss", "unsafe", "supply-chain")), "known-vulnerability")
-        .when(contains_any(category, ("regex", "security", "crypt", "auth")), "insecure-pattern")
-        .otherwise("code-quality")
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint import fixed
-from inkprint.functions.scalars import half_up
+from inkprint.functions.scalars import half_up, trim_ws
 from inkprint.operators.ordering import trailing_count, with_first, with_previous
 from inkprint.sources import schemas
 
@@ -50,20 +50,30 @@ def latest_findings(scans: DataFrame, findings: DataFrame) -> DataFrame:
 # --- history lines -----------------------------------------------------------------------
 
 
+def _solid(lines: DataFrame) -> DataFrame:
+    """Lines without the white space around them; blank ones are gone."""
+    return lines.withColumn("line", trim_ws(F.col("line"))).filter("line != ''")
+
+
 def retained_history(lines: DataFrame, keep: int = fixed.HISTORY_LINES_KEPT) -> DataFrame:
     """The last ``keep`` lines that are not blank (``seq``, ``line``)."""
-    return newest(lines.filter(F.trim("line") != ""), "seq", keep)
+    return newest(_solid(lines), "seq", keep)
 
 
 def recent_history(lines: DataFrame, limit: int = 3) -> DataFrame:
     """The last lines first, then only those of them that parse; newest on top."""
-    last = newest(lines.filter(F.trim("line") != ""), "seq", max(1, limit))
-    parsed = last.withColumn(
-        "entry", F.from_json("line", schemas.HISTORY + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    )
-    return parsed.filter("entry._corrupt IS NULL AND entry.timestamp IS NOT NULL").select("seq", "entry.*").drop("_corrupt").orderBy(
-        F.col("seq").desc()
-    )
+    last = newest(_solid(lines), "seq", max(1, limit))
+    # only what is no JSON is dropped: a missing field, or one of another type, is null
+    field = lambda name: F.get_json_object("line", f"$.{name}")
+    typed = [(part.split()[0], part.split()[1]) for part in schemas.HISTORY.split(", ")]
+    sound = last.filter(F.try_parse_json("line").isNotNull() & (F.col("line") != "null"))
+    return sound.select("seq", *(field(n).try_cast(t).alias(n) for n, t in typed)).orderBy(F.col("seq").desc())
+
+
+def history_line(labels: DataFrame) -> DataFrame:
+    """the labels (``seq, label``; a few lines) newest first in one text, or ``history: none``."""
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "label")), asc=False), lambda e: e["label"]), " | ")
+    return labels.agg(F.concat(F.lit("history: "), F.coalesce(F.nullif(joined, F.lit("")), F.lit("none"))).alias("line"))
 
 
 # --- scan rows ---------------------------------------------------------------------------
@@ -93,7 +103,7 @@ def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("scan_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"))
 
 
-def repos_within_limits(files: DataFrame, max_bytes: int = fixed.REPO_SIZE_LIMIT, max_files: int | None = None) -> DataFrame:
+def repos_within_limits(files: DataFrame, max_bytes: int | Column = fixed.REPO_SIZE_LIMIT, max_files: int | None = None) -> DataFrame:
     """Repositories whose files stay below the limits, with their sizes."""
     sizes = files.groupBy("repo").agg(F.sum("length").alias("bytes"), F.count("*").alias("files"))
     kept = sizes.filter(F.col("bytes") <= max_bytes)

@@ -125,7 +125,7 @@ def eslint(raw: DataFrame, root: str = "", keep: Sequence[str] = (), rules: Sequ
     last = default_if_blank(F.element_at(F.split("rule", "/"), -1), F.col("rule"))
     return _emit(
         rows, keep,
-        id=digest(10, "eslint", F.col("file"), F.col("m.line"), F.col("m.column"), F.col("rule")),
+        id=digest(10, "eslint", F.col("file"), *(F.coalesce(F.col(c).cast("string"), F.lit(fixed.NO_VALUE)) for c in ("m.line", "m.column")), F.col("rule")),
         rule_id=F.col("rule"), file=F.col("file"), line=F.col("m.line"), column=F.col("m.column"),
         code=F.lit(""), type=F.concat(F.lit("ESLint "), spaced(last)), message=F.col("m.message"),
         category=eslint_category(F.col("rule")), severity=eslint_severity(F.col("m.severity")),

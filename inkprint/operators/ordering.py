@@ -13,6 +13,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HOT_PARTS = 1000  # a key with a thousandth of all rows is hot, so there are at most a thousand of them
+SALTS = 64
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``left`` joined with at most one row per key of ``right``, also where few keys hold most of ``left``.
+
+    Hot keys are counted (combined before the shuffle) and, being a thousand at most, broadcast to
+    both sides. Their rows are dealt out over the salts, and their right rows are repeated once per
+    salt; all other keys have one salt.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all")).scalar()
+    hot = F.broadcast(counts.filter(F.col("_n") * HOT_PARTS >= total).select(*keys, F.lit(True).alias("_hot")))
+    dealt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.join(hot, list(keys), "left").withColumn("_salt", dealt).drop("_hot")
+    copies = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], slice_of: Column
 ) -> DataFrame:
@@ -57,7 +78,7 @@ def with_position(
 def with_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Adds ``first_<value>`` of each key: one pre-aggregated row per key, joined back."""
     firsts = df.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_first"))
-    joined = df.join(firsts, list(keys), "left")
+    joined = join_spread(df, firsts, keys)
     return joined.withColumns({f"first_{v}": F.col("_first")[v] for v in values}).drop("_first")
 
 
@@ -66,16 +87,16 @@ def trailing_count(
 ) -> DataFrame:
     """Adds how many rows of the key fall into the last ``span`` seconds, the row included.
 
-    Each row goes to its own block of ``span`` seconds and, as history only, to the next one:
-    a window of one block then sees everything it needs.
+    Rows of one second count once, with their number. Each second goes to its own block of
+    ``span`` seconds and, as history only, to the next one: a window of one block then sees
+    everything it needs, two rows per second of the span at most. The rows join their second.
     """
-    block = F.floor(seconds / span)
-    staged = df.withColumns({"_sec": seconds, "_own": block}).withColumn(
-        "_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
+    block = F.floor(F.col("_sec") / span)
+    each = df.withColumn("_sec", seconds)
+    staged = (
+        each.groupBy(*keys, "_sec").agg(F.count("*").alias("_rows")).withColumn("_own", block)
+        .withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
     )
     frame = Window.partitionBy(*keys, "_block").orderBy("_sec").rangeBetween(-span, 0)
-    return (
-        staged.withColumn(name, F.count("*").over(frame))
-        .filter(F.col("_block") == F.col("_own"))
-        .drop("_sec", "_own", "_block")
-    )
+    trailing = staged.withColumn(name, F.sum("_rows").over(frame)).filter(F.col("_block") == F.col("_own")).select(*keys, "_sec", name)
+    return each.join(trailing, [*keys, "_sec"], "left").drop("_sec")

@@ -219,19 +219,34 @@ def first_findings(findings: DataFrame, limit: int | None, *order: str) -> DataF
     return findings if limit is None else findings.orderBy(*order).limit(limit)
 
 
-def report_rows(summary: DataFrame, contributions: DataFrame, delta: DataFrame | None = None) -> DataFrame:
-    """The values of the text report as (place, section, label, value) rows."""
+def plain_number(n: Column) -> Column:
+    """One decimal where there is one, none otherwise."""
+    return F.regexp_replace(F.format_string("%.1f", n), r"\.0$", "")
+
+
+def report_rows(
+    summary: DataFrame, contributions: DataFrame, delta: DataFrame | None = None, folders: DataFrame | None = None,
+    findings: DataFrame | None = None, duration_ms: int | None = None,
+) -> DataFrame:
+    """The values of the text report as (place, section, label, value) rows.
+
+    ``folders`` is the folder movement of the delta, ``findings`` give the severity bar.
+    """
     text = lambda c: F.col(c).cast("string")
     percent = lambda c: F.concat(text(c), F.lit("%"))
+    context = F.lit("")
+    if delta is not None:
+        since = F.concat(F.lit(", "), signed(F.col("new_high") + F.col("new_critical")), F.lit(" high-risk vs last run"))
+        context = delta.select(F.when(F.col("baseline"), "").otherwise(since)).scalar()
     entries = [
         ("metrics", "files", text("files_scanned")),
         ("metrics", "units", text("total_units")),
         ("metrics", "ai-flagged units", text("flagged_units")),
         ("metrics", "AI score", F.concat(text("ai_score"), F.lit("/100"))),
         ("metrics", "AI%", percent("ai_percentage")),
-        ("metrics", "risk", F.concat(F.format_string("%.1f", "findings_per_1k_loc"), F.lit("/1k LOC"))),
+        ("metrics", "risk", F.concat(plain_number(F.col("findings_per_1k_loc")), F.lit("/1k LOC"))),
         ("metrics", "gate", F.when(F.col("blocked"), "blocked").otherwise("pass")),
-        ("metrics", "gate reason", F.col("gate_reason")),
+        ("metrics", "gate reason", F.concat(F.col("gate_reason"), context)),
         ("ai-origin", "score", F.concat(text("ai_score"), F.lit("/100"))),
         ("ai-origin", "flagged units", text("flagged_units")),
         ("ai-origin", "ratio", percent("ai_percentage")),
@@ -239,20 +254,35 @@ def report_rows(summary: DataFrame, contributions: DataFrame, delta: DataFrame |
         *[("security", s.lower(), text(s.lower())) for s in fixed.SEVERITIES],
         *[("bands", b, text(f"band_{b.lower()}")) for b in fixed.BANDS],
     ]
+    if duration_ms is not None:
+        entries.append(("metrics", "duration", F.lit(f"{duration_ms}ms")))
     rows = _as_rows(summary, entries, 0)
-    top = contributions.orderBy(F.col("score").desc(), "signal").limit(4).select(
-        F.lit(100).alias("place"), F.lit("top signals").alias("section"), F.col("signal").alias("label"),
-        F.concat(F.col("contribution").cast("string"), F.lit("%")).alias("value"),
-    )
-    rows = rows.unionByName(top)
+    order = F.array_position(F.array(*[F.lit(s.name) for s in SIGNALS]), F.col("signal"))
+    ranked = F.struct((-F.col("score")).alias("score"), order.alias("at"), "signal", "contribution")
+    top = contributions.agg(F.slice(F.sort_array(F.collect_list(ranked)), 1, 4).alias("top")).select(F.posexplode("top").alias("i", "t"))
+    rows = rows.unionByName(top.select(
+        (F.col("i") + 100).alias("place"), F.lit("top signals").alias("section"), F.col("t.signal").alias("label"),
+        F.concat(F.col("t.contribution").cast("string"), F.lit("%")).alias("value"),
+    ))
     if delta is not None:
+        change = lambda value: F.when(~F.col("baseline"), value)
         rows = rows.unionByName(_as_rows(delta, [
-            ("delta", "new", text("new_findings")),
-            ("delta", "resolved", text("resolved_findings")),
-            ("delta", "risk delta", signed(F.col("risk_change"))),
-            ("delta", "alert", F.when(F.col("regression_alert"), "regression").otherwise("stable")),
-            ("delta", "high-risk vs last run", signed(F.col("new_high") + F.col("new_critical"))),
-        ], 200))
+            ("delta", "new", change(text("new_findings"))),
+            ("delta", "resolved", change(text("resolved_findings"))),
+            ("delta", "risk delta", change(signed(F.col("risk_change")))),
+            ("delta", "alert", change(F.when(F.col("regression_alert"), "regression").otherwise("stable"))),
+            ("delta", "baseline", F.when(F.col("baseline"), fixed.BASELINE_NOTE)),
+        ], 200).filter("value IS NOT NULL"))
+    if folders is not None:
+        moved = F.struct((-F.abs("change")).alias("by"), "folder", F.concat("folder", F.lit(":"), signed(F.col("change"))).alias("text"))
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(moved)), lambda m: m["text"]), "   ")
+        movement = folders.agg(F.nullif(joined, F.lit("")).alias("moved"))
+        rows = rows.unionByName(_as_rows(movement, [("delta", "folder movement", F.col("moved"))], 300).filter("value IS NOT NULL"))
+    if findings is not None:
+        rows = rows.unionByName(severity_shares(findings).select(
+            (F.col("place") + 400).alias("place"), F.lit("severity").alias("section"), F.col("severity").alias("label"),
+            F.col("width").cast("string").alias("value"),
+        ))
     return rows
 
 

@@ -12,6 +12,7 @@ from inkprint import fixed
 from inkprint.config import DEFAULT_CONFIG, ScanConfig
 from inkprint.functions.rows import keep_rows
 from inkprint.functions.scalars import half_up, steady
+from inkprint.operators.ordering import join_spread
 from inkprint.operators.signals import SIGNALS, figures, signal_scores
 
 N_SIGNALS = len(SIGNALS)
@@ -164,9 +165,8 @@ def repo_fingerprint(with_figures: DataFrame, repo: str) -> DataFrame:
 
 def baseline_deviation(with_figures: DataFrame, baseline: DataFrame, repo: str) -> DataFrame:
     """Distance of each unit from its repository's style, in standard deviations."""
-    joined = with_figures.join(
-        baseline.select(repo, "entropy_mean", "entropy_stddev", "comment_mean", "comment_stddev"), repo
-    )
+    style = baseline.select(repo, "entropy_mean", "entropy_stddev", "comment_mean", "comment_stddev")
+    joined = join_spread(with_figures, style, [repo], "inner")
     distance = lambda x, mean, sd: F.when(sd > 1e-9, F.abs(x - mean) / sd).otherwise(F.lit(0.0))
     return joined.withColumns({
         "entropy_deviation": steady(distance(F.col("ident_entropy"), F.col("entropy_mean"), F.col("entropy_stddev"))),

@@ -34,6 +34,7 @@ from inkprint.streaming.lockout import lock_events
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ROOT = "/work/repo"
+SCAN_PARTS = "spark.inkprint.scanParts"
 
 
 def query(fn: Query) -> Query:
@@ -62,16 +63,12 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Splits a scan that arrives in fewer parts than there are cores.
+    """Deals a scan out to as many parts as ``spark.inkprint.scanParts`` says; as it is read without.
 
-    A large table comes in many splits and stays as it is; a small file would otherwise be
-    scored by a single task. For plain scans only: asking a shuffled plan for its parts runs it.
+    For tables of one small file, which one task would read. The setting is the caller's.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if arrives_small(df) else df
-
-
-def arrives_small(scan: DataFrame) -> bool:
-    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
+    parts = df.sparkSession.conf.get(SCAN_PARTS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,10 +230,7 @@ def lexical_complexity(spark, sf_dir):
 
 @query
 def lexical_units(spark, sf_dir):
-    files = tb.derived_files(spark, sf_dir)
-    if arrives_small(tb.read(spark, sf_dir, "orders")):
-        # a small shuffle is merged into one task, and the splitting would run in it
-        files = files.repartition(spark.sparkContext.defaultParallelism)
+    files = spread(tb.derived_files(spark, sf_dir))
     return un.split_files(files).select(
         "path", "name", "kind", "start_line", "end_line",
         un.unit_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("name")).alias("id"),
@@ -434,7 +428,7 @@ def changed_units(spark, sf_dir):
         F.concat(F.lit("conv"), (F.col("l_orderkey") % 120).cast("string")).alias("path"),
         (F.col("l_quantity") * 3).cast("int").alias("first_line"),
         (F.col("l_quantity") * 3 + F.col("l_linenumber") - 3).cast("int").alias("last_line"),
-    ).filter("first_line % 5 = 1")
+    )
     return at.changed_units(_turn_units(spark, sf_dir), changes).select("path", "ordinal", "start_line", "end_line")
 
 
@@ -820,8 +814,7 @@ def scan_status(spark, sf_dir):
 def repo_size_gate(spark, sf_dir):
     files = tb.read(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("n_chars").alias("length"))
     average = files.agg(F.floor(F.avg("length") * 48).alias("limit"))
-    sizes = hs.repos_within_limits(files, max_bytes=1 << 60)
-    return sizes.filter(F.col("bytes") <= average.scalar())
+    return hs.repos_within_limits(files, max_bytes=average.scalar())
 
 
 @query

@@ -14,6 +14,7 @@ from inkprint.config import DEFAULT_CONFIG, ScanConfig
 from inkprint.operators import attribute as at
 from inkprint.operators import calibrate as cal
 from inkprint.operators import delta as dl
+from inkprint.operators import paths as pt
 from inkprint.operators import report as rp
 from inkprint.operators.findings import FINDING_COLUMNS, local_findings, without_suppressed
 from inkprint.operators.registry import ScannerRegistry, default_registry
@@ -37,10 +38,13 @@ class Scan:
     summary: DataFrame
     contributions: DataFrame
     delta: DataFrame | None
+    folders: DataFrame | None
     phases: Mapping[str, int]
 
     def rows(self) -> DataFrame:
-        return rp.report_rows(self.summary, self.contributions, self.delta)
+        return rp.report_rows(
+            self.summary, self.contributions, self.delta, self.folders, self.findings, self.phases["total"]
+        )
 
 
 class _Phases:
@@ -68,6 +72,16 @@ def score_table(units: DataFrame, config: ScanConfig = DEFAULT_CONFIG) -> DataFr
     }).select(*UNIT_COLUMNS, "signals", "explained")
 
 
+def configured_files(files: DataFrame, config: ScanConfig, root: str = "/") -> DataFrame:
+    """The files the configuration leaves: not excluded; those above the size limit are ``skipped`` and lose their content."""
+    files = files.filter(~pt.is_excluded(F.col("path"), config.exclude, root))
+    if "content" not in files.columns:
+        return files
+    large = F.coalesce(F.octet_length("content") > config.max_file_size, F.lit(False))
+    files = files.withColumn("status", F.when(large, "skipped").otherwise(F.col("status") if "status" in files.columns else F.lit("scanned")))
+    return files.withColumn("content", F.when(~large, F.col("content")))
+
+
 def run_scan(
     spark: SparkSession,
     files: DataFrame,
@@ -89,6 +103,7 @@ def run_scan(
     """
     phases = _Phases()
     folder = folder or work_folder(spark, "scan")
+    files = configured_files(files, config, root)
     if units is None:
         units = split_files(files)
     score_table(units, config).write.mode("overwrite").parquet(f"{folder}/units")
@@ -110,15 +125,19 @@ def run_scan(
     summary.write.mode("overwrite").parquet(f"{folder}/summary")
     summary = spark.read.parquet(f"{folder}/summary")
     contributions = rp.weighted_contributions(scored, config)
-    delta = None
+    delta = folders = None
     if snapshots is not None and target_key is not None:
         now = F.current_timestamp()
         current = dl.snapshot(findings, target_key, now, root)
-        dl.delta_summary(current, snapshots.previous(target_key)).write.mode("overwrite").parquet(f"{folder}/delta")
+        previous = snapshots.previous(target_key)
+        dl.delta_summary(current, previous).write.mode("overwrite").parquet(f"{folder}/delta")
+        if previous is not None:
+            dl.folder_movement(current, previous).write.mode("overwrite").parquet(f"{folder}/folders")
+            folders = spark.read.parquet(f"{folder}/folders")
         delta = spark.read.parquet(f"{folder}/delta")
         snapshots.replace(current, target_key, now)
     phases.done("reportGeneration")
-    return Scan(folder, scored, findings, summary, contributions, delta, phases.profile())
+    return Scan(folder, scored, findings, summary, contributions, delta, folders, phases.profile())
 
 
 def run_check(spark: SparkSession, files: DataFrame, changed: DataFrame, config: ScanConfig = DEFAULT_CONFIG, **options) -> Scan:

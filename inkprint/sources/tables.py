@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from inkprint.operators import history
 
-# A report of more rows than this is not put into one document; the tables are the report.
-DOCUMENT_ROWS = 50_000
-
 SNAPSHOT_SCHEMA = "scan_ts timestamp, id string, severity string, folder string, target_key string"
 
 
@@ -25,23 +22,20 @@ def write_report_tables(summary: DataFrame, units: DataFrame, findings: DataFram
         table.write.mode("overwrite").json(f"{path}/{name}")
 
 
-def report_document(summary: DataFrame, units: DataFrame, findings: DataFrame) -> DataFrame:
-    """S8 as one document: a single row with the nested report.
+def report_documents(units: DataFrame, findings: DataFrame) -> DataFrame:
+    """One JSON document per path with its units and findings; the summary stands beside them.
 
-    Only for reports whose size has been checked; larger ones go to `write_report_tables`.
+    A document is as large as its file's report, whatever the size of the scan. A file without
+    units or without findings has an empty list.
     """
-    size = units.limit(DOCUMENT_ROWS + 1).count() + findings.limit(DOCUMENT_ROWS + 1).count()
-    if size > DOCUMENT_ROWS:
-        raise ValueError(f"more than {DOCUMENT_ROWS} report rows: use write_report_tables")
-    per_unit = units.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.struct("*").alias("unit")))).alias("u"))
-    per_unit = per_unit.select("path", F.col("u.unit").alias("units"))
-    per_finding = findings.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("*")).alias("findings"))
-    files = per_unit.join(per_finding, "path", "full_outer").agg(
-        F.sort_array(F.collect_list(F.struct("path", "units", "findings"))).alias("files")
-    )
-    return summary.select(
-        F.to_json(F.struct(F.struct("*").alias("summary"), files.scalar().alias("files"))).alias("report")
-    )
+    rows = lambda df, path, order: df.groupBy(F.col(path).alias("path")).agg(
+        F.sort_array(F.collect_list(F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), F.struct("*").alias("row")))).alias("rows")
+    ).select("path", F.col("rows.row").alias("rows"))
+    per_unit = rows(units, "path", ("ordinal", "start_line", "id")).withColumnRenamed("rows", "units")
+    per_finding = rows(findings, "file", ("line", "id")).withColumnRenamed("rows", "findings")
+    both = per_unit.join(per_finding, "path", "full_outer")
+    body = F.struct("path", *(F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("units", "findings")))
+    return both.select("path", F.to_json(body).alias("report"))
 
 
 class SnapshotStore:

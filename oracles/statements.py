@@ -248,7 +248,7 @@ owner AS (SELECT file, line, min(ordinal) AS unit_ordinal, arg_min(score, ordina
 oracle("files_seen", "path s", f"WITH {_TURNS}, {_PLACES} --FINAL SELECT path FROM turns UNION SELECT file FROM places")
 oracle("changed_units", "path s, ordinal b, start_line b, end_line b", f"""WITH {_TURNS},
 changes AS (SELECT 'conv' || (l_orderkey % 120) AS path, cast(l_quantity * 3 AS bigint) AS a, cast(l_quantity * 3 + l_linenumber - 3 AS bigint) AS b
-  FROM lineitem WHERE l_returnflag = 'R' AND cast(l_quantity * 3 AS bigint) % 5 = 1)
+  FROM lineitem WHERE l_returnflag = 'R')
 --FINAL SELECT path, ordinal, start_line, end_line FROM turns t WHERE EXISTS (SELECT 1 FROM changes c WHERE c.path = t.path AND a <= b
  AND t.start_line <= c.b AND t.end_line >= c.a)""")
 oracle("changed_files", "path s, ordinal b", f"""WITH {_TURNS} --FINAL SELECT path, ordinal FROM turns
@@ -325,8 +325,8 @@ _ROWS = []
 for _i, (_section, _label, _value) in enumerate([
     ("metrics", "files", "files_scanned"), ("metrics", "units", "total_units"), ("metrics", "ai-flagged units", "flagged_units"),
     ("metrics", "AI score", "ai_score || '/100'"), ("metrics", "AI%", "ai_percentage || '%'"),
-    ("metrics", "risk", "printf('%.1f', findings_per_1k_loc) || '/1k LOC'"),
-    ("metrics", "gate", "CASE WHEN blocked THEN 'blocked' ELSE 'pass' END"), ("metrics", "gate reason", "gate_reason"),
+    ("metrics", "risk", "regexp_replace(printf('%.1f', findings_per_1k_loc), '[.]0$', '') || '/1k LOC'"),
+    ("metrics", "gate", "CASE WHEN blocked THEN 'blocked' ELSE 'pass' END"), ("metrics", "gate reason", "gate_reason || ', ' || (SELECT CASE WHEN new_high + new_critical > 0 THEN '+' ELSE '' END || (new_high + new_critical) FROM delta) || ' high-risk vs last run'"),
     ("ai-origin", "score", "ai_score || '/100'"), ("ai-origin", "flagged units", "flagged_units"),
     ("ai-origin", "ratio", "ai_percentage || '%'"), ("ai-origin", "threshold", "threshold"),
     *[("security", s, s) for s in _SEV], *[("bands", b, f"band_{b.lower()}") for b in fixed.BANDS],
@@ -334,13 +334,12 @@ for _i, (_section, _label, _value) in enumerate([
     _ROWS.append(f"SELECT {_i} AS place, '{_section}' AS section, '{_label}' AS label, cast({_value} AS varchar) AS value FROM summary")
 _SIGNED = lambda x: f"CASE WHEN {x} > 0 THEN '+' || cast({x} AS varchar) ELSE cast({x} AS varchar) END"
 _ROWS.append(
-    f"SELECT 100, 'top signals', signal, {rnd('score / (SELECT sum(score) FROM contrib) * 100')} || '%' FROM "
-    "(SELECT * FROM contrib ORDER BY score DESC, signal LIMIT 4)"
+    f"SELECT 99 + p, 'top signals', signal, {rnd('score / (SELECT sum(score) FROM contrib) * 100')} || '%' FROM "
+    f"(SELECT *, row_number() OVER (ORDER BY score DESC, list_position({list(fixed.SIGNAL_WEIGHTS)}, signal)) AS p FROM contrib) WHERE p <= 4"
 )
 for _i, (_label, _value) in enumerate([
     ("new", "cast(new_findings AS varchar)"), ("resolved", "cast(resolved_findings AS varchar)"), ("risk delta", _SIGNED("risk_change")),
     ("alert", "CASE WHEN regression_alert THEN 'regression' ELSE 'stable' END"),
-    ("high-risk vs last run", _SIGNED("(new_high + new_critical)")),
 ]):
     _ROWS.append(f"SELECT {200 + _i}, 'delta', '{_label}', {_value} FROM delta")
 oracle("report_rows", "place b, section s, label s, value s",
