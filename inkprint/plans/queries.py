@@ -941,7 +941,7 @@ def stream_dedupe(spark, sf_dir):
 @query
 def stream_sessions(spark, sf_dir):
     history = _event_stream(spark, sf_dir).select(F.col("user_id").alias("target"), "ts")
-    made = sinks.final_state(jobs.target_sessions(history, "1 hour", "12 hours"), "sessions", ["target", "start"], "complete")
+    made = sinks.append_all(jobs.target_sessions(history, "1 hour", "12 hours"), "sessions")
     return made.select("target", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "scans")
 
 
@@ -950,11 +950,10 @@ def stream_delta(spark, sf_dir):
     found = sinks.source(spark, sf_dir, "lineitem").select(
         *[F.expr(sql).alias(name) for name, sql in tb.finding_columns("spark").items()]
     )
-    rows = jobs.delta_on_arrival(found.filter("current"), _delta_sides(spark, sf_dir)[1], "delta")
-    return rows.drop("batch")
+    return jobs.delta_on_arrival(found.filter("current"), _delta_sides(spark, sf_dir)[1], "delta")
 
 
 @query
 def stream_lockouts(spark, sf_dir):
-    attempts = _attempts(_event_stream(spark, sf_dir)).select("user_id", F.unix_micros("ts").alias("us"), "seq", "ok")
-    return sinks.append_all(lock_events(attempts), "lockouts")
+    """Locks of attempts the watermark has passed, an hour before the last one."""
+    return sinks.append_all(lock_events(_attempts(_event_stream(spark, sf_dir))), "lockouts")

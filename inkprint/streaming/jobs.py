@@ -43,13 +43,19 @@ def finding_rate(findings: DataFrame, lateness: str, width: str, slide: str | No
 
 
 def delta_on_arrival(findings: DataFrame, previous: DataFrame | None, purpose: str) -> DataFrame:
-    """ST4: each arriving batch against the stored snapshot, one delta row per batch."""
+    """ST4: the scan that arrives against the stored snapshot, in however many batches it comes.
+
+    A batch is part of a scan: what it lacks may still come. So batches are only collected (a
+    repeated batch replaces its own folder), and the comparison is made once the stream has ended.
+    """
+    narrow = findings.select("id", "severity")
 
     def write(batch: DataFrame, place: str) -> None:
-        dl.delta_summary(batch, previous).write.mode("overwrite").parquet(place)
+        batch.write.mode("overwrite").parquet(place)
 
-    rows = each_batch(findings, purpose, write, mode="append")
-    return findings.sparkSession.read.option("basePath", rows).parquet(rows)
+    rows = each_batch(narrow, purpose, write, mode="append")
+    arrived = findings.sparkSession.read.schema(narrow.schema).option("recursiveFileLookup", "true").parquet(rows)
+    return dl.delta_summary(arrived, previous)
 
 
 def unique_findings(findings: DataFrame, lateness: str) -> DataFrame:
@@ -65,8 +71,3 @@ def target_sessions(history: DataFrame, lateness: str, gap: str) -> DataFrame:
         .agg(F.count("*").alias("scans"))
         .select("target", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "scans")
     )
-
-
-def phase_profile(progress: dict) -> dict[str, int]:
-    """Milliseconds per phase of one streaming batch."""
-    return {phase: int(ms) for phase, ms in progress["durationMs"].items()}

@@ -1,12 +1,16 @@
 """Sources, sinks, registry, scan and streams, end to end on small inputs."""
 
+import dataclasses
 import json
 import os
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint import merge_config
+from inkprint.operators import accounts as ac
 from inkprint.operators import calibrate as cal
 from inkprint.operators import report as rp
 from inkprint.operators.registry import Scanner, ScannerRegistry, default_registry
@@ -72,7 +76,7 @@ def test_scan_end_to_end(spark, repo, tmp_path):
     again = run_scan(spark, fs.read_files(spark, repo, max_size=1000), merge_config(hallucination_detection=False), **options)
     delta = again.delta.first()
     assert not delta["baseline"] and delta["resolved_findings"] == 1 and delta["new_findings"] == 0
-    assert {r["section"] for r in again.rows().collect()} == {"metrics", "ai-origin", "security", "bands", "top signals", "delta"}
+    assert {r["section"] for r in again.rows().collect()} == {"metrics", "ai-origin", "security", "bands", "top signals", "delta", "severity"}
 
     ids = scan.findings.filter("source = 'secret-detector'").select(F.col("id").alias("finding_id"))
     quiet = run_scan(spark, fs.read_files(spark, repo, max_size=1000), suppressions=ids, root=repo)
@@ -84,6 +88,15 @@ def test_scan_end_to_end(spark, repo, tmp_path):
     assert run_check(spark, fs.read_files(spark, repo), missed).summary.first()["total_units"] == 0
 
 
+def test_configuration_reaches_the_scan(spark, repo):
+    config = merge_config(exclude=("deep", "test", "node_modules"), max_file_size=100)
+    row = run_scan(spark, fs.read_files(spark, repo, exclude=()), config, root=repo).summary.first()
+    # b.js is excluded; a.ts and large.ts are above the limit; the broken file stays
+    assert (row["files_scanned"], row["skipped_files"], row["total_units"]) == (1, 2, 1)
+    read_by = {"threshold", "block_on", "exclude", "secret_detection", "hallucination_detection", "max_file_size", "weights", "scanners"}
+    assert {f.name for f in dataclasses.fields(type(config))} == read_by
+
+
 def test_empty_scan(spark):
     row = run_scan(spark, spark.createDataFrame([], "path string, content string")).summary.first()
     assert (row["files_scanned"], row["skipped_files"], row["total_units"], row["blocked"], row["ai_score"]) == (0, 0, 0, False, 0)
@@ -200,17 +213,23 @@ def test_progress_over_batches(spark, tmp_path):
     assert got == {"s": (3, 4, 3), "t": (1, 1, 0)}
 
 
-def test_lockout_state_survives_batches(spark, tmp_path):
-    minute = 60_000_000
-    schema = "user_id bigint, us bigint, seq int, ok boolean"
+def test_lockouts_over_batches_equal_the_replay(spark, tmp_path):
+    """Attempts that come late, but within the watermark, count where their time puts them."""
+    schema = "user_id bigint, minute int, seq int, ok boolean"
+    stamped = lambda rows: spark.createDataFrame(rows, schema).select(
+        "user_id", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000).alias("ts"), "seq", "ok"
+    )
     frames = [
-        spark.createDataFrame([(1, i * minute, i, False) for i in range(4)] + [(2, 0, 0, False)], schema),
-        # fifth failure locks; the next ones fall into the lock; a late attempt is dropped
-        spark.createDataFrame([(1, 4 * minute, 4, False), (1, 5 * minute, 5, False), (1, 6 * minute, 6, True), (2, 1, 1, True)], schema),
-        spark.createDataFrame([(1, minute, 7, True)] + [(1, (19 + i) * minute, 8 + i, False) for i in range(5)], schema),
+        stamped([(1, i, i, False) for i in (0, 1, 3, 4)] + [(2, 0, 0, False)]),
+        stamped([(1, 2, 2, False), (1, 5, 5, False), (1, 6, 6, True), (2, 1, 1, True)]),  # minute 2 comes late: the fifth failure is at 4
+        stamped([(1, 22 + i, 8 + i, False) for i in (4, 3, 2, 1, 0)]),
+        stamped([(3, 500, 20, True)]),  # moves the watermark past all of them
     ]
-    got = sinks.append_all(lock_events(parts(spark, tmp_path, "l", frames)), "l").orderBy("locked_at_us").collect()
-    assert [(r["user_id"], r["locked_at_us"] // minute) for r in got] == [(1, 4), (1, 23)]
+    got = sinks.append_all(lock_events(parts(spark, tmp_path, "l", frames), "2 hours"), "l")
+    told = sorted((r["user_id"], r["locked_at_us"]) for r in got.collect())
+    whole = reduce(DataFrame.unionByName, frames)
+    assert told == sorted((r["user_id"], r["locked_at_us"]) for r in ac.lockouts(whole).collect())
+    assert [(u, (us // 1_000_000 - 1_700_000_000) // 60) for u, us in told] == [(1, 4), (1, 26)]
 
 
 def test_dedupe_and_delta_over_batches(spark, tmp_path):
@@ -226,5 +245,7 @@ def test_dedupe_and_delta_over_batches(spark, tmp_path):
     once = sinks.append_all(jobs.unique_findings(stream, "1 hour"), "d")
     assert sorted((r["id"], r["match_no"]) for r in once.collect()) == [("a", 0), ("a", 1), ("b", 0)]
     old = spark.createDataFrame([("a", "HIGH")], "id string, severity string")
-    rows = jobs.delta_on_arrival(stream, old, "d").orderBy("batch").collect()
-    assert [(r["new_findings"], r["regression_alert"]) for r in rows] == [(0, True), (1, True)]
+    row = jobs.delta_on_arrival(stream, old, "d").first()
+    assert (row["new_findings"], row["resolved_findings"], row["regression_alert"]) == (1, 0, True)
+    same = jobs.delta_on_arrival(stream, spark.createDataFrame([("a", "HIGH"), ("b", "CRITICAL")], "id string, severity string"), "d").first()
+    assert (same["new_findings"], same["resolved_findings"]) == (0, 0)
