@@ -27,7 +27,8 @@ from inkprint.operators import signals as sg
 from inkprint.operators import units as un
 from inkprint.plans import rawjson
 from inkprint.plans import tables as tb
-from inkprint.session import cut_lineage
+from inkprint.session import cut_lineage, work_folder
+from inkprint.sources import tables as ts
 from inkprint.streaming import jobs, sinks
 from inkprint.streaming.lockout import lock_events
 
@@ -729,6 +730,64 @@ def _latest_scans(spark, sf_dir) -> DataFrame:
     return _scans(spark, sf_dir)
 
 
+@query
+def scan_added(spark, sf_dir):
+    """The store with one more scan than there was before: the newest scan is added to the others."""
+    scans, found = _scans(spark, sf_dir), _scan_findings(spark, sf_dir)
+    newest = F.col("scan_id") == scans.agg(F.max_by("scan_id", F.struct("created_at", "scan_id"))).scalar()
+    kept, theirs = hs.add_scan(scans.filter(~newest), found.filter(~newest), scans.filter(newest), found.filter(newest))
+    counted = theirs.groupBy("scan_id").agg(F.count("*").alias("findings"))
+    return kept.select("scan_id").join(counted, "scan_id", "left").select("scan_id", F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+@query
+def api_findings(spark, sf_dir):
+    found = fd.local_findings(sc.score_units(units(spark, sf_dir)).withColumns({
+        "id": un.unit_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("name")), "explained": sc.explained(), "signals": sc.signal_array(merge_config()),
+    }))
+    listed = hs.api_findings(found.select(*fd.FINDING_COLUMNS))
+    return listed.groupBy("source", "severity").agg(
+        F.count("*").alias("findings"), F.max(F.size("top_signals")).alias("most_signals"), F.sum("ai_score").alias("ai_scores")
+    )
+
+
+@query
+def report_documents(spark, sf_dir):
+    found = tb.derived_findings(spark, sf_dir).select("file", "line", "id", "severity")
+    own = units(spark, sf_dir).select("path", "ordinal", "start_line", F.col("name").alias("id"))
+    documents = ts.report_documents(own, found)
+    part = lambda name: F.json_array_length(F.get_json_object("report", f"$.{name}")).cast("bigint")
+    return documents.select("path", part("units").alias("units"), part("findings").alias("findings"), F.get_json_object("report", "$.findings[0].id").alias("first_id"))
+
+
+@query
+def findings_written(spark, sf_dir):
+    """Findings as JSON lines, written to the shared folder and read back."""
+    found, place = tb.derived_findings(spark, sf_dir).select("id", "severity", "file", "line"), work_folder(spark, "findings")
+    ts.write_findings(found, place)
+    return spark.read.schema(found.schema).json(place).groupBy("severity").agg(F.count("*").alias("findings"), F.sum("line").alias("lines"), F.min("id").alias("first_id"))
+
+
+@query
+def snapshot_replaced(spark, sf_dir):
+    """The stored snapshot of a target after a second one has taken the place of the first."""
+    store = ts.SnapshotStore(spark, work_folder(spark, "snapshots"))
+    now, old = _delta_sides(spark, sf_dir)
+    for at, rows in (("2024-01-01", old), ("2024-01-02", now)):
+        stamp = F.to_timestamp(F.lit(at))
+        store.replace(rows.select(F.lit("t").alias("target_key"), stamp.alias("scan_ts"), "id", "severity", "folder"), "t", stamp)
+    return store.previous("t").groupBy("severity").agg(F.count("*").alias("findings"), F.date_format(F.max("scan_ts"), "yyyy-MM-dd").alias("scanned"))
+
+
+@query
+def calibration_written(spark, sf_dir):
+    """The sweep as it is written and read back."""
+    samples, place = cut_lineage(_samples(spark, sf_dir)), work_folder(spark, "calibration")
+    swept = cal.sweep(samples)
+    ts.write_calibration(swept, cal.corpus_counts(samples), cal.best_threshold(swept), place)
+    return spark.read.schema(swept.schema).json(f"{place}/evaluations")
+
+
 @query
 def findings_summary(spark, sf_dir):
     return rp.severity_counts(hs.latest_findings(_latest_scans(spark, sf_dir), _scan_findings(spark, sf_dir)))

@@ -517,6 +517,13 @@ _LATEST = f"{_SCANS}, {_SF}, latest AS (SELECT * FROM sf WHERE scan_id = (SELECT
 oracle("latest_findings", "scan_id s, id s, severity s", f"WITH {_LATEST} --FINAL SELECT * FROM latest")
 oracle("findings_summary", "critical b, high b, medium b, low b, total b", f"WITH {_LATEST} --FINAL SELECT "
        + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in fixed.SEVERITIES) + ", count(*) AS total FROM latest")
+oracle("scan_added", "scan_id s, findings b", f"WITH {_KEPT}, {_SF} --FINAL SELECT scan_id, (SELECT count(*) FROM sf WHERE sf.scan_id = kept.scan_id) AS findings FROM kept")
+oracle("report_documents", "path s, units b, findings b, first_id s", f"""WITH {FINDINGS}, {UNITS}, u AS (SELECT path, count(*) AS n FROM units GROUP BY path),
+f AS (SELECT file, count(*) AS n, arg_min(id, (line, id)) AS first_id FROM findings GROUP BY file)
+--FINAL SELECT coalesce(path, file) AS path, coalesce(u.n, 0) AS units, coalesce(f.n, 0) AS findings, first_id FROM u FULL JOIN f ON path = file""")
+oracle("findings_written", "severity s, findings b, lines b, first_id s", f"WITH {FINDINGS} --FINAL SELECT severity, count(*) AS findings, sum(line) AS lines, min(id) AS first_id FROM findings GROUP BY severity")
+oracle("snapshot_replaced", "severity s, findings b, scanned s", f"WITH {FINDINGS} --FINAL SELECT severity, count(*) AS findings, '2024-01-02' AS scanned FROM findings WHERE current GROUP BY severity")
+oracle("calibration_written", _SWEEP_SPEC, f"WITH {_SWEEP} --FINAL SELECT * FROM sweep")
 oracle("dashboard_totals", "critical b, high b, flagged_units b", f"WITH {_SCANS} --FINAL SELECT sum(critical) AS critical, sum(high) AS high, sum(flagged_units) AS flagged_units FROM scans")
 _Z = lambda c, n: f"CASE WHEN scan % 10 = 0 THEN 0 ELSE {c} END AS {n}"
 oracle("scan_rows", "scan b, status s, files_scanned b, total_units b, flagged_units b, ai_percentage b, critical b, high b, medium b, low b, scan_id s", f"""WITH {FINDINGS},
