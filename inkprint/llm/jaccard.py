@@ -30,7 +30,9 @@ from inkprint.llm.common import components, lookup, stored
 SHINGLE, PERCENT = 3, 90
 SLOTS = 18  # bits of the frequency sketch: its size is fixed
 GROUPS = 64  # coordinates of the points that travel
+FULL = 255  # a coordinate that may be more: it bounds nothing
 LEAF = 16  # entries of a node
+MEMBER_BITS = 24  # bits of the filter of clusters' members
 BLOCK_ROWS = 1024  # points of a block
 BLOCK_BYTES = 8 << 20  # bytes of the sets of a block
 BUCKET_ROWS = 20_000  # rows that one call handles, about
@@ -61,6 +63,10 @@ def shingle_set(text: str | None, words: _Words, size: int = SHINGLE) -> np.ndar
     return np.unique(mixed ^ (mixed >> np.uint64(29)))
 
 
+def class_number(tokens: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def needed(a, b, percent: int = PERCENT):
     """The least overlap of sets of these sizes that links them."""
     return -(-percent * (a + b) // (100 + percent))
@@ -160,10 +166,10 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                     prefix.append(None)
                     vector.append(None)
                     continue
-                node.append(int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True))
+                node.append(class_number(tokens))
                 rank = levels[(tokens >> np.uint64(64 - SLOTS)).astype(np.int64)]
                 prefix.append(tokens[np.lexsort((tokens, rank))][: prefix_length(len(tokens), percent)].view(np.int64))
-                vector.append(np.minimum(counts(tokens, GROUPS), 65535).astype("<u2").tobytes())
+                vector.append(np.minimum(counts(tokens, GROUPS), FULL).astype("u1").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(vector, pa.binary())],
                 ["doc_id", "n_shingles", "node", "prefix", "vector"],
@@ -200,28 +206,33 @@ def _edges(pairs: list[tuple[int, int]], nodes: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(nodes[at[:, 0]]), "b": pa.array(nodes[at[:, 1]])})
 
 
-def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of classes that span the clusters in which links can be; ``classes`` is stored."""
-    tokens = classes.select("node", F.explode("prefix").alias("token"))
-    often = stored(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "tokens")
-    met = lookup(tokens, often, "token", "n", tokens.count(), "inner").select("token", "node")
+def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of classes that span the clusters in which links can be; ``signed`` is stored."""
+    some = signed.filter("node IS NOT NULL")
+    tokens = some.select("node", F.col("n_shingles").cast("int").alias("size"), F.explode("prefix").alias("token"))
+    often = stored(
+        tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
+        .filter("low != high").select("token", "n"), "tokens",
+    )
+    total = some.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    met = lookup(tokens, often, "token", "n", total, "inner").select("token", "node", "size").distinct()
     # sizes of linked sets differ by a band at most: each set visits the band above its own
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9))).cast("int")
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9))).cast("int")
     spread = F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("visits")), F.struct((band + 1).alias("band"), F.lit(True).alias("visits"))))
-    shared = stored(met.join(classes.select("node", "n_shingles", "vector"), "node").select("token", "node", "n_shingles", "vector", spread.alias("at"))
-                    .select("token", "node", "n_shingles", "vector", "at.*"), "shared")
+    shared = stored(met.select("token", "node", spread.alias("at")).select("token", "node", "at.*"), "shared")
     sizes = stored(
         shared.groupBy("token", "band").agg(F.count("*").alias("n"), F.count_if(~F.col("visits")).alias("own_n")).filter("n > 1 AND own_n > 0"), "sizes"
     )
     keys = ["token", "band"]
-    rows = _pairs_of_blocks(shared, keys, sizes, F.ceil(F.col("n") / BLOCK_ROWS))
+    points_of = stored(some.select("node", "n_shingles", "vector").dropDuplicates(["node"]), "points")
+    rows = _pairs_of_blocks(shared, keys, sizes, F.ceil(F.col("n") / BLOCK_ROWS)).join(points_of, "node")
     total = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK_ROWS))).first()[0] or 0
 
     def pair(table: pa.Table) -> pa.Table:
         nodes, n = table.column("node").to_numpy(), table.column("n_shingles").to_numpy()
         visits, own, i, j = (table.column(c).to_numpy(zero_copy_only=False) for c in ("visits", "own", "i", "j"))
-        points = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<u2").reshape(len(n), GROUPS).astype(np.int32)
-        points[n > 65535] = 1 << 24  # such a set's counts may not fit: it is compared with all
+        points = np.frombuffer(b"".join(table.column("vector").to_pylist()), "u1").reshape(len(n), GROUPS).astype(np.int32)
+        points[points == FULL] = 1 << 24
         found: list[tuple[int, int]] = []
         small_a, small_b = [], []
         for group in _groups(table, ["token", "band", "i", "j"]):
@@ -255,25 +266,34 @@ def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, doc_id: str, text: str, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b), verified on the whole sets, that span the components inside each cluster (node, label)."""
-    members = stored(classes.select("node", F.col("rep").alias("doc_id"), "n_shingles").join(clusters, "node"), "members")
-    lowest = F.lit(-(1 << 63))
-    narrow = docs.select(F.coalesce(F.col(doc_id).cast("long"), lowest).alias("doc_id"), F.col(text).alias("text"))
-    wanted = members.select(F.coalesce("doc_id", lowest).alias("doc_id"), "node", "label")
-    schema = "label long, node long, tokens binary"
+    """Links (a, b), verified on the whole sets, that span the components inside each cluster (node, label).
+
+    The sets are made from the texts again. A bitmap of fixed size over the ids of the clusters'
+    members keeps other texts out; what it lets through by chance the join drops.
+    """
+    members = stored(classes.join(clusters, "node").select("node", "label", "n_shingles", "rep"), "members")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MEMBER_BITS))
+    set_bits = members.select((slot("rep") + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+    bitmap = np.zeros(1 << (MEMBER_BITS - 3), np.uint8)
+    for row in set_bits.collect():  # numbers from 1 on, 4 KiB for each 2 ** 15 of them
+        bitmap[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, known = _Words(), shared.value
         for batch in batches:
-            rows = []
-            for label, node, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                tokens = shingle_set(value.as_py(), words, size).tobytes()
-                if int.from_bytes(hashlib.blake2b(tokens, digest_size=8).digest(), "little", signed=True) == node:  # rows may share an id
-                    rows.append((label, node, tokens))
-            columns = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["label", "node", "tokens"])
-
-    sets = stored(narrow.join(wanted, "doc_id").select("label", "node", "text").mapInArrow(collect, schema), "sets")
+            slots = batch.column(0).to_numpy()
+            hits = np.flatnonzero(known[slots >> 3] >> (slots & 7).astype(np.uint8) & 1)
+            sets = [shingle_set(batch.column(1)[int(i)].as_py(), words, size) for i in hits]
+            sets = [tokens for tokens in sets if len(tokens)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([class_number(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"]
+            )
+
+    made = docs.select(slot(F.col(doc_id).cast("long")).alias("slot"), F.col(text).alias("text")).mapInArrow(collect, "node long, tokens binary")
+    sets = stored(made.join(members.select("node", "label"), "node").dropDuplicates(["node"]), "sets")
     sizes = stored(members.groupBy("label").agg(F.sum("n_shingles").alias("n"), F.count("*").alias("rows")), "clusters")
     blocks = F.ceil(F.greatest(F.col("n") * 8 / BLOCK_BYTES, F.col("rows") / BLOCK_ROWS)).cast("long")
     rows = _pairs_of_blocks(sets, ["label"], sizes, blocks)
@@ -313,15 +333,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     spark = docs.sparkSession
     signed = stored(signatures(docs, doc_id, text, size, percent), "signatures")
     total = signed.count()
-    groups = stored(signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    lowest = F.lit(-(1 << 63))
-    picked = signed.select("node", F.coalesce("doc_id", lowest).alias("id"), "n_shingles", "prefix", "vector")
-    classes = stored(
-        picked.join(groups.withColumn("id", F.coalesce("rep", lowest)), ["node", "id"]).dropDuplicates(["node"])
-        .select("node", "rep", "copies", "n_shingles", "prefix", "vector"), "representatives",
+    groups = stored(
+        signed.filter("node IS NOT NULL").groupBy("node")
+        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "classes",
     )
-    clusters = components(spark, candidates(classes, percent), "long")
-    found = components(spark, links(docs, classes, clusters, doc_id, text, size, percent), "long")
+    clusters = components(spark, candidates(signed, percent), "long")
+    found = components(spark, links(docs, groups, clusters, doc_id, text, size, percent), "long")
     named = found.join(groups.select("node", "rep", "copies"), "node")
     lowest_of = stored(named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("nodes")), "lowest")
     linked = lookup(stored(named, "named"), lowest_of, "label", "nodes", found.count(), "inner").select("node", "component", "copies")
