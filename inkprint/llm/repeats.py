@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 TEXT_BYTES = 32 << 20  # bytes of text per part of the table of texts
 BATCH_BYTES = 8 << 20  # bytes of text whose samples travel together
-BUCKET_SAMPLES = 1 << 21
+BUCKET_SAMPLES = 1 << 19
 BUCKET_BYTES = 8 << 20  # bytes of runs that are sorted together
 SPLIT_RUNS = 4096  # runs of one sample that stay together
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -101,7 +102,8 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tu
     """Rows in groups of about BATCH_BYTES of text."""
     rows, held = [], 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for i in range(batch.num_rows):  # one row at a time: texts can be long
+            row = tuple(c[i].as_py() for c in batch.columns)
             rows.append(row)
             held += len(row[column])
             if held >= BATCH_BYTES:
@@ -142,6 +144,17 @@ def _send(bucket: np.ndarray, columns: np.ndarray) -> list[tuple]:
     return [(int(bucket[c]), None, None, part.tobytes()) for c, part in zip(cuts, np.split(columns, cuts[1:]))] if len(bucket) else []
 
 
+def _pass_on(said: list[tuple], buckets: int) -> list[tuple]:
+    """Answers that are known already; they go the way of the questions, so that nothing is written twice."""
+    return [(row % buckets, row, kind, data) for row, kind, data in said]
+
+
+def _asked_and_known(table: pa.Table, width: int) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+    known = table.filter(pc.is_valid(table.column("kind"))).select(["row", "kind", "data"])
+    asked = table.filter(pc.is_null(table.column("kind"))).column("data")
+    return _blobs(asked.to_pylist()).reshape(-1, width), known.cast(_SAID_ARROW).to_batches()
+
+
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts by the keys, last one first, and the number of each sorted entry's group by all but the first key."""
     order = np.lexsort(keys)
@@ -169,7 +182,7 @@ def _sample_sender(buckets: int):
             size = np.bincount(group)[group]
             first = np.concatenate([[True], group[1:] != group[:-1]])
             # a sample that several texts of the batch have is shared already; one of them asks for none of the others
-            yield _table(_SENT, [(None, *said) for said in _per_row(owner[size > 1], key[size > 1], SHARED)])
+            yield _table(_SENT, _pass_on(_per_row(owner[size > 1], key[size > 1], SHARED), buckets))
             ask = first
             mark = (key[ask] & _U(0xFFFFFFFF)) | (size[ask] > 1).astype(np.uint64) << _U(32)
             yield _table(_SENT, _send((key[ask] >> _U(32)).astype(np.int64), np.stack([mark, owner[ask].view(np.uint64)], 1)))
@@ -179,12 +192,12 @@ def _sample_sender(buckets: int):
 
 def _sample_judge(table: pa.Table) -> pa.Table:
     bucket = _U(table.column("bucket")[0].as_py())
-    sent = _blobs(table.column("data").to_pylist()).reshape(-1, 2)
+    sent, known = _asked_and_known(table, 2)
     low, many, row = sent[:, 0] & _U(0xFFFFFFFF), sent[:, 0] >> _U(32), sent[:, 1].view(np.int64)
     order, group = _groups(row, low)
     shared = (np.bincount(group) > 1)[group] & (many[order] == 0)
     key = (bucket << _U(32)) | low[order]
-    return pa.Table.from_batches([_table(_SAID_ARROW, _per_row(row[order][shared], key[shared], SHARED))])
+    return pa.Table.from_batches([*known, _table(_SAID_ARROW, _per_row(row[order][shared], key[shared], SHARED))])
 
 
 def _class(sample: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -218,7 +231,7 @@ def _run_sender(buckets: int):
             sample, run, order, row = sample[by], run[by], order[by], row[by]
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             later = order > order[first][group]
-            yield _table(_SENT, [(None, *said) for said in _per_row(row[later], run[later], REMOVED)])
+            yield _table(_SENT, _pass_on(_per_row(row[later], run[later], REMOVED), buckets))
             ask = ~later
             yield _table(_SENT, _send(
                 _bucket(sample[ask], buckets).astype(np.int64),
@@ -229,7 +242,9 @@ def _run_sender(buckets: int):
 
 
 def _run_judge(table: pa.Table) -> pa.Table:
-    sent = _blobs(table.column("data").to_pylist()).reshape(-1, 4)
+    sent, known = _asked_and_known(table, 4)
+    if not len(sent):
+        return pa.Table.from_batches(known, _SAID_ARROW)
     sample, run, order, row = sent[:, 0], sent[:, 1], sent[:, 2].view(np.int64), sent[:, 3].view(np.int64)
     by, group = _groups(order, run, sample)
     sample, run, order, row = sample[by], run[by], order[by], row[by]
@@ -240,7 +255,7 @@ def _run_judge(table: pa.Table) -> pa.Table:
     open_ = ~later & (classes > 1)
     parts = (classes[open_] - 1) // SPLIT_RUNS + 1
     said = _per_row(row[later], run[later], REMOVED) + _per_row(row[open_], np.stack([run[open_], parts.astype(np.uint64)], 1), OPEN)
-    return pa.Table.from_batches([_table(_SAID_ARROW, said)])
+    return pa.Table.from_batches([*known, _table(_SAID_ARROW, said)])
 
 
 def _suffix_sender(buckets: int, sorting: int):
@@ -369,12 +384,11 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     once.write.bucketBy(parts, "row").sortBy("row").option("path", work_folder(spark, "bodies")).option("compression", "zstd").saveAsTable(name)
     bodies = spark.table(name)
 
-    sent = stored(bodies.mapInArrow(_sample_sender(buckets), _SENT_DDL), "samples")
-    answers = sent.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_sample_judge, _SAID)
-    shared = stored(sent.filter("bucket IS NULL").select("row", "kind", "data").unionByName(answers).groupBy("row").agg(F.collect_list("data").alias("shared")), "shared")
+    told = bodies.mapInArrow(_sample_sender(buckets), _SENT_DDL).groupBy("bucket").applyInArrow(_sample_judge, _SAID)
+    shared = stored(told.groupBy("row").agg(F.collect_list("data").alias("shared")), "shared")
 
-    runs = stored(bodies.join(shared, "row").select("row", "ord", "text", "shared").mapInArrow(_run_sender(buckets), _SENT_DDL), "runs")
-    judged = stored(runs.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_run_judge, _SAID), "judged")
+    runs = bodies.join(shared, "row").select("row", "ord", "text", "shared").mapInArrow(_run_sender(buckets), _SENT_DDL)
+    judged = stored(runs.groupBy("bucket").applyInArrow(_run_judge, _SAID), "judged")
 
     opened = stored(judged.filter(F.col("kind") == OPEN).groupBy("row").agg(F.collect_list("data").alias("opened")), "opened")
     open_runs = judged.filter(F.col("kind") == OPEN).agg(F.sum(F.octet_length("data"))).first()[0] or 0
@@ -382,7 +396,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     suffixes = bodies.join(shared, "row").join(opened, "row").select("row", "ord", "text", "shared", "opened").mapInArrow(_suffix_sender(buckets, sorting), _SENT_DDL)
     places = suffixes.groupBy("bucket").applyInArrow(_suffix_judge, _SAID)
 
-    gone = runs.filter("bucket IS NULL").select("row", "kind", "data").unionByName(judged.filter(F.col("kind") == REMOVED)).unionByName(places)
+    gone = judged.filter(F.col("kind") == REMOVED).unionByName(places)
     per_text = gone.groupBy("row").agg(
         F.collect_list(F.when(F.col("kind") == REMOVED, F.col("data"))).alias("classes"), F.collect_list(F.when(F.col("kind") == PLACES, F.col("data"))).alias("places")
     )
