@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkprint.llm import packed as pk
 from inkprint.llm.common import components, lookup, stored
 
 SHINGLE, PERCENT = 3, 90
@@ -35,6 +36,7 @@ LEAF = 16  # entries of a node
 MEMBER_BITS = 24  # bits of the filter of clusters' members
 BLOCK_ROWS = 1024  # points of a block
 BLOCK_BYTES = 8 << 20  # bytes of the sets of a block
+BUCKET_TOKENS = 1 << 19
 BUCKET_ROWS = 20_000  # rows that one call handles, about
 _K = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -209,13 +211,25 @@ def _edges(pairs: list[tuple[int, int]], nodes: np.ndarray) -> pa.Table:
 def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of classes that span the clusters in which links can be; ``signed`` is stored."""
     some = signed.filter("node IS NOT NULL")
-    tokens = some.select("node", F.col("n_shingles").cast("int").alias("size"), F.explode("prefix").alias("token"))
-    often = stored(
-        tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
-        .filter("low != high").select("token", "n"), "tokens",
-    )
     total = some.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    met = lookup(tokens, often, "token", "n", total, "inner").select("token", "node", "size").distinct()
+    buckets = max(1, -(-total // BUCKET_TOKENS))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = (np.asarray(v.values).view(np.uint64) for v in batch.column(1))
+            yield from pk.ask_shared([(node, np.unique(pk.key_of(p, buckets))) for node, p in zip(batch.column(0).to_pylist(), prefixes)], buckets)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(v.as_py(), np.int64) for v in batch.column(1)]
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(nodes)], ["token", "node"])
+
+    told = some.select("node", "prefix").mapInArrow(ask, pk.SENT_DDL).groupBy("bucket").applyInArrow(pk.tell_shared, pk.SAID_DDL)
+    points_of = stored(some.select("node", "n_shingles", "vector").dropDuplicates(["node"]), "points")
+    met = told.select("row", "data").mapInArrow(unpack, "token long, node long").distinct().join(
+        points_of.select("node", F.col("n_shingles").cast("int").alias("size")), "node"
+    )
     # sizes of linked sets differ by a band at most: each set visits the band above its own
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9))).cast("int")
     spread = F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("visits")), F.struct((band + 1).alias("band"), F.lit(True).alias("visits"))))
@@ -224,7 +238,6 @@ def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
         shared.groupBy("token", "band").agg(F.count("*").alias("n"), F.count_if(~F.col("visits")).alias("own_n")).filter("n > 1 AND own_n > 0"), "sizes"
     )
     keys = ["token", "band"]
-    points_of = stored(some.select("node", "n_shingles", "vector").dropDuplicates(["node"]), "points")
     rows = _pairs_of_blocks(shared, keys, sizes, F.ceil(F.col("n") / BLOCK_ROWS)).join(points_of, "node")
     total = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK_ROWS))).first()[0] or 0
 

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkprint.llm import packed as pk
 from inkprint.llm.common import lookup, stored
 from inkprint.session import work_folder
 
@@ -89,15 +89,6 @@ def runs_of(data: bytes) -> tuple[Roller, np.ndarray, np.ndarray, np.ndarray]:
     return roller, low[begin], begin, np.append(begin[1:], len(low))
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> _U(32)) * _U(buckets)) >> _U(32)
-
-
-def _key(h: np.ndarray, buckets: int) -> np.ndarray:
-    """A sample's number: bucket and 32 bits of the hash; a collision lets a sample through, no more."""
-    return (_bucket(h, buckets) << _U(32)) | (h & _U(0xFFFFFFFF))
-
-
 def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
     """Rows in groups of about BATCH_BYTES of text."""
     rows, held = [], 0
@@ -113,93 +104,16 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tu
         yield rows
 
 
-def _table(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
-
-
-def _blobs(values: list) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.uint64)
-
-
-def _per_row(rows: np.ndarray, values: np.ndarray, kind: int) -> list[tuple]:
-    """(row, kind, packed values) of each row."""
-    order = np.argsort(rows, kind="stable")
-    rows, values = rows[order], values[order]
-    cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, int)
-    return [(int(rows[c]), kind, part.tobytes()) for c, part in zip(cuts, np.split(values, cuts[1:]))] if len(rows) else []
-
-
-SHARED, REMOVED, OPEN, PLACES = 0, 1, 2, 3
-_SAID = "row long, kind int, data binary"
-_SAID_ARROW = pa.schema([("row", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-_SENT = pa.schema([("bucket", pa.int32()), ("row", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-_SENT_DDL = "bucket int, row long, kind int, data binary"
-
-
-def _send(bucket: np.ndarray, columns: np.ndarray) -> list[tuple]:
-    """Rows of ``columns`` (n x k, uint64) packed per bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], columns[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-    return [(int(bucket[c]), None, None, part.tobytes()) for c, part in zip(cuts, np.split(columns, cuts[1:]))] if len(bucket) else []
-
-
-def _pass_on(said: list[tuple], buckets: int) -> list[tuple]:
-    """Answers that are known already; they go the way of the questions, so that nothing is written twice."""
-    return [(row % buckets, row, kind, data) for row, kind, data in said]
-
-
-def _asked_and_known(table: pa.Table, width: int) -> tuple[np.ndarray, list[pa.RecordBatch]]:
-    known = table.filter(pc.is_valid(table.column("kind"))).select(["row", "kind", "data"])
-    asked = table.filter(pc.is_null(table.column("kind"))).column("data")
-    return _blobs(asked.to_pylist()).reshape(-1, width), known.cast(_SAID_ARROW).to_batches()
-
-
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts by the keys, last one first, and the number of each sorted entry's group by all but the first key."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    for k in keys[1:]:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    return order, np.cumsum(new)
-
-
+REMOVED, OPEN, PLACES = 1, 2, 3
 def _sample_sender(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _batches(batches, 2):
-            keys, owners = [], []
-            for row, _, text in rows:
-                data = text.encode()
-                if len(data) >= LENGTH:
-                    own = np.unique(_key(runs_of(data)[1], buckets))
-                    keys.append(own)
-                    owners.append(np.full(len(own), row, np.int64))
-            if not keys:
-                continue
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            order, group = _groups(owner, key)
-            key, owner = key[order], owner[order]
-            size = np.bincount(group)[group]
-            first = np.concatenate([[True], group[1:] != group[:-1]])
-            # a sample that several texts of the batch have is shared already; one of them asks for none of the others
-            yield _table(_SENT, _pass_on(_per_row(owner[size > 1], key[size > 1], SHARED), buckets))
-            ask = first
-            mark = (key[ask] & _U(0xFFFFFFFF)) | (size[ask] > 1).astype(np.uint64) << _U(32)
-            yield _table(_SENT, _send((key[ask] >> _U(32)).astype(np.int64), np.stack([mark, owner[ask].view(np.uint64)], 1)))
+            texts = [(row, text.encode()) for row, _, text in rows]
+            yield from pk.ask_shared([(row, np.unique(pk.key_of(runs_of(data)[1], buckets))) for row, data in texts if len(data) >= LENGTH], buckets)
 
     return send
 
 
-def _sample_judge(table: pa.Table) -> pa.Table:
-    bucket = _U(table.column("bucket")[0].as_py())
-    sent, known = _asked_and_known(table, 2)
-    low, many, row = sent[:, 0] & _U(0xFFFFFFFF), sent[:, 0] >> _U(32), sent[:, 1].view(np.int64)
-    order, group = _groups(row, low)
-    shared = (np.bincount(group) > 1)[group] & (many[order] == 0)
-    key = (bucket << _U(32)) | low[order]
-    return pa.Table.from_batches([*known, _table(_SAID_ARROW, _per_row(row[order][shared], key[shared], SHARED))])
-
-
 def _class(sample: np.ndarray, run: np.ndarray) -> np.ndarray:
     return _mix(sample * _U(_P) + run)
 
@@ -208,8 +122,8 @@ def _shared_runs(text: str, packed: list[bytes], buckets: int):
     """The runs of a text whose samples others have too."""
     data = text.encode()
     roller, sample, begin, end = runs_of(data)
-    known = np.unique(_blobs(packed))
-    key = _key(sample, buckets)
+    known = np.unique(pk.blobs(packed))
+    key = pk.key_of(sample, buckets)
     at = np.searchsorted(known, key)
     pick = known[np.minimum(at, len(known) - 1)] == key
     sample, begin, end = sample[pick], begin[pick], end[pick]
@@ -227,14 +141,14 @@ def _run_sender(buckets: int):
             sample, run, order, row = (np.concatenate(c) for c in zip(*parts))
             if not len(run):
                 continue
-            by, group = _groups(order, run)
+            by, group = pk.groups(order, run)
             sample, run, order, row = sample[by], run[by], order[by], row[by]
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             later = order > order[first][group]
-            yield _table(_SENT, _pass_on(_per_row(row[later], run[later], REMOVED), buckets))
+            yield pk.table(pk.SENT, pk.pass_on(pk.per_row(row[later], run[later], REMOVED), buckets))
             ask = ~later
-            yield _table(_SENT, _send(
-                _bucket(sample[ask], buckets).astype(np.int64),
+            yield pk.table(pk.SENT, pk.send(
+                pk.bucket_of(sample[ask], buckets).astype(np.int64),
                 np.stack([sample[ask], run[ask], order[ask].view(np.uint64), row[ask].view(np.uint64)], 1),
             ))
 
@@ -242,11 +156,11 @@ def _run_sender(buckets: int):
 
 
 def _run_judge(table: pa.Table) -> pa.Table:
-    sent, known = _asked_and_known(table, 4)
+    sent, known = pk.asked_and_known(table, 4)
     if not len(sent):
-        return pa.Table.from_batches(known, _SAID_ARROW)
+        return pa.Table.from_batches(known, pk.SAID)
     sample, run, order, row = sent[:, 0], sent[:, 1], sent[:, 2].view(np.int64), sent[:, 3].view(np.int64)
-    by, group = _groups(order, run, sample)
+    by, group = pk.groups(order, run, sample)
     sample, run, order, row = sample[by], run[by], order[by], row[by]
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     later = order > order[first][group]
@@ -254,8 +168,8 @@ def _run_judge(table: pa.Table) -> pa.Table:
     classes = np.bincount(of_sample)[of_sample][group]
     open_ = ~later & (classes > 1)
     parts = (classes[open_] - 1) // SPLIT_RUNS + 1
-    said = _per_row(row[later], run[later], REMOVED) + _per_row(row[open_], np.stack([run[open_], parts.astype(np.uint64)], 1), OPEN)
-    return pa.Table.from_batches([*known, _table(_SAID_ARROW, said)])
+    said = pk.per_row(row[later], run[later], REMOVED) + pk.per_row(row[open_], np.stack([run[open_], parts.astype(np.uint64)], 1), OPEN)
+    return pa.Table.from_batches([*known, pk.table(pk.SAID, said)])
 
 
 def _suffix_sender(buckets: int, sorting: int):
@@ -266,7 +180,7 @@ def _suffix_sender(buckets: int, sorting: int):
             out: dict[int, tuple[list, list]] = {}
             for row, order, text, packed, opened in rows:
                 data, roller, sample, begin, end, run = _shared_runs(text, packed, buckets)
-                known = _blobs(opened).reshape(-1, 2)
+                known = pk.blobs(opened).reshape(-1, 2)
                 known = known[np.argsort(known[:, 0], kind="stable")]
                 own = _class(sample, run)
                 at = np.minimum(np.searchsorted(known[:, 0], own), len(known) - 1)
@@ -279,7 +193,7 @@ def _suffix_sender(buckets: int, sorting: int):
                         head, body = out.setdefault(bucket, ([], []))
                         head += [row & (1 << 64) - 1, order & (1 << 64) - 1, b, e - b + LENGTH - 1, parts << 32 | part]
                         body.append(data[b : e + LENGTH - 1])
-            yield _table(_SENT, [
+            yield pk.table(pk.SENT, [
                 (bucket, None, len(body), np.array(head, np.uint64).tobytes() + b"".join(body)) for bucket, (head, body) in out.items()
             ])
 
@@ -321,11 +235,11 @@ def _suffix_judge(table: pa.Table) -> pa.Table:
         keep = hashes % parts == part
         of, inside, place = of[keep], inside[keep], place[keep]
     order = head[:, 1].view(np.int64)[of]
-    by, group = _groups(order, rank[place])
+    by, group = pk.groups(order, rank[place])
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     later = by[order[by] > order[by][first][group]]
     row, at = head[:, 0].view(np.int64)[of[later]], head[:, 2][of[later]] + inside[later].astype(np.uint64)
-    return pa.Table.from_batches([_table(_SAID_ARROW, _per_row(row, at, PLACES))])
+    return pa.Table.from_batches([pk.table(pk.SAID, pk.per_row(row, at, PLACES))])
 
 
 def removed_mask(text: str, classes: np.ndarray, places: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -347,7 +261,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row, text, classes, places in zip(*(c.to_pylist() for c in batch.columns)):
-            data, mask = removed_mask(text, _blobs(classes), _blobs(places))
+            data, mask = removed_mask(text, pk.blobs(classes), pk.blobs(places))
             spans = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1]))
             kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
             out.append((row, int(mask.sum()), spans, hashlib.sha256(kept).hexdigest()))
@@ -384,17 +298,17 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     once.write.bucketBy(parts, "row").sortBy("row").option("path", work_folder(spark, "bodies")).option("compression", "zstd").saveAsTable(name)
     bodies = spark.table(name)
 
-    told = bodies.mapInArrow(_sample_sender(buckets), _SENT_DDL).groupBy("bucket").applyInArrow(_sample_judge, _SAID)
+    told = bodies.mapInArrow(_sample_sender(buckets), pk.SENT_DDL).groupBy("bucket").applyInArrow(pk.tell_shared, pk.SAID_DDL)
     shared = stored(told.groupBy("row").agg(F.collect_list("data").alias("shared")), "shared")
 
-    runs = bodies.join(shared, "row").select("row", "ord", "text", "shared").mapInArrow(_run_sender(buckets), _SENT_DDL)
-    judged = stored(runs.groupBy("bucket").applyInArrow(_run_judge, _SAID), "judged")
+    runs = bodies.join(shared, "row").select("row", "ord", "text", "shared").mapInArrow(_run_sender(buckets), pk.SENT_DDL)
+    judged = stored(runs.groupBy("bucket").applyInArrow(_run_judge, pk.SAID_DDL), "judged")
 
     opened = stored(judged.filter(F.col("kind") == OPEN).groupBy("row").agg(F.collect_list("data").alias("opened")), "opened")
     open_runs = judged.filter(F.col("kind") == OPEN).agg(F.sum(F.octet_length("data"))).first()[0] or 0
     sorting = max(1, -(-(open_runs // 16) * 2 * LENGTH // BUCKET_BYTES))
-    suffixes = bodies.join(shared, "row").join(opened, "row").select("row", "ord", "text", "shared", "opened").mapInArrow(_suffix_sender(buckets, sorting), _SENT_DDL)
-    places = suffixes.groupBy("bucket").applyInArrow(_suffix_judge, _SAID)
+    suffixes = bodies.join(shared, "row").join(opened, "row").select("row", "ord", "text", "shared", "opened").mapInArrow(_suffix_sender(buckets, sorting), pk.SENT_DDL)
+    places = suffixes.groupBy("bucket").applyInArrow(_suffix_judge, pk.SAID_DDL)
 
     gone = judged.filter(F.col("kind") == REMOVED).unionByName(places)
     per_text = gone.groupBy("row").agg(
