@@ -63,7 +63,8 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """The contaminated pairs: doc_id, item_id, start (word, from 0), similarity of the best window.
 
     A window is as many words as the item has, or the whole text if that is shorter. Texts and
-    items without words (null, empty) match nothing; an item shorter than a shingle is one shingle.
+    items without words (null, empty) match nothing; an item with fewer words than a shingle is found
+    in texts of the same words only.
     Equal windows tie to the first start. Repeated rows give one pair, as do items that share an id.
     Null ids pass through. Other columns are left out.
     """
