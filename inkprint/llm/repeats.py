@@ -36,7 +36,7 @@ WINDOW = LENGTH - GRAM + 1
 TEXT_BYTES = 32 << 20  # bytes of text per part of the table of texts
 BATCH_BYTES = 8 << 20  # bytes of text whose samples travel together
 BUCKET_SAMPLES = 1 << 19
-BUCKET_BYTES = 8 << 20  # bytes of runs that are sorted together
+BUCKET_BYTES = 2 << 20  # bytes of runs that are sorted together
 SPLIT_RUNS = 4096  # runs of one sample that stay together
 EMPTY = hashlib.sha256(b"").hexdigest()
 

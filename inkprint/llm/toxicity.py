@@ -40,6 +40,7 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _MASKED = re.compile(r"[A-Za-z]+[@$*#0-9!]+[A-Za-z]+")
 _SPELLED = re.compile(r"\b(?:[A-Za-z][.\-_* ]){3,}[A-Za-z]\b")
 _DRAWN = re.compile(r"([A-Za-z])\1{2,}")
+_PLAIN = str.maketrans("@$01345!*#7.-_ ", "asoieasi__t____")  # what a sign inside a word may stand for
 _MARKS = re.compile(r"[!?]{2,}")
 
 FEATURES = (
@@ -50,7 +51,8 @@ FEATURES = (
 
 def features_of(text: str, learned: dict[str, float]) -> list[float]:
     words = _TOKEN.findall(text)
-    lower = [w.lower() for w in words]
+    masked, spelled = _MASKED.findall(text), [m.group() for m in _SPELLED.finditer(text)]
+    lower = [w.lower() for w in words] + [w.lower().translate(_PLAIN).replace("_", "") for w in masked + spelled]
     n = max(1, len(words))
     fixed = [i for i, w in enumerate(lower) if w in INSULTS]
     hits = [(i, s) for i, w in enumerate(lower) if (s := learned.get(w) or learned.get(w[:STEM] + "-"))]
@@ -68,7 +70,7 @@ def features_of(text: str, learned: dict[str, float]) -> list[float]:
     return [
         len(fixed) / n, len({lower[i] for i in fixed}), len(hits) / n, max((s for _, s in hits), default=0.0), len({lower[i] for i, _ in hits}),
         near / n, len(second) / n, upper / chars, sum(w.isupper() and len(w) > 1 for w in words) / n, text.count("!") / chars, text.count("?") / chars,
-        len(_MARKS.findall(text)) / n, len(_MASKED.findall(text)) / n, len(_SPELLED.findall(text)) / n, len(_DRAWN.findall(text)) / n, math.log1p(len(words)),
+        len(_MARKS.findall(text)) / n, len(masked) / n, len(spelled) / n, len(_DRAWN.findall(text)) / n, math.log1p(len(words)),
     ]
 
 
