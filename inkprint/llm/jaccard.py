@@ -30,7 +30,7 @@ from inkprint.llm.common import components, lookup, stored
 
 SHINGLE, PERCENT = 3, 90
 SLOTS = 18  # bits of the frequency sketch: its size is fixed
-GROUPS = 64  # coordinates of the points that travel
+PER_GROUP = {True: 16, False: 8}  # tokens per coordinate, for similarities from 90 per cent and below
 FULL = 255  # a coordinate that may be more: it bounds nothing
 LEAF = 16  # entries of a node
 MEMBER_BITS = 24  # bits of the filter of clusters' members
@@ -45,7 +45,7 @@ class _Words(dict):
     """Hashes of words; a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -78,6 +78,15 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def groups_for(n: int, percent: int = PERCENT) -> int:
+    """Coordinates of a set's point, a power of two that grows with the set.
+
+    With a few tokens per coordinate, points of unrelated sets of one size are three or four times
+    as far apart as points of linked sets can be, whatever the size.
+    """
+    return 1 << max(0, int(n - 1) // PER_GROUP[percent >= 90]).bit_length()
+
+
 def counts(tokens: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
@@ -144,9 +153,8 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = _Words(), np.zeros(1 << SLOTS, np.int64)
         for batch in batches:
-            sets = [shingle_set(v.as_py(), words, size) >> np.uint64(64 - SLOTS) for v in batch.column(0)]
-            if sets:
-                total += np.bincount(np.concatenate(sets).astype(np.int64), minlength=1 << SLOTS)
+            for value in batch.column(0):
+                total[(shingle_set(value.as_py(), words, size) >> np.uint64(64 - SLOTS)).astype(np.int64)] += 1  # few meet in a slot of one text
         slots = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype("i4")), pa.array(total[slots])], ["slot", "n"])
 
@@ -171,7 +179,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                 node.append(class_number(tokens))
                 rank = levels[(tokens >> np.uint64(64 - SLOTS)).astype(np.int64)]
                 prefix.append(tokens[np.lexsort((tokens, rank))][: prefix_length(len(tokens), percent)].view(np.int64))
-                vector.append(np.minimum(counts(tokens, GROUPS), FULL).astype("u1").tobytes())
+                vector.append(np.minimum(counts(tokens, groups_for(len(tokens), percent)), FULL).astype("u1").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(vector, pa.binary())],
                 ["doc_id", "n_shingles", "node", "prefix", "vector"],
@@ -244,8 +252,17 @@ def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     def pair(table: pa.Table) -> pa.Table:
         nodes, n = table.column("node").to_numpy(), table.column("n_shingles").to_numpy()
         visits, own, i, j = (table.column(c).to_numpy(zero_copy_only=False) for c in ("visits", "own", "i", "j"))
-        points = np.frombuffer(b"".join(table.column("vector").to_pylist()), "u1").reshape(len(n), GROUPS).astype(np.int32)
-        points[points == FULL] = 1 << 24
+        vectors = table.column("vector").to_pylist()
+        width = np.array([len(v) for v in vectors], np.int64)
+        by_width = {}
+        for w in np.unique(width).tolist():  # points of w coordinates, those of twice as many folded
+            at = np.flatnonzero((width == w) | (width == 2 * w))
+            place = np.zeros(len(n), np.int64)
+            place[at] = np.arange(len(at))
+            read = lambda k: np.frombuffer(vectors[k], "u1").astype(np.int16)
+            lift = lambda v: np.where(v == FULL, 1 << 13, v)
+            points = np.stack([lift(read(k)) if width[k] == w else lift(read(k)).reshape(2, w).sum(0) for k in at]).astype(np.int16)
+            by_width[w] = place, points
         found: list[tuple[int, int]] = []
         small_a, small_b = [], []
         for group in _groups(table, ["token", "band", "i", "j"]):
@@ -255,23 +272,25 @@ def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
                 a, b = np.triu_indices(len(group), 1)
                 small_a.append(group[a])
                 small_b.append(group[b])
-            else:
-                in_i, in_j = own[group] == i[group], own[group] == j[group]
-                found += [
-                    (int(group[a]), int(group[b]))
-                    for a, b in spanning(n[group], points[group], in_i, in_j & ~visits[group], lambda a, b: True, percent)
-                ] + [
-                    (int(group[a]), int(group[b]))
-                    for a, b in (spanning(n[group], points[group], in_j, in_i & ~visits[group], lambda a, b: True, percent) if i[group[0]] != j[group[0]] else [])
-                ]
+                continue
+            place, points = by_width[int(width[group].min())]  # sizes of a group differ by less than half
+            points = points[place[group]]
+            in_i, in_j = own[group] == i[group], own[group] == j[group]
+            sides = [(in_i, in_j)] if i[group[0]] == j[group[0]] else [(in_i, in_j), (in_j, in_i)]
+            for first, second in sides:
+                found += [(int(group[a]), int(group[b])) for a, b in spanning(n[group], points, first, second & ~visits[group], lambda a, b: True, percent)]
         if small_a:
             a, b = np.concatenate(small_a), np.concatenate(small_b)
             near = (nodes[a] != nodes[b]) & ~(visits[a] & visits[b]) & (np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b]))
             a, b = a[near], b[near]
-            for start in range(0, len(a), 1 << 16):
-                x, y = a[start : start + (1 << 16)], b[start : start + (1 << 16)]
-                passed = np.minimum(points[x], points[y]).sum(1) >= needed(n[x], n[y], percent)
-                found += list(zip(x[passed].tolist(), y[passed].tolist()))
+            level = np.minimum(width[a], width[b])
+            for w, (place, points) in by_width.items():
+                x, y = a[level == w], b[level == w]
+                step = max(1, (1 << 22) // w)
+                for start in range(0, len(x), step):
+                    k, m = x[start : start + step], y[start : start + step]
+                    passed = np.minimum(points[place[k]], points[place[m]]).sum(1) >= needed(n[k], n[m], percent)
+                    found += list(zip(k[passed].tolist(), m[passed].tolist()))
         return _edges(found, nodes)
 
     edges = _in_buckets(rows, ["token", "band", "i", "j"], total).applyInArrow(pair, "a long, b long")
@@ -319,7 +338,7 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, doc_id: str,
         found: list[tuple[int, int]] = []
         for group in _groups(table, ["label", "i", "j"]):
             n = np.array([len(sets[g]) for g in group])
-            groups = int(min(4096, max(GROUPS, 1 << int(n.max() - 1).bit_length())))
+            groups = int(min(4096, max(64, 1 << int(n.max() - 1).bit_length())))
             points = np.stack([counts(sets[g], groups) for g in group]).astype(np.int32)
 
             def same(a: int, b: int) -> bool:
