@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -68,9 +68,34 @@ class ScannerRegistry:
         """Findings of every enabled and available scanner, or None if there is none.
 
         A scanner whose plan cannot be built is left out and the others go on. The plan of a
-        scanner that is switched off is never built.
+        scanner that is switched off is never built. Errors in a scanner's data show when the
+        findings are read; `run_isolated` keeps those apart, too.
         """
-        parts = []
+        parts = [rows for _, _, rows, _ in self._each(inputs, root, config, lambda _, rows: rows) if rows is not None]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def run_isolated(
+        self, spark: SparkSession, inputs: Mapping[str, DataFrame], root: str, config: ScanConfig, folder: str
+    ) -> tuple[DataFrame | None, DataFrame]:
+        """Findings of the scanners that came through, and the status of every enabled one.
+
+        Each scanner's findings are written below ``folder`` on their own, so that what fails in one
+        scanner's data stops no other. Status: ``name, status (done, unavailable, failed), error``.
+        """
+
+        def write(name: str, rows: DataFrame) -> DataFrame:
+            place = f"{folder}/scanner={name}"
+            rows.write.mode("overwrite").parquet(place)
+            return spark.read.schema(rows.schema).parquet(place)
+
+        told = list(self._each(inputs, root, config, write))
+        parts = [rows for _, _, rows, _ in told if rows is not None]
+        status = spark.createDataFrame([(n, s, e) for n, s, _, e in told], "name string, status string, error string")
+        return (reduce(DataFrame.unionByName, parts) if parts else None), status
+
+    def _each(
+        self, inputs: Mapping[str, DataFrame], root: str, config: ScanConfig, keep: Callable[[str, DataFrame], DataFrame]
+    ) -> Iterator[tuple[str, str, DataFrame | None, str | None]]:
         for scanner in self.all():
             settings = config.scanner(scanner.name)
             if settings is None or not settings.enabled:
@@ -78,11 +103,12 @@ class ScannerRegistry:
             try:
                 if not scanner.is_available(inputs):
                     log.warning("scanner %s is not available, skipped", scanner.name)
+                    yield scanner.name, "unavailable", None, None
                     continue
-                parts.append(scanner.findings(inputs, root, config))
+                yield scanner.name, "done", keep(scanner.name, scanner.findings(inputs, root, config)), None
             except Exception as error:  # noqa: BLE001 - one scanner must not stop the others
                 log.warning("scanner %s failed: %s", scanner.name, error)
-        return reduce(DataFrame.unionByName, parts) if parts else None
+                yield scanner.name, "failed", None, str(error).splitlines()[0]
 
     def availability(self, spark: SparkSession, inputs: Mapping[str, DataFrame]) -> DataFrame:
         rows = [(s.name, s.version, bool(s.is_available(inputs))) for s in self.all()]

@@ -39,6 +39,7 @@ class Scan:
     contributions: DataFrame
     delta: DataFrame | None
     folders: DataFrame | None
+    scanners: DataFrame
     phases: Mapping[str, int]
 
     def rows(self) -> DataFrame:
@@ -111,7 +112,7 @@ def run_scan(
     phases.done("scoring")
 
     parts = [local_findings(scored, config).select(*FINDING_COLUMNS)]
-    external = (registry or default_registry()).run_enabled(scanner_inputs or {}, root, config)
+    external, status = (registry or default_registry()).run_isolated(spark, scanner_inputs or {}, root, config, f"{folder}/scanners")
     if external is not None:
         parts.append(at.attribute(external, scored, config).select(*FINDING_COLUMNS))
     findings = reduce(DataFrame.unionByName, parts)
@@ -137,7 +138,7 @@ def run_scan(
         delta = spark.read.parquet(f"{folder}/delta")
         snapshots.replace(current, target_key, now)
     phases.done("reportGeneration")
-    return Scan(folder, scored, findings, summary, contributions, delta, folders, phases.profile())
+    return Scan(folder, scored, findings, summary, contributions, delta, folders, status, phases.profile())
 
 
 def run_check(spark: SparkSession, files: DataFrame, changed: DataFrame, config: ScanConfig = DEFAULT_CONFIG, **options) -> Scan:

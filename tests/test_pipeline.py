@@ -174,6 +174,12 @@ def test_registry(spark):
     registry.register(Scanner("second", lambda raw, root, cfg: inputs["mine"], available=lambda given: True))
     both = merge_config(scanners={"mine": {}, "second": {}})
     assert registry.run_enabled(inputs, "/r", both).count() == 1
+    from inkprint.session import work_folder
+
+    late = lambda raw, root, cfg: inputs["mine"].withColumn("message", F.raise_error(F.lit("bad data")).cast("string"))
+    registry.register(Scanner("mine", late))  # fails when its rows are read, not when its plan is built
+    kept, status = registry.run_isolated(spark, inputs, "/r", both, work_folder(spark, "isolated"))
+    assert kept.count() == 1 and {r["name"]: r["status"] for r in status.collect()} == {"mine": "failed", "second": "done"}
     registry.unregister("mine")
     assert registry.get("mine") is None
     assert [s.name for s in default_registry().all()] == ["semgrep", "eslint", "npmAudit", "nodejsscan", "bearer"]
