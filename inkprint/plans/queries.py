@@ -177,13 +177,11 @@ def top_signals(spark, sf_dir):
     return tops.select("unit_key", (F.col("place") + 1).alias("place"), "top.signal", "top.contribution", "top.score")
 
 
-EVIDENCE = ("genericNames", "obviousComments", "emptyCatch", "nullChecks", "formattingUniformity", "universalJsdoc",
-            "boilerplatePatterns", "helperOrdering", "emojiComments")
+EVIDENCE = tuple(s.name for s in sg.SIGNALS)
 
 
 @query
 def signal_evidence(spark, sf_dir):
-    """Evidence texts without decimal fractions, which engines round differently."""
     return scored(spark, sf_dir).select("unit_key", *[sg.BY_NAME[n].evidence().alias(n.lower()) for n in EVIDENCE])
 
 

@@ -54,6 +54,7 @@ _SIGNAL_ROWS = " UNION ALL ".join(
 oracle("top_signals", "unit_key b, place b, signal s, contribution b, score b", f"""WITH {UNIT_SCORES}, long AS ({_SIGNAL_ROWS}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY g DESC, ord) AS place FROM long WHERE g > 0)
 --FINAL SELECT k AS unit_key, place, signal, {rnd('g / points * 100')} AS contribution, g AS score FROM ranked WHERE place <= 3""")
+_TWO = lambda x: f"printf('%.2f', {x} + 1e-9)"  # noqa: E731  exact ties go up
 oracle("signal_evidence", "unit_key b, " + ", ".join(f"{n.lower()} s" for n in qs.EVIDENCE), f"""WITH {UNIT_FIGURES}
 --FINAL SELECT k AS unit_key, ident_generic || '/' || ident_count || ' identifiers are generic' AS genericnames,
 CASE WHEN obvious_comment THEN 'obvious explanatory comment found' ELSE 'no obvious comments' END AS obviouscomments,
@@ -61,7 +62,12 @@ CASE WHEN empty_catch THEN 'empty or log-only catch block' ELSE 'catch blocks in
 null_checks || ' defensive null/undefined checks' AS nullchecks, indent_levels || ' indentation levels' AS formattinguniformity,
 CASE WHEN has_doc THEN 'JSDoc present' ELSE 'no JSDoc' END AS universaljsdoc, boilerplate_hits || ' boilerplate patterns' AS boilerplatepatterns,
 helper_definitions || ' helper-like definitions' AS helperordering,
-CASE WHEN emoji THEN 'emoji-like character found' ELSE 'no emoji comments' END AS emojicomments FROM fig""")
+CASE WHEN emoji THEN 'emoji-like character found' ELSE 'no emoji comments' END AS emojicomments,
+'comment ratio ' || {_TWO('comment_ratio')} AS commentratio, 'identifier entropy ' || {_TWO('ident_entropy')} AS namingentropy,
+CASE WHEN token_count < 8 THEN 'insufficient tokens for perplexity estimate'
+ ELSE 'token entropy ' || {_TWO('token_entropy')} || ', repetition ' || {rnd('token_repetition0 * 100')} || '%' END AS perplexity,
+CASE WHEN sentence_count < 3 THEN 'insufficient sentence count for burstiness estimate' WHEN worded_count < 3 THEN 'insufficient tokenized sentences for burstiness estimate'
+ ELSE 'sentence cv ' || {_TWO('sentence_cv')} || ', opener variety ' || {rnd('opener_variety * 100')} || '%' END AS burstiness FROM fig""")
 oracle("weight_override", "unit_key b, generic_names b, comment_points b, points b, score b, flagged o",
        f"WITH {UNIT_FIGURES}, {scores({'genericNames': 99, 'commentRatio': 3}, 42)} --FINAL "
        "SELECT k AS unit_key, g1 AS generic_names, g2 AS comment_points, points, score, flagged FROM scored")
