@@ -229,13 +229,12 @@ def candidates(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.frombuffer(v.as_py(), np.int64) for v in batch.column(1)]
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(nodes)], ["token", "node"])
+            nodes, keys = pk.pairs(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], ["token", "node"])
 
-    told = some.select("node", "prefix").mapInArrow(ask, pk.SENT_DDL).groupBy("bucket").applyInArrow(pk.tell_shared, pk.SAID_DDL)
+    told = some.select("node", "prefix").mapInArrow(ask, pk.SENT_DDL).groupBy("bucket").applyInArrow(pk.tell_shared(buckets), pk.SAID_DDL)
     points_of = stored(some.select("node", "n_shingles", "vector").dropDuplicates(["node"]), "points")
-    met = told.select("row", "data").mapInArrow(unpack, "token long, node long").distinct().join(
+    met = told.select("data").mapInArrow(unpack, "token long, node long").distinct().join(
         points_of.select("node", F.col("n_shingles").cast("int").alias("size")), "node"
     )
     # sizes of linked sets differ by a band at most: each set visits the band above its own

@@ -118,11 +118,11 @@ def _class(sample: np.ndarray, run: np.ndarray) -> np.ndarray:
     return _mix(sample * _U(_P) + run)
 
 
-def _shared_runs(text: str, packed: list[bytes], buckets: int):
+def _shared_runs(text: str, packed: bytes, buckets: int):
     """The runs of a text whose samples others have too."""
     data = text.encode()
     roller, sample, begin, end = runs_of(data)
-    known = np.unique(pk.blobs(packed))
+    known = np.frombuffer(packed, np.uint64)  # in order
     key = pk.key_of(sample, buckets)
     at = np.searchsorted(known, key)
     pick = known[np.minimum(at, len(known) - 1)] == key
@@ -298,8 +298,8 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     once.write.bucketBy(parts, "row").sortBy("row").option("path", work_folder(spark, "bodies")).option("compression", "zstd").saveAsTable(name)
     bodies = spark.table(name)
 
-    told = bodies.mapInArrow(_sample_sender(buckets), pk.SENT_DDL).groupBy("bucket").applyInArrow(pk.tell_shared, pk.SAID_DDL)
-    shared = stored(told.groupBy("row").agg(F.collect_list("data").alias("shared")), "shared")
+    told = bodies.mapInArrow(_sample_sender(buckets), pk.SENT_DDL).groupBy("bucket").applyInArrow(pk.tell_shared(buckets), pk.SAID_DDL)
+    shared = stored(told.groupBy("row").applyInArrow(pk.per_owner, pk.SAID_DDL).select("row", F.col("data").alias("shared")), "shared")
 
     runs = bodies.join(shared, "row").select("row", "ord", "text", "shared").mapInArrow(_run_sender(buckets), pk.SENT_DDL)
     judged = stored(runs.groupBy("bucket").applyInArrow(_run_judge, pk.SAID_DDL), "judged")
