@@ -35,9 +35,9 @@ FULL = 255  # a coordinate that may be more: it bounds nothing
 LEAF = 16  # entries of a node
 MEMBER_BITS = 24  # bits of the filter of clusters' members
 BLOCK_ROWS = 1024  # points of a block
-BLOCK_BYTES = 8 << 20  # bytes of the sets of a block
+BLOCK_BYTES = 4 << 20  # bytes of the sets of a block; a call handles as many of sets
 BUCKET_TOKENS = 1 << 19
-BUCKET_ROWS = 20_000  # rows that one call handles, about
+BUCKET_ROWS = 4_000  # rows that one call handles, about
 _K = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -328,7 +328,7 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, doc_id: str,
     sizes = stored(members.groupBy("label").agg(F.sum("n_shingles").alias("n"), F.count("*").alias("rows")), "clusters")
     blocks = F.ceil(F.greatest(F.col("n") * 8 / BLOCK_BYTES, F.col("rows") / BLOCK_ROWS)).cast("long")
     rows = _pairs_of_blocks(sets, ["label"], sizes, blocks)
-    weight = sizes.agg(F.sum(F.ceil(F.col("n") * 8 * blocks / (400 * BUCKET_ROWS / 10)))).first()[0] or 0  # buckets of a megabyte or a cluster
+    sent = sizes.agg(F.sum(F.col("n") * 8 * blocks)).first()[0] or 0
 
     def verify(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
@@ -338,7 +338,8 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, doc_id: str,
         for group in _groups(table, ["label", "i", "j"]):
             n = np.array([len(sets[g]) for g in group])
             groups = int(min(4096, max(64, 1 << int(n.max() - 1).bit_length())))
-            points = np.stack([counts(sets[g], groups) for g in group]).astype(np.int32)
+            points = np.stack([np.minimum(counts(sets[g], groups), 1 << 14).astype(np.int16) for g in group])
+            points[points == 1 << 14] = 32767  # may be more
 
             def same(a: int, b: int) -> bool:
                 x, y = sets[group[a]], sets[group[b]]
@@ -350,7 +351,7 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, doc_id: str,
             found += [(int(group[a]), int(group[b])) for a, b in spanning(n, points, in_i, in_j, same, percent)]
         return _edges(found, nodes)
 
-    return stored(_in_buckets(rows, ["label", "i", "j"], int(weight) * BUCKET_ROWS).applyInArrow(verify, "a long, b long").filter("a != b"), "verified")
+    return stored(_in_buckets(rows, ["label", "i", "j"], int(sent) * BUCKET_ROWS // BLOCK_BYTES).applyInArrow(verify, "a long, b long").filter("a != b"), "verified")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
