@@ -524,6 +524,9 @@ oracle("latest_findings", "scan_id s, id s, severity s", f"WITH {_LATEST} --FINA
 oracle("findings_summary", "critical b, high b, medium b, low b, total b", f"WITH {_LATEST} --FINAL SELECT "
        + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in fixed.SEVERITIES) + ", count(*) AS total FROM latest")
 oracle("scan_added", "scan_id s, findings b", f"WITH {_KEPT}, {_SF} --FINAL SELECT scan_id, (SELECT count(*) FROM sf WHERE sf.scan_id = kept.scan_id) AS findings FROM kept")
+_TOLD = lambda source, name: f"SELECT '{source}' AS source, severity, count(*) AS findings, 3 AS most_signals, sum(ai_score) AS ai_scores FROM {name} GROUP BY severity"
+oracle("api_findings", "source s, severity s, findings b, most_signals b, ai_scores b", f"WITH a AS ({ORACLES['invalid_api_findings']}), b AS ({ORACLES['secret_findings']}) --FINAL "
+       + _TOLD("hallucination-detector", "a") + " UNION ALL " + _TOLD("secret-detector", "b"))
 oracle("report_documents", "path s, units b, findings b, first_id s", f"""WITH {FINDINGS}, {UNITS}, u AS (SELECT path, count(*) AS n FROM units GROUP BY path),
 f AS (SELECT file, count(*) AS n, arg_min(id, (line, id)) AS first_id FROM findings GROUP BY file)
 --FINAL SELECT coalesce(path, file) AS path, coalesce(u.n, 0) AS units, coalesce(f.n, 0) AS findings, first_id FROM u FULL JOIN f ON path = file""")
