@@ -19,7 +19,7 @@ from inkprint.llm.common import split_of
 
 SIZE = 512
 SEED = 20261
-TRAIN_ROWS = 20_000  # prototypes are bundled from about so many labelled documents at most
+TRAIN_ROWS = 8_000  # prototypes are bundled from about so many labelled documents at most
 MAX_LANGUAGES = 2000  # prototypes go to every task, so their number is checked
 _CACHE = 60_000  # trigram vectors held at a time
 _GAPS = regex.compile(r"\P{L}+")  # any run of characters that are no letters counts as one blank
