@@ -7,6 +7,7 @@ vectors, a language the sum of its texts, and a text is given the language with
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,8 @@ from inkprint.llm.common import split_of
 
 SIZE = 512
 SEED = 20261
-TRAIN_ROWS = 8_000  # prototypes are bundled from about so many labelled documents at most
+TRAIN_ROWS = 20_000  # so many labelled documents are shared out evenly among the languages, all of those of rare ones
+LEAST_ROWS = 1_000  # with very many languages each still gets about so many, or all it has
 MAX_LANGUAGES = 2000  # prototypes go to every task, so their number is checked
 _CACHE = 60_000  # trigram vectors held at a time
 _GAPS = regex.compile(r"\P{L}+")  # any run of characters that are no letters counts as one blank
@@ -79,17 +81,36 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / max(float(np.linalg.norm(v)), 1e-12)
 
 
+def share_of(counts: list[int], rows: int, least: int) -> int:
+    """The most rows any language may give so that all together give ``rows``; ``least`` at the least."""
+    left, share = rows, rows
+    for done, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - done)
+        if n > share:
+            break
+        left -= n
+    else:
+        share = max(counts, default=0)
+    return max(share, least)
+
+
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-          rows: int = TRAIN_ROWS, folds: int = 5, held_out: int = 0) -> dict[str, np.ndarray]:
+          rows: int = TRAIN_ROWS, folds: int = 5, held_out: int = 0, least: int = LEAST_ROWS) -> dict[str, np.ndarray]:
     """Prototype of each language, from a bounded sample of the labelled documents outside the hold-out.
 
-    The sample is taken by a hash of the id, so it is the same in every run. Each text counts by its
-    direction, not its length. Sums combine per task and then per language.
+    Languages are counted first: one with no more rows than its share gives all of them, others give
+    about their share. The sample is taken by a hash of the id, so it is the same in every run. Each
+    text counts by its direction, not its length. Sums combine per task and then per language.
     """
     fold = split_of(F.col(doc_id), folds)
     usable = docs.filter((fold >= 0) & (fold != held_out) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = usable.count()
-    part = int(min(1.0, rows / max(1, n)) * (1 << 30))
+    named = F.col(lang).cast("string")
+    counted = usable.groupBy(named.alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counted) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    share = share_of([r["n"] for r in counted], rows, least)
+    parts = json.dumps({r["lang"]: int(share / r["n"] * (1 << 30)) for r in counted if r["n"] > share})
+    part = F.coalesce(F.element_at(F.from_json(F.lit(parts), "map<string,bigint>"), named), F.lit(1 << 30))
     sample = usable.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < part)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +128,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
         .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     )
-    found = summed.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return {r["lang"]: _unit(np.array([x["x"] for x in r["v"]])) for r in found}
+    return {r["lang"]: _unit(np.array([x["x"] for x in r["v"]])) for r in summed.collect()}
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text",
