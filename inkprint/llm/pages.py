@@ -2,8 +2,9 @@
 
 A streaming parser turns the page into lines, one per block element. Every line has the ratio of
 its characters to the tags inside it; the ratios are smoothed by a Gaussian and split in two
-clusters. The container that holds the text of the high cluster is the content region, and all
-its blocks outside menus, forms, adverts and the like are the main text, short ones too.
+clusters. The articles that hold text of the high cluster with those beside them, or in pages without
+any the smallest container around the whole cluster, are the content region, and all its blocks
+outside menus, forms, adverts and the like are the main text, short ones too.
 """
 
 from __future__ import annotations
@@ -141,16 +142,23 @@ def main_text(page: str) -> str:
             held[container] += size
     for container in range(len(held) - 1, 0, -1):  # parents come before their children
         held[parser.parents[container]] += held[container]
-    # the named element with most of the content, else the deepest one that holds four fifths of it
+    # all article elements beside the named one with most of the content, else what encloses all content lines
     named = [i for i, kind in enumerate(parser.kinds) if kind in ("article", "main") and held[i] > 0]
     if named:
-        region = max(named, key=lambda i: (held[i], i))
+        most = max(named, key=lambda i: (held[i], i))
+        around, above = set(), parser.parents[most]
+        while above >= 0:
+            around.add(above)
+            above = parser.parents[above]
+        regions = [i for i, kind in enumerate(parser.kinds) if i == most or (
+            kind in ("article", "main") and i not in around and (held[i] > 0 or parser.parents[i] == parser.parents[most])
+        )]
     else:
-        region = max((i for i in range(len(held)) if held[i] >= 0.8 * held[0]), default=0)
+        regions = [max(i for i in range(len(held)) if held[i] >= held[0])]
     inside = np.zeros(len(held), bool)
-    inside[region] = True
-    for container in range(region + 1, len(held)):
-        inside[container] = inside[parser.parents[container]]
+    inside[regions] = True
+    for container in range(min(regions) + 1, len(held)):
+        inside[container] |= inside[parser.parents[container]]
     return " ".join(text for text, _, container in parser.lines if inside[container])
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from inkprint.llm import language
+from inkprint.llm import language, pages
 
 # --- languages -------------------------------------------------------------------------------------
 
@@ -26,3 +28,30 @@ def test_shares_of_languages():
     assert language.share_of([50_000_000, 1_000], 20_000, 1_000) == 19_000
     assert language.share_of([10_000_000] * 4, 20_000, 1_000) == 5_000
     assert language.share_of([10_000] * 2_000, 20_000, 1_000) == 1_000
+
+
+# --- pages -----------------------------------------------------------------------------------------
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
+def test_pages_without_article_keep_all_parts():
+    rng = random.Random(3)
+    lead, more, body = sentence(rng, 30), [sentence(rng, 30)], [sentence(rng, 30) for _ in range(9)]
+    menu = "".join(f"<div><a href=x>go{i}</a> <a href=y>to</a></div>" for i in range(20))
+    p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    page = f"<body>{menu}<div><h1>Title</h1><p>{lead}</p><div class=body>{p(body)}</div><div class=more>{p(more)}</div></div>{menu}</body>"
+    assert pages.main_text(page) == " ".join(["Title", lead, *body, *more])
+
+
+def test_pages_with_several_articles():
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, n) for n in (60, 40, 5))
+    menu = "<div>" + "<a href=x>go</a> " * 30 + "</div>"
+    page = f"<body>{menu}<article><p>{a}</article><article><p>{b}</article><article class='related'><p>{b}</article><article><p>{c}</article></body>"
+    assert pages.main_text(page) == f"{a} {b} {c}"
+    apart = f"<body>{menu}<div><article><p>{a}</article></div><div><article><p>{b}</article></div></body>"
+    assert pages.main_text(apart) == f"{a} {b}"
+    assert pages.main_text(f"<main>{menu}<article><p>{a}</article><article><p>{b}</article></main>").endswith(f"{a} {b}")
