@@ -4,6 +4,9 @@ A rolling hash runs over the hashes of each line and its successor; a chunk begi
 local minimum, so borders depend on the lines around them and survive lines added or removed
 elsewhere, and every chunk but a text's first has two lines at least. Of equal chunks with two
 lines or more, compared byte by byte, the first one stays.
+
+Chunks leave the edges of a repeated passage and most short passages. ``passages`` removes whole
+runs of equal lines with over 50 words instead, to be called before ``dedup``.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.functions.rows import explode_once
-from inkprint.llm.common import bind
+from inkprint.llm.common import WORD, bind, lookup, stored
+
+PASSAGE_WORDS = 50  # a passage has more words than these
 
 
 def _chunks(text: Column) -> Column:
@@ -71,6 +76,63 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Seq
     return joined.select("doc_id", F.when(~F.col("_null"), F.col("_out.text")).alias("text"), "_out.n_lines", "_out.n_removed", *keep)
 
 
+def _windows(text: Column) -> Column:
+    """An array of (start, stop, hash): from every line with words the fewest such lines with over 50 words."""
+
+    def window(part: Column) -> Column:
+        add = lambda a, y: F.when(a["n"] > PASSAGE_WORDS, a).otherwise(F.struct((a["n"] + y["n"]).alias("n"), (a["m"] + 1).alias("m")))
+        return bind(F.aggregate(part, F.struct(F.lit(0).alias("n"), F.lit(0).alias("m")), add), lambda a: F.when(
+            a["n"] > PASSAGE_WORDS, bind(F.slice(part, 1, a["m"]), lambda p: F.struct(
+                F.get(p, 0)["i"].alias("start"), F.get(p, a["m"] - 1)["i"].alias("stop"),
+                F.unhex(F.sha2(F.array_join(F.transform(p, lambda y: y["line"]), "\n"), 256)).alias("hash"),
+            ))
+        ))
+
+    counted = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line, i: F.struct(
+        i.alias("i"), line.alias("line"), F.regexp_count(line, F.lit(WORD)).alias("n")
+    ))
+    return bind(F.filter(counted, lambda y: y["n"] > 0), lambda said: F.filter(
+        F.transform(said, lambda _, k: window(F.slice(said, k + 1, PASSAGE_WORDS + 1))), lambda w: w.isNotNull()
+    ))
+
+
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Removes every run of equal lines with over 50 words but the first; columns and order as in ``dedup``.
+
+    A window begins at each line with words and ends where it has over 50 of them, so a repeated run
+    is covered by windows that are all repeated, wherever it lies. Lines of windows that come first
+    stay, all other lines of repeated windows go with the blank lines between them. Blank lines do
+    not count in a comparison; where no line with words is left, no line is left.
+    """
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(k).alias(f"_keep{i}") for i, k in enumerate(keep))
+    ).withColumn("_row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))))
+    windows = stored(explode_once(rows, "doc_id", "_row", items=_windows(F.col("text")), name="w").filter("w IS NOT NULL").select("doc_id", "_row", "w.*"), "windows")
+    place = F.struct("doc_id", "_row", "start")
+    repeated = stored(
+        windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+        .filter("first != last").drop("last"), "repeated",
+    )
+    found = lookup(windows, repeated, "hash", "n", windows.count(), how="inner")
+    is_first = (F.col("_row") == F.col("first._row")) & (F.col("start") == F.col("first.start"))
+    marks = found.groupBy("_row").agg(F.collect_set(F.struct("start", "stop", is_first.alias("first"))).alias("_marks"))
+    covered = lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda w: F.sequence(w["start"], w["stop"]))))
+    gone = F.array_except(covered(F.filter("_marks", lambda w: ~w["first"])), covered(F.filter("_marks", lambda w: w["first"])))
+
+    def left(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return bind(F.transform(stay, lambda i: F.get(lines, i)), lambda kept: bind(F.exists(kept, lambda line: line.rlike(WORD)), lambda some: F.struct(
+            F.when(some, F.array_join(kept, "\n")).otherwise("").alias("text"), F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.when(some, F.size(kept)).otherwise(0)).cast("long").alias("n_removed"),
+        )))
+
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    whole = F.struct(F.col("text").alias("text"), F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    out = F.when(F.col("_marks").isNull(), whole).otherwise(bind(lines, left))
+    kept = [F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)]
+    return rows.join(marks, "_row", "left").select("doc_id", out.alias("_out"), *kept).select("doc_id", "_out.text", "_out.n_lines", "_out.n_removed", *keep)
+
+
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l,

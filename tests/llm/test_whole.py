@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
-from inkprint.llm import language, pages
+from inkprint.llm import language, lines, pages
 
 # --- languages -------------------------------------------------------------------------------------
 
@@ -55,3 +57,32 @@ def test_pages_with_several_articles():
     apart = f"<body>{menu}<div><article><p>{a}</article></div><div><article><p>{b}</article></div></body>"
     assert pages.main_text(apart) == f"{a} {b}"
     assert pages.main_text(f"<main>{menu}<article><p>{a}</article><article><p>{b}</article></main>").endswith(f"{a} {b}")
+
+
+# --- lines -----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_repeated_passages_go_whole(spark, sf_dir, n):
+    rng = random.Random(n)
+    fresh = lambda k: [sentence(rng, 7) for _ in range(k)]
+    passage = [sentence(rng, 60 // n + 1) for _ in range(n)]
+    around = [(fresh(3), fresh(4)) for _ in range(3)] + [([], fresh(2)), (fresh(2), [])]
+    rows = [(i, "\n".join([*a, *passage, *b]), "en", "s", 0) for i, (a, b) in enumerate(around)]
+    expected = [rows[0][1], *("\n".join([*a, *b]) for a, b in around[1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_repeated_lines(spark, docs, sf_dir).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == expected
+
+
+def test_passages_keep_one_copy(spark):
+    line = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(4)]
+    a, b, c, d = line
+    rows = [(1, "\n".join([a, b, c])), (2, "\n".join([b, "", c, d])), (3, "\n".join([c, d])), (4, "\n".join([a] * 6)),
+            (5, "\n".join(["", a, b, " "])), (6, "a\nb"), (6, "a\nb"), (None, None), (7, "\n".join([a, b])), (7, "\n".join([a, b]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_lines"], r["n_removed"]) for r in lines.passages(frame).collect()), key=str)
+    assert got == sorted([
+        (1, rows[0][1], 3, 0), (2, "\n".join([c, d]), 4, 2), (3, "", 2, 2), (4, "\n".join([a] * 2), 6, 4), (5, "", 4, 4),
+        (6, "a\nb", 2, 0), (6, "a\nb", 2, 0), (0, None, 1, 0), (7, "", 2, 2), (7, "", 2, 2),
+    ], key=str)
