@@ -1014,3 +1014,23 @@ def stream_delta(spark, sf_dir):
 def stream_lockouts(spark, sf_dir):
     """Locks of attempts the watermark has passed, an hour before the last one."""
     return sinks.append_all(lock_events(_attempts(_event_stream(spark, sf_dir))), "lockouts")
+
+
+def _last_event(spark, sf_dir):
+    return tb.read(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+
+
+@query
+def stream_sessions_to_the_end(spark, sf_dir):
+    """All sessions, those still open when the stream ends too."""
+    history = _event_stream(spark, sf_dir).select(F.col("user_id").alias("target"), "ts")
+    build = lambda events: jobs.target_sessions(events, "1 hour", "12 hours")
+    made = sinks.append_to_the_end(history, build, "sessions", _last_event(spark, sf_dir), "14 hours")
+    return made.select("target", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "scans")
+
+
+@query
+def stream_lockouts_to_the_end(spark, sf_dir):
+    """All locks, those of the last hour too."""
+    attempts = _attempts(_event_stream(spark, sf_dir))
+    return sinks.append_to_the_end(attempts, lock_events, "lockouts", _last_event(spark, sf_dir), "2 hours")

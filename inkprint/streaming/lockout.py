@@ -42,7 +42,7 @@ def _replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     state.update((int(failed), int(locked_until), *([r[i] for r in rest] for i in range(3))))
     if rest:
         state.setTimeoutTimestamp(max(rest[0][0] // 1000, passed // 1000) + 1)
-    yield pd.DataFrame({"user_id": [int(key[0])] * len(locks), "locked_at_us": [int(x) for x in locks]})
+    yield pd.DataFrame({"user_id": [int(key[0]) for _ in locks], "locked_at_us": [int(x) for x in locks]})
 
 
 def lock_events(attempts: DataFrame, lateness: str = "1 hour") -> DataFrame:

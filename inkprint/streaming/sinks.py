@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,33 @@ def append_all(stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def append_to_the_end(
+    events: DataFrame, build: Callable[[DataFrame], DataFrame], purpose: str, last: datetime | None, wait: str
+) -> DataFrame:
+    """Runs the append-mode stream ``build(events)`` over what is there, then tells what is still open.
+
+    Once the events are read, the stream goes on from its checkpoint with one closing event: it lies
+    ``wait`` after the time ``last``, so that the watermark passes all before it, and has nothing but
+    its ``ts``. ``build`` must not tell anything of such an event, which is never passed itself.
+    """
+    spark = events.sparkSession
+    folder = work_folder(spark, purpose)
+    closing = spark.range(0 if last is None else 1).select(
+        *[(F.lit(last) + F.expr(f"INTERVAL {wait}") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]
+    )
+    closing.limit(0).write.parquet(f"{folder}/closing")
+    stream = build(events.unionByName(spark.readStream.schema(events.schema).parquet(f"{folder}/closing")))
+    for more in (None, closing):
+        if more is not None:
+            more.write.mode("append").parquet(f"{folder}/closing")
+        writer = (
+            stream.writeStream.outputMode("append").format("parquet")
+            .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows")
+        )
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def each_batch(
     stream: DataFrame, purpose: str, write: Callable[[DataFrame, str], None], mode: str = "update"
 ) -> str:

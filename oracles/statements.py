@@ -625,3 +625,5 @@ w AS (SELECT severity, unnest([us // 10800000000 * 10800000000, (us // 108000000
 oracle("stream_dedupe", "id s, match_no b", """SELECT DISTINCT substring(sha1(event_type || ':' || json_extract_string(props, '$.k')), 1, 10) AS id,
  event_id % 3 AS match_no FROM events""")
 ORACLES["stream_delta"] = ORACLES["delta_summary"]
+ORACLES["stream_sessions_to_the_end"] = ORACLES["activity_sessions"]
+ORACLES["stream_lockouts_to_the_end"] = ORACLES["lockout_replay"]
