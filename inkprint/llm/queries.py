@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import bpe, decontaminate, jaccard, language, lines, pages, quality, repeats, toxicity, warc
+from inkprint.llm import bpe, decontaminate, jaccard, language, lines, packing, pages, quality, repeats, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +76,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(load(spark, sf_dir, "pages"))
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
