@@ -9,7 +9,7 @@ import duckdb
 import pandas as pd
 
 _SPARK = {"bigint": "int64", "double": "float64", "string": "object", "boolean": "bool"}
-_DUCK = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+_DUCK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
