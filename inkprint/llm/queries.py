@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import bpe, decontaminate, jaccard, language, lines, packing, pages, quality, repeats, toxicity, trie, warc
+from inkprint.llm import bpe, decontaminate, jaccard, language, lines, negatives, packing, pages, quality, repeats, toxicity, trie, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": decontaminate.SQL, "op9_line_dedup": lines.SQL, "op13_conversation_trie": trie.SQL}
+ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": decontaminate.SQL,
+    "op9_line_dedup": lines.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_conversation_trie": trie.SQL,
+}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -83,6 +88,11 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(load(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(load(spark, sf_dir, "conversations"))

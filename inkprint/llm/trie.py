@@ -27,6 +27,7 @@ from inkprint.llm.common import stored
 BASE = 5  # conversations begin with turns of the nearest id below that this divides
 MOST_HEAD = 8  # turns they take over at most
 MERGED = 64  # partitions whose paths one task merges
+RUN = 4096  # ids of a sequence that are joined in one row
 ROWS_OUT = 4096  # rows of a record batch that a task gives out
 NONE_END = hashlib.sha256(b"").hexdigest()
 FAR = (1 << 63) - 1
@@ -202,27 +203,49 @@ def _merge(whole: bool):
     return run
 
 
-def _end_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sequence, conv_id), sorted by both: a digest per sequence over its ids, whatever their number."""
-    now, running, rows = None, None, []
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sequence, conv_id), sorted by both: the ids of a sequence joined by commas, some thousands a row."""
+    now, first, ids = None, None, []
+    schema = pa.schema([("sequence", pa.string()), ("first", pa.int64()), ("ids", pa.string())])
 
     def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["sequence", "ends"])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     for batch in batches:
+        rows = []
         for sequence, conv in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if sequence != now or len(ids) == RUN:
+                if ids:
+                    rows.append((now, first, ",".join(ids)))
+                now, first, ids = sequence, conv, []
+            ids.append(str(conv))
+        if rows:
+            yield told()
+    if ids:
+        rows = [(now, first, ",".join(ids))]
+        yield told()
+
+
+def _end_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sequence, first, ids), sorted by the first two: a digest per sequence over its ids, read as a stream."""
+    now, running = None, None
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["sequence", "ends"])
+
+    for batch in batches:
+        rows = []
+        for sequence, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             if sequence != now:
                 if now is not None:
                     rows.append((now, running.hexdigest()))
-                now, running = sequence, hashlib.sha256(str(conv).encode())
+                now, running = sequence, hashlib.sha256(ids.encode())
             else:
-                running.update(f",{conv}".encode())
-        if len(rows) >= ROWS_OUT:
-            yield told()
-            rows = []
+                running.update(f",{ids}".encode())
+        if rows:
+            yield told(rows)
     if now is not None:
-        rows.append((now, running.hexdigest()))
-        yield told()
+        yield told([(now, running.hexdigest())])
 
 
 def sequences(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -261,7 +284,7 @@ def nodes(built: DataFrame) -> DataFrame:
     """One row per different prefix of ``turns``: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     Conversations of the same turns are counted first and go on as one sequence, however many they
-    are; only the digest over their ids reads them one by one, in one task as a stream. A
+    are; their ids are sorted and joined in many tasks, only the digest reads one after the other. A
     conversation without turns is a member of the root; without conversations there are no nodes.
     ``conv_id`` must be unique, as ``sequences`` makes it.
     """
@@ -272,7 +295,8 @@ def nodes(built: DataFrame) -> DataFrame:
     copies = counted.filter("n > 1")
     streamed = (
         built.select("sequence", "conv_id").join(copies.select("sequence"), "sequence", "left_semi")
-        .repartition("sequence").sortWithinPartitions("sequence", "conv_id").mapInArrow(_end_digests, "sequence string, ends string")
+        .repartitionByRange("sequence", "conv_id").sortWithinPartitions("sequence", "conv_id").mapInArrow(_runs, "sequence string, first long, ids string")
+        .repartition("sequence").sortWithinPartitions("sequence", "first").mapInArrow(_end_digests, "sequence string, ends string")
     )
     single = counted.filter("n = 1").select("conv_id", "n", F.sha2(F.col("conv_id").cast("string"), 256).alias("ends"))
     different = single.unionByName(copies.join(streamed, "sequence").select("conv_id", "n", "ends"))
