@@ -33,8 +33,12 @@ class Profiles:
     def __init__(self, size: int = SIZE, seed: int = SEED) -> None:
         self.size, self.seed = size, seed
         self.letters: dict[int, np.ndarray] = {}
-        self.known = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, size), np.float32)
+        self._forget()
+
+    def _forget(self) -> None:
+        """``known`` trigrams in order, the rows of ``vectors`` that are theirs; rows are taken one after the other."""
+        self.known, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.vectors = np.zeros((1024, self.size), np.float32)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -63,18 +67,28 @@ class Profiles:
         return total
 
     def _rows(self, grams: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.known, grams)
-        missing = grams[(at >= len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != grams)] if len(self.known) else grams
+        """Vectors of different trigrams in order, at most ``_CACHE``."""
+        missing = self._missing(grams)
+        if len(self.known) + len(missing) > _CACHE:
+            self._forget()
+            missing = grams
         if len(missing):
-            if len(self.known) + len(missing) > _CACHE:
-                self.known, self.vectors = np.zeros(0, np.int64), np.zeros((0, self.size), np.float32)
-                missing = grams
-            known = np.concatenate([self.known, missing])
-            order = np.argsort(known)
-            self.known = known[order]
-            self.vectors = np.concatenate([self.vectors, self._bind(missing)])[order]
-            at = np.searchsorted(self.known, grams)
-        return self.vectors[at]
+            held = len(self.known)
+            if held + len(missing) > len(self.vectors):
+                wider = np.zeros((min(_CACHE, max(2 * len(self.vectors), held + len(missing))), self.size), np.float32)
+                wider[:held] = self.vectors[:held]
+                self.vectors = wider
+            self.vectors[held : held + len(missing)] = self._bind(missing)
+            before = np.searchsorted(self.known, missing)
+            self.known = np.insert(self.known, before, missing)
+            self.place = np.insert(self.place, before, np.arange(held, held + len(missing)))
+        return self.vectors[self.place[np.searchsorted(self.known, grams)]]
+
+    def _missing(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return grams
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        return grams[self.known[at] != grams]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
