@@ -17,6 +17,8 @@ from inkprint.functions.scalars import steady
 
 WORD = "[a-z0-9_]+"
 NAME_LIKE = r"[A-Za-z0-9_$]+"
+# what such names are made of; order and groups are only for speed
+NAME_CHARACTERS = ("etaoinsrhldcum", "fpgwybvkxjqz", "ETAOINSRHLDCUM", "FPGWYBVKXJQZ", "0123456789_$")
 # Comments and literals. Possessive groups keep the matcher from recursing on long ones.
 COMMENT_OR_LITERAL = (
     r"(?=[/\"'`])(?://[^\n]*|(?s:/\*.*?(?:\*/|\z))"
@@ -50,28 +52,37 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
 
 
+def run_lengths(ordered: Column) -> Column:
+    """Lengths of the runs of equal neighbours in a sorted array; the array is searched once for the places where a run begins."""
+
+    def lengths(ordered: Column) -> Column:
+        places = F.transform(ordered, lambda _, i: i)
+        begins = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return bind(begins, lambda at: F.transform(at, lambda b, k: (F.coalesce(F.get(at, k + 1), F.size(ordered)) - b).cast("double")))
+
+    return bind(ordered, lengths)
+
+
+def _weighed(runs: Column) -> Column:
+    return F.aggregate(runs, F.lit(0.0), lambda acc, run: F.when(run > 1, acc + run * F.log2(run)).otherwise(acc))
+
+
 def run_statistics(items: Column, total: Column | None = None) -> Column:
     """Struct of ``n``, ``distinct`` and Shannon ``entropy`` (bits) of an array of texts.
 
-    ``total`` replaces the array size as the denominator of the probabilities. The sorted array is
-    searched once for the places where a run begins; all arithmetic is per distinct item.
+    ``total`` replaces the array size as the denominator of the probabilities. All arithmetic is
+    per distinct item.
     """
     count = lambda x: x.cast("bigint")
 
-    def finish(ordered: Column, begins: Column) -> Column:
+    def finish(ordered: Column, runs: Column) -> Column:
         n = F.size(ordered)
-        runs = F.transform(begins, lambda at, k: (F.coalesce(F.get(begins, k + 1), n) - at).cast("double"))
-        weighed = F.aggregate(runs, F.lit(0.0), lambda acc, run: acc + run * F.log2(run))
         size = (n if total is None else total).cast("double")
         # sum of -(c/L) log2(c/L) over the distinct items, L being the denominator
-        entropy = F.when(size > 0, (n * F.log2(size) - weighed) / size).otherwise(F.lit(0.0))
-        return F.struct(count(n).alias("n"), count(F.size(begins)).alias("distinct"), steady(entropy).alias("entropy"))
-
-    def starts(ordered: Column) -> Column:
-        places = F.transform(ordered, lambda _, i: i)
-        return F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        entropy = F.when(size > 0, (n * F.log2(size) - _weighed(runs)) / size).otherwise(F.lit(0.0))
+        return F.struct(count(n).alias("n"), count(F.size(runs)).alias("distinct"), steady(entropy).alias("entropy"))
 
-    return bind(F.sort_array(items), lambda ordered: bind(starts(ordered), lambda begins: finish(ordered, begins)))
+    return bind(F.sort_array(items), lambda ordered: bind(run_lengths(ordered), lambda runs: finish(ordered, runs)))
 
 
 def short_text_entropy(text: Column) -> Column:
@@ -79,22 +90,34 @@ def short_text_entropy(text: Column) -> Column:
     return run_statistics(characters(text), total=utf16_length(text))["entropy"]
 
 
-def character_entropy(text: Column, alphabet: Column, size: Column) -> Column:
-    """The same for long texts.
+def character_entropy(text: Column) -> Column:
+    """The same for long texts, most of whose characters are those of ASCII names.
 
-    ``alphabet`` holds the distinct characters of ``text``, ``size`` its UTF-16 length.
-    Taking a character out of a text shows how often it occurs: one native pass per distinct
-    character, no sorting.
-    All arguments should be columns of their own, as they are read many times.
+    Taking a character out of a text shows how often it occurs, and leaves less text for the next
+    one: with the frequent ones first, all name characters together cost about ten native passes.
+    Whatever is left then is sorted, once, however many different characters it has. ``text`` should
+    be a column of its own, as it is read several times.
     """
-    length = F.length(text)
+    size = utf16_length(text).cast("double")
+
+    def take(acc: Column, ch: Column) -> Column:
+        def less(rest: Column) -> Column:
+            n = (F.octet_length(acc["rest"]) - F.octet_length(rest)).cast("double")  # the character is one byte
+            return F.struct(rest.alias("rest"), (acc["weighed"] + n * F.log2(n)).alias("weighed"))
+
+        return F.when(F.contains(acc["rest"], ch), bind(F.replace(acc["rest"], ch, F.lit("")), less)).otherwise(acc)
 
-    def add(acc: Column, ch: Column) -> Column:
-        n = (length - F.length(F.replace(text, ch, F.lit("")))).cast("double")
-        return acc + n * F.log2(n)
+    def take_group(acc: Column, group: Column) -> Column:
+        return F.when(F.octet_length(acc["rest"]) > 0, F.aggregate(group, acc, take)).otherwise(acc)
 
-    spread = length * F.log2(size.cast("double")) - F.aggregate(alphabet, F.lit(0.0), add)
-    return F.when(text == "", F.lit(0.0)).otherwise(steady(spread / size))
+    start = F.struct(text.alias("rest"), F.lit(0.0).alias("weighed"))
+    taken = F.aggregate(F.array(*(F.array(*map(F.lit, group)) for group in NAME_CHARACTERS)), start, take_group)
+
+    def finish(acc: Column) -> Column:
+        others = F.when(acc["rest"] != "", bind(run_lengths(F.sort_array(characters(acc["rest"]))), _weighed)).otherwise(0.0)
+        return steady((F.length(text) * F.log2(size) - acc["weighed"] - others) / size)
+
+    return F.when(text == "", F.lit(0.0)).otherwise(bind(taken, finish))
 
 
 def masked(source: Column) -> Column:
@@ -137,15 +160,29 @@ def indents(code: Column) -> Column:
     return F.transform(led, lambda blank: F.length(blank))
 
 
-def sentence_statistics(text: Column) -> Column:
-    """Array of (words, opener) for every sentence that is not blank."""
+def sentence_tokens(text: Column) -> Column:
+    """Array of (tokens, solid) for every stretch between sentence ends; solid ones are not blank.
+
+    Sentence ends are in no token, so all tokens of the text are here, in order.
+    """
     parts = F.split(F.lower(text), r"[.!?;]+")
-    solid = F.filter(parts, lambda p: p.rlike(rf"[^{fixed.WS}]"))
+    split = lambda p: bind(every(p, WORD), lambda words: F.struct(
+        words.alias("tokens"), ((F.size(words) > 0) | p.rlike(rf"[^{fixed.WS}]")).alias("solid"),
+    ))
+    return F.transform(parts, split)
+
+
+def all_tokens(sentences: Column) -> Column:
+    return F.flatten(F.transform(sentences, lambda s: s["tokens"]))
+
+
+def sentence_statistics(sentences: Column) -> Column:
+    """Array of (words, opener) for every sentence that is not blank."""
     return F.transform(
-        solid,
-        lambda p: F.struct(
-            F.size(every(p, WORD)).cast("bigint").alias("words"),
-            F.regexp_extract(p, WORD, 0).alias("opener"),
+        F.filter(sentences, lambda s: s["solid"]),
+        lambda s: F.struct(
+            F.size(s["tokens"]).cast("bigint").alias("words"),
+            F.coalesce(F.get(s["tokens"], F.lit(0)), F.lit("")).alias("opener"),
         ),
     )
 

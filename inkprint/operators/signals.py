@@ -19,6 +19,7 @@ from inkprint.functions.scalars import clamp, clamp01, half_up, steady
 from inkprint.operators import units as un
 
 _OBVIOUS = rf"(?i)//[{fixed.WS}]*(?:{'|'.join(fixed.OBVIOUS_COMMENT_VERBS)}){fixed.WORD_END}"
+_GENERIC = rf"(?<![^\n])(?:{'|'.join(fixed.GENERIC_NAMES)})(?![^\n])"  # whole lines
 _WORDS = "[A-Za-z0-9_]"
 _BOILERPLATE = (
     (rf"(?i)async[{fixed.WS}]+function[{fixed.WS}]+(?:get|create|update|delete){_WORDS}+",),
@@ -29,10 +30,6 @@ _BOILERPLATE = (
 _HELPER_CALLS = tuple(rf"(?i){verb}{_WORDS}*\([^)]*\)" for verb in ("validate", "format", "process"))
 
 
-def _generic_count(names: Column) -> Column:
-    return F.size(F.filter(names, lambda n: F.lower(n).isin(*fixed.GENERIC_NAMES)))
-
-
 def _pattern_figures() -> dict[str, Column]:
     code = F.col("code")
     boilerplate = F.lit(0)
@@ -88,7 +85,7 @@ def perplexity_figures(units: DataFrame) -> DataFrame:
 
 
 def burstiness_figures(units: DataFrame) -> DataFrame:
-    staged = units.withColumn("_sentences", tx.sentence_statistics(F.col("code"))).withColumn("_words", _worded())
+    staged = units.withColumn("_sentences", tx.sentence_statistics(tx.sentence_tokens(F.col("code")))).withColumn("_words", _worded())
     return staged.withColumns(sentence_figures(F.col("_sentences"), F.col("_words"))).drop("_sentences", "_words")
 
 
@@ -100,19 +97,23 @@ def figures(units: DataFrame) -> DataFrame:
     columns of the stage before, so that no search or array is made twice.
     """
     code = F.col("code")
-    given = {"identifiers": tx.identifiers(code), "loc": tx.code_lines(code), "comment_lines": tx.comment_lines(code)}
+    given = {"identifiers": tx.identifiers(code), "comment_lines": tx.comment_lines(code)}
     read_from_code = {
         **{name: column for name, column in given.items() if name not in units.columns},
         "_indents": tx.indents(code),
-        "_stats": tx.run_statistics(tx.tokens(code)),
-        "_sentences": tx.sentence_statistics(code),
+        "_tokens": tx.sentence_tokens(code),
         **_pattern_figures(),
     }
+    shaped = {
+        "_stats": tx.run_statistics(tx.all_tokens(F.col("_tokens"))),
+        "_sentences": tx.sentence_statistics(F.col("_tokens")),
+        # every line that is not blank has its indentation, and starts like a comment or not
+        **({} if "loc" in units.columns else {"loc": F.size("_indents") - F.col("comment_lines") if "comment_lines" not in units.columns else tx.code_lines(code)}),
+    }
     counted = {
-        "_joined": F.array_join("identifiers", ""),
+        "_names": F.array_join("identifiers", "\n"),
         "_words": _worded(),
         "ident_count": F.size("identifiers"),
-        "ident_generic": _generic_count(F.col("identifiers")),
         "comment_ratio": un.comment_ratio(F.col("comment_lines"), F.col("loc")),
         "indent_lines": F.size("_indents"),
         "indent_levels": F.size(F.array_distinct("_indents")),
@@ -120,15 +121,15 @@ def figures(units: DataFrame) -> DataFrame:
         **token_figures(F.col("_stats")),
     }
     prepared = {
-        "_alphabet": F.array_distinct(tx.characters(F.col("_joined"))),
-        "_size": tx.utf16_length(F.col("_joined")),
+        "_joined": F.replace(F.col("_names"), F.lit("\n"), F.lit("")),
+        "ident_generic": tx.hits(F.lower("_names"), _GENERIC),
         **sentence_figures(F.col("_sentences"), F.col("_words")),
     }
-    entropy = {"ident_entropy": tx.character_entropy(F.col("_joined"), F.col("_alphabet"), F.col("_size"))}
+    entropy = {"ident_entropy": tx.character_entropy(F.col("_joined"))}
     staged = units
-    for stage in (read_from_code, counted, prepared, entropy):
+    for stage in (read_from_code, shaped, counted, prepared, entropy):
         staged = staged.withColumns(stage)
-    return staged.drop("_indents", "_stats", "_sentences", "_joined", "_words", "_alphabet", "_size")
+    return staged.drop("_indents", "_tokens", "_stats", "_sentences", "_names", "_joined", "_words")
 
 
 @dataclass(frozen=True)

@@ -242,7 +242,7 @@ def distinct_counts(spark, sf_dir):
     staged = documents(spark, sf_dir).select(
         "doc_id", tx.run_statistics(tx.tokens(F.col("code"))).alias("words"),
         F.size(F.array_distinct(tx.indents(F.col("code")))).alias("indents"),
-        F.size(F.array_distinct(F.transform(tx.sentence_statistics(F.col("code")), lambda s: s["opener"]))).alias("openers"),
+        F.size(F.array_distinct(F.transform(tx.sentence_statistics(tx.sentence_tokens(F.col("code"))), lambda s: s["opener"]))).alias("openers"),
     )
     return staged.select("doc_id", F.col("words.distinct").alias("words"), "indents", "openers")
 

@@ -1,6 +1,7 @@
 """Hand-worked values of the signals and the score."""
 
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -97,16 +98,29 @@ def test_naming_entropy(spark):
 
 def test_character_entropy_counts_utf16_and_large_alphabets(spark):
     wide = "".join(chr(0x4E00 + i) for i in range(400)) + "aab"
-    rows = [("a\U0001F680a",), ("",), (wide,), ("aaaa",)]
-    df = spark.createDataFrame(rows, "t string").select(
-        "t", F.array_distinct(tx.characters(F.col("t"))).alias("a"), tx.utf16_length(F.col("t")).alias("n")
-    )
-    got = df.select("t", tx.character_entropy(F.col("t"), F.col("a"), F.col("n")), tx.short_text_entropy(F.col("t"))).collect()
+    long = "".join(chr(0x4E00 + i * i % 5000) + "xY_9"[i % 4] for i in range(200_000))  # a megabyte, thousands of characters
+    rows = [("a\U0001F680a",), ("",), (wide,), ("aaaa",), (long,), ("é" * 9 + "$",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select("t", tx.character_entropy(F.col("t")), tx.short_text_entropy(F.col("t"))).collect()
     for text, long_form, short_form in got:
         want = entropy(text) if text else 0.0
         assert long_form == pytest.approx(want, abs=1e-8) and short_form == pytest.approx(want, abs=1e-8)
 
 
+@pytest.mark.parametrize("text", ["", " ", "a", "a b. c; ! ?\n.x", "İ Kelvin K. ...", ".;a.;", "one two. three", "\u00a0.\u00a0x"])
+def test_tokens_of_sentences_are_those_of_the_text(spark, text):
+    df = spark.createDataFrame([(text,)], "t string").withColumn("s", tx.sentence_tokens(F.col("t")))
+    row = df.select(tx.all_tokens(F.col("s")), tx.tokens(F.col("t")), F.size(tx.sentence_statistics(F.col("s")))).first()
+    assert row[0] == row[1]
+    assert row[2] == sum(bool(p.strip()) for p in re.split(r"[.!?;]+", text))
+
+
+def test_lines_of_code_are_the_lines_that_are_no_comments(spark):
+    rows = [(t, "") for t in ("", "\n \n", "a\n // b\n\t* c\n/* d\n  e /* f", "/\n//\n*x\n / *\r\n\x0c\n\u00a0q", "\r\n\r x")]
+    df = spark.createDataFrame(rows, "code string, prefix string")
+    assert all(a == b for a, b in sg.figures(df).select("loc", tx.code_lines(F.col("code"))).collect())
+
+
 def test_boilerplate_and_order(spark):
     assert one(spark, "async function getX() {}", "s_boilerplatePatterns") == 5
     assert one(spark, "try { a } catch (error) { b }", "s_boilerplatePatterns") == 5
