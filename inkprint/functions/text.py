@@ -120,12 +120,14 @@ def character_entropy(text: Column) -> Column:
     return F.when(text == "", F.lit(0.0)).otherwise(bind(taken, finish))
 
 
-def masked(source: Column) -> Column:
-    """The source with comments and literals blanked out, all offsets and lines kept."""
+def masked(source: Column, literal: str = " ") -> Column:
+    """The source with comments blanked out and literals made of ``literal``, all offsets and lines kept."""
     parts = F.regexp_extract_all(source, F.lit(f"(?:{MASK_PARTS})"), F.lit(0))
-    blank = lambda part: F.when(
-        part.rlike(r"^(?://|/\*|[\"'`])"), F.regexp_replace(part, r"[^\n]", " ")
-    ).otherwise(part)
+    blank = lambda part: (
+        F.when(part.rlike(r"^(?://|/\*)"), F.regexp_replace(part, r"[^\n]", " "))
+        .when(part.rlike("^[\"'`]"), F.regexp_replace(part, r"[^\n]", literal))
+        .otherwise(part)
+    )
     return F.array_join(F.transform(parts, blank), "")
 
 

@@ -21,13 +21,14 @@ def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """``left`` joined with at most one row per key of ``right``, also where few keys hold most of ``left``.
 
     Hot keys are counted (combined before the shuffle) and, being a thousand at most, broadcast to
-    both sides. Their rows are dealt out over the salts, and their right rows are repeated once per
-    salt; all other keys have one salt.
+    both sides. Their rows are dealt out over the salts by a hash of the row, so that a task that is
+    run again deals them alike, and their right rows are repeated once per salt; all other keys have
+    one salt.
     """
     counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all")).scalar()
     hot = F.broadcast(counts.filter(F.col("_n") * HOT_PARTS >= total).select(*keys, F.lit(True).alias("_hot")))
-    dealt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = left.join(hot, list(keys), "left").withColumn("_salt", dealt).drop("_hot")
     copies = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(salts)).drop("_hot")

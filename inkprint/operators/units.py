@@ -26,8 +26,11 @@ _ARGS = r"\((?:[^()]++|\([^()]*+\))*+\)"
 _TYPE_ARGS = r"(?:<[^<>{}()]*+>)?"
 _RETURN_TYPE = rf"(?:{_S}:[^{{}};=]++)?"
 _NOT_A_METHOD = r"(?!(?:if|for|while|switch|catch|with|function|return|constructor|super|new|await|typeof|do|else|try)(?![A-Za-z0-9_$]))"
-_BINDING = rf"(?:(?:const|let|var)\s+{_NAME}{_S}(?::[^=;{{}}()]++)?=(?!>){_S}|{_NAME}{_S}:{_S})?"
-_ARROW = rf"{_BINDING}(?:async\s+)?(?:{_ARGS}(?:{_S}:[^=>{{}};()]++)?|{_NAME}){_S}=>{_S}\{{"
+_BINDING = rf"(?:(?:const|let|var)\s+{_NAME}{_S}(?::(?:{_S}{_ARGS}{_S}=>)?[^=;{{}}()]++)?=(?!>){_S}|{_NAME}{_S}:{_S})?"
+_TO_BODY = rf"{_BINDING}(?:async\s+)?(?:{_ARGS}(?:{_S}:[^=>{{}};()]++)?|{_NAME}){_S}=>"
+_ARROW = rf"{_TO_BODY}{_S}\{{"
+# The same with an expression as its body; the head ends at the arrow.
+_EXPRESSION = rf"{_TO_BODY}(?!{_S}\{{)"
 _PLAIN = (
     rf"(?:[=(,:?&|!+]|return(?![A-Za-z0-9_$])){_S}(?:async\s+)?"
     rf"(?:function(?![A-Za-z0-9_$])[^(){{}}]*+{_ARGS}{_RETURN_TYPE}|class(?![A-Za-z0-9_$])[^{{}};]*+){_S}\{{"
@@ -50,6 +53,20 @@ _PARTS = (
     rf"(?:{_HEADS}|[{{}}]|(?:(?!{_HEADS})(?:{_WORD}++|[{_MAY_OPEN}])|[^A-Za-z0-9_$#{{}}{_MAY_OPEN}]++)++)"
 )
 
+# For files with expressions as bodies all brackets count, and what may end a statement: commas,
+# semicolons, and line breaks between what ends an operand and what cannot go on with it.
+_HEADS_AND_EXPRESSIONS = f"(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_ARROW}|{_EXPRESSION}|{_METHOD})"
+_BREAK = (
+    rf"(?<=[A-Za-z0-9_$)\]}}\"])[{fixed.WS_INLINE}]*+\n{_S}(?=[A-Za-z_$\"{{@#!~])"
+    r"(?!(?:in|instanceof|as|satisfies)(?![A-Za-z0-9_$]))"
+)
+_SOLID = rf"[^A-Za-z0-9_$#{{}}()\[\],;=:?&|!+{fixed.WS}]++"
+_BRACKET_PARTS = (
+    rf"(?:{_HEADS_AND_EXPRESSIONS}|[{fixed.WS}]*+(?!{_HEADS_AND_EXPRESSIONS})[(\[]|[{{}})\],;]|{_BREAK}|"
+    rf"(?:(?!{_HEADS_AND_EXPRESSIONS})(?:{_WORD}++|[=:?&|!+])|{_SOLID}|(?!{_BREAK})[{fixed.WS}]++)++)"
+)
+_HAS_EXPRESSION = rf"=>(?!{_S}\{{)"
+
 _FRAME = "struct<kind:string,name:string,line:int,col:int>"
 _SPAN = "struct<line:int,col:int,end_line:int,end_col:int,kind:string,name:string>"
 
@@ -67,16 +84,18 @@ def _frame(part: Column, line: Column, col: Column) -> Column:
     """What the brace at the end of ``part`` opens."""
     word = lambda w: part.rlike(rf"^{_MODIFIED}(?:async\s+|abstract\s+)?{w}(?![A-Za-z0-9_$])")
     kind = (
-        F.when((part == "{") | part.rlike(f"^(?:{_PLAIN})$"), "block")
+        F.when(part.endswith("=>"), "expression")
+        .when((part == "{") | part.rlike(f"^(?:{_PLAIN})$"), "block")
         .when(word("function"), "function")
         .when(word("class"), "class")
         .when(part.rlike(r"=>\s*\{$"), "arrow")
         .otherwise("method")
     )
     binding = F.regexp_extract(part, f"^({_BINDING})", 1)
-    lead = F.when(kind == "arrow", binding).otherwise(F.lit(""))
+    arrow = kind.isin("arrow", "expression")
+    lead = F.when(arrow, binding).otherwise(F.lit(""))
     declared = (
-        F.when(kind == "arrow", F.regexp_extract(binding, rf"^(?:(?:const|let|var)\s+)?({_NAME})", 1))
+        F.when(arrow, F.regexp_extract(binding, rf"^(?:(?:const|let|var)\s+)?({_NAME})", 1))
         .when(kind == "function", F.regexp_extract(part, rf"function{_S}\*?{_S}({_NAME})", 1))
         .when(
             kind == "class",
@@ -93,29 +112,107 @@ def _frame(part: Column, line: Column, col: Column) -> Column:
     ).cast(_FRAME)
 
 
-def source_parts(source: Column) -> Column:
-    """The masked text cut into heads, braces and what lies between."""
-    return F.regexp_extract_all(tx.masked(source), F.lit(_PARTS), F.lit(0))
+def has_expressions(source: Column) -> Column:
+    """Whether an arrow's body may be an expression, in which case all brackets of the file count."""
+    return source.rlike(_HAS_EXPRESSION)
+
+
+def source_parts(source: Column, brackets: Column | None = None) -> Column:
+    """The masked text cut into heads, braces and what lies between; where ``brackets`` holds, into all brackets and statement ends."""
+    plain = F.regexp_extract_all(tx.masked(source), F.lit(_PARTS), F.lit(0))
+    if brackets is None:
+        return plain
+    return F.when(brackets, F.regexp_extract_all(tx.masked(source, '"'), F.lit(_BRACKET_PARTS), F.lit(0))).otherwise(plain)
+
 
+def _after(kinds: tuple[str, ...]):
+    """How many frames are left when those of ``kinds`` on top of the stack go."""
+    return lambda frames: F.coalesce(F.array_max(F.transform(frames, lambda f, i: F.when(~f["kind"].isin(*kinds), i + 1))), F.lit(0))
 
-def unit_spans(parts: Column) -> Column:
+
+def _bracket_step(state):
+    """One step of the fold where all brackets count; frames are braces, brackets and expressions as bodies.
+
+    An expression ends at the last character before what closes it: a comma, a statement's end, or
+    the bracket around it. A bracket that was never opened closes nothing, one that was never closed
+    goes with the brace around it.
+    """
+
+    def step(s: Column, part: Column) -> Column:
+        # a part that is blank and follows an operand was cut out because a statement ends there
+        ends = part.isin(",", ";") | part.startswith(",") | (s["operand"] & part.rlike(rf"^[{fixed.WS}]*\n[{fixed.WS}]*$"))
+        brace, bracket = part == "}", part.isin(")", "]")
+        left = (
+            F.when(brace, _after(("expression", "bracket"))(s["open"]))
+            .when(ends | bracket, _after(("expression",))(s["open"]))
+            .otherwise(F.size(s["open"]))
+        )
+        closed = F.filter(F.slice(s["open"], left + 1, F.size(s["open"])), lambda f: f["kind"] == "expression")
+        below = F.when(left > 0, F.get(s["open"], left - 1))
+
+        def unit(f: Column, kind: Column, line: Column, col: Column) -> Column:
+            return F.struct(
+                f["line"].alias("line"), f["col"].alias("col"), line.cast("int").alias("end_line"), col.cast("int").alias("end_col"),
+                kind.alias("kind"), f["name"].alias("name"),
+            ).cast(_SPAN)
+
+        ended = F.transform(closed, lambda f: unit(f, F.lit("arrow"), s["solid_line"], s["solid_col"]))
+        whole = F.when(
+            brace & F.coalesce(below["kind"] != "block", F.lit(False)), F.array(unit(below, below["kind"], s["line"], s["col"] + 1))
+        ).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        pops = brace & (left > 0) | bracket & F.coalesce(below["kind"] == "bracket", F.lit(False))
+        kept = F.slice(s["open"], F.lit(1), left - pops.cast("int"))
+        bracket_frame = F.struct(
+            F.lit("bracket").alias("kind"), F.lit("").alias("name"), s["line"].cast("int").alias("line"), s["col"].cast("int").alias("col")
+        ).cast(_FRAME)
+        head = part.endswith("{") | part.endswith("=>")
+        # a function that is an argument brings the bracket before it along
+        opens = part.rlike(rf"^[{fixed.WS}]*[(\[]$") | (part.endswith("{") & part.rlike(rf"^\({_S}(?:async\s+)?(?:function|class)(?![A-Za-z0-9_$])"))
+        none = F.array().cast(f"array<{_FRAME}>")
+        opened = F.concat(
+            kept, F.when(opens, F.array(bracket_frame)).otherwise(none),
+            F.when(head, F.array(_frame(part, s["line"], s["col"]))).otherwise(none),
+        )
+        solid = F.regexp_replace(part, rf"[{fixed.WS}]+$", "")
+        return state(
+            (s["line"] + _newlines(part)).cast("int"), _column_after(part, s["col"]).cast("int"), opened, F.concat(s["done"], ended, whole),
+            F.when(solid == "", s["solid_line"]).otherwise(s["line"] + _newlines(solid)).cast("int"),
+            F.when(solid == "", s["solid_col"]).otherwise(_column_after(solid, s["col"])).cast("int"),
+            F.when(solid == "", s["operand"]).otherwise(solid.rlike(r"[A-Za-z0-9_$)\]}\"]$")),
+        )
+
+    return step
+
+
+def unit_spans(parts: Column, brackets: Column | None = None) -> Column:
     """Array of unit spans of one file, in order of their start (lines from 1, columns from 0).
 
-    A fold over ``parts`` (a column of its own) with a stack of open braces. Growing an array
-    inside a fold copies it each time, so the fold runs in chunks: each chunk collects its own
-    spans and hands on line, column and stack.
+    ``brackets`` says whether the parts hold all brackets. ``parts`` should be a column of its own.
+    """
+    plain = _spans(parts, False)
+    return plain if brackets is None else F.when(brackets, _spans(parts, True)).otherwise(plain)
+
+
+def _spans(parts: Column, brackets: bool) -> Column:
+    """A fold over ``parts`` with a stack of what is open.
+
+    Growing an array inside a fold copies it each time, so the fold runs in chunks: each chunk
+    collects its own spans and hands on line, column and stack.
     """
     last_chunk = F.floor((F.size(parts) - 1) / CHUNK).cast("int")
     chunks = F.transform(
         F.when(F.size(parts) > 0, F.sequence(F.lit(0), last_chunk)),
         lambda i: F.slice(parts, i * CHUNK + 1, F.lit(CHUNK)),
     )
-    state = lambda line, col, opened, done: F.struct(
-        line.alias("line"), col.alias("col"), opened.alias("open"), done.alias("done")
-    )
+    def state(line: Column, col: Column, opened: Column, done: Column, *solid: Column) -> Column:
+        ends = [c.alias(n) for c, n in zip(solid, ("solid_line", "solid_col", "operand"))]
+        return F.struct(line.alias("line"), col.alias("col"), opened.alias("open"), done.alias("done"), *ends)
+
+    solid_of = lambda s: (s["solid_line"], s["solid_col"], s["operand"]) if brackets else ()
     no_spans = F.array().cast(f"array<{_SPAN}>")
     start = state(
-        F.lit(1), F.lit(0), F.array().cast(f"array<{_FRAME}>"), F.array().cast(f"array<array<{_SPAN}>>")
+        F.lit(1), F.lit(0), F.array().cast(f"array<{_FRAME}>"), F.array().cast(f"array<array<{_SPAN}>>"),
+        *((F.lit(1), F.lit(0), F.lit(False)) if brackets else ()),
     )
 
     def step(s: Column, part: Column) -> Column:
@@ -139,9 +236,9 @@ def unit_spans(parts: Column) -> Column:
     def run_chunk(before: Column, chunk: Column) -> Column:
         return F.aggregate(
             chunk,
-            state(before["line"], before["col"], before["open"], no_spans),
-            step,
-            lambda s: state(s["line"], s["col"], s["open"], F.concat(before["done"], F.array(s["done"]))),
+            state(before["line"], before["col"], before["open"], no_spans, *solid_of(before)),
+            _bracket_step(state) if brackets else step,
+            lambda s: state(s["line"], s["col"], s["open"], F.concat(before["done"], F.array(s["done"])), *solid_of(s)),
         )
 
     return F.aggregate(chunks, start, run_chunk, lambda s: F.sort_array(F.flatten(s["done"])))
@@ -156,8 +253,9 @@ def split_files(files: DataFrame) -> DataFrame:
     the file size.
     """
     content = F.col("content")
-    staged = files.select("path", F.split(content, "\n").alias("_lines"), source_parts(content).alias("_parts"))
-    staged = staged.select("path", "_lines", unit_spans(F.col("_parts")).alias("_spans"))
+    staged = files.select("path", "content", has_expressions(content).alias("_brackets"))
+    staged = staged.select("path", F.split(content, "\n").alias("_lines"), "_brackets", source_parts(content, F.col("_brackets")).alias("_parts"))
+    staged = staged.select("path", "_lines", unit_spans(F.col("_parts"), F.col("_brackets")).alias("_spans"))
 
     def cut(span: Column) -> Column:
         text = F.array_join(F.slice("_lines", span["line"], span["end_line"] - span["line"] + 1), "\n")

@@ -237,6 +237,15 @@ def lexical_units(spark, sf_dir):
     )
 
 
+@query
+def expression_units(spark, sf_dir):
+    files = spread(tb.derived_views(spark, sf_dir))
+    return un.split_files(files).select(
+        "path", "name", "kind", "start_line", "end_line",
+        un.unit_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("name")).alias("id"), "code",
+    )
+
+
 @query
 def distinct_counts(spark, sf_dir):
     staged = documents(spark, sf_dir).select(

@@ -122,6 +122,61 @@ NAMES = ("settleLedger{k}", "getData{k}", "handleReq", "Panel{k}", "validateInpu
          "connect{k}", "login{k}", "a{k}", "total", "count", "Box{k}")
 
 
+# views: arrows whose bodies are expressions, one file an order
+VIEWS: tuple[tuple[str, ...], ...] = (
+    (
+        "export const List{k} = ({ rows, onOpen }) => (",
+        "  <ul className=\"list\">",
+        "    {rows.map((row) => (",
+        "      <li key={row.id} onClick={() => onOpen({k})}>",
+        "        {row.label}",
+        "      </li>",
+        "    ))}",
+        "  </ul>",
+        ");",
+    ),
+    (
+        "const scale{k} = (rate) => (amount) =>",
+        "  amount *",
+        "  rate + // (not an argument",
+        "  {k}",
+        "const after = 1",
+    ),
+    (
+        "export const load{k} = async (ids) =>",
+        "  ids",
+        "    .filter((id) => id > {k})",
+        "    .map(async (id) => {",
+        "      const found = await read(id, [{k}]);",
+        "      return found;",
+        "    });",
+        "const handlers = {",
+        "  open: (event) =>",
+        "    event.target ===",
+        "    null,",
+        "  close(event) {",
+        "    event.stop();",
+        "    return {k};",
+        "  },",
+        "};",
+    ),
+    (
+        "register({k}, (value) =>",
+        "  value",
+        "    ? [value, {k}]",
+        "    : [],",
+        "  function (done) {",
+        "    done();",
+        "  },",
+        "  (left, right) => {",
+        "    if (left) {",
+        "      return right;",
+        "    }",
+        "  });",
+    ),
+)
+
+
 def _by_template(values: list[str]) -> str:
     branches = " ".join(f"when {i} then {v}" for i, v in enumerate(values))
     return f"case o_orderkey % {len(values)} {branches} end"
@@ -180,6 +235,13 @@ def finding_columns(dialect: str) -> dict[str, str]:
     }
 
 
+def view_columns(dialect: str) -> dict[str, str]:
+    """Column name to SQL text of the derived views, for ``spark`` or ``duckdb``."""
+    string = {"spark": "string", "duckdb": "varchar"}[dialect]
+    code = _by_template(["concat_ws(chr(10), " + ", ".join(f"'{line}'" for line in v) + ")" for v in VIEWS])
+    return {"path": f"concat('views/view', cast(o_orderkey as {string}), '.tsx')", "content": _fill(code, string)}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -214,6 +276,10 @@ def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def derived_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(*[F.expr(sql).alias(name) for name, sql in view_columns("spark").items()])
+
+
 def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as units of prose; ``source`` stands for the repository."""
     return read(spark, sf_dir, "documents").select(

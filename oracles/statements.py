@@ -115,6 +115,22 @@ found AS (SELECT u.path, replace(known.name, '{{k}}', cast(u.unit_key AS varchar
   array_to_string(string_split(u.code, chr(10))[a + 1:b + 1], chr(10)) AS body FROM units u JOIN known ON u.unit_key % 12 = known.t)
 --FINAL SELECT path, name, kind, start_line, end_line, {_UNIT_ID} AS id,
 sha1(CASE WHEN kind = 'arrow' THEN regexp_replace(body, '^const [A-Za-z0-9]+ = |;$', '', 'g') ELSE regexp_replace(body, '^  open', 'open') END) AS code_sha FROM found""")
+# The same for views: (template, kind, name, first line, last line, characters before the first and after the last).
+_KNOWN_VIEWS = [
+    (0, "arrow", "List{k}", 0, 8, "export const List{k} = ", ";"), (0, "arrow", "<anonymous>", 2, 6, "    {rows.map(", ")}"),
+    (1, "arrow", "scale{k}", 0, 3, "const scale{k} = ", ""), (1, "arrow", "<anonymous>", 0, 3, "const scale{k} = (rate) => ", ""),
+    (2, "arrow", "load{k}", 0, 6, "export const load{k} = ", ";"), (2, "arrow", "<anonymous>", 3, 6, "    .map(", ");"),
+    (2, "arrow", "open", 8, 10, "  open: ", ","), (2, "method", "close", 11, 14, "  ", ","),
+    (3, "arrow", "<anonymous>", 0, 3, "register({k}, ", ","), (3, "arrow", "<anonymous>", 7, 11, "  ", ");"),
+]
+_KNOWN_VIEW_ROWS = ", ".join(f"({t}, '{k}', '{n}', {a}, {b}, '{x}', '{y}')" for t, k, n, a, b, x, y in _KNOWN_VIEWS)
+_VIEWS = ", ".join(f"{sql} AS {name}" for name, sql in tables.view_columns("duckdb").items())
+oracle("expression_units", "path s, name s, kind s, start_line b, end_line b, id s, code s", f"""WITH views AS (SELECT o_orderkey AS k, {_VIEWS} FROM orders),
+known(t, kind, name, a, b, x, y) AS (VALUES {_KNOWN_VIEW_ROWS}),
+found AS (SELECT path, replace(known.name, '{{k}}', cast(k AS varchar)) AS name, known.kind, a + 1 AS start_line, b + 1 AS end_line,
+  array_to_string(string_split(content, chr(10))[a + 1:b + 1], chr(10)) AS body, length(replace(x, '{{k}}', cast(k AS varchar))) AS lead, length(y) AS tail
+  FROM views JOIN known ON k % 4 = known.t)
+--FINAL SELECT path, name, kind, start_line, end_line, {_UNIT_ID} AS id, substring(body, lead + 1, length(body) - lead - tail) AS code FROM found""")
 oracle("distinct_counts", "doc_id b, words b, indents b, openers b", f"""WITH {DOCS}
 --FINAL SELECT doc_id, len(list_distinct(regexp_extract_all(lower(code), '[a-z0-9_]+'))) AS words, len(list_distinct({INDENTS})) AS indents,
 len(list_distinct(list_transform({SENTENCES}, lambda s: regexp_extract(s, '[a-z0-9_]+')))) AS openers FROM docs""")

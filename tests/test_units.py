@@ -81,6 +81,93 @@ def test_kinds_names_and_lines(spark):
     ]
 
 
+EXPRESSIONS = """export const Card = ({ title, items }: Props) => (
+  <section className="card" onClick={() => open(title)}>
+    <h1>{title}</h1>
+    {items.map((item) => (
+      <li key={item.id}>
+        {item.name}
+      </li>
+    ))}
+  </section>
+);
+
+const curried = (a) => (b) =>
+  a +
+  b;
+
+const chained = list =>
+  list
+    .filter((x) => x.ok)
+    .map((x) => {
+      touch(x);
+      return x.id;
+    })
+const next = 1
+
+const typed: (a: string) => number = (a) => {
+  log(a);
+  return a.length;
+};
+
+const table = {
+  first: (a) =>
+    a.one +
+    a.two,
+  second: async (b) =>
+    await b
+      .three(),
+};
+
+load(
+  (e) =>
+    e.code ===
+    "x",
+  function named(q) {
+    return (
+      q
+    );
+  },
+  [1, 2].map((n) =>
+    n *
+    2),
+);
+"""
+
+
+def test_expressions_as_bodies(spark):
+    found = spans(spark, EXPRESSIONS)
+    assert [s[:4] for s in found] == [
+        ("arrow", "Card", 1, 10),
+        ("arrow", "<anonymous>", 4, 8),
+        ("arrow", "curried", 12, 14),
+        ("arrow", "<anonymous>", 12, 14),
+        ("arrow", "chained", 16, 22),
+        ("arrow", "<anonymous>", 19, 22),
+        ("arrow", "typed", 25, 28),
+        ("arrow", "first", 31, 33),
+        ("arrow", "second", 34, 36),
+        ("arrow", "<anonymous>", 40, 42),
+        ("arrow", "<anonymous>", 48, 50),
+    ]
+    code = {(s[1], s[2]): s[4] for s in found}
+    assert code["Card", 1].startswith("({ title, items }: Props) => (\n") and code["Card", 1].endswith("</section>\n)")
+    assert code["chained", 16].endswith("return x.id;\n    })") and code["first", 31].endswith("a.two") and code["second", 34].startswith("async (b)")
+    assert code["<anonymous>", 40].endswith('"x"') and code["<anonymous>", 48] == "(n) =>\n    n *\n    2"
+
+
+def test_open_ends_of_expressions(spark):
+    assert spans(spark, "const f = (a) =>") == [] and spans(spark, ")]}, (a) => b") == []
+    assert [s[1:4] for s in spans(spark, "x => [(\n}\nconst g = (a) =>\n a +\n 1;\n")] == [("g", 3, 5)]
+    assert [s[1:4] for s in spans(spark, "const f = a =>\n  // one (\n  a(\n    1,\n  ) // end\nother()")] == [("f", 1, 5)]
+
+
+def test_one_mebibyte_of_expressions(spark):
+    body = "".join(f"const f{i} = (a) => (\n  <b>{{g('{'x' * 20}', [a])}}</b>\n);\n" for i in range(16000))[: 1 << 20]
+    got = spans(spark, body)
+    assert len(got) > 14000 and got[0][1:4] == ("f0", 1, 3)
+
+
 def test_code_and_doc_prefix(spark):
     df = spark.createDataFrame([("a.ts", SOURCE)], "path string, content string")
     rows = {r["name"]: r for r in un.with_features(un.split_files(df)).collect()}
