@@ -63,8 +63,7 @@ def lock_candidates(attempts: DataFrame) -> DataFrame:
     is user and place and an account under attack is spread like any other.
     """
     staged = attempts.select("user_id", "ok", "seq", F.unix_micros("ts").alias("us"))
-    day = F.floor(F.col("us") / 86_400_000_000)
-    numbered = with_position(staged, ["user_id"], ["us", "seq"], day, "position")
+    numbered = with_position(staged, ["user_id"], ["us", "seq"])
     reach = F.sequence(F.col("position"), F.col("position") + fixed.MAX_FAILED_ATTEMPTS - 1)
     return (
         numbered.filter(~F.col("ok"))

@@ -122,13 +122,13 @@ def folder_movement(current: DataFrame, previous: DataFrame | None, limit: int =
     return ranked.drop("in_current")
 
 
-def delta_series(snapshots: DataFrame, scans: DataFrame, slice_of: Column) -> DataFrame:
+def delta_series(snapshots: DataFrame, scans: DataFrame) -> DataFrame:
     """The delta of every scan of a target against the scan before it.
 
     ``scans``: all scans (``target_key, scan_ts``), also those without a finding. Each finding
     is counted at its own scan and, as the past, at the next one.
     """
-    chain = with_previous(scans.distinct(), ["target_key"], ["scan_ts"], ["scan_ts"], slice_of)
+    chain = with_previous(scans.distinct(), ["target_key"], ["scan_ts"], ["scan_ts"])
     rows = snapshots.select("target_key", "scan_ts", "id", "severity")
     markers = chain.select(
         "target_key", "scan_ts", F.lit(None).cast("string").alias("id"),

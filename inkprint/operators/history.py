@@ -123,12 +123,12 @@ def direction(now: Column, before: Column) -> Column:
     )
 
 
-def score_trend(history: DataFrame, slice_of: Column, ties: str = "seq") -> DataFrame:
+def score_trend(history: DataFrame, ties: str = "seq") -> DataFrame:
     """Every scan of a target against the one before and against the first.
 
     ``history``: ``target, ts, score`` and a tie breaker.
     """
-    chained = with_previous(history, ["target"], ["ts", ties], ["score"], slice_of)
+    chained = with_previous(history, ["target"], ["ts", ties], ["score"])
     chained = with_first(chained, ["target"], ["ts", ties], ["score"])
     now, before, first = F.col("score"), F.col("prev_score"), F.col("first_score")
     return chained.withColumns({

@@ -1,8 +1,10 @@
 """Order-dependent steps per key that stay balanced when one key holds a large part of all rows.
 
-A window over the whole timeline of a key puts that key into one task. Here the timeline is
-cut into slices (days, hours): windows run per key and slice, and what has to pass from one
-slice to the next travels through a summary with one row per key and slice.
+A window over the whole timeline of a key puts that key into one task. Here the timeline is cut
+into slices: windows run per key and slice, and what has to pass from one slice to the next travels
+through a summary with one row per key and slice. Slices hold about as many rows as each other
+(`row_slices`), whatever the key or the time: all rows are sorted into ranges, so that a key with
+most rows lies in many of them. Callers whose rows must not be sorted bring slices of their own.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkprint.session import work_folder
 
 HOT_PARTS = 1000  # a key with a thousandth of all rows is hot, so there are at most a thousand of them
 SALTS = 64
@@ -35,15 +38,66 @@ def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def row_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds ``_slice``: the number of the range of rows, sorted by keys and order, that the row lies in.
+
+    The rows are written once: ranges come from a sample, and a task that is run again must find
+    each row in the slice where the others have counted it.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, "slices")
+    df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id().cast("bigint")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_of: Column | None) -> DataFrame:
+    return row_slices(df, keys, order) if slice_of is None else df.withColumn("_slice", slice_of)
+
+
+def _largest(value: Column, order: Sequence[str]) -> Column:
+    return F.max(value)
+
+
+def _latest(value: Column, order: Sequence[str]) -> Column:
+    return F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
+
+
+RUNNING = {
+    # over a window, over a slice, and of what came before with what is here
+    "max": (F.max, _largest, F.greatest),
+    "last": (lambda v: F.last(v, ignorenulls=True), _latest, lambda before, here: F.coalesce(here, before)),
+}
+
+
+def with_running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, how: str, inclusive: bool = True
+) -> DataFrame:
+    """Adds ``name``: the largest or the last ``value`` that is not null among the rows of the key up to this one.
+
+    ``how`` is "max" or "last"; ``order`` must tell all rows of a key apart. If not ``inclusive``
+    the row itself does not count.
+    """
+    along, of_slice, joined_with = RUNNING[how]
+    staged = row_slices(df, keys, order)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        staged.groupBy(*keys, "_slice").agg(of_slice(F.col(value), order).alias("_end"))
+        .withColumn("_carry", along(F.col("_end")).over(earlier)).drop("_end")
+    )
+    joined = staged.withColumn("_here", along(F.col(value)).over(inside)).join(carried, [*keys, "_slice"], "left")
+    return joined.withColumn(name, joined_with(F.col("_carry"), F.col("_here"))).drop("_carry", "_here", "_slice")
+
+
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], slice_of: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], slice_of: Column | None = None
 ) -> DataFrame:
     """Adds ``prev_<value>``: the value of the preceding row of the same key.
 
-    ``slice_of`` must not decrease along ``order``. Window and join share one partitioning.
+    ``slice_of`` must not decrease along ``order``; slices of equal rows if there is none.
     """
     packed = F.struct(*values)
-    staged = df.withColumn("_slice", slice_of)
+    staged = _sliced(df, keys, order, slice_of)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     ends = (
         staged.groupBy(*keys, "_slice")
@@ -57,10 +111,10 @@ def with_previous(
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_of: Column, name: str = "position"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_of: Column | None = None, name: str = "position"
 ) -> DataFrame:
     """Adds the 1-based position of each row along ``order`` within its key."""
-    staged = df.withColumn("_slice", slice_of)
+    staged = _sliced(df, keys, order, slice_of)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -507,7 +507,7 @@ def delta_series(spark, sf_dir):
     scans = every.select("target_key", "scan_ts").distinct()
     # views are scans without a finding of their own
     found = every.filter("event_type <> 'view'")
-    series = dl.delta_series(found, scans, F.date_trunc("month", F.col("scan_ts")))
+    series = dl.delta_series(found, scans)
     return series.withColumn("scan_ts", F.date_format("scan_ts", "yyyy-MM-dd"))
 
 
@@ -856,7 +856,7 @@ def scan_trend(spark, sf_dir):
         F.col("user_id").alias("target"), "ts", F.col("event_id").alias("seq"),
         sx.half_up(F.col("value")).alias("score"),
     )
-    return hs.score_trend(history, DAY()).drop("ts")
+    return hs.score_trend(history).drop("ts")
 
 
 @query

@@ -39,6 +39,54 @@ def test_previous_position_first(spark):
     assert got == want
 
 
+@pytest.fixture
+def many_slices(spark):
+    """As on a cluster: more ranges than rows would need."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+def test_slices_hold_equal_rows(spark, many_slices):
+    """60 of 100 rows are of one key and one day, and still no slice has more than twice the median."""
+    rows = [("hot" if i % 10 < 6 else f"k{i % 7}", 5 if i % 10 < 6 else i % 90, i, RNG.randrange(50)) for i in range(9000)]
+    df = spark.createDataFrame(rows, "k string, t bigint, seq bigint, v bigint")
+    counts = sorted(r["count"] for r in od.row_slices(df, ["k"], ["t", "seq"]).groupBy("_slice").count().collect())
+    assert len(counts) == 9 and counts[-1] < 2 * counts[4]
+
+
+@pytest.mark.parametrize("how,inclusive", [("max", True), ("max", False), ("last", True), ("last", False)])
+def test_running_over_slices(spark, many_slices, how, inclusive):
+    rows = [(k, t, i, v if RNG.random() < 0.3 else None) for k, t, i, v in timeline(600)]
+    df = spark.createDataFrame(rows, "k string, t bigint, seq bigint, v bigint")
+    out = od.with_running(df, ["k"], ["t", "seq"], "v", "r", how, inclusive)
+    out = od.with_position(od.with_previous(out, ["k"], ["t", "seq"], ["v"]), ["k"], ["t", "seq"])
+    got = {r["seq"]: (r["r"], r["prev_v"], r["position"]) for r in out.collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        ordered = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
+        for i, r in enumerate(ordered):
+            seen = [o[3] for o in ordered[: i + inclusive] if o[3] is not None]
+            want[r[2]] = ((max(seen) if how == "max" else seen[-1]) if seen else None, ordered[i - 1][3] if i else None, i + 1)
+    assert got == want
+
+
+def test_long_units_are_in_few_blocks(spark):
+    ranges = [(1, 10_000_000), (0, 0), (127, 128), (128, 255), (5, 4), (16_000, 40_000), (2_097_152, 4_194_303), (1, 127), (300, 900_000)]
+    df = spark.createDataFrame(ranges, "a bigint, b bigint").select("a", "b", at._blocks_of_range(F.col("a"), F.col("b")).alias("blocks"))
+    lines = [0, 1, 4, 5, 126, 127, 128, 255, 256, 299, 300, 16_000, 16_383, 16_384, 39_999, 40_000, 40_001, 900_000, 2_097_151, 2_097_152, 4_194_303, 9_999_999, 10_000_000]
+    of_line = {r[0]: set(r[1]) for r in spark.createDataFrame([(x,) for x in lines], "x bigint").select("x", at._blocks_of_line(F.col("x"))).collect()}
+    for r in df.collect():
+        blocks = r["blocks"] or []
+        assert len(blocks) <= 700 and len(set(blocks)) == len(blocks)
+        for x in lines:
+            met = len(of_line[x] & set(blocks))
+            assert met <= 1 and (met == 1 or not r["a"] <= x <= r["b"])
+
+
 def test_trailing_count(spark):
     rows = timeline()
     df = spark.createDataFrame(rows, "k string, t bigint, seq bigint, v bigint")
