@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.llm import bpe, decontaminate, jaccard, lines, toxicity
-from inkprint.llm.common import stored
+from inkprint.llm.common import narrow_batches, stored
 from inkprint.session import work_folder
 
 ORACLE_SQL = None
@@ -23,6 +23,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go; ids with several rows go if one of them is rejected."""
+    narrow_batches(spark)
     scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rejected = stored(scored.filter("predicted = 1").select("doc_id").distinct(), "rejected")
     return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
@@ -47,6 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words are near nothing and stay; so do rows without an id.
     """
+    narrow_batches(spark)
     joined = jaccard.join(docs, size=5, percent=80)
     copies = stored(joined.filter("component_id != doc_id").select("doc_id").distinct(), "copies")
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
@@ -61,6 +63,7 @@ def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of the ids and of the text decoded from them."""
+    narrow_batches(spark)
     return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -11,6 +11,8 @@ from inkprint.session import work_folder
 
 WORD = r"[^\x20\x09-\x0D]+"  # a run of characters that are no ASCII white space
 HOT_PARTS = 1000  # a key is hot from a thousandth of all rows on, so there are at most so many hot keys
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,6 +23,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def narrow_batches(spark: SparkSession) -> None:
+    """From now on Python workers of this session get ``TEXT_ROWS`` rows at a time, or fewer if so set.
+
+    Rows are whole texts here: Spark's ten thousand at a time are held by the executor and by its
+    worker, and both keep the memory for later stages.
+    """
+    if int(spark.conf.get(_BATCH, "10000")) not in range(1, TEXT_ROWS + 1):
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it.
 
