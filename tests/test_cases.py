@@ -234,3 +234,22 @@ def test_notes(spark):
 def test_finite_numbers(spark):
     df = spark.createDataFrame([("3.5",), ("NaN",), ("Infinity",), ("x",), (None,)], "t string")
     assert [r[0] for r in df.select(sx.finite_or_zero(F.col("t"))).collect()] == [3.5, 0.0, 0.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("label", ["bücher", "münchen", "straße", "日本語", "é", "faß-2", "ñandú", "пример", "a日b本c", "😀x", "ééé", "zürich日本", "ü" * 40])
+def test_host_labels_in_ascii(spark, label):
+    assert value(spark, urls.ascii_label(F.lit(label))) == "xn--" + label.encode("punycode").decode()
+
+
+def test_canonical_form_by_the_standard(spark):
+    """Expectations written from the URL standard."""
+    cases = [
+        ("https://a.com/x/../b", "https://a.com/b"), ("https://a.com/x/./y/..", "https://a.com/x/"), ("https://a.com/../..//q", "https://a.com//q"),
+        ("https://a.com/%2E%2e/%2e/z/.", "https://a.com/z/"), ("https://a.com/a b", "https://a.com/a%20b"), ("https://a.com\\x\\y", "https://a.com/x/y"),
+        ("https:\\\\a.com/x", "https://a.com/x"), ("https://bücher.de/x", "https://xn--bcher-kva.de/x"), ("https://BÜCHER.de:443", "https://xn--bcher-kva.de/"),
+        ("https://a.com/é?q=é 'x'#y", "https://a.com/%C3%A9?q=%C3%A9%20%27x%27"), ("https://a.com/%41{}`\"<>|", "https://a.com/%41%7B%7D%60%22%3C%3E|"),
+        ("https://a.com?a=/../b\\c", "https://a.com/?a=/../b\\c"), ("https://u;x:p@a.com/", "https://u%3Bx:p@a.com/"), ("https://a.com/o\n/r\t", "https://a.com/o/r"),
+        ("https://例え。jp/x", "https://xn--r8jz45g.jp/x"), ("https://a.com/.../..a", "https://a.com/.../..a"), ("https://a.com", "https://a.com/"),
+    ]
+    df = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(cases)], "no int, url string")
+    assert [r["canonical"] for r in urls.audit_urls(df).orderBy("no").collect()] == [want for _, want in cases]
