@@ -156,25 +156,56 @@ def local_findings(scored: DataFrame, config: ScanConfig = DEFAULT_CONFIG, keep:
 
 # --- D9: imports against a catalogue ---------------------------------------------------
 
-_IMPORT = r"import\s+(?:[A-Za-z_$][A-Za-z0-9_$]*\s*,\s*)?(?:\{[^}]*\}|\*\s+as\s+[A-Za-z_$][A-Za-z0-9_$]*|[A-Za-z_$][A-Za-z0-9_$]*)\s+from\s+[\"'][^\"'\n]+[\"']|require\(\s*[\"'][^\"'\n]+[\"']\s*\)"
+_ID = "[A-Za-z_$][A-Za-z0-9_$]*"
+_QUOTED = r"[\"'][^\"'\n]+[\"']"
+# import and export with a module, and calls of require or import, with the names they are bound to
+_IMPORT = (
+    rf"{fixed.WORD_START}(?:import|export)(?![A-Za-z0-9_$(])\s*(?:type\s+(?!from))?(?:[^;'\"()=]*?\s*(?<![A-Za-z0-9_$])from\s*)?{_QUOTED}"
+    rf"|(?:{fixed.WORD_START}(?:const|let|var)\s+(?:{_ID}|\{{[^}}]*\}})\s*=\s*(?:await\s+)?)?{fixed.WORD_START}(?:require|import)\(\s*{_QUOTED}\s*\)"
+)
+_AFTER_FROM = r"\s*[\"']"
 
 
-def imports(units: DataFrame) -> DataFrame:
-    """One row per imported name: ``module`` and ``export`` (null for the whole module)."""
+def bindings(units: DataFrame) -> DataFrame:
+    """The symbol table of every file: ``path, module, kind, export, local``.
+
+    ``kind`` is ``named`` (an export, by its own or another name), ``default``, ``namespace`` (a
+    name for the whole module) or ``module`` (nothing is bound). Re-exports bind no local name.
+    Modules of the same repository (relative or absolute paths) are left out.
+    """
     statement = explode_once(units, "path", items=tx.every(F.col("code"), _IMPORT), name="statement")
-    module = F.regexp_extract("statement", r"[\"']([^\"'\n]+)[\"']", 1)
-    names = F.filter(
-        F.transform(
-            F.split(F.regexp_extract("statement", r"\{([^}]*)\}", 1), ","),
-            lambda n: F.regexp_extract(n, r"^\s*([A-Za-z_$][A-Za-z0-9_$]*)", 1),
-        ),
-        lambda n: n != "",
+    text = F.col("statement")
+    passes_on = text.startswith("export")
+    row = lambda kind, export, local: F.struct(
+        F.lit(kind).alias("kind"), export.cast("string").alias("export"), F.nullif(local, F.lit("")).alias("local")
     )
-    return statement.select("path", module.alias("module"), F.explode_outer(names).alias("export")).filter(
+    none = F.lit(None).cast("string")
+    pieces = F.filter(F.split(F.regexp_extract(text, r"\{([^}]*)\}", 1), ","), lambda p: p.rlike("[A-Za-z_$]"))
+    one = lambda p, group: F.regexp_extract(F.regexp_replace(p, rf"\s+as\s+(?={_ID}\s*$)", ":"), rf"^\s*(?:type\s+)?({_ID})\s*(?::\s*({_ID}))?", group)
+    named = F.transform(
+        pieces, lambda p: row("named", one(p, 1), F.when(passes_on, none).otherwise(F.coalesce(F.nullif(one(p, 2), F.lit("")), one(p, 1))))
+    )
+    single = lambda kind, export, pattern: F.filter(
+        F.array(row(kind, export, F.regexp_extract(text, pattern, 1))), lambda r: r["local"].isNotNull()
+    )
+    whole = single("namespace", none, rf"^import[^*]*\*\s*as\s+({_ID})")
+    assigned = single("namespace", none, rf"^(?:const|let|var)\s+({_ID})\s*=")
+    default = single("default", F.lit("default"), rf"^import\s+(?:type\s+)?({_ID})\s*(?:,|from{_AFTER_FROM})")
+    bound = F.concat(default, named, whole, assigned)
+    found = F.when(F.size(bound) > 0, bound).otherwise(F.array(row("module", none, none)))
+    table = statement.select(
+        "path", F.regexp_extract(text, r"[\"']([^\"'\n]+)[\"']\s*\)?$", 1).alias("module"), F.explode_outer(found).alias("b")
+    )
+    return table.select("path", "module", "b.kind", "b.export", "b.local").filter(
         ~F.col("module").startswith(".") & ~F.col("module").startswith("/")
     )
 
 
+def imports(units: DataFrame) -> DataFrame:
+    """One row per imported name: ``module`` and ``export`` (null for the whole module or its default)."""
+    return bindings(units).select("path", "module", F.when(F.col("kind") == "named", F.col("export")).alias("export"))
+
+
 def unknown_imports(units: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Imports the catalogue (``module``, ``export``) does not hold.
 
@@ -216,6 +247,21 @@ def unknown_members(units: DataFrame, catalogue: DataFrame) -> DataFrame:
     return known.join(catalogue.select("module", "export"), ["module", "export"], "left_anti").distinct()
 
 
+def unknown_bound_calls(units: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Calls of members that a catalogued module does not have, through whatever name the file gave the module.
+
+    ``path, module, export, local``: the name in front of the dot is looked up in the file's symbol
+    table, so that aliases are followed and names of other things are left alone.
+    """
+    call = rf"{fixed.WORD_START}{_ID}\.{_ID}\s*(?=\()"
+    calls = explode_once(units, "path", items=tx.every(F.col("code"), call), name="call").select(
+        "path", F.substring_index("call", ".", 1).alias("local"), F.rtrim(F.substring_index("call", ".", -1)).alias("export")
+    ).distinct()
+    names = bindings(units).filter("kind IN ('default', 'namespace')").select("path", "local", "module").distinct()
+    known = calls.join(names, ["path", "local"]).join(catalogue.select("module"), "module", "left_semi")
+    return known.join(catalogue.select("module", "export"), ["module", "export"], "left_anti").select("path", "module", "export", "local").distinct()
+
+
 # --- D10 ---------------------------------------------------------------------------------
 
 

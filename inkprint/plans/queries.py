@@ -339,6 +339,28 @@ def import_audit(spark, sf_dir):
     return fd.unknown_imports(sources, catalogue).select("file", "module", "export", "rule_id", "id")
 
 
+def _linked_sources(spark, sf_dir):
+    """Files with all forms of imports, written from part rows, and the catalogue of their modules from nation rows."""
+    sources = tb.read(spark, sf_dir, "part").select(
+        F.concat(F.lit("q"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), F.expr(tb.linked_source("spark")).alias("code"),
+    )
+    catalogue = tb.read(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("module"),
+        F.explode(F.array(F.lit("g"), F.concat(F.lit("f"), (F.col("n_nationkey") % 9).cast("string")))).alias("export"),
+    )
+    return sources, catalogue
+
+
+@query
+def import_bindings(spark, sf_dir):
+    return fd.bindings(_linked_sources(spark, sf_dir)[0])
+
+
+@query
+def unknown_bound_calls(spark, sf_dir):
+    return fd.unknown_bound_calls(*_linked_sources(spark, sf_dir))
+
+
 @query
 def unknown_member_calls(spark, sf_dir):
     """Member calls of the units against a catalogue written from nation rows."""

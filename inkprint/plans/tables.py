@@ -235,6 +235,34 @@ def finding_columns(dialect: str) -> dict[str, str]:
     }
 
 
+# every form of import: {a} and {b} are modules, {n} is a digit
+LINKED = (
+    'import top, { f{n} as one, type g } from "{a}";',
+    "import * as space from ''{b}'';",
+    'import type { Shape } from "{b}";',
+    'import "{a}";',
+    'import local from "./local";',
+    'const { g: two, f{n} } = require("{a}");',
+    'const whole = require("{b}");',
+    'const later = await import("{a}");',
+    'export { g as three } from "{b}";',
+    'export * from "{a}";',
+    'top.f{n}(1); space.g(); whole.f{n} (2); later.h(); two.g(); other.f1(); local.g();',
+)
+
+
+def linked_source(dialect: str) -> str:
+    """SQL text of a file's code, from a row of ``part``."""
+    string = {"spark": "string", "duckdb": "varchar"}[dialect]
+    # DuckDB and Spark agree on a doubled quote only through chr
+    lines = ", ".join("'" + line.replace("''", "{q}") + "'" for line in LINKED)
+    text = f"replace(concat_ws(chr(10), {lines}), '{{q}}', chr(39))"
+    for mark, value in (("{a}", "p_partkey % 31"), ("{b}", "p_size"), ("{n}", "p_partkey % 9")):
+        name = f"cast({value} as {string})" if mark == "{n}" else f"concat('NATION_', cast({value} as {string}))"
+        text = f"replace({text}, '{mark}', {name})"
+    return text
+
+
 def view_columns(dialect: str) -> dict[str, str]:
     """Column name to SQL text of the derived views, for ``spark`` or ``duckdb``."""
     string = {"spark": "string", "duckdb": "varchar"}[dialect]

@@ -200,6 +200,23 @@ bad AS (SELECT DISTINCT path, module, NULL AS export, 'hallucination.unknown-pac
  UNION ALL SELECT DISTINCT path, module, export, 'hallucination.unknown-export', module || '.' || export FROM used
   JOIN nation ON n_name = module WHERE export IS NOT NULL AND export <> 'g' AND export <> 'f' || (n_nationkey % 9))
 --FINAL SELECT path AS file, module, export, rule_id, substring(sha1('import:' || path || ':' || key), 1, 10) AS id FROM bad""")
+# What each form binds is known from the file: (module, kind, export, local name); a, b and n are of the row.
+_BOUND = """SELECT 'q' || p_partkey || '.ts' AS path, unnest([
+ {'module': a, 'kind': 'default', 'export': 'default', 'local': 'top'}, {'module': a, 'kind': 'named', 'export': 'f' || n, 'local': 'one'},
+ {'module': a, 'kind': 'named', 'export': 'g', 'local': 'g'}, {'module': b, 'kind': 'namespace', 'export': NULL, 'local': 'space'},
+ {'module': b, 'kind': 'named', 'export': 'Shape', 'local': 'Shape'}, {'module': a, 'kind': 'module', 'export': NULL, 'local': NULL},
+ {'module': a, 'kind': 'named', 'export': 'g', 'local': 'two'}, {'module': a, 'kind': 'named', 'export': 'f' || n, 'local': 'f' || n},
+ {'module': b, 'kind': 'namespace', 'export': NULL, 'local': 'whole'}, {'module': a, 'kind': 'namespace', 'export': NULL, 'local': 'later'},
+ {'module': b, 'kind': 'named', 'export': 'g', 'local': NULL}, {'module': a, 'kind': 'module', 'export': NULL, 'local': NULL}]) AS x
+ FROM (SELECT *, 'NATION_' || (p_partkey % 31) AS a, 'NATION_' || p_size AS b, p_partkey % 9 AS n FROM part)"""
+oracle("import_bindings", "path s, module s, kind s, export s, local s",
+       f"WITH bound AS ({_BOUND}) --FINAL SELECT path, x.module AS module, x.kind AS kind, x.export AS export, x.local AS local FROM bound")
+oracle("unknown_bound_calls", "path s, module s, export s, local s", """WITH calls AS (SELECT 'q' || p_partkey || '.ts' AS path, unnest([
+ {'module': a, 'export': 'f' || n, 'local': 'top'}, {'module': b, 'export': 'g', 'local': 'space'}, {'module': b, 'export': 'f' || n, 'local': 'whole'},
+ {'module': a, 'export': 'h', 'local': 'later'}]) AS x
+ FROM (SELECT *, 'NATION_' || (p_partkey % 31) AS a, 'NATION_' || p_size AS b, p_partkey % 9 AS n FROM part))
+--FINAL SELECT path, x.module AS module, x.export AS export, x.local AS local FROM calls JOIN nation ON n_name = x.module
+ WHERE x.export <> 'g' AND x.export <> 'f' || (n_nationkey % 9)""")
 _MEMBER = B + "b[A-Za-z_$][A-Za-z0-9_$]*" + B + ".[A-Za-z_$][A-Za-z0-9_$]*" + B + "s*" + B + "("
 oracle("unknown_member_calls", "path s, module s, export s", f"""WITH {UNITS}, cat AS (SELECT
  CASE n_nationkey % 3 WHEN 0 THEN 'axios' WHEN 1 THEN 'fs' ELSE 'res' END AS module,

@@ -253,3 +253,21 @@ def test_canonical_form_by_the_standard(spark):
     ]
     df = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(cases)], "no int, url string")
     assert [r["canonical"] for r in urls.audit_urls(df).orderBy("no").collect()] == [want for _, want in cases]
+
+
+def test_bindings_of_every_form(spark):
+    code = """import a, * as all from 'm1';
+import { b, c as d, default as e, type F, type G as H, } from "m2"; import type I from "m3"; import J from "@scope/m4"
+import"m5"; import("m6"); const k = require('m7'), l = 1; let {m, n: o} = require("m8").sub; var p = await import( "m9" );
+export { q, r as s } from "m10"; export * as t from "m11"; export * from "m12"; export const u = "m13"; export default "m14";
+important("m15"); xrequire("m16"); import v from "./m17"; import w from "/m18"; const $ = require("m19"); import {x}from"m20";
+"""
+    df = spark.createDataFrame([("f.ts", code)], "path string, code string")
+    got = {(r["module"], r["kind"], r["export"], r["local"]) for r in fd.bindings(df).collect()}
+    assert got == {
+        ("m1", "default", "default", "a"), ("m1", "namespace", None, "all"), ("m2", "named", "b", "b"), ("m2", "named", "c", "d"), ("m2", "named", "default", "e"),
+        ("m2", "named", "F", "F"), ("m2", "named", "G", "H"), ("m3", "default", "default", "I"), ("@scope/m4", "default", "default", "J"),
+        ("m5", "module", None, None), ("m6", "module", None, None), ("m7", "namespace", None, "k"), ("m8", "named", "m", "m"), ("m8", "named", "n", "o"),
+        ("m9", "namespace", None, "p"), ("m10", "named", "q", None), ("m10", "named", "r", None), ("m11", "module", None, None), ("m12", "module", None, None),
+        ("m19", "namespace", None, "$"), ("m20", "named", "x", "x"),
+    }
