@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +131,22 @@ def _shared_runs(text: str, packed: bytes, buckets: int):
     return data, roller, sample, begin, end, roller.spans(begin, end + LENGTH - 1)
 
 
-def _run_sender(buckets: int):
+def _by_part(row: np.ndarray, values: np.ndarray, kind: int, parts: int) -> list[tuple]:
+    """Answers for the texts of a part in one row: a bucket gives out as many as there are parts, not as many as texts."""
+    number = row.view(np.uint64)
+    return pk.per_row((number % _U(parts)).astype(np.int64), np.column_stack([number, values]), kind)
+
+
+def _per_text(table: pa.Table) -> pa.Table:
+    """One row per text of a part and kind of answer."""
+    said = []
+    for kind, width in ((REMOVED, 2), (OPEN, 3)):
+        data = pk.blobs(table.filter(pc.equal(table.column("kind"), kind)).column("data").to_pylist()).reshape(-1, width)
+        said += pk.per_row(np.ascontiguousarray(data[:, 0]).view(np.int64), data[:, 1:], kind)
+    return pa.Table.from_batches([pk.table(pk.SAID, said)])
+
+
+def _run_sender(buckets: int, text_parts: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _batches(batches, 2):
             parts = []
@@ -145,7 +161,7 @@ def _run_sender(buckets: int):
             sample, run, order, row = sample[by], run[by], order[by], row[by]
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             later = order > order[first][group]
-            yield pk.table(pk.SENT, pk.pass_on(pk.per_row(row[later], run[later], REMOVED), buckets))
+            yield pk.table(pk.SENT, pk.pass_on(_by_part(row[later], run[later], REMOVED, text_parts), buckets))
             ask = ~later
             yield pk.table(pk.SENT, pk.send(
                 pk.bucket_of(sample[ask], buckets).astype(np.int64),
@@ -155,7 +171,11 @@ def _run_sender(buckets: int):
     return send
 
 
-def _run_judge(table: pa.Table) -> pa.Table:
+def _run_judge(text_parts: int):
+    return lambda table: _judged(table, text_parts)
+
+
+def _judged(table: pa.Table, text_parts: int) -> pa.Table:
     sent, known = pk.asked_and_known(table, 4)
     if not len(sent):
         return pa.Table.from_batches(known, pk.SAID)
@@ -168,7 +188,7 @@ def _run_judge(table: pa.Table) -> pa.Table:
     classes = np.bincount(of_sample)[of_sample][group]
     open_ = ~later & (classes > 1)
     parts = (classes[open_] - 1) // SPLIT_RUNS + 1
-    said = pk.per_row(row[later], run[later], REMOVED) + pk.per_row(row[open_], np.stack([run[open_], parts.astype(np.uint64)], 1), OPEN)
+    said = _by_part(row[later], run[later], REMOVED, text_parts) + _by_part(row[open_], np.stack([run[open_], parts.astype(np.uint64)], 1), OPEN, text_parts)
     return pa.Table.from_batches([*known, pk.table(pk.SAID, said)])
 
 
@@ -301,8 +321,9 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     told = bodies.mapInArrow(_sample_sender(buckets), pk.SENT_DDL).groupBy("bucket").applyInArrow(pk.tell_shared(buckets), pk.SAID_DDL)
     shared = stored(told.groupBy("row").applyInArrow(pk.per_owner, pk.SAID_DDL).select("row", F.col("data").alias("shared")), "shared")
 
-    runs = bodies.join(shared, "row").select("row", "ord", "text", "shared").mapInArrow(_run_sender(buckets), pk.SENT_DDL)
-    judged = stored(runs.groupBy("bucket").applyInArrow(_run_judge, pk.SAID_DDL), "judged")
+    runs = bodies.join(shared, "row").select("row", "ord", "text", "shared").mapInArrow(_run_sender(buckets, parts), pk.SENT_DDL)
+    by_part = runs.groupBy("bucket").applyInArrow(_run_judge(parts), pk.SAID_DDL)
+    judged = stored(by_part.groupBy("row").applyInArrow(_per_text, pk.SAID_DDL), "judged")
 
     opened = stored(judged.filter(F.col("kind") == OPEN).groupBy("row").agg(F.collect_list("data").alias("opened")), "opened")
     open_runs = judged.filter(F.col("kind") == OPEN).agg(F.sum(F.octet_length("data"))).first()[0] or 0
