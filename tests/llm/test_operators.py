@@ -373,6 +373,18 @@ def test_decontamination(spark):
     ("<body><div class='cookie-notice'>x</div><main><p>Long text of the page here.</p><aside>side</aside></main><div id=comments><p>zz</div>",
      "Long text of the page here."),
     ("<article><p>real text</p><div class=ad>buy</div><form>f<input></form><script>var a='<p>';</script></article><article class=comment>no</article>", "real text"),
+    ("<nav>menu</nav><form id=all><h1>T</h1><p>Long text of the page here.</p><p>More of it.</p></form><footer>f</footer>", "T Long text of the page here. More of it."),
+    ("<section id=search><article><h1>T</h1><p>Long text of the page here.</p></article></section><form>Your name<input></form>", "T Long text of the page here."),
+    ("<div class='banner-box'><div>Buy now</div></div><div class=widget><p>Long text of the page here, and on.</p><form>Ask</form></div>", "Long text of the page here, and on."),
+    ("<article><p>One.</p><p class=share-price>It rose by two.</p><div class='share-buttons'>x y</div></article>", "One. It rose by two."),
+    ("<article><h1>T</h1><p>Short article text.</p></article><section><article><p>" + "I think so. " * 30 + "</p></article><article><p>Me too, and more.</p></article></section>",
+     "T Short article text."),
+    ("<main><article><h2>T</h2><p>Article text.</p><section><article>" + "I think so. " * 30 + "</article></section></article></main>", "T Article text."),
+    ("<body><div><h1>T</h1><p>Text of the page, long enough to see.</p></div><section><h3>12 Comments</h3><p>" + "I think so. " * 30 + "</p></section>",
+     "T Text of the page, long enough to see."),
+    ("<article><h1>A</h1><p>First text.</p></article><section><article><h2>B</h2><p>Second text.</p></article></section>", "A First text. B Second text."),
+    ("<article><p>First text.</p></article><article><p>Second text.</p></article><article><p>Third text.</p></article>", "First text. Second text. Third text."),
+    ("<article><h1>T</h1><p>Text of it.</p></article><div class=sidebar><p>" + "Other things to read. " * 20 + "</p></div>", "T Text of it."),
     ("<div" * 3, "<div<div<div"), ("<p>" + "w " * 30000 + "</p>", ("w " * 30000).strip()),
 ])
 def test_main_text(page, text):
