@@ -30,17 +30,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of over 50 words go, then repeated chunks of lines.
+    """Repeated chunks of lines and passages of over 50 words go.
 
     A document of which nothing is left goes too, n_chars follows the text.
     """
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    for remove in (lines.passages, lines.dedup):
-        kept = remove(docs, keep=("lang", "source", "n_chars")).filter("n_removed = 0 OR n_removed < n_lines")
-        docs = kept.select("doc_id", "text", "lang", "source", n_chars)
-        if remove is lines.passages:
-            docs = stored(docs, "passages")  # the next step reads it twice
-    return docs
+    kept = lines.dedup(docs, keep=("lang", "source", "n_chars")).filter("n_removed = 0 OR n_removed < n_lines")
+    return kept.select("doc_id", "text", "lang", "source", n_chars)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

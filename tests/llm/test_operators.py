@@ -309,21 +309,67 @@ def chunks_of(text):
     return [ls[a:b] for a, b in zip(starts, [*starts[1:], len(ls)])]
 
 
+def without_repeats(rows):
+    """By brute force: (doc, text, n_lines, n_removed) per row."""
+    key = lambda r: (-1 if r[0] is None else r[0], hashlib.md5(f"{'' if r[0] is None else r[0]}\n{r[1] or ''}".encode()).hexdigest())
+    owner, spans, seen = {}, {}, {}
+    for r in sorted(set(rows), key=key):
+        for no, c in enumerate(chunks_of(r[1])):
+            owner.setdefault("\n".join(c), (key(r), no))
+        ls = (r[1] or "").split("\n")
+        said = [i for i, x in enumerate(ls) if WORD.search(x)]
+        n = [len(WORD.findall(ls[i])) for i in said]
+        ahead = [next(((a, b) for b in range(a, len(said)) if sum(n[a : b + 1]) > 50), None) for a in range(len(said))]
+        behind = [next(((a, b) for a in range(b, -1, -1) if sum(n[a : b + 1]) > 50), None) for b in range(len(said))]
+        for a, b in sorted({x for x in ahead + behind if x}):
+            body = "\n".join(ls[i] for i in said[a : b + 1])
+            spans.setdefault(key(r), []).append((body, said[a], said[b]))
+            seen.setdefault(body, []).append((key(r), said[a]))
+    out = []
+    for r in rows:
+        ls, gone, taken, firsts, at = (r[1] or "").split("\n"), set(), set(), set(), 0
+        for no, c in enumerate(chunks_of(r[1])):
+            if len(c) > 1 and WORD.search("\n".join(c)) and owner["\n".join(c)] != (key(r), no):
+                gone |= set(range(at, at + len(c)))
+            at += len(c)
+        for body, a, b in spans.get(key(r), []):
+            if len(seen[body]) > 1:
+                (firsts if min(seen[body]) == (key(r), a) else taken).update(range(a, b + 1))
+        gone |= taken - firsts
+        left = [x for i, x in enumerate(ls) if i not in gone]
+        if gone and not any(map(WORD.search, left)):
+            left, gone = [], ls
+        out.append((r[0], None if r[1] is None else "\n".join(left), len(ls), len(gone)))
+    return out
+
+
+def line_cases():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, planted, doc = [], [], 100
+    for n_lines in (1, 2, 3, 5, 8, 20):
+        for _ in range(4):
+            passage = [line(rng.randint(60 // n_lines + 1, 90 // n_lines + 2)) for _ in range(n_lines)]
+            for copy in range(3):
+                rows.append((doc, "\n".join([line(9) for _ in range(rng.randint(1, 6))] + passage + [line(7) for _ in range(rng.randint(1, 6))])))
+                planted += [(doc, passage)] if copy else []
+                doc += 1
+    long = line(60)
+    rows += [(1, long + "\nx y\nz"), (2, "other\n" + long + "\nx y"), (3, long), (4, long + "\n\n" + long), (5, f"{line(3)}\n{long}\n{line(4)}")]
+    return rows, planted
+
+
 def test_line_dedup(spark):
-    rows = base_rows()
-    first = {}
-    for doc, text in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0])):
-        for no, c in enumerate(chunks_of(text)):
-            first.setdefault("\n".join(c), (doc, no))
-    expected = []
-    for doc, text in rows:
-        cs = chunks_of(text)
-        keep = [c for no, c in enumerate(cs) if len(c) < 2 or not WORD.search("\n".join(c)) or first["\n".join(c)] == (doc, no)]
-        n = sum(map(len, cs))
-        expected.append((doc or 0, None if text is None else "\n".join(x for c in keep for x in c), n, n - sum(map(len, keep))))
-    got = [(r["doc_id"] or 0, r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup(table(spark, rows)).collect()]
-    assert sorted(got, key=str) == sorted(expected, key=str)
-    assert any(r[3] for r in got) and lines.dedup(table(spark, [])).count() == 0
+    cases, planted = line_cases()
+    for rows in (base_rows(), cases):
+        got = [(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup(table(spark, rows)).collect()]
+        assert sorted(got, key=str) == sorted(without_repeats(rows), key=str)
+        assert any(r[3] for r in got)
+    left = {r[0]: r[1].split("\n") for r in got}
+    assert not any(set(passage) & set(left[doc]) for doc, passage in planted)  # recall 1 over 1 to 20 lines
+    assert lines.dedup(table(spark, []), keep=("n_lines", "lang")).columns == ["doc_id", "text", "n_lines", "n_removed", "lang"]
+    assert lines.dedup(table(spark, [])).count() == 0
     plan = lines.dedup(table(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
