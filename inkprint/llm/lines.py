@@ -57,7 +57,7 @@ def _windows(text: Column) -> Column:
         return bind(F.aggregate(part, F.struct(F.lit(0).alias("n"), F.lit(0).alias("m")), add), lambda a: F.when(
             a["n"] > PASSAGE_WORDS, bind(order(F.slice(part, 1, a["m"])), lambda p: F.struct(
                 F.get(p, 0)["i"].alias("start"), F.get(p, a["m"] - 1)["i"].alias("stop"),
-                F.unhex(F.sha2(F.array_join(F.transform(p, lambda y: y["line"]), "\n"), 256)).alias("hash"),
+                F.substring(F.unhex(F.sha2(F.array_join(F.transform(p, lambda y: y["line"]), "\n"), 256)), 1, 16).alias("hash"),
             ))
         ))
 
