@@ -1026,10 +1026,16 @@ def stream_dedupe(spark, sf_dir):
     return sinks.append_all(once, "dedupe").select("id", "match_no")
 
 
+def _last_event(spark, sf_dir):
+    return tb.read(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+
+
 @query
 def stream_sessions(spark, sf_dir):
+    """All sessions, those still open when the stream ends too."""
     history = _event_stream(spark, sf_dir).select(F.col("user_id").alias("target"), "ts")
-    made = sinks.append_all(jobs.target_sessions(history, "1 hour", "12 hours"), "sessions")
+    build = lambda events: jobs.target_sessions(events, "1 hour", "12 hours")
+    made = sinks.append_to_the_end(history, build, "sessions", _last_event(spark, sf_dir), "14 hours")
     return made.select("target", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "scans")
 
 
@@ -1041,27 +1047,56 @@ def stream_delta(spark, sf_dir):
     return jobs.delta_on_arrival(found.filter("current"), _delta_sides(spark, sf_dir)[1], "delta")
 
 
-@query
-def stream_lockouts(spark, sf_dir):
-    """Locks of attempts the watermark has passed, an hour before the last one."""
-    return sinks.append_all(lock_events(_attempts(_event_stream(spark, sf_dir))), "lockouts")
-
-
-def _last_event(spark, sf_dir):
-    return tb.read(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+SCAN_BLOCKS = 3
 
 
 @query
-def stream_sessions_to_the_end(spark, sf_dir):
-    """All sessions, those still open when the stream ends too."""
-    history = _event_stream(spark, sf_dir).select(F.col("user_id").alias("target"), "ts")
-    build = lambda events: jobs.target_sessions(events, "1 hour", "12 hours")
-    made = sinks.append_to_the_end(history, build, "sessions", _last_event(spark, sf_dir), "14 hours")
-    return made.select("target", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "scans")
+def stream_scan_deltas(spark, sf_dir):
+    """Every scan of the days of users, told when it is whole: a day's findings come in two of four steps, its end in the second."""
+    every = _event_snapshots(spark, sf_dir).withColumns({"scan_ts": F.col("scan_ts").cast("timestamp"), "folder": F.lit("")})
+    day = F.unix_date(F.col("scan_ts").cast("date"))
+    ends = every.agg(F.min(day).alias("low"), F.max(day).alias("high")).first()
+    step = F.lit(0) if ends["low"] is None else F.floor((day - ends["low"]) * SCAN_BLOCKS / (ends["high"] - ends["low"] + 1))
+    found = every.filter("event_type <> 'view'").select(
+        "target_key", "scan_ts", "id", "severity", "folder", F.lit(None).cast("bigint").alias("expected"),
+        (step + F.pmod(F.xxhash64("id"), F.lit(2))).alias("step"),
+    )
+    nothing = F.lit(None).cast("string")
+    closing = every.groupBy("target_key", "scan_ts").agg(F.count_if(F.col("event_type") != "view").alias("expected")).select(
+        "target_key", "scan_ts", nothing.alias("id"), nothing.alias("severity"), nothing.alias("folder"), "expected", (step + 1).alias("step")
+    )
+    place = work_folder(spark, "scan-deltas")
+    found.unionByName(closing).write.partitionBy("step").parquet(f"{place}/arriving")
+    arriving = spark.read.schema(jobs.ARRIVING + ", step int").parquet(f"{place}/arriving")
+    arriving.limit(0).drop("step").write.parquet(f"{place}/in")
+    store = ts.SnapshotStore(spark, f"{place}/store", buckets=8)
+    for number in range(SCAN_BLOCKS + 1):
+        arriving.filter(F.col("step") == number).drop("step").write.mode("append").parquet(f"{place}/in")
+        deltas = jobs.delta_per_scan(spark.readStream.schema(jobs.ARRIVING).parquet(f"{place}/in"), store, f"{place}/run")
+    return deltas.withColumn("scan_ts", F.date_format("scan_ts", "yyyy-MM-dd"))
+
+
+@query
+def snapshots_of_many_targets(spark, sf_dir):
+    """The last day of every user in a store of eight buckets, written a day before as well, then compacted."""
+    every = _event_snapshots(spark, sf_dir).withColumns({"scan_ts": F.col("scan_ts").cast("timestamp"), "folder": F.lit("")})
+    store = ts.SnapshotStore(spark, work_folder(spark, "snapshots"), buckets=8)
+    scans = every.groupBy("target_key").agg(F.sort_array(F.collect_set("scan_ts"), asc=False).alias("days"))
+    for place in (1, 0, 0):
+        chosen = scans.select("target_key", F.get("days", place).alias("scan_ts")).filter("scan_ts IS NOT NULL")
+        store.replace_all(every.join(chosen, ["target_key", "scan_ts"], "left_semi"), chosen)
+    store.compact()
+    return store.read().groupBy("target_key").agg(
+        F.date_format(F.max("scan_ts"), "yyyy-MM-dd").alias("scanned"), F.count("*").alias("findings"), F.min("id").alias("first_id")
+    )
 
 
 @query
-def stream_lockouts_to_the_end(spark, sf_dir):
+def stream_lockouts(spark, sf_dir):
     """All locks, those of the last hour too."""
     attempts = _attempts(_event_stream(spark, sf_dir))
     return sinks.append_to_the_end(attempts, lock_events, "lockouts", _last_event(spark, sf_dir), "2 hours")
+
+
+QUERIES["stream_sessions_to_the_end"] = stream_sessions
+QUERIES["stream_lockouts_to_the_end"] = stream_lockouts

@@ -69,15 +69,16 @@ def each_batch(
     replaces what it wrote before.
     """
     folder = work_folder(stream.sparkSession, purpose)
-    writer = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{folder}/state")
-        .foreachBatch(lambda batch, number: write(batch, f"{folder}/rows/batch={number}"))
-    )
-    writer.trigger(availableNow=True).start().awaitTermination()
+    run_batches(stream, folder, lambda batch, number: write(batch, f"{folder}/rows/batch={number}"), mode)
     return f"{folder}/rows"
 
 
+def run_batches(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str) -> None:
+    """Runs a stream over what is there, from the checkpoint in ``folder`` on, with ``write(batch, number)``."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def final_state(stream: DataFrame, purpose: str, keys: Sequence[str], mode: str = "update") -> DataFrame:
     """Runs an update- or complete-mode stream; returns the last row of every key."""
     save = lambda batch, place: batch.write.mode("overwrite").parquet(place)

@@ -622,10 +622,10 @@ oracle("session_validity", "event_id b, user_id b, email s", """SELECT event_id,
 WHERE event_type <> 'error' AND ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-20 00:00:00'""")
 
 
-def _replay(user: str, within: str = "true") -> str:
+def _replay(user: str) -> str:
     """The account's state row by row: a recursive statement, independent of the chained form."""
     return f"""WITH RECURSIVE a AS (SELECT {user} AS user_id, epoch_us(ts) AS us, event_type = 'signup' AS ok,
- row_number() OVER (PARTITION BY {user} ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('error', 'signup') AND {within}),
+ row_number() OVER (PARTITION BY {user} ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('error', 'signup')),
 step AS (SELECT user_id, 0 AS rn, 0 AS failed, cast(0 AS bigint) AS until_us, false AS locked, cast(0 AS bigint) AS us FROM (SELECT DISTINCT user_id FROM a)
  UNION ALL SELECT a.user_id, a.rn,
   CASE WHEN s.until_us > a.us THEN s.failed WHEN a.ok OR s.failed + 1 >= 5 THEN 0 ELSE s.failed + 1 END,
@@ -636,16 +636,12 @@ step AS (SELECT user_id, 0 AS rn, 0 AS failed, cast(0 AS bigint) AS until_us, fa
 
 
 oracle("lockout_replay", "user_id b, locked_at_us b", _replay("user_id"))
-# a stream tells what its watermark has passed, whole milliseconds, an hour before the last event it has seen
-_PASSED = "(SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events"
-oracle("stream_lockouts", "user_id b, locked_at_us b", _replay("user_id", f"epoch_us(ts) < {_PASSED} WHERE event_type IN ('error', 'signup'))"))
 oracle("lockout_replay_shared", "user_id b, locked_at_us b", _replay("(CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 5 END)"))
 _SESSIONS = """WITH g AS (SELECT user_id AS target, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
 n AS (SELECT *, sum(CASE WHEN before IS NULL OR us - before >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY us) AS no FROM g)
 --FINAL SELECT target, min(us) AS start_us, max(us) + 43200000000 AS end_us, count(*) AS scans FROM n GROUP BY target, no"""
 _SESSION_SPEC = "target b, start_us b, end_us b, scans b"
 oracle("activity_sessions", _SESSION_SPEC, _SESSIONS)
-oracle("stream_sessions", _SESSION_SPEC, _SESSIONS + f" HAVING max(us) + 43200000000 <= {_PASSED})")
 oracle("progress_fold", "scan_id b, processed b, total b, findings b", """SELECT user_id AS scan_id,
  arg_max(event_id % 1000, event_id) FILTER (event_type <> 'view') AS processed, arg_max(1000 + event_id % 3, event_id) AS total,
  coalesce(sum(event_id % 4) FILTER (event_type IN ('click', 'signup')), 0) AS findings FROM events GROUP BY user_id""")
@@ -658,5 +654,10 @@ w AS (SELECT severity, unnest([us // 10800000000 * 10800000000, (us // 108000000
 oracle("stream_dedupe", "id s, match_no b", """SELECT DISTINCT substring(sha1(event_type || ':' || json_extract_string(props, '$.k')), 1, 10) AS id,
  event_id % 3 AS match_no FROM events""")
 ORACLES["stream_delta"] = ORACLES["delta_summary"]
-ORACLES["stream_sessions_to_the_end"] = ORACLES["activity_sessions"]
-ORACLES["stream_lockouts_to_the_end"] = ORACLES["lockout_replay"]
+ORACLES["stream_scan_deltas"] = ORACLES["delta_series"]
+oracle("snapshots_of_many_targets", "target_key s, scanned s, findings b, first_id s", """WITH e AS (SELECT cast(user_id AS varchar) AS target_key, cast(ts AS date) AS day,
+ substring(sha1(event_type || ':' || (cast(json_extract_string(props, '$.k') AS int) % 5)), 1, 10) AS id FROM events),
+last_ AS (SELECT target_key, max(day) AS day FROM e GROUP BY target_key)
+--FINAL SELECT target_key, strftime(max(day), '%Y-%m-%d') AS scanned, count(*) AS findings, min(id) AS first_id FROM e JOIN last_ USING (target_key, day) GROUP BY target_key""")
+ORACLES["stream_sessions"] = ORACLES["stream_sessions_to_the_end"] = ORACLES["activity_sessions"]
+ORACLES["stream_lockouts"] = ORACLES["stream_lockouts_to_the_end"] = ORACLES["lockout_replay"]
