@@ -26,11 +26,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), _SPACE), lambda w: w != "")
 
 
-def _hashes(words: Column) -> Column:
-    """Hashes of the shingles at every place; a shorter text is one shingle, an empty one has none."""
+def _hashes(words: Column, size: int = SHINGLE) -> Column:
+    """Hashes of the runs of ``size`` words at every place; a shorter text has none."""
     n = F.size(words)
-    places = F.when(n >= SHINGLE, F.sequence(F.lit(0), n - SHINGLE)).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE))))
+    places = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
+
+
+def _identity(key: str, text: Column) -> Column:
+    """128 bits that tell a row from all others but its repetitions."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))))
 
 
 def _shingles(words: Column) -> Column:
@@ -63,30 +68,36 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """The contaminated pairs: doc_id, item_id, start (word, from 0), similarity of the best window.
 
     A window is as many words as the item has, or the whole text if that is shorter. Texts and
-    items without words (null, empty) match nothing; an item with fewer words than a shingle is found
-    in texts of the same words only.
+    items without words (null, empty) match nothing; an item with fewer words than a shingle is one
+    shingle of its own length, found wherever a text has its words in a row.
     Equal windows tie to the first start. Repeated rows give one pair, as do items that share an id.
     Null ids pass through. Other columns are left out.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("row", _identity("doc_id", F.col("text")))
     known = stored(
         items.select(F.col(item_id).cast("long").alias("item_id"), words_of(F.col(item_text)).alias("words")).filter(F.size("words") > 0)
-        .withColumn("item", F.xxhash64("item_id", F.array_join("words", " "))).dropDuplicates(["item"])
+        .withColumn("item", _identity("item_id", F.array_join("words", " "))).dropDuplicates(["item"])
         .withColumns({"n": F.size("words"), "shingles": _shingles(F.col("words"))}), "items",
     )
     spots = stored(
-        explode_once(known, "n", items=_hashes(F.col("words")), name="hash", position="offset").distinct(), "spots"
+        explode_once(known, "n", items=F.when(F.col("n") >= SHINGLE, _hashes(F.col("words"))).otherwise(
+            F.array(F.xxhash64(*(F.get("words", k) for k in range(SHINGLE))))  # words that are not there do not count
+        ), name="hash", position="offset").distinct(), "spots"
     )
+    short = sorted(r["n"] for r in spots.filter(F.col("n") < SHINGLE).select("n").distinct().collect())  # four at most
     if spots.count() <= SMALL_ROWS:
         spots = F.broadcast(spots)
-    places = bind(words_of(F.col("text")), lambda w: F.transform(_hashes(w), lambda h, i: F.struct(
+    places = bind(words_of(F.col("text")), lambda w: F.concat(*(F.transform(_hashes(w, size), lambda h, i: F.struct(
         i.alias("place"), h.alias("hash"), F.size(w).alias("total")
-    )))
+    )) for size in (SHINGLE, *short))))
     each = explode_once(rows, "row", items=places, name="at").select("row", "at.place", "at.hash", "at.total")
     hits = each.join(spots, "hash")
     start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("offset"), F.col("total") - F.col("n")))
-    wanted = stored(hits.select("row", "n", start.alias("start")).distinct(), "wanted")
+    # all windows that hold a short item are equal, so its first one stands for them
+    asked = hits.select("row", "n", "hash", start.alias("start"))
+    first = asked.filter(F.col("n") < SHINGLE).groupBy("row", "n", "hash").agg(F.min("start").alias("start"))
+    wanted = stored(asked.filter(F.col("n") >= SHINGLE).unionByName(first).select("row", "n", "start").distinct(), "wanted")
     touched = stored(wanted.select("row").distinct(), "touched")
     near = rows.join(touched, "row", "left_semi").dropDuplicates(["row"]).select("row", "doc_id", words_of(F.col("text")).alias("words"))
     windows = stored(
@@ -129,8 +140,8 @@ WITH items AS (
   SELECT item_id, w, len(w) AS n, o, array_to_string(list_slice(w, o + 1, o + 5), ' ') AS s
   FROM (SELECT *, unnest(range(0, greatest(len(w) - 4, 1))) AS o FROM items WHERE len(w) > 0)
 ), doc_spots AS (
-  SELECT doc_id, w, p, array_to_string(list_slice(w, p + 1, p + 5), ' ') AS s
-  FROM (SELECT *, unnest(range(0, greatest(len(w) - 4, 1))) AS p FROM docs WHERE len(w) > 0)
+  SELECT doc_id, w, p, array_to_string(list_slice(w, p + 1, p + k), ' ') AS s
+  FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS p FROM docs JOIN (SELECT 5 AS k UNION SELECT n FROM item_spots WHERE n < 5) ON len(w) >= k)
 ), starts AS (
   SELECT DISTINCT d.doc_id, i.n, greatest(0, least(d.p - i.o, len(d.w) - i.n)) AS start FROM doc_spots d JOIN item_spots i USING (s)
 ), windows AS (
