@@ -645,6 +645,35 @@ def registry_run(spark, sf_dir):
     return found.groupBy("source", "severity", "ai_score").agg(F.count("*").alias("findings"))
 
 
+@query
+def registry_isolated(spark, sf_dir):
+    """Each scanner on its own: what came of it, with its findings counted; one has no input, one is switched off."""
+    from inkprint.operators.registry import default_registry
+
+    inputs = {
+        "semgrep": _raw(spark, sf_dir, "part", "p_partkey", rawjson.SEMGREP),
+        "eslint": _raw(spark, sf_dir, "part", "p_partkey", rawjson.ESLINT),
+        "npmAudit": _raw(spark, sf_dir, "part", "p_partkey", rawjson.NPM_MODERN),
+    }
+    config = merge_config(scanners={"nodejsscan": {"enabled": False}})
+    found, status = default_registry().run_isolated(spark, inputs, ROOT, config, work_folder(spark, "scanners"))
+    source = F.coalesce(*(F.when(F.col("name") == name, tag) for name, tag in fixed.SCANNER_SOURCES.items()))
+    counted = found.groupBy("source").agg(F.count("*").alias("findings"))
+    return status.withColumn("source", source).join(counted, "source", "left").select(
+        "name", "status", F.coalesce("findings", F.lit(0)).cast("bigint").alias("findings")
+    )
+
+
+@query
+def phase_rows(spark, sf_dir):
+    """The rows that each phase of a whole scan has written; its milliseconds differ from run to run."""
+    from inkprint.plans.scan import run_scan
+
+    found = units(spark, sf_dir)
+    scan = run_scan(spark, found.select("path").distinct(), units=found)
+    return scan.profile().filter("rows IS NOT NULL").select("phase", "rows")
+
+
 # --- paths and URLs ---------------------------------------------------------------------------------------
 
 
@@ -872,6 +901,12 @@ def history_lines(spark, sf_dir):
     return recent.select("seq", label.alias("label"))
 
 
+@query
+def history_text(spark, sf_dir):
+    """The labels of the last lines in one text."""
+    return hs.history_line(history_lines(spark, sf_dir))
+
+
 @query
 def scan_trend(spark, sf_dir):
     history = events(spark, sf_dir).select(

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.config import DEFAULT_CONFIG, ScanConfig
@@ -41,6 +41,12 @@ class Scan:
     folders: DataFrame | None
     scanners: DataFrame
     phases: Mapping[str, int]
+    written: Mapping[str, int]
+
+    def profile(self) -> DataFrame:
+        """One row per phase, in order: rows it has written, milliseconds it took."""
+        rows = [(place, phase, self.written.get(phase), spent) for place, (phase, spent) in enumerate(self.phases.items())]
+        return self.units.sparkSession.createDataFrame(rows, "place int, phase string, rows bigint, millis bigint")
 
     def rows(self) -> DataFrame:
         return rp.report_rows(
@@ -49,11 +55,20 @@ class Scan:
 
 
 class _Phases:
-    """Wall-clock milliseconds of each phase."""
+    """Wall-clock milliseconds of each phase, and the rows it writes as Spark observes them."""
 
     def __init__(self) -> None:
         self.started = time.monotonic()
         self.spent: dict[str, int] = {}
+        self.observed: dict[str, Observation] = {}
+
+    def watch(self, phase: str, rows: DataFrame) -> DataFrame:
+        """``rows``, counted while they are written: no pass of its own."""
+        self.observed[phase] = Observation()
+        return rows.observe(self.observed[phase], F.count(F.lit(1)).alias("rows"))
+
+    def written(self) -> dict[str, int]:
+        return {phase: seen.get["rows"] for phase, seen in self.observed.items()}
 
     def done(self, phase: str) -> None:
         now = time.monotonic()
@@ -107,7 +122,7 @@ def run_scan(
     files = configured_files(files, config, root)
     if units is None:
         units = split_files(files)
-    score_table(units, config).write.mode("overwrite").parquet(f"{folder}/units")
+    phases.watch("scoring", score_table(units, config)).write.mode("overwrite").parquet(f"{folder}/units")
     scored = spark.read.parquet(f"{folder}/units")
     phases.done("scoring")
 
@@ -118,12 +133,12 @@ def run_scan(
     findings = reduce(DataFrame.unionByName, parts)
     if suppressions is not None:
         findings = without_suppressed(findings, suppressions)
-    findings.select(*FINDING_COLUMNS).write.mode("overwrite").parquet(f"{folder}/findings")
+    phases.watch("securityAnalysis", findings.select(*FINDING_COLUMNS)).write.mode("overwrite").parquet(f"{folder}/findings")
     findings = spark.read.parquet(f"{folder}/findings")
     phases.done("securityAnalysis")
 
     summary = rp.summarize(scored, findings, files, config)
-    summary.write.mode("overwrite").parquet(f"{folder}/summary")
+    phases.watch("reportGeneration", summary).write.mode("overwrite").parquet(f"{folder}/summary")
     summary = spark.read.parquet(f"{folder}/summary")
     contributions = rp.weighted_contributions(scored, config)
     delta = folders = None
@@ -138,7 +153,7 @@ def run_scan(
         delta = spark.read.parquet(f"{folder}/delta")
         snapshots.replace(current, target_key, now)
     phases.done("reportGeneration")
-    return Scan(folder, scored, findings, summary, contributions, delta, folders, status, phases.profile())
+    return Scan(folder, scored, findings, summary, contributions, delta, folders, status, phases.profile(), phases.written())
 
 
 def run_check(spark: SparkSession, files: DataFrame, changed: DataFrame, config: ScanConfig = DEFAULT_CONFIG, **options) -> Scan:

@@ -654,6 +654,14 @@ w AS (SELECT severity, unnest([us // 10800000000 * 10800000000, (us // 108000000
 oracle("stream_dedupe", "id s, match_no b", """SELECT DISTINCT substring(sha1(event_type || ':' || json_extract_string(props, '$.k')), 1, 10) AS id,
  event_id % 3 AS match_no FROM events""")
 ORACLES["stream_delta"] = ORACLES["delta_summary"]
+oracle("history_text", "line s", f"""WITH l AS ({ORACLES['history_lines']})
+--FINAL SELECT 'history: ' || coalesce(string_agg(label, ' | ' ORDER BY cast(seq AS bigint) DESC), 'none') AS line FROM l""")
+oracle("registry_isolated", "name s, status s, findings b", f"""WITH a AS ({ORACLES['norm_semgrep']}), b AS ({ORACLES['norm_eslint']}), c AS ({ORACLES['norm_npm_modern']})
+--FINAL SELECT 'semgrep' AS name, 'done' AS status, count(*) AS findings FROM a UNION ALL SELECT 'eslint', 'done', count(*) FROM b
+ UNION ALL SELECT 'npmAudit', 'done', count(*) FROM c WHERE severity IN ('HIGH', 'CRITICAL') UNION ALL SELECT 'bearer', 'unavailable', 0""")
+oracle("phase_rows", "phase s, rows b", f"""WITH a AS ({ORACLES['invalid_api_findings']}), b AS ({ORACLES['secret_findings']})
+--FINAL SELECT 'scoring' AS phase, (SELECT count(*) FROM orders) AS rows UNION ALL
+ SELECT 'securityAnalysis', (SELECT count(*) FROM a) + (SELECT count(*) FROM b) UNION ALL SELECT 'reportGeneration', 1""")
 ORACLES["stream_scan_deltas"] = ORACLES["delta_series"]
 oracle("snapshots_of_many_targets", "target_key s, scanned s, findings b, first_id s", """WITH e AS (SELECT cast(user_id AS varchar) AS target_key, cast(ts AS date) AS day,
  substring(sha1(event_type || ':' || (cast(json_extract_string(props, '$.k') AS int) % 5)), 1, 10) AS id FROM events),

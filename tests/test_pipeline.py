@@ -71,6 +71,9 @@ def test_scan_end_to_end(spark, repo, tmp_path):
     assert ("hallucination-detector", "hallucination.invalid-api-call") in found and ("secret-detector", "secret.aws-access-key") in found
     assert row["blocked"] and row["findings"] == scan.findings.count() and row["medium"] == 2
     assert scan.delta.first()["baseline"] and set(scan.phases) == {"scoring", "securityAnalysis", "reportGeneration", "total"}
+    profile = {r["phase"]: (r["rows"], r["millis"]) for r in scan.profile().collect()}
+    assert {p: n for p, (n, _) in profile.items()} == {"scoring": 2, "securityAnalysis": row["findings"], "reportGeneration": 1, "total": None}
+    assert all(ms >= 0 for _, ms in profile.values())
     assert rp.report_summary(scan.units, external=scan.findings.filter("source = 'semgrep'")).first()["findings"] == row["findings"]
 
     again = run_scan(spark, fs.read_files(spark, repo, max_size=1000), merge_config(hallucination_detection=False), **options)
