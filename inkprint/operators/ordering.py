@@ -142,16 +142,24 @@ def trailing_count(
 ) -> DataFrame:
     """Adds how many rows of the key fall into the last ``span`` seconds, the row included.
 
-    Rows of one second count once, with their number. Each second goes to its own block of
-    ``span`` seconds and, as history only, to the next one: a window of one block then sees
-    everything it needs, two rows per second of the span at most. The rows join their second.
+    Rows of one second count once, with their number. Each second goes to its own block of ``span``
+    seconds, where it counts from then on, and as history to the next one, where it counts from the
+    start until it is too old. So the count is a running sum over one block, three rows per second
+    of the span at most, whatever the number of seconds in the span. The rows join their second.
     """
-    block = F.floor(F.col("_sec") / span)
+    own = F.floor(F.col("_sec") / span)
     each = df.withColumn("_sec", seconds)
-    staged = (
-        each.groupBy(*keys, "_sec").agg(F.count("*").alias("_rows")).withColumn("_own", block)
-        .withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    # what a second changes: in which block, when, whether after the rows of that second, and by how many
+    change = lambda block, at, late, rows, here: F.struct(
+        block.alias("_block"), at.alias("_at"), F.lit(late).alias("_late"), rows.alias("_change"), F.lit(here).alias("_here")
     )
-    frame = Window.partitionBy(*keys, "_block").orderBy("_sec").rangeBetween(-span, 0)
-    trailing = staged.withColumn(name, F.sum("_rows").over(frame)).filter(F.col("_block") == F.col("_own")).select(*keys, "_sec", name)
+    sec, rows = F.col("_sec"), F.col("_rows")
+    changes = F.array(
+        change(own, sec, False, rows, True),
+        change(own + 1, sec, False, rows, False),
+        change(own + 1, sec + span, True, -rows, False),
+    )
+    staged = each.groupBy(*keys, "_sec").agg(F.count("*").alias("_rows")).select(*keys, "_sec", F.explode(changes).alias("_c")).select(*keys, "_sec", "_c.*")
+    so_far = Window.partitionBy(*keys, "_block").orderBy("_at", "_late").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    trailing = staged.withColumn(name, F.sum("_change").over(so_far)).filter("_here").select(*keys, "_sec", name)
     return each.join(trailing, [*keys, "_sec"], "left").drop("_sec")

@@ -94,6 +94,18 @@ def test_trailing_count(spark):
     assert got == {r[2]: sum(1 for o in rows if o[0] == r[0] and r[1] - 300 <= o[1] <= r[1]) for r in rows}
 
 
+def test_trailing_count_sums_each_second_once(spark):
+    """Every second of three blocks has rows: no frame slides, which would add up a whole span for each second."""
+    rows = [("hot", t, 3 * t + i, 0) for t in range(900) for i in range(1 + t % 3)] + [("k", None, -1, 0), (None, 5, -2, 0)]
+    df = spark.createDataFrame(rows, "k string, t bigint, seq bigint, v bigint")
+    out = od.trailing_count(df, ["k"], F.col("t"), 300, "n")
+    plan = out._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "-300" not in plan
+    got = {r["seq"]: r["n"] for r in out.collect()}
+    assert got.pop(-1) is None and got.pop(-2) is None
+    assert got == {r[2]: sum(1 + t % 3 for t in range(max(0, r[1] - 300), r[1] + 1)) for r in rows[:-2]}
+
+
 def test_attribution_and_changed_units(spark):
     units, findings, ranges = [], [], []
     for path in ("hot", "a", "b"):
