@@ -72,9 +72,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(parts)) if parts else df
 
 
+def parts_of(spark: SparkSession) -> int:
+    """Parts for costly work on rows that take little room: those asked for, or one per shuffle partition and core at least."""
+    asked = spark.conf.get(SCAN_PARTS, None)
+    return int(asked) if asked else max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The narrow rows of a scan in as many parts as there are tasks to keep busy.
+
+    A file is read by one task per row group, and adaptive execution goes by bytes: both leave few
+    tasks where a row of some bytes becomes a text that is searched.
+    """
+    return df.repartition(parts_of(df.sparkSession))
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = tb.unit_columns("spark")
-    narrow = spread(tb.read(spark, sf_dir, "orders").select("o_orderkey"))
+    narrow = dealt(tb.read(spark, sf_dir, "orders").select("o_orderkey"))
     return narrow.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
 
 
@@ -229,7 +244,7 @@ def lexical_complexity(spark, sf_dir):
 
 @query
 def lexical_units(spark, sf_dir):
-    files = spread(tb.derived_files(spark, sf_dir))
+    files = tb.derived_files(spark, sf_dir, parts_of(spark))
     return un.split_files(files).select(
         "path", "name", "kind", "start_line", "end_line",
         un.unit_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("name")).alias("id"),
@@ -239,7 +254,7 @@ def lexical_units(spark, sf_dir):
 
 @query
 def expression_units(spark, sf_dir):
-    files = spread(tb.derived_views(spark, sf_dir))
+    files = tb.views_of(dealt(tb.read(spark, sf_dir, "orders").select("o_orderkey")))
     return un.split_files(files).select(
         "path", "name", "kind", "start_line", "end_line",
         un.unit_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("name")).alias("id"), "code",
@@ -326,7 +341,7 @@ def suppressed_findings(spark, sf_dir):
 @query
 def import_audit(spark, sf_dir):
     """Imports written from part rows against a catalogue written from nation rows."""
-    sources = tb.read(spark, sf_dir, "part").select(
+    sources = dealt(tb.read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"),
         F.expr("concat('import { f', cast(p_partkey % 9 as string), ', g } from \"NATION_', "
                "cast(p_partkey % 31 as string), '\"; import x from \"./local\"; const y = require(\"NATION_', "
@@ -341,7 +356,7 @@ def import_audit(spark, sf_dir):
 
 def _linked_sources(spark, sf_dir):
     """Files with all forms of imports, written from part rows, and the catalogue of their modules from nation rows."""
-    sources = tb.read(spark, sf_dir, "part").select(
+    sources = dealt(tb.read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(
         F.concat(F.lit("q"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), F.expr(tb.linked_source("spark")).alias("code"),
     )
     catalogue = tb.read(spark, sf_dir, "nation").select(

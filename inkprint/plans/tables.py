@@ -286,12 +286,18 @@ def derived_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_files(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Source files: the sixteen slots of a file put together.
 
-    One aggregate per slot instead of a collected list: the state per file is fixed.
+    One aggregate per slot instead of a collected list: the state per file is fixed. With ``parts``
+    the orders are dealt out by file before they become texts, which the aggregate then finds in place.
     """
-    units = derived_units(spark, sf_dir).select(
+    columns = unit_columns("spark")
+    keys = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(columns["path"]).alias("path"))
+    if parts:
+        keys = keys.repartition(parts, "path")
+    staged = keys.select("path", *[F.expr(columns[name]).alias(name) for name in ("ordinal", "code", "start_line", "end_line")])
+    units = staged.select(
         "path", "ordinal", "code", (F.col("end_line") - F.col("start_line") + 1).alias("n")
     )
     padded = units.withColumn("code", F.concat("code", F.repeat(F.lit("\n"), SLOT_LINES - F.col("n"))))
@@ -305,7 +311,11 @@ def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select(*[F.expr(sql).alias(name) for name, sql in view_columns("spark").items()])
+    return views_of(read(spark, sf_dir, "orders"))
+
+
+def views_of(orders: DataFrame) -> DataFrame:
+    return orders.select(*[F.expr(sql).alias(name) for name, sql in view_columns("spark").items()])
 
 
 def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:

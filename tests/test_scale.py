@@ -226,3 +226,13 @@ def test_scans_read_only_what_is_needed(spark, sf_dir):
     assert "ReadSchema: struct<l_returnflag:string,l_linestatus:string>" in plan
     gate = plan_of(QUERIES["changed_files"](spark, sf_dir))
     assert "EqualTo(l_quantity,50.0)" in gate
+
+
+@pytest.mark.parametrize("name", ["expression_units", "lexical_units", "import_bindings", "import_audit", "score_units"])
+def test_work_on_narrow_rows_is_dealt_out(spark, sf_dir, name):
+    """The table is one small file: without an exchange before the texts are made and searched, one task has them all."""
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    dealt = [line for line in plan.split("\n") if "REPARTITION_BY_NUM" in line]
+    assert dealt and all("replace(" not in line for line in dealt)
+    below = plan[plan.rindex("REPARTITION_BY_NUM"):]
+    assert "regexp" not in below.lower() and "replace(" not in below.split("FileScan")[0]
