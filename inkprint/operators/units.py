@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from inkprint import fixed
 from inkprint.functions import text as tx
-from inkprint.functions.rows import explode_once
+from inkprint.functions.rows import bind, explode_once
 from inkprint.functions.scalars import digest
 
 MIN_LOC = 3
 CHUNK = 256
+NEAR_LINES = 80
 
 # Declaration heads, matched on masked text; each ends at the brace that opens its body.
 _S = rf"[{fixed.WS}]*+"
@@ -46,7 +47,13 @@ _METHOD = (
     rf"(?:(?:public|private|protected|static|readonly|override|async)\s+)*{_NOT_A_METHOD}{_NAME}"
     rf"{_TYPE_ARGS}{_S}{_ARGS}{_RETURN_TYPE}{_S}\{{"
 )
-_HEADS = f"(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_ARROW}|{_METHOD})"
+# What any head begins with: a sign, one of these words, or a name before a bracket, a colon or an arrow.
+# Most words are none of that, which one look tells; the heads are searched only behind it.
+_LIKE_A_HEAD = (
+    r"(?=[=(,:?&|!+]|(?:export|default|async|function|abstract|class|return|static|get|set|const|let|var|public|private|protected"
+    rf"|readonly|override)(?![A-Za-z0-9_$])|{_NAME}{_S}[(<:=])"
+)
+_HEADS = f"{_LIKE_A_HEAD}(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_ARROW}|{_METHOD})"
 # Heads, single braces, and stretches of anything between them.
 _WORD, _MAY_OPEN = "[A-Za-z0-9_$#]", "=(,:?&|!+"
 _PARTS = (
@@ -55,15 +62,17 @@ _PARTS = (
 
 # For files with expressions as bodies all brackets count, and what may end a statement: commas,
 # semicolons, and line breaks between what ends an operand and what cannot go on with it.
-_HEADS_AND_EXPRESSIONS = f"(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_ARROW}|{_EXPRESSION}|{_METHOD})"
+_HEADS_AND_EXPRESSIONS = f"{_LIKE_A_HEAD}(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_ARROW}|{_EXPRESSION}|{_METHOD})"
+# where only the presence of a head counts, what follows the arrow does not
+_ANY_HEAD = f"{_LIKE_A_HEAD}(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_TO_BODY}|{_METHOD})"
 _BREAK = (
     rf"(?<=[A-Za-z0-9_$)\]}}\"])[{fixed.WS_INLINE}]*+\n{_S}(?=[A-Za-z_$\"{{@#!~])"
     r"(?!(?:in|instanceof|as|satisfies)(?![A-Za-z0-9_$]))"
 )
 _SOLID = rf"[^A-Za-z0-9_$#{{}}()\[\],;=:?&|!+{fixed.WS}]++"
 _BRACKET_PARTS = (
-    rf"(?:{_HEADS_AND_EXPRESSIONS}|[{fixed.WS}]*+(?!{_HEADS_AND_EXPRESSIONS})[(\[]|[{{}})\],;]|{_BREAK}|"
-    rf"(?:(?!{_HEADS_AND_EXPRESSIONS})(?:{_WORD}++|[=:?&|!+])|{_SOLID}|(?!{_BREAK})[{fixed.WS}]++)++)"
+    rf"(?:{_HEADS_AND_EXPRESSIONS}|[(\[]|[{fixed.WS}]++(?:\[|(?!{_ANY_HEAD})\()|[{{}})\],;]|{_BREAK}|"
+    rf"(?:(?!{_ANY_HEAD})(?:{_WORD}++|[=:?&|!+])|{_SOLID}|(?!{_BREAK})[{fixed.WS}]++)++)"
 )
 _HAS_EXPRESSION = rf"=>(?!{_S}\{{)"
 
@@ -130,6 +139,36 @@ def _after(kinds: tuple[str, ...]):
     return lambda frames: F.coalesce(F.array_max(F.transform(frames, lambda f, i: F.when(~f["kind"].isin(*kinds), i + 1))), F.lit(0))
 
 
+def _moved(line: Column, col: Column, by: Column, name: str) -> tuple[Column, Column]:
+    """Line and column after text whose own ``<name>_lines`` and ``<name>_col`` are known."""
+    return (line + by[f"{name}_lines"]).cast("int"), F.when(by[f"{name}_lines"] > 0, by[f"{name}_col"]).otherwise(col + by[f"{name}_col"]).cast("int")
+
+
+def _bracket_facts(part: Column) -> Column:
+    """All that a step of the fold has to know of a part, whatever came before it.
+
+    Patterns are searched here, once a part; the fold adds up numbers. ``busy`` parts open, close or
+    end something.
+    """
+    head, ends = part.endswith("{") | part.endswith("=>"), (part == ";") | part.startswith(",")
+    # a function that is an argument brings the bracket before it along
+    opens = part.rlike(rf"^[{fixed.WS}]*[(\[]$") | (part.endswith("{") & part.rlike(rf"^\({_S}(?:async\s+)?(?:function|class)(?![A-Za-z0-9_$])"))
+    brace, bracket = part == "}", part.isin(")", "]")
+
+    def facts(solid: Column) -> Column:
+        return F.struct(
+            _newlines(part).alias("part_lines"), _column_after(part, F.lit(0)).alias("part_col"),
+            (solid == "").alias("blank"), _newlines(solid).alias("solid_lines"), _column_after(solid, F.lit(0)).alias("solid_col"),
+            solid.rlike(r"[A-Za-z0-9_$)\]}\"]$").alias("operand"),
+            ends.alias("ends"), brace.alias("brace"), bracket.alias("bracket"), opens.alias("opens"),
+            ((F.instr(part, "\n") > 0) & part.rlike(rf"^[{fixed.WS}]*\n[{fixed.WS}]*$")).alias("gap"),
+            F.when(head, _frame(part, F.lit(0), F.lit(0))).alias("frame"),
+            (head | ends | brace | bracket | opens).alias("busy"),
+        )
+
+    return bind(F.regexp_replace(part, rf"[{fixed.WS}]+$", ""), facts)
+
+
 def _bracket_step(state):
     """One step of the fold where all brackets count; frames are braces, brackets and expressions as bodies.
 
@@ -139,16 +178,20 @@ def _bracket_step(state):
     """
 
     def step(s: Column, part: Column) -> Column:
+        line, col = _moved(s["line"], s["col"], part, "part")
+        solid_line, solid_col = _moved(s["line"], s["col"], part, "solid")
+        solid = (
+            F.when(part["blank"], s["solid_line"]).otherwise(solid_line), F.when(part["blank"], s["solid_col"]).otherwise(solid_col),
+            F.when(part["blank"], s["operand"]).otherwise(part["operand"]),
+        )
         # a part that is blank and follows an operand was cut out because a statement ends there
-        ends = part.isin(",", ";") | part.startswith(",") | (s["operand"] & part.rlike(rf"^[{fixed.WS}]*\n[{fixed.WS}]*$"))
-        brace, bracket = part == "}", part.isin(")", "]")
+        ends = part["ends"] | (s["operand"] & part["gap"])
+        brace, bracket = part["brace"], part["bracket"]
         left = (
             F.when(brace, _after(("expression", "bracket"))(s["open"]))
             .when(ends | bracket, _after(("expression",))(s["open"]))
             .otherwise(F.size(s["open"]))
         )
-        closed = F.filter(F.slice(s["open"], left + 1, F.size(s["open"])), lambda f: f["kind"] == "expression")
-        below = F.when(left > 0, F.get(s["open"], left - 1))
 
         def unit(f: Column, kind: Column, line: Column, col: Column) -> Column:
             return F.struct(
@@ -156,30 +199,27 @@ def _bracket_step(state):
                 kind.alias("kind"), f["name"].alias("name"),
             ).cast(_SPAN)
 
-        ended = F.transform(closed, lambda f: unit(f, F.lit("arrow"), s["solid_line"], s["solid_col"]))
-        whole = F.when(
-            brace & F.coalesce(below["kind"] != "block", F.lit(False)), F.array(unit(below, below["kind"], s["line"], s["col"] + 1))
-        ).otherwise(F.array().cast(f"array<{_SPAN}>"))
-        pops = brace & (left > 0) | bracket & F.coalesce(below["kind"] == "bracket", F.lit(False))
-        kept = F.slice(s["open"], F.lit(1), left - pops.cast("int"))
-        bracket_frame = F.struct(
-            F.lit("bracket").alias("kind"), F.lit("").alias("name"), s["line"].cast("int").alias("line"), s["col"].cast("int").alias("col")
-        ).cast(_FRAME)
-        head = part.endswith("{") | part.endswith("=>")
-        # a function that is an argument brings the bracket before it along
-        opens = part.rlike(rf"^[{fixed.WS}]*[(\[]$") | (part.endswith("{") & part.rlike(rf"^\({_S}(?:async\s+)?(?:function|class)(?![A-Za-z0-9_$])"))
-        none = F.array().cast(f"array<{_FRAME}>")
-        opened = F.concat(
-            kept, F.when(opens, F.array(bracket_frame)).otherwise(none),
-            F.when(head, F.array(_frame(part, s["line"], s["col"]))).otherwise(none),
-        )
-        solid = F.regexp_replace(part, rf"[{fixed.WS}]+$", "")
-        return state(
-            (s["line"] + _newlines(part)).cast("int"), _column_after(part, s["col"]).cast("int"), opened, F.concat(s["done"], ended, whole),
-            F.when(solid == "", s["solid_line"]).otherwise(s["line"] + _newlines(solid)).cast("int"),
-            F.when(solid == "", s["solid_col"]).otherwise(_column_after(solid, s["col"])).cast("int"),
-            F.when(solid == "", s["operand"]).otherwise(solid.rlike(r"[A-Za-z0-9_$)\]}\"]$")),
-        )
+        def change(left: Column) -> Column:
+            closed = F.filter(F.slice(s["open"], left + 1, F.size(s["open"])), lambda f: f["kind"] == "expression")
+            below = F.when(left > 0, F.get(s["open"], left - 1))
+            ended = F.transform(closed, lambda f: unit(f, F.lit("arrow"), s["solid_line"], s["solid_col"]))
+            whole = F.when(
+                brace & F.coalesce(below["kind"] != "block", F.lit(False)), F.array(unit(below, below["kind"], s["line"], s["col"] + 1))
+            ).otherwise(F.array().cast(f"array<{_SPAN}>"))
+            pops = brace & (left > 0) | bracket & F.coalesce(below["kind"] == "bracket", F.lit(False))
+            kept = F.slice(s["open"], F.lit(1), left - pops.cast("int"))
+            bracket_frame = F.struct(
+                F.lit("bracket").alias("kind"), F.lit("").alias("name"), s["line"].cast("int").alias("line"), s["col"].cast("int").alias("col")
+            ).cast(_FRAME)
+            f = part["frame"]
+            head_line = (s["line"] + f["line"]).cast("int")
+            head_col = F.when(f["line"] > 0, f["col"]).otherwise(s["col"] + f["col"]).cast("int")
+            frame = F.struct(f["kind"].alias("kind"), f["name"].alias("name"), head_line.alias("line"), head_col.alias("col")).cast(_FRAME)
+            none = F.array().cast(f"array<{_FRAME}>")
+            opened = F.concat(kept, F.when(part["opens"], F.array(bracket_frame)).otherwise(none), F.when(f.isNotNull(), F.array(frame)).otherwise(none))
+            return state(line, col, opened, F.concat(s["done"], ended, whole), *solid)
+
+        return F.when(part["busy"] | ends, bind(left, change)).otherwise(state(line, col, s["open"], s["done"], *solid))
 
     return step
 
@@ -235,7 +275,7 @@ def _spans(parts: Column, brackets: bool) -> Column:
 
     def run_chunk(before: Column, chunk: Column) -> Column:
         return F.aggregate(
-            chunk,
+            F.transform(chunk, _bracket_facts) if brackets else chunk,
             state(before["line"], before["col"], before["open"], no_spans, *solid_of(before)),
             _bracket_step(state) if brackets else step,
             lambda s: state(s["line"], s["col"], s["open"], F.concat(before["done"], F.array(s["done"])), *solid_of(s)),
@@ -257,18 +297,23 @@ def split_files(files: DataFrame) -> DataFrame:
     staged = staged.select("path", F.split(content, "\n").alias("_lines"), "_brackets", source_parts(content, F.col("_brackets")).alias("_parts"))
     staged = staged.select("path", "_lines", unit_spans(F.col("_parts"), F.col("_brackets")).alias("_spans"))
 
+    def ahead(span: Column, lines: int) -> Column:
+        """What stands before the unit, from so many lines above it on."""
+        first = F.greatest(F.lit(1), span["line"] - lines)
+        before = F.array_join(F.slice("_lines", first, span["line"] - first + 1), "\n")
+        rest = F.length(F.element_at("_lines", span["line"])) - span["col"]
+        return bind(before, lambda text: F.substr(text, F.lit(1), F.length(text) - rest))
+
     def cut(span: Column) -> Column:
         text = F.array_join(F.slice("_lines", span["line"], span["end_line"] - span["line"] + 1), "\n")
         beyond = F.length(F.element_at("_lines", span["end_line"])) - span["end_col"]
-        first = F.greatest(F.lit(1), span["line"] - fixed.DOC_COMMENT_LOOKBACK)
-        before = F.array_join(F.slice("_lines", first, span["line"] - first + 1), "\n")
-        rest = F.length(F.element_at("_lines", span["line"])) - span["col"]
-        ahead = F.substr(before, F.lit(1), F.length(before) - rest)
+        # a few lines mostly have as many characters as are asked for
+        near = lambda text: F.when(F.length(text) >= fixed.DOC_COMMENT_LOOKBACK, text).otherwise(ahead(span, fixed.DOC_COMMENT_LOOKBACK))
         return F.struct(
             span["name"].alias("name"), span["kind"].alias("kind"),
             span["line"].alias("start_line"), span["end_line"].alias("end_line"),
-            F.right(ahead, F.lit(fixed.DOC_COMMENT_LOOKBACK)).alias("prefix"),
-            F.substr(text, span["col"] + 1, F.length(text) - span["col"] - beyond).alias("code"),
+            F.right(bind(ahead(span, NEAR_LINES), near), F.lit(fixed.DOC_COMMENT_LOOKBACK)).alias("prefix"),
+            bind(text, lambda whole: F.substr(whole, span["col"] + 1, F.length(whole) - span["col"] - beyond)).alias("code"),
         )
 
     staged = staged.select("path", F.transform("_spans", cut).alias("_units"))

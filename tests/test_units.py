@@ -1,5 +1,7 @@
 """The lexical splitter on hand-written sources."""
 
+import random
+
 from inkprint.functions import text as tx
 from inkprint.operators import units as un
 from pyspark.sql import functions as F
@@ -199,3 +201,30 @@ def test_masking_keeps_offsets(spark):
     masked = spark.createDataFrame([(source,)], "s string").select(tx.masked(F.col("s"))).first()[0]
     assert len(masked) == len(source) and masked.count("\n") == source.count("\n")
     assert "{" not in masked and "}" not in masked and masked[0] == "a" and masked.endswith("z / 2")
+
+
+def test_what_is_like_a_head_holds_all_heads(spark):
+    """The look ahead of the heads changes no match; patterns are searched outside the fold."""
+    pieces = ["export ", "default ", "async ", "function", "class ", "return ", "static get ", "const ", "a", "#b", "$", "1c", "public ", " ", "\n", "(", ")", "<T>",
+              ":", "=", "=>", "{", "}", ",", "?", "[", "]", ";", "if ", "new "]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(pieces) for _ in range(60)) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (un._HEADS, un._HEADS_AND_EXPRESSIONS, un._PARTS, un._BRACKET_PARTS):
+        bare = pattern.replace(un._LIKE_A_HEAD, "")
+        assert bare != pattern
+        assert df.filter(tx.every(F.col("t"), pattern) != tx.every(F.col("t"), bare)).count() == 0
+
+
+def test_steps_of_the_fold_search_no_pattern(spark):
+    df = spark.createDataFrame([("a.ts", SOURCE)], "path string, content string")
+    plan = df.select(un._spans(un.source_parts(F.col("content")), True).alias("s"))._jdf.queryExecution().analyzed().toString()
+    step = plan[plan.index("aggregate(transform("):]
+    assert "_bracket" not in step and plan.lower().count("regexp_replace") + plan.lower().count("rlike") < 60
+
+
+def test_units_far_below_a_comment_see_it(spark):
+    """400 characters before a unit may be hundreds of short lines."""
+    source = "/** far */" + "\n" * 200 + "function f() {\n  one();\n  two();\n}\n"
+    df = spark.createDataFrame([("a.ts", source)], "path string, content string")
+    assert [r["prefix"] for r in un.split_files(df).collect()] == ["/** far */" + "\n" * 200]
