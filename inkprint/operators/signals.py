@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,28 +23,36 @@ from inkprint.operators import units as un
 _OBVIOUS = rf"(?i)//[{fixed.WS}]*(?:{'|'.join(fixed.OBVIOUS_COMMENT_VERBS)}){fixed.WORD_END}"
 _GENERIC = rf"(?<![^\n])(?:{'|'.join(fixed.GENERIC_NAMES)})(?![^\n])"  # whole lines
 _WORDS = "[A-Za-z0-9_]"
+# what a text in lower case holds at least, then patterns in order
 _BOILERPLATE = (
-    (rf"(?i)async[{fixed.WS}]+function[{fixed.WS}]+(?:get|create|update|delete){_WORDS}+",),
-    (rf"(?i)try[{fixed.WS}]*\{{", rf"(?i)\}}[{fixed.WS}]*catch[{fixed.WS}]*\(error\)"),
-    (r"(?i)res\.status\([0-9]{3}\)\.json",),
-    (r"(?i)useState\([^)]*\)", r"(?i)useEffect"),
+    ("async", rf"(?i)async[{fixed.WS}]+function[{fixed.WS}]+(?:get|create|update|delete){_WORDS}+"),
+    ("try", rf"(?i)try[{fixed.WS}]*\{{", rf"(?i)\}}[{fixed.WS}]*catch[{fixed.WS}]*\(error\)"),
+    ("res.status", r"(?i)res\.status\([0-9]{3}\)\.json"),
+    ("usestate", r"(?i)useState\([^)]*\)", r"(?i)useEffect"),
 )
 _HELPER_CALLS = tuple(rf"(?i){verb}{_WORDS}*\([^)]*\)" for verb in ("validate", "format", "process"))
 
 
-def _pattern_figures() -> dict[str, Column]:
-    code = F.col("code")
+def _behind(text: Column, needles: tuple[str, ...], found: Column, nothing: Column) -> Column:
+    """``found`` where the text holds a needle; a plain search is cheaper than a pattern that cannot match. Null stays null."""
+    held = reduce(or_, (F.contains(text, F.lit(n)) for n in needles))
+    return F.when(~held, nothing).otherwise(found)
+
+
+def _pattern_figures(low: Column) -> dict[str, Column]:
+    """``low`` is the code in lower case, in a column of its own."""
+    code, no, none = F.col("code"), F.lit(False), F.lit(0)
     boilerplate = F.lit(0)
-    for patterns in _BOILERPLATE:
-        boilerplate = boilerplate + tx.in_order(code, *patterns).cast("int")
+    for needle, *patterns in _BOILERPLATE:
+        boilerplate = boilerplate + _behind(low, (needle,), tx.in_order(code, *patterns), no).cast("int")
     return {
-        "obvious_comment": code.rlike(_OBVIOUS),
-        "empty_catch": code.rlike(f"(?s){fixed.EMPTY_CATCH}"),
-        "null_checks": tx.hits(code, fixed.NULL_CHECKS),
+        "obvious_comment": _behind(code, ("//",), code.rlike(_OBVIOUS), no),
+        "empty_catch": _behind(code, ("catch",), code.rlike(f"(?s){fixed.EMPTY_CATCH}"), no),
+        "null_checks": _behind(code, ("??", "?.", "=="), tx.hits(code, fixed.NULL_CHECKS), none),
         "boilerplate_hits": boilerplate,
-        "helper_definitions": tx.hits(code, fixed.HELPER_DEFINITIONS),
-        "helper_sequence": tx.in_order(code, *_HELPER_CALLS),
-        "emoji": code.rlike(fixed.EMOJI),
+        "helper_definitions": _behind(low, ("function",), tx.hits(code, fixed.HELPER_DEFINITIONS), none),
+        "helper_sequence": _behind(low, ("validate",), tx.in_order(code, *_HELPER_CALLS), no),
+        "emoji": F.when(F.octet_length(code) == F.length(code), no).otherwise(code.rlike(fixed.EMOJI)),
     }
 
 
@@ -102,7 +112,7 @@ def figures(units: DataFrame) -> DataFrame:
         **{name: column for name, column in given.items() if name not in units.columns},
         "_indents": tx.indents(code),
         "_tokens": tx.sentence_tokens(code),
-        **_pattern_figures(),
+        **_pattern_figures(F.col("_low")),
     }
     shaped = {
         "_stats": tx.run_statistics(tx.all_tokens(F.col("_tokens"))),
@@ -127,9 +137,9 @@ def figures(units: DataFrame) -> DataFrame:
     }
     entropy = {"ident_entropy": tx.character_entropy(F.col("_joined"))}
     staged = units
-    for stage in (read_from_code, shaped, counted, prepared, entropy):
+    for stage in ({"_low": F.lower(code)}, read_from_code, shaped, counted, prepared, entropy):
         staged = staged.withColumns(stage)
-    return staged.drop("_indents", "_tokens", "_stats", "_sentences", "_names", "_joined", "_words")
+    return staged.drop("_low", "_indents", "_tokens", "_stats", "_sentences", "_names", "_joined", "_words")
 
 
 @dataclass(frozen=True)

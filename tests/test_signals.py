@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from inkprint import fixed
 from inkprint import merge_config
 from inkprint.functions import scalars as sx
 from inkprint.functions import text as tx
@@ -229,3 +230,20 @@ def test_fingerprint_case_mix(spark):
 
 def test_signal_names_are_the_weights():
     assert [s.name for s in sg.SIGNALS] == list(merge_config().weights)
+
+
+def test_plain_searches_before_patterns_change_nothing(spark):
+    """Lines of prose meet no pattern: a plain search comes first, and finds all that the patterns find."""
+    texts = ["ASYNC Function Create1()", "tRy {} x } Catch (error)", "RES.status(200).JSON", "usestate(1) USEEFFECT", "// Get it", "catch (e) { }", "a ?? b?.c",
+             "typeof x === 'undefined'", "x !== null", "FUNCTION validateA FUNCTION format", "Validate(a) FORMAT(b) proceSS(c)", "\U0001F680 up", "été", "prose", ""]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "code string").withColumn("_low", F.lower("code"))
+    code = F.col("code")
+    plain = {
+        "obvious_comment": code.rlike(sg._OBVIOUS), "empty_catch": code.rlike(f"(?s){fixed.EMPTY_CATCH}"), "null_checks": tx.hits(code, fixed.NULL_CHECKS),
+        "boilerplate_hits": sum((tx.in_order(code, *p).cast("int") for _, *p in sg._BOILERPLATE), F.lit(0)),
+        "helper_definitions": tx.hits(code, fixed.HELPER_DEFINITIONS), "helper_sequence": tx.in_order(code, *sg._HELPER_CALLS), "emoji": code.rlike(fixed.EMOJI),
+    }
+    for name, figure in sg._pattern_figures(F.col("_low")).items():
+        got = df.select("code", figure.alias("a"), plain[name].alias("b"))
+        assert got.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0, name
+        assert got.filter("b").count() if got.dtypes[2][1] == "boolean" else got.filter("b > 0").count(), name
