@@ -11,11 +11,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkprint.llm import bpe, common, decontaminate, jaccard, language, lines, pages, quality, repeats, toxicity, warc
+from inkprint.llm import bpe, common, decontaminate, jaccard, language, lines, packed, pages, quality, repeats, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -288,6 +290,75 @@ def test_repeats(spark, monkeypatch, split):
     assert repeats.remove(table(spark, [])).count() == 0
 
 
+def by(tables, name):
+    whole = pa.concat_tables([t if isinstance(t, pa.Table) else pa.Table.from_batches([t]) for t in tables])
+    return [whole.filter(pc.equal(whole.column(name), v)) for v in sorted(set(whole.column(name).to_pylist()))]
+
+
+def with_spots(texts):
+    number = pa.array(range(len(texts)), pa.int64())
+    (rows,) = repeats._with_spots([pa.RecordBatch.from_arrays([number, number, pa.array(texts, pa.binary())], ["row", "ord", "text"])])
+    return rows
+
+
+def with_column(rows, name, values, kind):
+    """The rows that have a value, with it."""
+    at = [i for i, v in enumerate(values) if v]
+    return rows.take(pa.array(at, pa.int64())).append_column(name, pa.array([values[i] for i in at], kind))
+
+
+def judged_runs(rows, buckets):
+    told = [packed.tell_shared(buckets)(t) for t in by(repeats._sample_sender(buckets)([rows]), "bucket")]
+    shared = [None] * rows.num_rows
+    for t in by(told, "row"):
+        for owner in packed.per_owner(t).to_pylist():
+            shared[owner["row"]] = owner["data"]
+    sent = repeats._run_sender(buckets, 3)([with_column(rows, "shared", shared, pa.binary())])
+    return [r for t in by([repeats._judged(t, 3) for t in by(sent, "bucket")], "row") for r in repeats._per_text(t).to_pylist()]
+
+
+def removed_here(texts, buckets=2):
+    """What the steps of the operator remove from different texts, in this process."""
+    rows, n = with_spots(texts), len(texts)
+    said = {kind: [[] for _ in range(n)] for kind in (repeats.REMOVED, repeats.OPEN, repeats.PLACES)}
+    for r in judged_runs(rows, buckets):
+        said[r["kind"]][r["row"]].append(r["data"])
+    sent = list(repeats._suffix_sender(buckets)([with_column(rows, "opened", said[repeats.OPEN], pa.list_(pa.binary()))]))
+    for t in by(sent, "bucket"):
+        for r in repeats._suffix_judge(t).to_pylist():
+            said[repeats.PLACES][r["row"]].append(r["data"])
+    for name, kind in (("classes", repeats.REMOVED), ("places", repeats.PLACES)):
+        rows = rows.append_column(name, pa.array(said[kind], pa.list_(pa.binary())))
+    return [tuple(r.values()) for batch in repeats._cut([rows]) for r in batch.to_pylist()]
+
+
+@pytest.mark.parametrize("split,seed", [(4096, 1), (1, 2), (2, 3), (3, 4)])
+def test_repeats_in_odd_texts(monkeypatch, split, seed):
+    monkeypatch.setattr(repeats, "SPLIT_RUNS", split)
+    monkeypatch.setattr(repeats, "STEP", 64)  # runs over the borders of steps are whole
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 3000)
+    rng = random.Random(seed)
+    some = lambda n, letters="abcdefghijklmnop": "".join(rng.choice(letters) for _ in range(n))
+    passages = [some(n) for n in (20, 43, 49, 50, 51, 57, 58, 81, 200)] + ["é" * 30, "a" * 70, "ab" * 40, "abcab" * 20]
+    texts = ["a" * 200, "ab" * 90, "abcab" * 50, "a" * 50, "b" + "a" * 49, "é" * 100, *(some(150, "ab") for _ in range(12))]
+    for _ in range(40):
+        picked = [rng.choice(passages) for _ in range(4)]
+        texts.append("".join(some(rng.choice((0, 1, 7, 30, 60))) + p[rng.choice((0, 0, 3)) :] for p in picked))
+    texts = sorted({t for t in texts + passages if len(t.encode()) >= 50}, key=lambda t: hashlib.md5(t.encode()).digest())
+    expected = [(doc, *r) for doc, _, *r in cut_repeats(list(enumerate(texts)))]
+    assert removed_here([t.encode() for t in texts]) == expected
+
+
+@pytest.mark.parametrize("common,sorts", [(40, False), (60, True)])
+def test_runs_without_a_common_suffix_are_not_sorted(common, sorts):
+    rng = random.Random(common)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passages = [some(common) for _ in range(50)]
+    texts = [("".join(some(60) + p for p in passages) + some(60)).encode() for _ in range(4)]
+    said = judged_runs(with_spots(texts), 1)
+    assert any(r["kind"] == repeats.OPEN for r in said) == sorts
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(min_size=1, max_size=300))
 def test_ranks_order_suffixes(data):
