@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm import packed as pk
-from inkprint.llm.common import lookup, stored
+from inkprint.llm.common import HOT_PARTS, lookup, stored
 from inkprint.session import work_folder
 
 LENGTH, GRAM = 50, 20
@@ -457,14 +457,21 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     })
     narrow = stored(rows.select("doc_id", "ord", "key", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     classes = stored(narrow.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")), "classes")
-    about = classes.agg(F.sum("n_bytes").alias("n_bytes")).first()
+    about = classes.agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n_bytes") * F.col("copies")).alias("with_copies")).first()
     n_bytes, total = about["n_bytes"] or 0, narrow.count()
     parts, buckets = max(1, -(-n_bytes // TEXT_BYTES)), max(1, -(-n_bytes // (16 * BUCKET_SAMPLES)))
     name = "inkprint_" + work_folder(spark, "t").rsplit("-", 1)[1]
+    # texts are moved once: copies of texts that hold a thousandth of all bytes stay behind, so none unbalances the parts
+    hot = classes.filter((F.col("copies") > 1) & (F.col("copies") * F.col("n_bytes") * HOT_PARTS >= (about["with_copies"] or 0))).select("key", F.col("first").alias("hot"))
+    firsts = (
+        classes.filter(F.col("n_bytes") >= LENGTH).select(F.xxhash64("key").alias("row"), F.struct("key", F.col("first").alias("ord")).alias("one"))
+        .repartition(parts, "row").groupBy("row").agg(F.collect_list("one").alias("firsts"))
+    )
     once = (
-        rows.withColumn("row", F.xxhash64("key")).filter(F.octet_length("text") >= LENGTH).repartition(parts, "row")
-        .join(classes.filter(F.col("n_bytes") >= LENGTH).select(F.xxhash64("key").alias("row"), "key", F.col("first").alias("ord")), ["row", "key", "ord"], "left_semi")
-        .select("row", "ord", F.col("text").cast("binary").alias("text")).mapInArrow(_with_spots, "row long, ord long, text binary, spots binary")
+        rows.filter(F.octet_length("text") >= LENGTH).join(F.broadcast(hot), "key", "left").filter("hot IS NULL OR hot = ord")
+        .select(F.xxhash64("key").alias("row"), "key", "ord", F.col("text").cast("binary").alias("text")).repartition(parts, "row")
+        .join(firsts, "row").filter(F.array_contains("firsts", F.struct("key", "ord")))
+        .select("row", "ord", "text").mapInArrow(_with_spots, "row long, ord long, text binary, spots binary")
     )
     # a table in buckets: later joins on the row do not move the texts again
     once.write.bucketBy(parts, "row").sortBy("row").option("path", work_folder(spark, "bodies")).option("compression", "zstd").saveAsTable(name)
