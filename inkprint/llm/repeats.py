@@ -1,18 +1,20 @@
 """Removes every byte of a text that an earlier text has too, in stretches of 50 bytes or more.
 
 Blockwise suffix sorting: the suffixes of one bucket at a time are sorted by their first 50 bytes,
-and ties are resolved by ranks that exist already, those of the bytes 8, 16 and 32 further on. The
+and ties are resolved eight bytes at a time, the rank so far before the next eight. The
 cover sample that makes this possible at scale is chosen by content: of the 31 20-byte strings in a
 50-byte string the one with the least hash is its sample. Equal strings have equal samples at equal
 distances, which is what a difference cover guarantees by position, with a sixteenth of all places
 instead of a quarter and more.
 
 1. Equal texts are grouped; only the first text of a group goes on.
-2. Samples travel as packed arrays, once per batch of texts; those that one text has alone are out.
-3. Neighbouring suffixes with one sample form a run. Equal runs are grouped; in all but the first
-   text of a group every suffix of the run is a repeat.
-4. Where different runs share a sample, the first text's suffixes are sorted in the sample's
-   bucket, by their bytes. A bucket with very many runs is split by a hash of the 50 bytes.
+2. Neighbouring suffixes with one sample form a run. Runs are found once and stored with the text.
+   Samples travel as packed arrays, once per batch of texts; those that one text has alone are out.
+3. Equal runs are grouped; in all but the first text of a group every suffix of the run is a repeat.
+4. Where different runs share a sample, they are compared by slots: suffixes whose distance to the
+   sample differs by less than 8 have 43 bytes in common. Only suffixes of slots that different runs
+   share are sorted, in the slot's bucket and by their bytes. A bucket with very many different runs
+   is split by a hash of the 50 bytes.
 
 Samples and runs are compared by 64-bit hashes at least, suffixes by their bytes.
 """
