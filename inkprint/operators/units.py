@@ -8,6 +8,8 @@ approximations.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,28 +23,34 @@ CHUNK = 256
 NEAR_LINES = 80
 
 # Declaration heads, matched on masked text; each ends at the brace that opens its body.
-_S = rf"[{fixed.WS}]*+"
-_NAME = r"[A-Za-z_$#][A-Za-z0-9_$]*+"
+# White space is plain in it, and classes name their characters: each look at one is a single step then, as
+# ranges and parts of classes are not.
+_WS, _RARE = fixed.WS_PLAIN, "".join(c for c in fixed.WS_CHARACTERS if c > "\u00ff")
+_WS_INLINE = _WS.replace(r"\n", "")
+_S = rf"[{_WS}]*+"
+_LETTERS, _DIGITS = string.ascii_letters, string.digits
+_NAME = rf"[{_LETTERS}_$#][{_LETTERS}{_DIGITS}_$]*+"
 _ARGS = r"\((?:[^()]++|\([^()]*+\))*+\)"
 _TYPE_ARGS = r"(?:<[^<>{}()]*+>)?"
 _RETURN_TYPE = rf"(?:{_S}:[^{{}};=]++)?"
-_NOT_A_METHOD = r"(?!(?:if|for|while|switch|catch|with|function|return|constructor|super|new|await|typeof|do|else|try)(?![A-Za-z0-9_$]))"
+_NOT_A_METHOD = r"(?!(?:if|for|while|switch|catch|with|function|return|constructor|super|new|await|typeof|do|else|try)(?![\w$]))"
 _BINDING = rf"(?:(?:const|let|var)\s+{_NAME}{_S}(?::(?:{_S}{_ARGS}{_S}=>)?[^=;{{}}()]++)?=(?!>){_S}|{_NAME}{_S}:{_S})?"
 _TO_BODY = rf"{_BINDING}(?:async\s+)?(?:{_ARGS}(?:{_S}:[^=>{{}};()]++)?|{_NAME}){_S}=>"
 _ARROW = rf"{_TO_BODY}{_S}\{{"
 # The same with an expression as its body; the head ends at the arrow.
 _EXPRESSION = rf"{_TO_BODY}(?!{_S}\{{)"
+_SIGN = "[=(,:?&|!+]"
+_VALUE = rf"(?:async\s+)?(?:function(?![\w$])[^(){{}}]*+{_ARGS}{_RETURN_TYPE}|class(?![\w$])[^{{}};]*+){_S}\{{"
 _PLAIN = (
-    rf"(?:[=(,:?&|!+]|return(?![A-Za-z0-9_$])){_S}(?:async\s+)?"
-    rf"(?:function(?![A-Za-z0-9_$])[^(){{}}]*+{_ARGS}{_RETURN_TYPE}|class(?![A-Za-z0-9_$])[^{{}};]*+){_S}\{{"
+    rf"(?:{_SIGN}|return(?![\w$])){_S}{_VALUE}"
     rf"|(?:static\s+)?(?:get|set)\s+{_NAME}{_S}{_ARGS}{_RETURN_TYPE}{_S}\{{"
 )
 _MODIFIED = r"(?:export\s+)?(?:default\s+)?"
 _FUNCTION = (
-    rf"{_MODIFIED}(?:async\s+)?function(?![A-Za-z0-9_$]){_S}\*?{_S}(?:{_NAME})?{_S}"
+    rf"{_MODIFIED}(?:async\s+)?function(?![\w$]){_S}\*?{_S}(?:{_NAME})?{_S}"
     rf"{_TYPE_ARGS}{_S}{_ARGS}{_RETURN_TYPE}{_S}\{{"
 )
-_CLASS = rf"{_MODIFIED}(?:abstract\s+)?class(?![A-Za-z0-9_$])[^{{}};]*+\{{"
+_CLASS = rf"{_MODIFIED}(?:abstract\s+)?class(?![\w$])[^{{}};]*+\{{"
 _METHOD = (
     rf"(?:(?:public|private|protected|static|readonly|override|async)\s+)*{_NOT_A_METHOD}{_NAME}"
     rf"{_TYPE_ARGS}{_S}{_ARGS}{_RETURN_TYPE}{_S}\{{"
@@ -51,33 +59,81 @@ _METHOD = (
 # Most words are none of that, which one look tells; the heads are searched only behind it.
 _LIKE_A_HEAD = (
     r"(?=[=(,:?&|!+]|(?:export|default|async|function|abstract|class|return|static|get|set|const|let|var|public|private|protected"
-    rf"|readonly|override)(?![A-Za-z0-9_$])|{_NAME}{_S}[(<:=])"
+    rf"|readonly|override)(?![\w$])|{_NAME}{_S}[(<:=])"
 )
 _HEADS = f"{_LIKE_A_HEAD}(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_ARROW}|{_METHOD})"
 # Heads, single braces, and stretches of anything between them.
-_WORD, _MAY_OPEN = "[A-Za-z0-9_$#]", "=(,:?&|!+"
+_WORD, _MAY_OPEN = f"[{_LETTERS}{_DIGITS}_$#]", "=(,:?&|!+"
 _PARTS = (
-    rf"(?:{_HEADS}|[{{}}]|(?:(?!{_HEADS})(?:{_WORD}++|[{_MAY_OPEN}])|[^A-Za-z0-9_$#{{}}{_MAY_OPEN}]++)++)"
+    rf"(?:{_HEADS}|[{{}}]|(?:(?!{_HEADS})(?:{_WORD}++|[{_MAY_OPEN}])|[^{_LETTERS}{_DIGITS}_$#{{}}{_MAY_OPEN}]++)++)"
 )
 
 # For files with expressions as bodies all brackets count, and what may end a statement: commas,
 # semicolons, and line breaks between what ends an operand and what cannot go on with it.
 _HEADS_AND_EXPRESSIONS = f"{_LIKE_A_HEAD}(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_ARROW}|{_EXPRESSION}|{_METHOD})"
-# where only the presence of a head counts, what follows the arrow does not
-_ANY_HEAD = f"{_LIKE_A_HEAD}(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_TO_BODY}|{_METHOD})"
+# Where only the presence of a head counts, what follows the arrow does not; what it begins with tells what it may be.
+_ARGS_TO_BODY = rf"{_ARGS}(?:{_S}:[^=>{{}};()]++)?{_S}=>"
+_SIGN_HEAD = rf"{_SIGN}{_S}(?=[acf]){_VALUE}"
+_BRACKET_HEAD = rf"\({_S}(?=[acf]){_VALUE}|{_ARGS_TO_BODY}"
+_HEAD_WORD = (
+    r"(?:a(?:sync|bstract)|c(?:lass|onst)|default|export|function|get|let|override|p(?:ublic|rivate|rotected)"
+    r"|r(?:eturn|eadonly)|s(?:tatic|et)|var)(?![\w$])"
+)
+_WORD_HEAD = (
+    rf"(?:(?={_NAME}{_S}[(<:=])(?!{_HEAD_WORD})(?:{_NAME}{_S}(?:=>|:{_S}(?:async\s+)?(?:{_ARGS_TO_BODY}|{_NAME}{_S}=>))"
+    rf"|{_NOT_A_METHOD}{_NAME}{_TYPE_ARGS}{_S}{_ARGS}{_RETURN_TYPE}{_S}\{{)"
+    rf"|(?={_HEAD_WORD})(?:{_FUNCTION}|{_CLASS}|{_PLAIN}|{_TO_BODY}|{_METHOD}))"
+)
 _BREAK = (
-    rf"(?<=[A-Za-z0-9_$)\]}}\"])[{fixed.WS_INLINE}]*+\n{_S}(?=[A-Za-z_$\"{{@#!~])"
-    r"(?!(?:in|instanceof|as|satisfies)(?![A-Za-z0-9_$]))"
+    rf"(?<=[{_LETTERS}{_DIGITS}_$)\]}}\"])[{_WS_INLINE}]*+\n{_S}(?=[{_LETTERS}_$\"{{@#!~])"
+    r"(?!(?:in|instanceof|as|satisfies)(?![\w$]))"
+)
+# A line break behind a closing bracket ends a statement before the other heads and at the end of the text too.
+_GAP = (
+    rf"(?<=[)\]}}])(?=[{_WS_INLINE}]*\n)[{_WS}]++"
+    rf"(?:\z|(?={_SIGN})(?={_BRACKET_HEAD}|{_SIGN_HEAD})|(?=(?:in|instanceof|as|satisfies)(?![\w$]))(?={_WORD_HEAD}))"
 )
-_SOLID = rf"[^A-Za-z0-9_$#{{}}()\[\],;=:?&|!+{fixed.WS}]++"
+_SOLID = rf"[^{_LETTERS}{_DIGITS}_$#{{}}()\[\],;=:?&|!+{_WS}]++"
+# An arrow of what is no head, right before a part, stands for an expression that begins where the text before it does.
+_STRAY = rf"=>(?=[()\[\]{{}},;]|{_SIGN_HEAD}|{_WORD_HEAD})"
+_NO_HEAD = rf"{_SOLID}|(?={_WORD})(?:(?!{_HEAD_WORD}){_WORD}++(?!{_S}[(<:=])|(?!{_WORD_HEAD}){_WORD}++)|(?=[=:?&|!+])(?!{_SIGN_HEAD}|{_STRAY})[=:?&|!+]"
+
+
+def _closed(opening: str, closing: str, others: str = "", words: str = "", inside: str = "") -> str:
+    """A pair of brackets and what is in it if no head can begin there: without these words and signs."""
+    return (
+        rf"\{opening}(?:[^{_LETTERS}{_DIGITS}_$#=(){{}}\[\]{others}]++|(?!(?:class|function{words})(?![\w$])){_WORD}++|=(?!>)"
+        rf"{inside})*+\{closing}"
+    )
+
+
+# Brackets without a head in them change no stack and are read over, up to two of them in each other. Types
+# in square brackets may go on behind them; what may be arguments of a head within others is no such pair.
+_SQUARE = ("[", "]", "<", "|const|let|var")
+_FLAT = "|" + "|".join((_closed("(", ")") + rf"(?!{_S}(?:[:{{]|=>))", _closed(*_SQUARE), _closed("{", "}")))
+_QUIET = "|".join((
+    _closed("(", ")", inside=_FLAT) + rf"(?!(?:{_S}:[^=>{{}};()]++)?{_S}=>)", _closed(*_SQUARE, inside=_FLAT), _closed("{", "}", inside=_FLAT)
+))
+# What ends statements means nothing where no expression can be on top: behind what opens a brace or bracket, or another end.
+_ON = rf"(?<!>)(?:[;{_WS}]++|{_NO_HEAD}|(?=,)(?!{_SIGN_HEAD}),|{_QUIET})*+"
 _BRACKET_PARTS = (
-    rf"(?:{_HEADS_AND_EXPRESSIONS}|[(\[]|[{fixed.WS}]++(?:\[|(?!{_ANY_HEAD})\()|[{{}})\],;]|{_BREAK}|"
-    rf"(?:(?!{_ANY_HEAD})(?:{_WORD}++|[=:?&|!+])|{_SOLID}|(?!{_BREAK})[{fixed.WS}]++)++)"
+    rf"((?:[{_WS_INLINE}]++(?!\n)|{_NO_HEAD}|{_QUIET}|(?=[{_WS}])(?!{_BREAK}|{_GAP})[{_WS}]++)*+)(?:([)\]}}])|"
+    rf"(?:{_LIKE_A_HEAD}(?:({_PLAIN})|({_FUNCTION}|{_CLASS}|{_ARROW}|{_EXPRESSION}|{_METHOD}|{_STRAY}))|([(\[{{,;]|{_BREAK}|{_GAP}))({_ON})?+|(?!\G)\z)"
 )
-_HAS_EXPRESSION = rf"=>(?!{_S}\{{)"
+# Three texts a part: the head of a unit, the head of a block, and all of the part up to the next one.
+_MARK = "\x01"
+_MARKED = f"$1{_MARK}$4{_MARK}$3{_MARK}$2$3$4$5$6"
+_HAS_EXPRESSION = rf"=>(?![{fixed.WS}]*+\{{)"
 
 _FRAME = "struct<kind:string,name:string,line:int,col:int>"
 _SPAN = "struct<line:int,col:int,end_line:int,end_col:int,kind:string,name:string>"
+_PLACE = "struct<part:int,line:int,col:int>"
+_PLACES = "struct<part:int,line:int,col:int,end_line:int,end_col:int>"
+
+
+def _if(condition: Column, then: Column, other: Column) -> Column:
+    """For steps of folds, where it takes a fraction of the time of `when`."""
+    return F.call_function("if", condition, then, other)
 
 
 def _newlines(part: Column) -> Column:
@@ -91,34 +147,60 @@ def _column_after(part: Column, col: Column) -> Column:
 
 def _frame(part: Column, line: Column, col: Column) -> Column:
     """What the brace at the end of ``part`` opens."""
-    word = lambda w: part.rlike(rf"^{_MODIFIED}(?:async\s+|abstract\s+)?{w}(?![A-Za-z0-9_$])")
-    kind = (
-        F.when(part.endswith("=>"), "expression")
-        .when((part == "{") | part.rlike(f"^(?:{_PLAIN})$"), "block")
-        .when(word("function"), "function")
-        .when(word("class"), "class")
-        .when(part.rlike(r"=>\s*\{$"), "arrow")
-        .otherwise("method")
+    block = (part == "{") | part.rlike(f"^(?:{_PLAIN})$")
+    kind = _if(block, F.lit("block"), _unit_kind(part))
+    return _named_frame(part, kind, line, col)
+
+
+def _unit_kind(head: Column) -> Column:
+    word = lambda w: head.rlike(rf"^{_MODIFIED}(?:async\s+|abstract\s+)?{w}(?![\w$])")
+    return _if(
+        word("function"), F.lit("function"),
+        _if(word("class"), F.lit("class"), _if(head.rlike(r"=>\s*\{$"), F.lit("arrow"), F.lit("method"))),
     )
-    binding = F.regexp_extract(part, f"^({_BINDING})", 1)
-    arrow = kind.isin("arrow", "expression")
-    lead = F.when(arrow, binding).otherwise(F.lit(""))
-    declared = (
-        F.when(arrow, F.regexp_extract(binding, rf"^(?:(?:const|let|var)\s+)?({_NAME})", 1))
-        .when(kind == "function", F.regexp_extract(part, rf"function{_S}\*?{_S}({_NAME})", 1))
-        .when(
-            kind == "class",
-            F.regexp_extract(part, rf"class\s+(?!(?:extends|implements)(?![A-Za-z0-9_$]))({_NAME})", 1),
+
+
+def _named_frame(part: Column, kind: Column, line: Column, col: Column) -> Column:
+    arrow = lambda k: k == "arrow"
+
+    def frame(k: Column, lead: Column) -> Column:
+        declared = _if(
+            arrow(k), _if(lead == "", F.lit(""), F.regexp_extract(lead, rf"^(?:(?:const|let|var)\s+)?({_NAME})", 1)),
+            _if(
+                k == "function", F.regexp_extract(part, rf"function{_S}\*?{_S}({_NAME})", 1),
+                _if(
+                    k == "class", F.regexp_extract(part, rf"class\s+(?!(?:extends|implements)(?![\w$]))({_NAME})", 1),
+                    F.regexp_extract(part, rf"({_NAME}){_TYPE_ARGS}{_S}\(", 1),
+                ),
+            ),
         )
-        .otherwise(F.regexp_extract(part, rf"({_NAME}){_TYPE_ARGS}{_S}\(", 1))
-    )
-    name = F.coalesce(F.nullif(declared, F.lit("")), F.lit("<anonymous>"))
-    return F.struct(
-        kind.alias("kind"),
-        name.alias("name"),
-        (line + _newlines(lead)).cast("int").alias("line"),
-        _column_after(lead, col).cast("int").alias("col"),
-    ).cast(_FRAME)
+        name = F.coalesce(F.nullif(declared, F.lit("")), F.lit("<anonymous>"))
+        return F.struct(
+            k.alias("kind"),
+            name.alias("name"),
+            (line + _newlines(lead)).cast("int").alias("line"),
+            _column_after(lead, col).cast("int").alias("col"),
+        ).cast(_FRAME)
+
+    lead = lambda k: _if(arrow(k), F.regexp_extract(part, f"^({_BINDING})", 1), F.lit(""))
+    return bind(kind, lambda k: bind(lead(k), lambda found: frame(k, found)))
+
+
+def _stray_frame(parts: Column, s: Column) -> Column:
+    """The frame of an arrow that belongs to no head; its place is that of the part before it."""
+    i = s["part"]
+    before = F.get(parts, 3 * i)
+    head = _if(i == 0, F.lit(""), F.concat(F.get(parts, 3 * i - 2), F.get(parts, 3 * i - 1)))
+    ended = _if((i > 0) & before.rlike(rf"^[{_WS}]"), F.ltrim(before, F.lit("\t\n\x0b\f\r \u00a0")), before)
+    rest = F.regexp_extract(ended, rf"(?s)^(?:.*(?:[()\[\]{{}},;]|{_BREAK}))?(.*)$", 1)
+    # a head may have any signs in it
+    text = _if(F.length(rest) > F.length(before) - F.length(head), F.substr(before, F.length(head) + 1), rest)
+
+    def frame(text: Column) -> Column:
+        ahead = F.left(before, F.length(before) - F.length(text))
+        return _named_frame(F.concat(text, F.lit("=>")), F.lit("arrow"), s["line"] + _newlines(ahead), _column_after(ahead, s["col"]))
+
+    return bind(text, frame)
 
 
 def has_expressions(source: Column) -> Column:
@@ -126,134 +208,175 @@ def has_expressions(source: Column) -> Column:
     return source.rlike(_HAS_EXPRESSION)
 
 
-def source_parts(source: Column, brackets: Column | None = None) -> Column:
-    """The masked text cut into heads, braces and what lies between; where ``brackets`` holds, into all brackets and statement ends."""
-    plain = F.regexp_extract_all(tx.masked(source), F.lit(_PARTS), F.lit(0))
-    if brackets is None:
-        return plain
-    return F.when(brackets, F.regexp_extract_all(tx.masked(source, '"'), F.lit(_BRACKET_PARTS), F.lit(0))).otherwise(plain)
+def _plain_space(text: Column) -> Column:
+    """The text with one white space for the rare ones, as long as before."""
+    plain = lambda t: F.translate(t, _RARE, "\u00a0" * len(_RARE))
+    return bind(text, lambda t: _if(F.length(t) == F.octet_length(t), t, plain(t)))
 
 
-def _after(kinds: tuple[str, ...]):
-    """How many frames are left when those of ``kinds`` on top of the stack go."""
-    return lambda frames: F.coalesce(F.array_max(F.transform(frames, lambda f, i: F.when(~f["kind"].isin(*kinds), i + 1))), F.lit(0))
+def source_parts(source: Column, brackets: Column | None = None) -> Column:
+    """The masked text cut into heads, braces and what lies between.
 
+    Where ``brackets`` holds: what stands before the first part, and three texts for every head,
+    bracket and statement's end that may matter, as `_MARKED` has them.
+    """
+    plain = F.regexp_extract_all(_plain_space(tx.masked(source)), F.lit(_PARTS), F.lit(0))
+    if brackets is None:
+        return plain
+    # no pattern tells the mark from another control character
+    text = F.replace(_plain_space(tx.masked(source, '"')), F.lit(_MARK), F.lit("\x02"))
+    return F.when(brackets, F.split(F.regexp_replace(text, _BRACKET_PARTS, _MARKED), _MARK)).otherwise(plain)
 
-def _moved(line: Column, col: Column, by: Column, name: str) -> tuple[Column, Column]:
-    """Line and column after text whose own ``<name>_lines`` and ``<name>_col`` are known."""
-    return (line + by[f"{name}_lines"]).cast("int"), F.when(by[f"{name}_lines"] > 0, by[f"{name}_col"]).otherwise(col + by[f"{name}_col"]).cast("int")
 
+# Codes of parts are places in this text: heads of expressions, stray arrows, heads of units and blocks, single
+# signs, and heads of blocks that bring the bracket or the comma before them along. 0 is a statement's end.
+_CODES = "EsUB{([)]}pc"
+_CODE = {letter: i + 1 for i, letter in enumerate(_CODES)}
 
-def _bracket_facts(part: Column) -> Column:
-    """All that a step of the fold has to know of a part, whatever came before it.
 
-    Patterns are searched here, once a part; the fold adds up numbers. ``busy`` parts open, close or
-    end something.
-    """
-    head, ends = part.endswith("{") | part.endswith("=>"), (part == ";") | part.startswith(",")
-    # a function that is an argument brings the bracket before it along
-    opens = part.rlike(rf"^[{fixed.WS}]*[(\[]$") | (part.endswith("{") & part.rlike(rf"^\({_S}(?:async\s+)?(?:function|class)(?![A-Za-z0-9_$])"))
-    brace, bracket = part == "}", part.isin(")", "]")
+def _part_facts(parts: Column):
+    """All that a step of the fold has to know of a part, whatever came before it; patterns are searched outside."""
 
-    def facts(solid: Column) -> Column:
+    def facts(i: Column) -> Column:
+        head, block, part = (F.get(parts, 3 * i + k) for k in (1, 2, 3))
+        letter = _if(
+            head != "", _if(head.endswith(">"), _if(head == "=>", F.lit("s"), F.lit("E")), F.lit("U")),
+            _if(block == "", F.left(part, F.lit(1)), _if(block.startswith("("), F.lit("p"), _if(block.startswith(","), F.lit("c"), F.lit("B")))),
+        )
         return F.struct(
-            _newlines(part).alias("part_lines"), _column_after(part, F.lit(0)).alias("part_col"),
-            (solid == "").alias("blank"), _newlines(solid).alias("solid_lines"), _column_after(solid, F.lit(0)).alias("solid_col"),
-            solid.rlike(r"[A-Za-z0-9_$)\]}\"]$").alias("operand"),
-            ends.alias("ends"), brace.alias("brace"), bracket.alias("bracket"), opens.alias("opens"),
-            ((F.instr(part, "\n") > 0) & part.rlike(rf"^[{fixed.WS}]*\n[{fixed.WS}]*$")).alias("gap"),
-            F.when(head, _frame(part, F.lit(0), F.lit(0))).alias("frame"),
-            (head | ends | brace | bracket | opens).alias("busy"),
+            i.alias("part"), F.instr(F.lit(_CODES), letter).alias("code"),
+            _newlines(part).alias("lines"), F.length(F.substring_index(part, "\n", -1)).alias("rest"),
         )
 
-    return bind(F.regexp_replace(part, rf"[{fixed.WS}]+$", ""), facts)
+    return facts
 
 
-def _bracket_step(state):
+def _part_step(state, parts: Column):
     """One step of the fold where all brackets count; frames are braces, brackets and expressions as bodies.
 
-    An expression ends at the last character before what closes it: a comma, a statement's end, or
-    the bracket around it. A bracket that was never opened closes nothing, one that was never closed
-    goes with the brace around it.
+    The stack is a text of one letter a frame: ``E`` for an expression, ``P`` for a bracket, ``U`` for
+    the brace of a unit and ``B`` for that of a block; ``places`` has where the units among them began.
+    An expression ends at the last character before what closes it: a comma, a statement's end, or the
+    bracket around it. A bracket that was never opened closes nothing, one that was never closed goes with
+    the brace around it. Steps that end no unit, which most are, do little more than count on.
     """
 
     def step(s: Column, part: Column) -> Column:
-        line, col = _moved(s["line"], s["col"], part, "part")
-        solid_line, solid_col = _moved(s["line"], s["col"], part, "solid")
-        solid = (
-            F.when(part["blank"], s["solid_line"]).otherwise(solid_line), F.when(part["blank"], s["solid_col"]).otherwise(solid_col),
-            F.when(part["blank"], s["operand"]).otherwise(part["operand"]),
+        code, open_ = part["code"], s["open"]
+        line = s["line"] + part["lines"]
+        col = _if(part["lines"] > 0, part["rest"], s["col"] + part["rest"])
+        brace, end = code == _CODE["}"], (code == 0) | (code == _CODE["c"])
+        last = lambda letter: open_.endswith(letter)
+
+        def move(opened: Column, places: Column = s["places"], done: Column = s["done"]) -> Column:
+            return state(line, col, s["line"], s["col"], opened, places, done)
+
+        def end_of_expression() -> Column:
+            # an expression is on top only behind its head or a closing bracket: the part before is not blank
+            before = F.regexp_replace(F.get(parts, 3 * part["part"]), rf"[{_WS}]+$", "")
+            return bind(before, lambda solid: F.struct(
+                (s["before_line"] + _newlines(solid)).alias("line"), _column_after(solid, s["before_col"]).alias("col"),
+            ))
+
+        def units(places: Column, line: Column, col: Column) -> Column:
+            return F.transform(places, lambda p: F.struct(
+                p["part"].alias("part"), p["line"].alias("line"), p["col"].alias("col"), line.alias("end_line"), col.alias("end_col"),
+            ))
+
+        def close(left: Column) -> Column:
+            n = F.length(left)
+            expressions = F.length(F.replace(F.substr(open_, n + 1), F.lit("P"), F.lit("")))
+            opened = (
+                _if(code == _CODE["c"], F.concat(left, F.lit("B")), _if(_if(brace, n > 0, ~end & left.endswith("P")), F.left(left, n - 1), left))
+            )
+
+            def closed(kept: Column) -> Column:
+                ended = _if(
+                    kept < F.size(s["places"]),
+                    bind(end_of_expression(), lambda at: F.concat(
+                        s["done"], units(F.slice(s["places"], kept + 1, F.size(s["places"])), at["line"], at["col"])
+                    )),
+                    s["done"],
+                )
+                whole = units(F.slice(s["places"], kept, F.lit(1)), s["line"], s["col"] + 1)
+                unit = brace & left.endswith("U")
+                places = F.slice(s["places"], F.lit(1), kept - unit.cast("int"))
+                return move(opened, places, _if(unit, F.concat(ended, whole), ended))
+
+            return bind(F.size(s["places"]) - expressions, closed)
+
+        closes = (code == 0) | (code >= _CODE[")"]) & (code != _CODE["p"])
+        # of what closes nothing but a bracket or a block, only the letter goes
+        only = _if(brace, last("B"), last("P") & ~end)
+        plain = only | (open_ == "") & (code != _CODE["c"]) | (code == 0) & ~last("E")
+        stray = code == _CODE["s"]
+        place = F.struct(
+            part["part"].alias("part"), _if(stray, s["before_line"], s["line"]).alias("line"), _if(stray, s["before_col"], s["col"]).alias("col"),
         )
-        # a part that is blank and follows an operand was cut out because a statement ends there
-        ends = part["ends"] | (s["operand"] & part["gap"])
-        brace, bracket = part["brace"], part["bracket"]
-        left = (
-            F.when(brace, _after(("expression", "bracket"))(s["open"]))
-            .when(ends | bracket, _after(("expression",))(s["open"]))
-            .otherwise(F.size(s["open"]))
+        return _if(
+            closes,
+            _if(
+                plain, move(_if(only, F.left(open_, F.length(open_) - 1), open_)),
+                bind(F.rtrim(open_, _if(brace, F.lit("EP"), F.lit("E"))), close),
+            ),
+            _if(
+                code <= _CODE["U"], move(F.concat(open_, _if(code == _CODE["U"], F.lit("U"), F.lit("E"))), F.concat(s["places"], F.array(place))),
+                move(F.concat(open_, _if(code <= _CODE["{"], F.lit("B"), _if(code == _CODE["p"], F.lit("PB"), F.lit("P"))))),
+            ),
         )
 
-        def unit(f: Column, kind: Column, line: Column, col: Column) -> Column:
-            return F.struct(
-                f["line"].alias("line"), f["col"].alias("col"), line.cast("int").alias("end_line"), col.cast("int").alias("end_col"),
-                kind.alias("kind"), f["name"].alias("name"),
-            ).cast(_SPAN)
-
-        def change(left: Column) -> Column:
-            closed = F.filter(F.slice(s["open"], left + 1, F.size(s["open"])), lambda f: f["kind"] == "expression")
-            below = F.when(left > 0, F.get(s["open"], left - 1))
-            ended = F.transform(closed, lambda f: unit(f, F.lit("arrow"), s["solid_line"], s["solid_col"]))
-            whole = F.when(
-                brace & F.coalesce(below["kind"] != "block", F.lit(False)), F.array(unit(below, below["kind"], s["line"], s["col"] + 1))
-            ).otherwise(F.array().cast(f"array<{_SPAN}>"))
-            pops = brace & (left > 0) | bracket & F.coalesce(below["kind"] == "bracket", F.lit(False))
-            kept = F.slice(s["open"], F.lit(1), left - pops.cast("int"))
-            bracket_frame = F.struct(
-                F.lit("bracket").alias("kind"), F.lit("").alias("name"), s["line"].cast("int").alias("line"), s["col"].cast("int").alias("col")
-            ).cast(_FRAME)
-            f = part["frame"]
-            head_line = (s["line"] + f["line"]).cast("int")
-            head_col = F.when(f["line"] > 0, f["col"]).otherwise(s["col"] + f["col"]).cast("int")
-            frame = F.struct(f["kind"].alias("kind"), f["name"].alias("name"), head_line.alias("line"), head_col.alias("col")).cast(_FRAME)
-            none = F.array().cast(f"array<{_FRAME}>")
-            opened = F.concat(kept, F.when(part["opens"], F.array(bracket_frame)).otherwise(none), F.when(f.isNotNull(), F.array(frame)).otherwise(none))
-            return state(line, col, opened, F.concat(s["done"], ended, whole), *solid)
-
-        return F.when(part["busy"] | ends, bind(left, change)).otherwise(state(line, col, s["open"], s["done"], *solid))
-
     return step
 
 
 def unit_spans(parts: Column, brackets: Column | None = None) -> Column:
-    """Array of unit spans of one file, in order of their start (lines from 1, columns from 0).
+    """Array of the unit spans of one file that have enough lines for a unit (lines from 1, columns from 0).
 
-    ``brackets`` says whether the parts hold all brackets. ``parts`` should be a column of its own.
+    ``ordinal`` is a span's place among all spans of the file, in order of their start. ``brackets`` says
+    whether the parts hold all brackets. ``parts`` should be a column of its own.
     """
-    plain = _spans(parts, False)
-    return plain if brackets is None else F.when(brackets, _spans(parts, True)).otherwise(plain)
+
+    def long(spans: Column, facts) -> Column:
+        """Only spans that may be units are looked at closely."""
+        numbered = F.transform(spans, lambda s, i: F.struct(i.alias("ordinal"), s.alias("span")))
+        kept = F.filter(numbered, lambda n: n["span"]["end_line"] - n["span"]["line"] >= MIN_LOC - 1)
+        return F.transform(kept, lambda n: facts(n["ordinal"], n["span"], n["span"]))
+
+    def span(ordinal: Column, frame: Column, s: Column) -> Column:
+        return F.struct(
+            ordinal.alias("ordinal"), frame["line"].alias("line"), frame["col"].alias("col"),
+            s["end_line"].alias("end_line"), s["end_col"].alias("end_col"), frame["kind"].alias("kind"), frame["name"].alias("name"),
+        )
+
+    def named(ordinal: Column, s: Column, _: Column) -> Column:
+        kind = lambda head: _if(head.endswith(">"), F.lit("arrow"), _unit_kind(head))
+        named_head = lambda head: _named_frame(head, kind(head), s["line"], s["col"])
+        frame = bind(F.get(parts, 3 * s["part"] + 1), lambda head: _if(head == "=>", _stray_frame(parts, s), named_head(head)))
+        return bind(frame, lambda f: span(ordinal, f, s))
+
+    plain = long(_spans(parts, False), span)
+    return plain if brackets is None else F.when(brackets, long(_spans(parts, True), named)).otherwise(plain)
 
 
 def _spans(parts: Column, brackets: bool) -> Column:
     """A fold over ``parts`` with a stack of what is open.
 
     Growing an array inside a fold copies it each time, so the fold runs in chunks: each chunk
-    collects its own spans and hands on line, column and stack.
+    collects its own spans and hands on line, column and stack. With ``brackets`` a span has the number of
+    the part it begins with, and begins where that part does.
     """
+    if brackets:
+        return bind(parts, _spans_of_marked)
     last_chunk = F.floor((F.size(parts) - 1) / CHUNK).cast("int")
     chunks = F.transform(
         F.when(F.size(parts) > 0, F.sequence(F.lit(0), last_chunk)),
         lambda i: F.slice(parts, i * CHUNK + 1, F.lit(CHUNK)),
     )
-    def state(line: Column, col: Column, opened: Column, done: Column, *solid: Column) -> Column:
-        ends = [c.alias(n) for c, n in zip(solid, ("solid_line", "solid_col", "operand"))]
-        return F.struct(line.alias("line"), col.alias("col"), opened.alias("open"), done.alias("done"), *ends)
 
-    solid_of = lambda s: (s["solid_line"], s["solid_col"], s["operand"]) if brackets else ()
+    def state(line: Column, col: Column, opened: Column, done: Column) -> Column:
+        return F.struct(line.alias("line"), col.alias("col"), opened.alias("open"), done.alias("done"))
+
     no_spans = F.array().cast(f"array<{_SPAN}>")
-    start = state(
-        F.lit(1), F.lit(0), F.array().cast(f"array<{_FRAME}>"), F.array().cast(f"array<array<{_SPAN}>>"),
-        *((F.lit(1), F.lit(0), F.lit(False)) if brackets else ()),
-    )
+    start = state(F.lit(1), F.lit(0), F.array().cast(f"array<{_FRAME}>"), F.array().cast(f"array<array<{_SPAN}>>"))
 
     def step(s: Column, part: Column) -> Column:
         top = F.try_element_at(s["open"], F.lit(-1))
@@ -275,10 +398,38 @@ def _spans(parts: Column, brackets: bool) -> Column:
 
     def run_chunk(before: Column, chunk: Column) -> Column:
         return F.aggregate(
-            F.transform(chunk, _bracket_facts) if brackets else chunk,
-            state(before["line"], before["col"], before["open"], no_spans, *solid_of(before)),
-            _bracket_step(state) if brackets else step,
-            lambda s: state(s["line"], s["col"], s["open"], F.concat(before["done"], F.array(s["done"])), *solid_of(s)),
+            chunk,
+            state(before["line"], before["col"], before["open"], no_spans),
+            step,
+            lambda s: state(s["line"], s["col"], s["open"], F.concat(before["done"], F.array(s["done"]))),
+        )
+
+    return F.aggregate(chunks, start, run_chunk, lambda s: F.sort_array(F.flatten(s["done"])))
+
+
+def _spans_of_marked(parts: Column) -> Column:
+    # what is left behind the last part is marked like a part, an empty one
+    size = F.floor(F.size(parts) / 3).cast("int") - (F.element_at(parts, -1) == "").cast("int")
+    chunks = F.transform(
+        F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int"))),
+        lambda i: F.sequence(i * CHUNK, F.least(i * CHUNK + CHUNK, size) - 1),
+    )
+    names = ("line", "col", "before_line", "before_col", "open", "places", "done")
+    state = lambda *values: F.struct(*(v.alias(n) for v, n in zip(values, names)))
+    first = F.get(parts, 0)
+    none = lambda items: F.array().cast(f"array<{items}>")
+    start = state(
+        F.lit(1) + _newlines(first), F.length(F.substring_index(first, "\n", -1)), F.lit(1), F.lit(0),
+        F.lit(""), none(_PLACE), none(f"array<{_PLACES}>"),
+    )
+
+    def run_chunk(before: Column, chunk: Column) -> Column:
+        kept = [before[n] for n in names[:-1]]
+        return F.aggregate(
+            F.transform(chunk, _part_facts(parts)),
+            state(*kept, none(_PLACES)),
+            _part_step(state, parts),
+            lambda s: state(*(s[n] for n in names[:-1]), F.concat(before["done"], F.array(s["done"]))),
         )
 
     return F.aggregate(chunks, start, run_chunk, lambda s: F.sort_array(F.flatten(s["done"])))
@@ -308,17 +459,17 @@ def split_files(files: DataFrame) -> DataFrame:
         text = F.array_join(F.slice("_lines", span["line"], span["end_line"] - span["line"] + 1), "\n")
         beyond = F.length(F.element_at("_lines", span["end_line"])) - span["end_col"]
         # a few lines mostly have as many characters as are asked for
-        near = lambda text: F.when(F.length(text) >= fixed.DOC_COMMENT_LOOKBACK, text).otherwise(ahead(span, fixed.DOC_COMMENT_LOOKBACK))
+        enough = lambda text: (F.length(text) >= fixed.DOC_COMMENT_LOOKBACK) | (span["line"] <= NEAR_LINES)
+        near = lambda text: F.when(enough(text), text).otherwise(ahead(span, fixed.DOC_COMMENT_LOOKBACK))
         return F.struct(
-            span["name"].alias("name"), span["kind"].alias("kind"),
+            span["ordinal"].alias("ordinal"), span["name"].alias("name"), span["kind"].alias("kind"),
             span["line"].alias("start_line"), span["end_line"].alias("end_line"),
             F.right(bind(ahead(span, NEAR_LINES), near), F.lit(fixed.DOC_COMMENT_LOOKBACK)).alias("prefix"),
             bind(text, lambda whole: F.substr(whole, span["col"] + 1, F.length(whole) - span["col"] - beyond)).alias("code"),
         )
 
     staged = staged.select("path", F.transform("_spans", cut).alias("_units"))
-    units = explode_once(staged, "path", items=F.col("_units"), name="u", position="ordinal")
-    return large_enough(units.select("path", "ordinal", "u.*"))
+    return large_enough(explode_once(staged, "path", items=F.col("_units"), name="u").select("path", "u.*"))
 
 
 def large_enough(units: DataFrame) -> DataFrame:

@@ -228,3 +228,24 @@ def test_units_far_below_a_comment_see_it(spark):
     source = "/** far */" + "\n" * 200 + "function f() {\n  one();\n  two();\n}\n"
     df = spark.createDataFrame([("a.ts", source)], "path string, content string")
     assert [r["prefix"] for r in un.split_files(df).collect()] == ["/** far */" + "\n" * 200]
+
+
+def test_only_heads_and_what_closes_them_are_parts(spark):
+    """Brackets without a head in them, and ends where no expression is on top, cost no step of the fold."""
+    source = "const f = (a) =>\n  g(a, [1, 2], { b: 1 })\n    .then(a, (b));\n" + "x(1, [2], { c: d }); y = z\n" * 200
+    parts = un.source_parts(F.col("s"), F.lit(True))
+    found = spark.createDataFrame([(source,)], "s string").select(F.size(parts), parts[1], parts[4], F.length(parts[6])).first()
+    assert tuple(found)[:3] == (7, "const f = (a) =>", "") and found[3] == 2 + 200 * len("x(1, [2], { c: d }); y = z\n")
+    assert [s[1:4] for s in spans(spark, source)] == [("f", 1, 3)]
+
+
+def test_breaks_and_stray_arrows(spark):
+    """A line break after a bracket ends a statement at the end of the text, one after a word does not; an arrow of no head may be an expression."""
+    assert [s[1:4] for s in spans(spark, "const f = (a) =>\n  b +\n  c()\n")] == [("f", 1, 3)]
+    assert spans(spark, "const f = (a) =>\n  b +\n  c\n") == []
+    assert ("<anonymous>", 2, 5, "k =>{\n  a;\n  b;\n}") in [s[1:] for s in spans(spark, "x => (a = f(g(h(1))))\n  k =>{\n  a;\n  b;\n}, c")]
+    assert [s[1:] for s in spans(spark, "x => y;\n(a = f(g(1)))=>{\n  a;\n  b;\n}, c")] == [("<anonymous>", 2, 5, "=>{\n  a;\n  b;\n}")]
+
+
+def test_long_text_behind_the_last_part(spark):
+    assert [s[1:4] for s in spans(spark, "const f = (a) =>\n  b(\n    1);\n(x) => " + ". " * 200_000)] == [("f", 1, 3)]
